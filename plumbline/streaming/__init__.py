@@ -1,0 +1,6 @@
+"""No streaming operator: the capability this package covers is a batch study.
+
+The row-local operators (view scoring, quality, fusion, verdicts) are plain
+column expressions, so they also accept a streaming DataFrame once the fitted
+parameter tables have been written.
+"""
