@@ -1 +1,757 @@
-ORACLE = {}
+"""SQL for an independent engine: the expected result of each registered query.
+
+Written from the definitions, not from the Spark plans: long windows, self joins
+and cross products are fine here, since it only checks results.
+"""
+
+from __future__ import annotations
+
+from plumbline.operators.experiments import RATES, ablation_variants
+from plumbline.operators.reliability import ALPHA, simplex_grid
+from plumbline.plans.bindings import (
+    DOCUMENT_VIEWS,
+    EVENT_CLASSES,
+    EVENT_VIEWS,
+    LINE_DATASETS,
+    LINE_VIEWS,
+)
+from plumbline.plans.catalog import (
+    CLAIMS,
+    CV_FOLDS,
+    CV_REPEATS,
+    EVENT_CLASS_MAP,
+    LINE_CLASS_MAP,
+    PERMUTATIONS,
+)
+from plumbline.operators.consolidate import EXPERIMENTS
+from plumbline.spec import ViewSpec
+
+SEED = 42
+
+
+def R(x: str, digits: int = 6) -> str:
+    return f"(round(({x})::DOUBLE, {digits}) + 0.0::DOUBLE)"
+
+
+def bucket(*keys: str, seed: object = SEED, buckets: int = 100) -> str:
+    parts = " || '|' || ".join([f"'{seed}'", *[f"({k})::VARCHAR" for k in keys]])
+    return f"(('0x' || substr(md5({parts}), 1, 8))::BIGINT % {buckets})"
+
+
+def split_sql(key: str) -> str:
+    b = bucket(key)
+    return f"CASE WHEN {b} < 60 THEN 'train' WHEN {b} < 80 THEN 'validation' ELSE 'test' END"
+
+
+def tick(x: str) -> str:
+    return f"floor(({x}) * 1000000.0::DOUBLE + 0.5::DOUBLE)::BIGINT"
+
+
+def fin(x: str) -> str:
+    return f"CASE WHEN isfinite(({x})::DOUBLE) THEN ({x})::DOUBLE END"
+
+
+def q_cols(spec: ViewSpec) -> str:
+    out = []
+    for v, fs in spec.views.items():
+        valid = " + ".join(f"({f} IS NOT NULL AND isfinite({f}))::INT" for f in fs)
+        out.append(f"({valid}) / {float(len(fs))}::DOUBLE AS q_{v}")
+    return ", ".join(out)
+
+
+def with_(*ctes: str) -> str:
+    return "WITH " + ",\n".join(ctes) + "\n"
+
+
+EV = f"""
+ev0 AS (
+  SELECT event_id AS record_id, user_id AS entity, epoch_us(ts) AS ts_us, event_type AS class,
+         (event_type = 'error')::INT AS y, {split_sql('event_id')} AS split, value,
+         regexp_extract(props, '"k": *(-?[0-9]+)', 1)::DOUBLE AS k,
+         (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS gap
+  FROM events),
+ev AS (
+  SELECT *, 1.0::DOUBLE AS i,
+         CASE WHEN ts_us IS NULL THEN 0.0::DOUBLE WHEN gap IS NULL THEN 0.5::DOUBLE
+              ELSE 1.0::DOUBLE / (1.0::DOUBLE + gap / 86400.0::DOUBLE) END AS t,
+         {q_cols(EVENT_VIEWS)}
+  FROM ev0)"""
+
+LINE_KEY = (
+    "concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, "
+    "floor(l_extendedprice * 100.0::DOUBLE + 0.5::DOUBLE)::BIGINT)"
+)
+LI = f"""
+li00 AS (
+  SELECT {LINE_KEY} AS record_id, l_linestatus AS dataset, l_orderkey AS entity,
+         epoch_us(l_shipdate) AS ts_us, l_returnflag AS class, (l_returnflag = 'R')::INT AS y,
+         CASE o_orderstatus WHEN 'F' THEN 'verified' WHEN 'P' THEN 'mismatch' ELSE 'unlisted' END AS status,
+         (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 1e6 AS lag_seconds,
+         l_quantity, l_extendedprice, l_discount, l_tax
+  FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey),
+li0 AS (SELECT *, lag_seconds / 86400.0::DOUBLE AS lag_days, {split_sql('record_id')} AS split FROM li00),
+li AS (
+  SELECT *, CASE status WHEN 'verified' THEN 1.0::DOUBLE WHEN 'mismatch' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS i,
+         CASE WHEN ts_us IS NULL OR NOT coalesce(lag_seconds >= 0, false) THEN 0.0::DOUBLE
+              ELSE 1.0::DOUBLE / (1.0::DOUBLE + lag_seconds / 86400.0::DOUBLE) END AS t,
+         {q_cols(LINE_VIEWS)}
+  FROM li0)"""
+
+DOC = """
+doc AS (
+  SELECT d.doc_id AS record_id, source || '/' || lang AS file, lang AS dataset, text,
+         n_chars::DOUBLE AS n_chars,
+         (length(text) - length(replace(text, ' ', '')) + 1)::DOUBLE AS n_words,
+         (length(text) - length(replace(text, chr(10), '')) + 1)::DOUBLE AS n_lines,
+         l.quality AS y, l.toxic::DOUBLE AS toxic
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def params(spec: ViewSpec, src: str, by: str = "") -> str:
+    head = f"{by}, " if by else ""
+    cols = []
+    for c in (0, 1):
+        cols.append(f"count(*) FILTER (WHERE y = {c}) AS n{c}")
+        for f in spec.features:
+            cols += [
+                f"count({f}) FILTER (WHERE y = {c}) AS {f}__n{c}",
+                f"avg({f}) FILTER (WHERE y = {c}) AS {f}__m{c}",
+                f"greatest(var_samp({f}) FILTER (WHERE y = {c}), 1e-9) AS {f}__v{c}",
+            ]
+    return f"SELECT {head}{', '.join(cols)} FROM {src}" + (f" GROUP BY {by}" if by else "")
+
+
+def p_cols(spec: ViewSpec, P: str = "P", row: str = "b") -> str:
+    out = []
+    for v, fs in spec.views.items():
+        terms = [
+            f"coalesce(0.5::DOUBLE * ln({P}.{f}__v0 / {P}.{f}__v1)"
+            f" - ({row}.{f} - {P}.{f}__m1) * ({row}.{f} - {P}.{f}__m1) / (2 * {P}.{f}__v1)"
+            f" + ({row}.{f} - {P}.{f}__m0) * ({row}.{f} - {P}.{f}__m0) / (2 * {P}.{f}__v0), 0.0::DOUBLE)"
+            for f in fs
+        ]
+        z = f"ln({P}.n1::DOUBLE / nullif({P}.n0, 0)::DOUBLE) + " + " + ".join(terms)
+        seen = ", ".join(f"{row}.{f}" for f in fs)
+        out.append(
+            f"CASE WHEN coalesce({seen}) IS NOT NULL THEN 1.0::DOUBLE / (1.0::DOUBLE + exp(-({z}))) END AS p_{v}"
+        )
+    return ", ".join(out)
+
+
+def weights(spec: ViewSpec, src: str, by: str = "") -> str:
+    head = f"{by}, " if by else ""
+    cols = [
+        f"greatest(abs(avg(p_{v}) FILTER (WHERE y = 1) - avg(p_{v}) FILTER (WHERE y = 0)), 1e-6) AS g_{v}"
+        for v in spec.names
+    ]
+    return f"SELECT {head}{', '.join(cols)} FROM {src}" + (f" GROUP BY {by}" if by else "")
+
+
+def wsum(spec: ViewSpec, w: dict[str, str]) -> str:
+    return " + ".join(f"CASE WHEN p_{v} IS NOT NULL THEN {w[v]} ELSE 0.0::DOUBLE END" for v in spec.names)
+
+
+def wmass(spec: ViewSpec, w: dict[str, str]) -> str:
+    return " + ".join(f"coalesce(({w[v]}) * p_{v}, 0.0::DOUBLE)" for v in spec.names)
+
+
+def fused(spec: ViewSpec, w: dict[str, str]) -> str:
+    return f"(({wmass(spec, w)}) / nullif({wsum(spec, w)}, 0))"
+
+
+def plain(spec: ViewSpec) -> str:
+    return fused(spec, {v: "1.0::DOUBLE" for v in spec.names})
+
+
+def gr(spec: ViewSpec, alpha=None, g: bool = True) -> dict[str, str]:
+    a_i, a_q, a_t = alpha or [f"{a}::DOUBLE" for a in ALPHA]
+    return {
+        v: (f"g_{v} * " if g else "") + f"({a_i} * i + {a_q} * q_{v} + {a_t} * t)" for v in spec.names
+    }
+
+
+def theta(src: str, by: str = "", score: str = "s") -> str:
+    """Best Youden threshold over occupied bins."""
+    head = f"{by}, " if by else ""
+    part = f"PARTITION BY {by}" if by else ""
+    return f"""
+    SELECT {head}theta, theta_tick, value AS youden FROM (
+      SELECT {head}bin / 100.0::DOUBLE AS theta, bin * 10000 AS theta_tick, value,
+             row_number() OVER ({part} ORDER BY value DESC, bin) AS pick
+      FROM (SELECT {head}bin, round(
+                sum(pos) OVER ({part} ORDER BY bin DESC)::DOUBLE / nullif(sum(pos) OVER ({part}), 0)
+              - sum(neg) OVER ({part} ORDER BY bin DESC)::DOUBLE / nullif(sum(neg) OVER ({part}), 0), 9) AS value
+            FROM (SELECT {head}({tick(score)}) // 10000 AS bin,
+                         count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg
+                  FROM {src} WHERE {score} IS NOT NULL AND y IS NOT NULL GROUP BY ALL)))
+    WHERE pick = 1"""
+
+
+RATE_COLS = """
+  (tp + tn) / nullif(tp + fp + tn + fn, 0) AS accuracy, tp / nullif(tp + fp, 0) AS "precision",
+  tp / nullif(tp + fn, 0) AS recall, tn / nullif(tn + fp, 0) AS specificity,
+  2 * tp / nullif(2 * tp + fp + fn, 0) AS f1,
+  (tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2 AS balanced_accuracy,
+  (tp::DOUBLE * tn - fp::DOUBLE * fn)
+    / nullif(sqrt(tp + fp) * sqrt(tp + fn) * sqrt(tn + fp) * sqrt(tn + fn), 0) AS mcc"""
+RATE_NAMES = ["accuracy", "precision", "recall", "specificity", "f1", "balanced_accuracy", "mcc"]
+
+
+def metrics(src: str, by: str) -> str:
+    """Counts, AUC, Brier score and rates; ``theta_tick`` is a column of ``src``."""
+    return f"""
+    SELECT *, {RATE_COLS} FROM (
+      SELECT {by}, sum(pos + neg)::BIGINT AS n,
+             coalesce(sum(pos) FILTER (WHERE k >= theta_tick), 0)::BIGINT AS tp,
+             coalesce(sum(neg) FILTER (WHERE k >= theta_tick), 0)::BIGINT AS fp,
+             coalesce(sum(neg) FILTER (WHERE k < theta_tick), 0)::BIGINT AS tn,
+             coalesce(sum(pos) FILTER (WHERE k < theta_tick), 0)::BIGINT AS fn,
+             sum(pos * (below + neg / 2)) / nullif(sum(pos)::DOUBLE * sum(neg)::DOUBLE, 0) AS auc,
+             sum(pos * (1 - k / 1e6) * (1 - k / 1e6) + neg * (k / 1e6) * (k / 1e6)) / nullif(sum(pos + neg), 0) AS brier
+      FROM (SELECT *, sum(neg) OVER (PARTITION BY {by} ORDER BY k) - neg AS below
+            FROM (SELECT {by}, theta_tick, {tick('s')} AS k,
+                         count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg
+                  FROM {src} WHERE s IS NOT NULL AND y IS NOT NULL GROUP BY ALL))
+      GROUP BY ALL)"""
+
+
+def metric_list(keys: str) -> str:
+    cols = ", ".join(f'{R(chr(34) + m + chr(34))} AS "{m}"' for m in ["auc", "brier", *RATE_NAMES])
+    return f"{keys}, n, tp, fp, tn, fn, {cols}"
+
+
+def variants(spec: ViewSpec, src: str, keep: str, w: dict[str, str]) -> str:
+    parts = [(f"view:{v}", f"p_{v}") for v in spec.names]
+    parts += [("unweighted", plain(spec)), ("reliability", fused(spec, w))]
+    return " UNION ALL ".join(f"SELECT {keep}, '{n}' AS variant, {s} AS s FROM {src}" for n, s in parts)
+
+
+def chain(spec: ViewSpec, base: str) -> list[str]:
+    """Fit on train, score all, weigh on validation, join the weights."""
+    return [
+        f"train AS (SELECT * FROM {base} WHERE split = 'train')",
+        f"par AS ({params(spec, 'train')})",
+        f"scored AS (SELECT b.*, {p_cols(spec)} FROM {base} b, par P)",
+        "val AS (SELECT * FROM scored WHERE split = 'validation')",
+        f"wts AS ({weights(spec, 'val')})",
+        "sw AS (SELECT * FROM scored, wts)",
+    ]
+
+
+def values(rows: list[tuple], names: list[str]) -> str:
+    lit = lambda x: f"'{x}'" if isinstance(x, str) else f"{x}::DOUBLE" if isinstance(x, float) else str(x)
+    body = ", ".join("(" + ", ".join(lit(x) for x in r) + ")" for r in rows)
+    return f"(VALUES {body}) AS v({', '.join(names)})"
+
+
+def grid_values(names: list[str]) -> str:
+    rows = [(j, *[float(p[n]) for n in names]) for j, p in enumerate(simplex_grid(tuple(names)))]
+    return values(rows, ["grid_id", *names])
+
+
+EVC = [EV, *chain(EVENT_VIEWS, "ev")]
+LIC = [LI, *chain(LINE_VIEWS, "li")]
+LIF = [*LIC, f"fz AS (SELECT *, {fused(LINE_VIEWS, gr(LINE_VIEWS))} AS s FROM sw)"]
+LIT = [
+    *LIF,
+    "fv AS (SELECT * FROM fz WHERE split = 'validation')",
+    f"th AS ({theta('fv')})",
+    "ft AS (SELECT fz.*, th.theta, th.theta_tick FROM fz, th WHERE split = 'test')",
+]
+
+ORACLE: dict[str, str] = {}
+
+# ---- fusion -----------------------------------------------------------------
+
+ORACLE["reliability_fusion"] = with_(*EVC) + (
+    f"SELECT record_id, split, y, {R(fused(EVENT_VIEWS, gr(EVENT_VIEWS)))} AS s, "
+    f"{R(plain(EVENT_VIEWS))} AS s_unweighted FROM sw"
+)
+ORACLE["unweighted_fusion"] = with_(*EVC) + f"SELECT record_id, {R(plain(EVENT_VIEWS))} AS s_unweighted FROM scored"
+ORACLE["view_weights"] = with_(*EVC) + " UNION ALL ".join(
+    f"SELECT '{v}' AS view, {R(f'g_{v}')} AS g FROM wts" for v in EVENT_VIEWS.names
+)
+_long_views = " UNION ALL ".join(
+    f"SELECT record_id, split, y, '{v}' AS view, p_{v} AS s FROM scored" for v in EVENT_VIEWS.names
+)
+ORACLE["view_predictions"] = with_(
+    *EVC, f"pl AS ({_long_views})", "pv AS (SELECT * FROM pl WHERE split = 'validation')", f"pt AS ({theta('pv', 'view')})"
+) + (
+    f"SELECT record_id, pl.view AS view, {R('s')} AS score, ({tick('s')} >= theta_tick)::INT::DOUBLE AS pred "
+    "FROM pl LEFT JOIN pt ON pl.view = pt.view"
+)
+ORACLE["view_parameters"] = with_(*LIC) + " UNION ALL ".join(
+    f"SELECT '{v}' AS view, '{f}' AS feature, {c} AS class, {R(f'{f}__m{c}', 4)} AS mean, "
+    f"{R(f'sqrt({f}__v{c})', 4)} AS sd, {f}__n{c} AS n FROM par"
+    for v, f in LINE_VIEWS.pairs
+    for c in (0, 1)
+)
+
+MANIFEST = """
+man AS (
+  SELECT file, sum(n_chars)::BIGINT AS length,
+         sha256(file || '|' || count(*) || '|' || sum(n_chars)::BIGINT) AS sha256,
+         CASE WHEN count(toxic) = 0 THEN 'unlisted' WHEN max(toxic) = 1 THEN 'mismatch' ELSE 'verified' END AS status
+  FROM doc GROUP BY file)"""
+ORACLE["integrity_factor"] = with_(DOC, MANIFEST) + (
+    "SELECT record_id, status, CASE status WHEN 'verified' THEN 1.0::DOUBLE WHEN 'mismatch' THEN 0.0::DOUBLE "
+    "ELSE 0.5::DOUBLE END AS i FROM doc LEFT JOIN man USING (file)"
+)
+ORACLE["attached_integrity"] = with_(DOC, MANIFEST) + (
+    "SELECT record_id, file, length, sha256, status FROM doc LEFT JOIN man USING (file)"
+)
+ORACLE["verified_integrity"] = with_(
+    DOC,
+    "a AS (SELECT record_id AS file, sha256(CASE WHEN toxic = 1 THEN text || '~' ELSE text END) AS recorded FROM doc WHERE y IS NOT NULL)",
+    "b AS (SELECT record_id AS file, sha256(text) AS recomputed FROM doc WHERE coalesce(y, 1) = 1)",
+) + (
+    "SELECT coalesce(a.file, b.file) AS file, recorded, recomputed, CASE WHEN recomputed IS NULL THEN 'missing' "
+    "WHEN recorded IS NULL THEN 'unlisted' WHEN recorded = recomputed THEN 'verified' ELSE 'mismatch' END AS status "
+    "FROM a FULL JOIN b ON a.file = b.file"
+)
+ORACLE["quality_factor"] = with_(DOC, f"dq AS (SELECT *, {q_cols(DOCUMENT_VIEWS)} FROM doc)") + " UNION ALL ".join(
+    f"SELECT record_id, '{v}' AS view, {R(f'q_{v}')} AS q FROM dq" for v in DOCUMENT_VIEWS.names
+)
+ORACLE["temporal_factor"] = with_(EV) + f"SELECT record_id, entity, {R('gap')} AS gap, {R('t')} AS t FROM ev"
+ORACLE["temporal_order_rule"] = with_(LI) + f"SELECT record_id, {R('lag_days', 12)} AS lag_days, {R('t', 12)} AS t FROM li"
+_rel = gr(LINE_VIEWS, g=False)
+ORACLE["reliability_vector"] = with_(LI) + " UNION ALL ".join(
+    f"SELECT record_id, {R('i', 12)} AS i, {R('t', 12)} AS t, '{v}' AS view, {R(f'q_{v}', 12)} AS q, {R(_rel[v], 12)} AS r FROM li"
+    for v in LINE_VIEWS.names
+)
+
+_ga = gr(LINE_VIEWS, ("a_i", "a_q", "a_t"))
+ALPHA_FIT = [
+    *LIC,
+    f"agrid AS (SELECT * FROM {grid_values(['a_i', 'a_q', 'a_t'])})",
+    f"""alpha AS (
+      SELECT grid_id, a_i, a_q, a_t, avg((s - y) * (s - y)) AS loss
+      FROM (SELECT agrid.*, y, {fused(LINE_VIEWS, _ga)} AS s FROM sw, agrid WHERE split = 'validation')
+      GROUP BY ALL ORDER BY round(loss, 9), grid_id LIMIT 1)""",
+]
+ORACLE["reliability_coefficients"] = with_(*ALPHA_FIT) + (
+    f"SELECT grid_id, {R('a_i')} AS a_i, {R('a_q')} AS a_q, {R('a_t')} AS a_t, {R('loss')} AS loss FROM alpha"
+)
+ORACLE["decision_threshold"] = with_(
+    *LIC,
+    "svl AS (SELECT * FROM sw WHERE split = 'validation')",
+    f"vl AS ({variants(LINE_VIEWS, 'svl', 'y', gr(LINE_VIEWS))})",
+    f"vt AS ({theta('vl', 'variant')})",
+) + f"SELECT variant, {R('theta')} AS theta, theta_tick, {R('youden')} AS youden FROM vt"
+
+_names = LINE_VIEWS.names
+_for = " + ".join(f"CASE WHEN p_{v} IS NOT NULL AND {tick(f'p_{v}')} >= theta_tick THEN w_{v} ELSE 0.0::DOUBLE END" for v in _names)
+_against = " + ".join(f"CASE WHEN p_{v} IS NOT NULL AND {tick(f'p_{v}')} < theta_tick THEN w_{v} ELSE 0.0::DOUBLE END" for v in _names)
+_w = {v: f"w_{v}" for v in _names}
+_up = ", ".join(f"CASE WHEN {tick(f'p_{v}')} >= theta_tick THEN '{v}' END" for v in _names)
+_down = ", ".join(f"CASE WHEN {tick(f'p_{v}')} < theta_tick THEN '{v}' END" for v in _names)
+_share_top = " ".join(
+    f"WHEN share_{v} >= greatest({', '.join(f'share_{u}' for u in _names)}) THEN '{v}'" for v in sorted(_names, reverse=True)
+)
+CASES = [
+    *ALPHA_FIT,
+    "aw AS (SELECT sw.*, a_i, a_q, a_t FROM sw, alpha)",
+    "wz AS (SELECT *, " + ", ".join(f"{_ga[v]} AS w_{v}" for v in _names) + " FROM aw)",
+    f"fz AS (SELECT *, {fused(LINE_VIEWS, _w)} AS s FROM wz)",
+    "fv AS (SELECT * FROM fz WHERE split = 'validation')",
+    f"th AS ({theta('fv')})",
+    f"""pre AS (
+      SELECT fz.*, theta, theta_tick, {wsum(LINE_VIEWS, _w)} AS w_all, {_for} AS w_for, {_against} AS w_against,
+             {wmass(LINE_VIEWS, _w)} AS w_mass FROM fz, th)""",
+    "shr AS (SELECT *, "
+    + ", ".join(f"w_{v} * p_{v} / nullif(w_mass, 0) AS share_{v}" for v in _names)
+    + " FROM pre)",
+    f"""cas AS (
+      SELECT *, CASE WHEN s IS NULL OR i = 0 THEN 'insufficient'
+                     WHEN w_for >= 0.3::DOUBLE * w_all AND w_against >= 0.3::DOUBLE * w_all THEN 'contested'
+                     WHEN {tick('s')} >= theta_tick THEN 'attack' ELSE 'benign' END AS verdict,
+             concat_ws(',', {_up}) AS supporting, concat_ws(',', {_down}) AS contradicting,
+             CASE {_share_top} END AS top_view FROM shr)""",
+]
+ORACLE["forensic_reasoning"] = with_(*CASES) + (
+    f"SELECT record_id, {R('s')} AS s, verdict, supporting, contradicting, top_view, "
+    + ", ".join(f"{R(f'share_{v}')} AS share_{v}" for v in _names)
+    + " FROM cas"
+)
+_spread = " + ".join(f"coalesce(w_{v} * (p_{v} - s) * (p_{v} - s), 0.0::DOUBLE)" for v in _names)
+_gsum = wsum(LINE_VIEWS, {v: f"g_{v}" for v in _names})
+ORACLE["investigation_confidence"] = with_(
+    *CASES,
+    f"""cp AS (SELECT *, w_all / nullif({_gsum}, 0) AS c_r,
+         1.0::DOUBLE - 2.0::DOUBLE * sqrt(({_spread}) / nullif(w_all, 0)) AS c_a,
+         abs(s - theta) / greatest(theta, 1.0::DOUBLE - theta) AS c_m,
+         ((verdict = 'attack' AND y = 1) OR (verdict = 'benign' AND y = 0))::INT::DOUBLE AS ok FROM cas)""",
+    f"bgrid AS (SELECT * FROM {grid_values(['b_r', 'b_a', 'b_m'])})",
+    """beta AS (
+      SELECT grid_id, b_r, b_a, b_m, avg((b_r * c_r + b_a * c_a + b_m * c_m - ok) * (b_r * c_r + b_a * c_a + b_m * c_m - ok)) AS loss
+      FROM cp, bgrid WHERE split = 'validation' GROUP BY ALL ORDER BY round(loss, 9), grid_id LIMIT 1)""",
+) + (
+    f"SELECT record_id, verdict, {R('c_r')} AS c_r, {R('c_a')} AS c_a, {R('c_m')} AS c_m, "
+    f"{R('b_r * c_r + b_a * c_a + b_m * c_m')} AS confidence FROM cp, beta"
+)
+
+# ---- preparation ------------------------------------------------------------
+
+ORACLE["clean_records"] = """
+SELECT doc_id, lang, source, n_chars::DOUBLE AS n_chars, md5(text) AS digest FROM documents
+WHERE text IS NOT NULL AND n_chars IS NOT NULL
+  AND doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)"""
+
+_case = lambda col, m: f"CASE {col} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in m.items()) + " END"
+_y = lambda c: f"({c} <> 'benign')::INT"
+ORACLE["harmonized_records"] = f"""
+SELECT record_id, dataset, entity, ts_us, class, {_y('class')}::DOUBLE AS y, amount, k, discount FROM (
+  SELECT event_id::VARCHAR AS record_id, 'events' AS dataset, user_id::VARCHAR AS entity, epoch_us(ts) AS ts_us,
+         {_case('event_type', EVENT_CLASS_MAP)} AS class, value AS amount,
+         regexp_extract(props, '"k": *(-?[0-9]+)', 1)::DOUBLE AS k, NULL::DOUBLE AS discount FROM events
+  UNION ALL
+  SELECT {LINE_KEY}, 'lines', l_orderkey::VARCHAR, epoch_us(l_shipdate), {_case('l_returnflag', LINE_CLASS_MAP)},
+         l_extendedprice, NULL::DOUBLE, l_discount FROM lineitem)"""
+ORACLE["transformed_features"] = with_(
+    LI,
+    """fit AS (SELECT min(l_quantity) AS q0, max(l_quantity) AS q1, avg(l_discount) AS dm, stddev_samp(l_discount) AS ds,
+              min(l_tax) AS t0, max(l_tax) AS t1 FROM li WHERE split = 'train')""",
+) + f"""
+SELECT record_id, split, {R('(l_quantity - q0) / nullif(q1 - q0, 0)')} AS l_quantity,
+       {R('sign(l_extendedprice) * ln(1 + abs(l_extendedprice))')} AS l_extendedprice,
+       {R('(l_discount - dm) / nullif(ds, 0)')} AS l_discount, {R('least(greatest(l_tax, t0), t1)')} AS l_tax,
+       {R('sign(lag_days) * ln(1 + abs(lag_days))')} AS lag_days
+FROM li, fit"""
+ORACLE["scaled_features"] = with_(
+    EV,
+    "fit AS (SELECT "
+    + ", ".join(f"avg({f}) AS {f}_m, stddev_samp({f}) AS {f}_s" for f in EVENT_VIEWS.features)
+    + " FROM ev WHERE split = 'train')",
+) + "SELECT record_id, split, " + ", ".join(
+    f"{R(f'({f} - {f}_m) / nullif({f}_s, 0)')} AS {f}" for f in EVENT_VIEWS.features
+) + " FROM ev, fit"
+ORACLE["evidence_views"] = with_(EV) + " UNION ALL ".join(
+    f"SELECT record_id, split, y, '{v}' AS view, '{f}' AS feature, {R(f)} AS x FROM ev" for v, f in EVENT_VIEWS.pairs
+)
+ORACLE["split_index"] = f"SELECT event_id AS record_id, event_type AS class, {split_sql('event_id')} AS split FROM events"
+ORACLE["stratified_split"] = """
+SELECT record_id, stratum, CASE WHEN pos < 60 * size THEN 'train' WHEN pos < 80 * size THEN 'validation' ELSE 'test' END AS split
+FROM (SELECT event_id AS record_id, event_type AS stratum, count(*) OVER (PARTITION BY event_type) AS size,
+             (row_number() OVER (PARTITION BY event_type ORDER BY md5('42|' || event_id), event_id) - 1) * 100 AS pos
+      FROM events)"""
+_folds = f"""
+SELECT event_id AS record_id, event_type AS stratum, repeat,
+       ((row_number() OVER (PARTITION BY repeat, event_type ORDER BY md5('42|' || repeat || '|' || event_id), event_id) - 1) % {CV_FOLDS})::INT AS fold
+FROM events, (SELECT unnest(range(1, {CV_REPEATS + 1}))::INT AS repeat)"""
+ORACLE["fold_index"] = _folds
+ORACLE["seeded_buckets"] = (
+    f"SELECT event_id, {bucket('event_id')} AS bucket_a, {bucket('event_id', seed=7)} AS bucket_b FROM events"
+)
+
+# ---- description ------------------------------------------------------------
+
+_doc_cols = ["text", "n_chars", "n_words", "y", "toxic"]
+ORACLE["dataset_assessment"] = with_(DOC) + " UNION ALL ".join(
+    f"""SELECT dataset, '{c}' AS "column", count(*) AS rows, (count(*) - count({c}))::BIGINT AS nulls,
+        {f"count(*) FILTER (WHERE NOT isfinite({c}))" if c in ('n_chars', 'n_words', 'toxic') else '0::BIGINT'} AS non_finite,
+        count(DISTINCT {c}) AS "distinct" FROM doc GROUP BY dataset"""
+    for c in _doc_cols
+) + """ UNION ALL
+SELECT dataset, '*', sum(c)::BIGINT, 0::BIGINT, 0::BIGINT, count(*) FROM (
+  SELECT dataset, text, n_chars, n_words, n_lines, y, toxic, count(*) AS c FROM doc GROUP BY ALL) GROUP BY dataset"""
+ORACLE["feature_statistics"] = with_(LI) + " UNION ALL ".join(
+    f"SELECT dataset, '{f}' AS feature, count({f}) AS n, {R(f'avg({f})', 4)} AS mean, {R(f'stddev_samp({f})', 4)} AS sd, "
+    f"{R(f'min({f})', 4)} AS min, {R(f'max({f})', 4)} AS max, "
+    + ", ".join(f"{R(f'quantile_cont({f}, {q})', 4)} AS {n}" for n, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)))
+    + " FROM li GROUP BY dataset"
+    for f in LINE_VIEWS.features
+)
+ORACLE["class_shares"] = with_(LI) + (
+    f"SELECT dataset, split, class, n, {R('n / sum(n) OVER (PARTITION BY dataset, split)')} AS share "
+    "FROM (SELECT dataset, split, class, count(*) AS n FROM li GROUP BY ALL)"
+)
+
+# ---- sources and sinks ------------------------------------------------------
+
+ORACLE["csv_flows"] = "SELECT event_id AS record_id, user_id, event_type, value, props FROM events"
+ORACLE["csv_datasets"] = (
+    f"SELECT {LINE_KEY} AS record_id, l_linestatus AS dataset, l_extendedprice, l_quantity FROM lineitem"
+)
+ORACLE["written_splits"] = with_(LI) + (
+    "SELECT split, dataset, count(*) AS n, min(record_id) AS first_id, max(record_id) AS last_id FROM li GROUP BY ALL"
+)
+ORACLE["written_predictions"] = with_(*LIC) + " UNION ALL ".join(
+    f"SELECT record_id, dataset, '{v}' AS view, {R(f'p_{v}')} AS score FROM scored" for v in _names
+)
+ORACLE["saved_parameters"] = with_(*EVC) + (
+    "SELECT record_id, " + ", ".join(f"{R(f'p_{v}')} AS p_{v}" for v in EVENT_VIEWS.names) + " FROM scored"
+)
+ORACLE["appended_run_log"] = """
+SELECT event_id::VARCHAR AS run_id, event_type AS stage, regexp_extract(props, '"k": *(-?[0-9]+)', 1)::BIGINT AS rows,
+       value AS seconds, epoch_us(ts) AS started_us FROM events"""
+
+# ---- evaluation -------------------------------------------------------------
+
+ORACLE["confusion_rates"] = with_(
+    *LIT, f"pr AS (SELECT dataset, y, ({tick('s')} >= theta_tick)::INT AS pred FROM ft)",
+    """cf AS (SELECT dataset, count(*) FILTER (WHERE y = 1 AND pred = 1) AS tp, count(*) FILTER (WHERE y = 0 AND pred = 1) AS fp,
+             count(*) FILTER (WHERE y = 0 AND pred = 0) AS tn, count(*) FILTER (WHERE y = 1 AND pred = 0) AS fn
+             FROM pr GROUP BY dataset)""",
+    f"rt AS (SELECT *, {RATE_COLS} FROM cf)",
+) + "SELECT dataset, tp, fp, tn, fn, " + ", ".join(
+    f'{R(chr(34) + m + chr(34))} AS "{m}"' for m in RATE_NAMES
+) + " FROM rt"
+ORACLE["ranking_auc"] = with_(
+    *LIC, f"vl AS ({variants(LINE_VIEWS, 'sw', 'split, y', gr(LINE_VIEWS))})",
+    f"""rk AS (SELECT variant, split, y, rank() OVER (PARTITION BY variant, split ORDER BY k)
+                + (count(*) OVER (PARTITION BY variant, split, k) - 1) / 2 AS r
+             FROM (SELECT *, {tick('s')} AS k FROM vl WHERE s IS NOT NULL))""",
+) + f"""
+SELECT variant, split, {R('''(sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2)
+       / nullif(count(*) FILTER (WHERE y = 1)::DOUBLE * count(*) FILTER (WHERE y = 0)::DOUBLE, 0)''')} AS auc
+FROM rk GROUP BY variant, split"""
+
+_cl_params, _logits = [], []
+for _j, _c in enumerate(EVENT_CLASSES):
+    _cl_params.append(f"count(*) FILTER (WHERE class = '{_c}') AS n{_j}")
+    for _f in EVENT_VIEWS.features:
+        _cl_params.append(f"avg({_f}) FILTER (WHERE class = '{_c}') AS {_f}__m{_j}")
+        _cl_params.append(f"greatest(var_samp({_f}) FILTER (WHERE class = '{_c}'), 1e-9) AS {_f}__v{_j}")
+    _logits.append(
+        f"ln(n{_j}::DOUBLE) + "
+        + " + ".join(
+            f"coalesce(-0.5::DOUBLE * ln({_f}__v{_j}) - ({_f} - {_f}__m{_j}) * ({_f} - {_f}__m{_j}) / (2 * {_f}__v{_j}), 0.0::DOUBLE)"
+            for _f in EVENT_VIEWS.features
+        )
+        + f" AS l{_j}"
+    )
+_best = "greatest(" + ", ".join(f"l{j}" for j in range(len(EVENT_CLASSES))) + ")"
+ORACLE["class_metrics"] = with_(
+    EV,
+    f"cp AS (SELECT {', '.join(_cl_params)} FROM ev WHERE split = 'train')",
+    f"lg AS (SELECT class, {', '.join(_logits)} FROM ev, cp WHERE split = 'test')",
+    "pd AS (SELECT class, CASE " + " ".join(f"WHEN l{j} = {_best} THEN '{c}'" for j, c in enumerate(EVENT_CLASSES)) + " END AS yhat FROM lg)",
+    "cls AS (SELECT class FROM pd UNION SELECT yhat FROM pd)",
+    """pc AS (SELECT c.class, (SELECT count(*) FROM pd WHERE pd.class = c.class) AS support,
+                  (SELECT count(*) FROM pd WHERE yhat = c.class) AS predicted,
+                  (SELECT count(*) FROM pd WHERE pd.class = c.class AND yhat = c.class) AS hits FROM cls c)""",
+) + f"""
+SELECT class, support, predicted, hits, {R('hits / nullif(predicted, 0)')} AS "precision",
+       {R('hits / nullif(support, 0)')} AS recall, {R('2 * hits / nullif(predicted + support, 0)')} AS f1 FROM pc"""
+
+_vv = [
+    *LIC,
+    "svl AS (SELECT * FROM sw WHERE split = 'validation')",
+    "ste AS (SELECT * FROM sw WHERE split = 'test')",
+    f"vl AS ({variants(LINE_VIEWS, 'svl', 'y', gr(LINE_VIEWS))})",
+    f"vt AS ({theta('vl', 'variant')})",
+    f"tl0 AS ({variants(LINE_VIEWS, 'ste', 'y', gr(LINE_VIEWS))})",
+    "tl AS (SELECT tl0.*, theta, theta_tick FROM tl0 JOIN vt USING (variant))",
+    f"vm AS ({metrics('tl', 'variant, theta')})",
+]
+ORACLE["view_validation"] = with_(*_vv) + f"SELECT {metric_list('variant')}, {R('theta')} AS theta FROM vm"
+
+_ab = []
+for _v in ablation_variants(LINE_VIEWS):
+    _sum = sum(a * _v[f"f_{k}"] for a, k in zip(ALPHA, "iqt"))
+    _wt = {}
+    for _n in _names:
+        if _v["without"] == _n:
+            _wt[_n] = "0.0::DOUBLE"
+            continue
+        _terms = [
+            f"{a}::DOUBLE * {c}" for a, k, c in zip(ALPHA, "iqt", ("i", f"q_{_n}", "t")) if _v[f"f_{k}"]
+        ]
+        _base = " + ".join(f"{a}::DOUBLE" for a, k in zip(ALPHA, "iqt") if _v[f"f_{k}"])
+        _r = f"(({' + '.join(_terms)}) / ({_base}))" if _terms else "1.0::DOUBLE"
+        _wt[_n] = (f"g_{_n} * " if _v["f_g"] else "") + _r
+    _ab.append(f"SELECT '{_v['variant']}' AS variant, y, theta_tick, {fused(LINE_VIEWS, _wt)} AS s FROM ft")
+_ablation = [*LIT, f"ab AS ({' UNION ALL '.join(_ab)})", f"am AS ({metrics('ab', 'variant')})"]
+ORACLE["component_ablation"] = with_(*_ablation) + f"SELECT {metric_list('variant')} FROM am"
+
+_hit_a = f"({bucket(chr(39) + 'amount' + chr(39), 'record_id', buckets=1000)} < 0.3::DOUBLE * 1000)"
+_hit_t = f"({bucket(chr(39) + 'timing' + chr(39), 'record_id', buckets=1000)} < 0.5::DOUBLE * 1000)"
+_noise = f"60.0::DOUBLE * (2 * ({bucket(chr(39) + 'gap' + chr(39), 'record_id', buckets=1000000)} / 1e6) - 1)"
+ORACLE["degraded_evidence"] = with_(
+    EV,
+    f"dg AS (SELECT record_id, CASE WHEN NOT {_hit_a} THEN value END AS value, k, CASE WHEN {_hit_t} THEN gap + {_noise} ELSE gap END AS gap FROM ev)",
+) + f"SELECT record_id, {R('value')} AS value, {R('k')} AS k, {R('gap')} AS gap, (value IS NOT NULL)::INT::DOUBLE AS q_amount FROM dg"
+
+_deg = []
+for _v, _fs in LINE_VIEWS.views.items():
+    _cols = ", ".join(
+        f"CASE WHEN NOT hit THEN {f} END AS {f}" if f in _fs else f for f in LINE_VIEWS.features
+    )
+    _deg.append(
+        f"SELECT record_id, y, i, t, '{_v}' AS view, rate, {_cols} FROM (SELECT li.*, rate, "
+        f"{bucket(chr(39) + _v + chr(39), 'record_id', buckets=1000)} < rate * 1000 AS hit "
+        f"FROM li, (SELECT unnest([{', '.join(f'{r}::DOUBLE' for r in RATES)}]) AS rate) WHERE split = 'test')"
+    )
+_w_or = gr(LINE_VIEWS)
+ORACLE["degradation_curve"] = with_(
+    *LIT,
+    f"dg AS ({' UNION ALL '.join(_deg)})",
+    f"ds AS (SELECT b.*, {q_cols(LINE_VIEWS)}, {p_cols(LINE_VIEWS)} FROM dg b, par P)",
+    "dw AS (SELECT * FROM ds, wts, (SELECT theta_tick FROM th))",
+    f"dl AS (SELECT 'unweighted' AS variant, view, rate, y, theta_tick, {plain(LINE_VIEWS)} AS s FROM dw "
+    f"UNION ALL SELECT 'reliability', view, rate, y, theta_tick, {fused(LINE_VIEWS, _w_or)} FROM dw)",
+    f"dm AS ({metrics('dl', 'variant, view, rate')})",
+) + (
+    f"SELECT {metric_list('variant, view, rate')}, "
+    f"{R('first_value(auc) OVER (PARTITION BY variant, view ORDER BY rate) - auc')} AS auc_loss, "
+    f"{R('brier - first_value(brier) OVER (PARTITION BY variant, view ORDER BY rate)')} AS brier_rise FROM dm"
+)
+
+_cross = [
+    LI,
+    "tr AS (SELECT * FROM li WHERE split = 'train')",
+    f"par AS ({params(LINE_VIEWS, 'tr', 'dataset')})",
+    f"va AS (SELECT b.*, b.dataset AS fit_dataset, {p_cols(LINE_VIEWS)} FROM li b JOIN par P ON P.dataset = b.dataset WHERE split = 'validation')",
+    f"wts AS ({weights(LINE_VIEWS, 'va', 'fit_dataset')})",
+    f"vf AS (SELECT fit_dataset, y, {fused(LINE_VIEWS, _w_or)} AS s FROM va JOIN wts USING (fit_dataset))",
+    f"th AS ({theta('vf', 'fit_dataset')})",
+    f"te AS (SELECT b.*, P.dataset AS fit_dataset, {p_cols(LINE_VIEWS)} FROM li b JOIN par P ON P.dataset <> b.dataset WHERE split = 'test')",
+    f"tf AS (SELECT fit_dataset, dataset AS test_dataset, y, theta, theta_tick, {fused(LINE_VIEWS, _w_or)} AS s "
+    "FROM te JOIN wts USING (fit_dataset) JOIN th USING (fit_dataset))",
+    f"xm AS ({metrics('tf', 'fit_dataset, test_dataset, theta')})",
+]
+ORACLE["cross_dataset"] = with_(*_cross) + f"SELECT {metric_list('fit_dataset, test_dataset')}, {R('theta')} AS theta FROM xm"
+
+_cv_variants = lambda src, keep: variants(EVENT_VIEWS, src, keep, gr(EVENT_VIEWS))
+CV = [
+    EV,
+    f"fo AS ({_folds})",
+    "rw AS (SELECT ev.*, repeat, fold FROM ev JOIN fo USING (record_id))",
+    f"mo AS (SELECT unnest(range(0, {CV_FOLDS}))::INT AS model_fold)",
+    f"tr AS (SELECT rw.*, model_fold FROM rw, mo WHERE fold <> model_fold AND fold <> (model_fold + 1) % {CV_FOLDS})",
+    f"par AS ({params(EVENT_VIEWS, 'tr', 'repeat, model_fold')})",
+    f"va AS (SELECT b.*, P.model_fold, {p_cols(EVENT_VIEWS)} FROM rw b JOIN par P ON P.repeat = b.repeat AND b.fold = (P.model_fold + 1) % {CV_FOLDS})",
+    f"wts AS ({weights(EVENT_VIEWS, 'va', 'repeat, model_fold')})",
+    "vw AS (SELECT * FROM va JOIN wts USING (repeat, model_fold))",
+    f"vl AS ({_cv_variants('vw', 'y, repeat, model_fold')})",
+    f"th AS ({theta('vl', 'repeat, model_fold, variant')})",
+    f"te AS (SELECT b.*, P.model_fold, {p_cols(EVENT_VIEWS)} FROM rw b JOIN par P ON P.repeat = b.repeat AND b.fold = P.model_fold)",
+    "tw AS (SELECT * FROM te JOIN wts USING (repeat, model_fold))",
+    f"tl0 AS ({_cv_variants('tw', 'y, repeat, model_fold')})",
+    "tl AS (SELECT tl0.*, theta_tick FROM tl0 JOIN th USING (repeat, model_fold, variant))",
+    f"cm AS ({metrics('tl', 'repeat, model_fold, variant')})",
+    "sco AS ("
+    + " UNION ALL ".join(
+        f"SELECT variant AS model, repeat, model_fold AS fold, '{m}' AS metric, {R(m)} AS value FROM cm"
+        for m in ("accuracy", "auc", "brier", "f1")
+    )
+    + ")",
+]
+ORACLE["cv_scores"] = with_(*CV) + "SELECT model, repeat, fold, metric, value FROM sco"
+
+# ---- statistics -------------------------------------------------------------
+
+_summary = f"""
+sm AS (SELECT model, metric, n, mean, sd, median, mean - 1.959964::DOUBLE * sd / sqrt(n) AS ci_low, mean + 1.959964::DOUBLE * sd / sqrt(n) AS ci_high
+       FROM (SELECT model, metric, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS sd, quantile_cont(value, 0.5) AS median
+             FROM sco GROUP BY ALL))"""
+ORACLE["score_summary"] = with_(*CV, _summary) + "SELECT model, metric, n, " + ", ".join(
+    f"{R(c)} AS {c}" for c in ("mean", "sd", "median", "ci_low", "ci_high")
+) + " FROM sm"
+DIFF = [
+    *CV,
+    """df AS (SELECT metric, repeat, fold, a.value AS value_a, b.value AS value_b, a.value - b.value AS diff
+       FROM sco a JOIN sco b USING (metric, repeat, fold) WHERE a.model = 'reliability' AND b.model = 'unweighted')""",
+]
+ORACLE["paired_differences"] = with_(*DIFF) + (
+    f"SELECT metric, repeat, fold, {R('value_a')} AS value_a, {R('value_b')} AS value_b, {R('diff')} AS diff FROM df"
+)
+ORACLE["paired_t_test"] = with_(
+    *DIFF,
+    "pt AS (SELECT metric, count(diff) AS n, avg(diff) AS mean_diff, stddev_samp(diff) AS sd_diff FROM df GROUP BY metric)",
+    "pu AS (SELECT *, CASE WHEN sd_diff > 1e-12 THEN sd_diff END AS sd0 FROM pt)",
+) + (
+    f"SELECT metric, n, {R('mean_diff', 5)} AS mean_diff, {R('sd_diff', 5)} AS sd_diff, "
+    f"{R('mean_diff / (sd0 / sqrt(n))', 5)} AS t, {R('mean_diff / sd0', 5)} AS effect_size FROM pu"
+)
+ORACLE["signed_rank_test"] = with_(
+    *DIFF,
+    "nz AS (SELECT metric, round(diff, 9) AS d FROM df WHERE round(diff, 9) <> 0)",
+    """rk AS (SELECT metric, d, count(*) OVER (PARTITION BY metric, abs(d)) AS t,
+           rank() OVER (PARTITION BY metric ORDER BY abs(d)) + (count(*) OVER (PARTITION BY metric, abs(d)) - 1) / 2 AS r FROM nz)""",
+    """sr AS (SELECT metric, count(*) AS n, coalesce(sum(r) FILTER (WHERE d > 0), 0)::DOUBLE AS w_plus,
+           coalesce(sum(r) FILTER (WHERE d < 0), 0)::DOUBLE AS w_minus FROM rk GROUP BY metric)""",
+    """tg AS (SELECT metric, sum(t * t * t - t)::DOUBLE AS ties
+           FROM (SELECT metric, abs(d) AS a, count(*) AS t FROM nz GROUP BY ALL) GROUP BY metric)""",
+) + (
+    f"SELECT metric, n, {R('w_plus')} AS w_plus, {R('w_minus')} AS w_minus, {R('least(w_plus, w_minus)')} AS w, "
+    f"{R('(w_plus - n * (n + 1) / 4) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 0)')} AS z FROM sr JOIN tg USING (metric)"
+)
+ORACLE["permutation_test"] = with_(
+    *DIFF,
+    "ob AS (SELECT metric, count(diff) AS n, avg(diff) AS mean_diff FROM df GROUP BY metric)",
+    f"""pm AS (SELECT metric, b, avg(CASE WHEN ('0x' || substr(md5('42|' || b || '|' || repeat || '|' || fold), 1, 1))::INT < 8 THEN diff ELSE -diff END) AS m
+           FROM df, (SELECT unnest(range(1, {PERMUTATIONS + 1})) AS b) GROUP BY ALL)""",
+    """ex AS (SELECT metric, n, mean_diff, count(*) FILTER (WHERE round(abs(m), 9) >= round(abs(mean_diff), 9)) AS extreme
+           FROM pm JOIN ob USING (metric) GROUP BY ALL)""",
+) + f"SELECT metric, n, {R('mean_diff')} AS mean_diff, extreme, {R(f'(extreme + 1) / {PERMUTATIONS + 1}.0::DOUBLE')} AS p FROM ex"
+
+LOG = """
+lg AS (SELECT event_type AS stage, regexp_extract(props, '"k": *(-?[0-9]+)', 1)::BIGINT AS rows, value AS seconds FROM events)"""
+ORACLE["efficiency_table"] = with_(LOG) + f"""
+SELECT stage, count(*) AS runs, sum(rows)::BIGINT AS total_rows, {R('sum(seconds)', 4)} AS total_seconds,
+       {R('quantile_cont(seconds, 0.5)', 4)} AS median_seconds, {R('quantile_cont(seconds, 0.95)', 4)} AS p95_seconds,
+       {R('sum(rows)::DOUBLE / nullif(sum(seconds), 0)', 4)} AS rows_per_second FROM lg GROUP BY stage"""
+ORACLE["scalability_table"] = with_(
+    LOG, "sz AS (SELECT stage, rows, count(*) AS runs, avg(seconds) AS mean_seconds FROM lg GROUP BY ALL)"
+) + f"""
+SELECT stage, rows, runs, {R('mean_seconds', 9)} AS mean_seconds, {R('rows / nullif(mean_seconds, 0)', 9)} AS rows_per_second,
+       {R('rows::DOUBLE / nullif(lag(rows) OVER w, 0)', 9)} AS size_ratio,
+       {R('mean_seconds / nullif(lag(mean_seconds) OVER w, 0)', 9)} AS time_ratio
+FROM sz WINDOW w AS (PARTITION BY stage ORDER BY rows)"""
+
+# ---- consolidation ----------------------------------------------------------
+
+
+def results_of(sql: str, experiment: int, output: str, dataset: str, subject: str, names: list[str]) -> str:
+    body = " UNION ALL ".join(
+        f"""SELECT {dataset} AS dataset, {subject} AS subject, '{m}' AS metric, "{m}"::DOUBLE AS value FROM ({sql})"""
+        for m in names
+    )
+    return (
+        f"SELECT '{experiment}/{output}/' || dataset || '/' || subject || '/' || metric AS result_id, "
+        f"{experiment} AS experiment, '{output}' AS output, dataset, subject, metric, value FROM ({body})"
+    )
+
+
+_M = ["accuracy", "auc", "brier", "f1"]
+RESULTS = " UNION ALL ".join(
+    [
+        results_of(ORACLE["dataset_assessment"], 1, "dataset_assessment", "dataset", '"column"', ["rows", "nulls", "distinct"]),
+        results_of(ORACLE["view_validation"], 3, "view_validation", "'lines'", "variant", _M),
+        results_of(ORACLE["component_ablation"], 4, "clean_ablation", "'lines'", "variant", _M),
+        results_of(ORACLE["cross_dataset"], 5, "cross_dataset_results", "test_dataset", "'fit:' || fit_dataset", _M),
+        results_of(ORACLE["score_summary"], 7, "cv_scores", "'events'", "model || ':' || metric", ["mean", "sd"]),
+    ]
+)
+ORACLE["consolidated_results"] = (
+    f"SELECT result_id, experiment, output, dataset, subject, metric, {R('value')} AS value FROM ({RESULTS})"
+)
+_ids = sorted({e for e, _, _ in EXPERIMENTS})
+ORACLE["claims_to_evidence"] = with_(
+    f"res AS ({RESULTS})",
+    f"cl AS (SELECT * FROM {values(CLAIMS, ['claim_id', 'text', 'output', 'metric'])})",
+    "ev AS (SELECT claim_id, experiment, count(*) AS n FROM cl JOIN res USING (output, metric) GROUP BY ALL)",
+) + "SELECT cl.claim_id AS claim_id, text, " + ", ".join(
+    f"(max(n) FILTER (WHERE experiment = {e}))::DOUBLE AS experiment_{e}" for e in _ids
+) + " FROM cl LEFT JOIN ev ON cl.claim_id = ev.claim_id GROUP BY cl.claim_id, text"
+ORACLE["output_index"] = with_(
+    f"res AS ({RESULTS})", f"reg AS (SELECT * FROM {values(EXPERIMENTS, ['experiment', 'title', 'output'])})"
+) + """
+SELECT reg.experiment AS experiment, reg.output AS output, title, count(res.result_id) AS n_results,
+       'results/' || lpad(reg.experiment::VARCHAR, 2, '0') || '/' || reg.output AS location,
+       count(res.result_id) = 0 AS missing
+FROM reg LEFT JOIN res ON reg.experiment = res.experiment AND reg.output = res.output
+GROUP BY reg.experiment, reg.output, title"""
+ORACLE["result_lineage"] = with_(
+    f"res AS ({ORACLE['consolidated_results']})",
+    LI,
+    "pr AS (SELECT dataset, count(*) AS prepared_rows, count(*) FILTER (WHERE split = 'test') AS artifact_rows FROM li GROUP BY dataset)",
+    "src AS (SELECT l_linestatus AS dataset, count(*) AS source_rows FROM lineitem GROUP BY ALL)",
+) + """
+SELECT result_id, res.dataset AS dataset, value, 'cross_dataset_results/' || res.dataset AS artifact_id,
+       'cross_dataset/' || res.dataset AS code_id, 'lines/' || res.dataset AS preparation_id, artifact_rows, prepared_rows, source_rows
+FROM res LEFT JOIN pr ON res.dataset = pr.dataset LEFT JOIN src ON res.dataset = src.dataset WHERE experiment = 5"""
+ORACLE["publication_table"] = with_(f"res AS ({ORACLE['consolidated_results']})") + "SELECT dataset, subject, " + ", ".join(
+    f"max(value) FILTER (WHERE metric = '{m}') AS {m}" for m in _M
+) + " FROM res WHERE output = 'clean_ablation' GROUP BY dataset, subject"

@@ -15,12 +15,13 @@ def read_flows(
     schema: T.StructType,
     mapping: dict[str, str] | None = None,
     header: bool = True,
-    recursive: bool = False,
+    escape: str = '"',
 ) -> DataFrame:
     """CSV with a declared schema; no inference pass.
 
     ``mapping`` renames file columns. Lines that do not fit the schema keep their
-    text in ``_corrupt_record`` and their good cells. ``file`` is the source path.
+    text in ``_corrupt_record`` and their good cells. A quote inside a quoted cell
+    is doubled unless ``escape`` says otherwise. ``file`` is the source path.
     """
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     df = (
@@ -30,7 +31,7 @@ def read_flows(
             mode="PERMISSIVE",
             columnNameOfCorruptRecord=CORRUPT,
             enforceSchema=True,
-            recursiveFileLookup=recursive,
+            escape=escape,
         )
         .csv(path)
     )
