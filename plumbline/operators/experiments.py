@@ -197,7 +197,8 @@ def cross_dataset(
     """Fit everything on one dataset, score the test rows of every other one.
 
     ``df`` has dataset, split, y, i, t and the features. The fitted tables have
-    one row per declared dataset and are staged, so each is computed once.
+    one row per dataset and are staged: each is computed once, and the planner
+    broadcasts them by their size on disk.
     """
     fit = fit_view_params(df.where(F.col("split") == "train"), spec, by=["dataset"])
     params = stage(fit, "cross_params").select(
@@ -206,7 +207,7 @@ def cross_dataset(
     keys = ["fit_dataset"]
 
     def scored(rows: DataFrame) -> DataFrame:
-        side = F.broadcast(params.withColumnRenamed("dataset", "fit_dataset"))
+        side = params.withColumnRenamed("dataset", "fit_dataset")
         return with_quality(with_scores(rows.join(side, keys), spec), spec)
 
     val = scored(
@@ -214,11 +215,11 @@ def cross_dataset(
     )
     weights = stage(fit_view_weights(val, spec, by=keys), "cross_weights")
     weight = evidence_weights(spec, weight_columns(spec), alpha)
-    fuse = lambda rows: rows.join(F.broadcast(weights), keys).withColumn("s", fused(spec, weight))
+    fuse = lambda rows: rows.join(weights, keys).withColumn("s", fused(spec, weight))
     theta = stage(fit_threshold(fuse(val), by=keys), "cross_theta")
     others = F.explode(F.array_except(F.array(*[F.lit(d) for d in datasets]), F.array("dataset")))
     test = df.where(F.col("split") == "test").withColumn("fit_dataset", others)
-    final = fuse(scored(test)).join(F.broadcast(theta), keys)
+    final = fuse(scored(test)).join(theta, keys)
     return metrics(
         final.withColumnRenamed("dataset", "test_dataset"), ["fit_dataset", "test_dataset", "theta"]
     )
@@ -237,9 +238,13 @@ def cv_scores(
     Model f is tested on fold f, takes weights and thresholds from the next fold
     and is trained on the rest, so no number it uses has seen its test rows. Per
     fold class statistics are computed once and merged into the k models; rows
-    are never copied per model. Fitted tables have at most repeats * k rows.
+    are never copied per model. A record is stored once with its fold of every
+    repeat and is spread over the repeats while it is read. Fitted tables have
+    repeats * k rows and are staged, so the planner broadcasts them by size.
     """
-    rows = stage(df.join(folds.select(key, "repeat", "fold"), key), "cv_rows")
+    assigned = folds.groupBy(key).agg(F.collect_list(F.struct("repeat", "fold")).alias("_in"))
+    records = stage(df.join(assigned, key), "cv_records")
+    rows = records.select(*[c for c in df.columns], F.inline("_in"))
     fold = F.col("fold")
     trains = F.filter(
         F.sequence(F.lit(0), F.lit(k - 1)), lambda f: (f != fold) & (F.pmod(f + 1, F.lit(k)) != fold)
@@ -253,19 +258,18 @@ def cv_scores(
 
     def scored(model: Column) -> DataFrame:
         cast = rows.withColumn("model_fold", model.cast("int"))
-        return with_quality(with_scores(cast.join(F.broadcast(params), keys), spec), spec)
+        return with_quality(with_scores(cast.join(params, keys), spec), spec)
 
     val = scored(F.pmod(fold + F.lit(k - 1), F.lit(k)))
     weights = stage(fit_view_weights(val, spec, by=keys), "cv_weights")
     weight = evidence_weights(spec, weight_columns(spec), alpha)
     long = lambda part: score_variants(
-        part.join(F.broadcast(weights), keys), standard_variants(spec, weight), ["y", *keys]
+        part.join(weights, keys), standard_variants(spec, weight), ["y", *keys]
     )
-    # One row per declared variant, repeat and fold.
     theta = stage(fit_threshold(long(val), by=[*keys, "variant"]), "cv_theta").select(
         *keys, "variant", "theta_tick"
     )
-    test = long(scored(fold)).join(F.broadcast(theta), [*keys, "variant"])
+    test = long(scored(fold)).join(theta, [*keys, "variant"])
     per_model = metrics(test, ["repeat", "model_fold", "variant"])
     named = F.array(
         *[

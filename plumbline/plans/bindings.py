@@ -44,7 +44,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def once(
+    spark: SparkSession,
+    sf_dir: str,
+    name: str,
+    build: Callable[[], DataFrame],
+    partition_by: tuple[str, ...] = (),
+) -> DataFrame:
     """Stage a prepared table the first time a session asks for it.
 
     The preparation stage leaves its records as files that every later stage
@@ -52,10 +58,14 @@ def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFr
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _staged:
-        _staged[key] = stage(build(), name)
+        _staged[key] = stage(build(), name, partition_by)
     return _staged[key]
 
 
+def forget_staged() -> None:
+    _staged.clear()
+
+
 def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as records: entity is the user, class 1 is an error."""
     e = load(spark, sf_dir, "events")
@@ -79,7 +89,10 @@ def event_evidence_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, sf_dir, "event_evidence", lambda: event_evidence_plan(spark, sf_dir))
+    """Staged by split, so that a fit reads only the directories it may use."""
+    return once(
+        spark, sf_dir, "event_evidence", lambda: event_evidence_plan(spark, sf_dir), ("split",)
+    )
 
 
 def split_rows(df: DataFrame, split: str) -> DataFrame:
@@ -170,7 +183,7 @@ def line_evidence_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, sf_dir, "line_evidence", lambda: line_evidence_plan(spark, sf_dir))
+    return once(spark, sf_dir, "line_evidence", lambda: line_evidence_plan(spark, sf_dir), ("split",))
 
 
 def line_params(spark: SparkSession, sf_dir: str) -> DataFrame:
