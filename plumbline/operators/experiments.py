@@ -14,16 +14,11 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import hash_bucket, total
 from plumbline.operators.evaluate import fit_threshold, metrics
-from plumbline.operators.fusion import (
-    evidence_weights,
-    fit_view_weights,
-    fused,
-    unweighted,
-    weight_columns,
-)
+from plumbline.operators.fusion import fit_view_weights, fuse, fused, unweighted, weight_columns
 from plumbline.operators.scoring import (
     fit_view_params,
     merge_fold_params,
+    score_constants,
     with_scores,
 )
 from plumbline.operators.views import with_quality
@@ -39,18 +34,18 @@ def score_variants(df: DataFrame, variants: Mapping[str, Column], keep: list[str
     return df.select(*keep, F.inline(rows))
 
 
-def standard_variants(spec: ViewSpec, weight: dict[str, Column]) -> dict[str, Column]:
-    """Every single view, the plain mean, and the reliability-weighted fusion."""
+def standard_variants(spec: ViewSpec) -> dict[str, Column]:
+    """Every single view, the plain mean, and the fused score ``s``."""
     return {
         **{f"view:{v}": F.col(f"p_{v}") for v in spec.names},
         "unweighted": unweighted(spec),
-        "reliability": fused(spec, weight),
+        "reliability": F.col("s"),
     }
 
 
-def validate_views(val: DataFrame, test: DataFrame, spec: ViewSpec, weight: dict[str, Column]) -> DataFrame:
+def validate_views(val: DataFrame, test: DataFrame, spec: ViewSpec) -> DataFrame:
     """All variants side by side; each threshold comes from validation rows."""
-    long = lambda df: score_variants(df, standard_variants(spec, weight), ["y"])
+    long = lambda df: score_variants(df, standard_variants(spec), ["y"])
     theta = fit_threshold(long(val), by=["variant"])
     # One row per declared variant: a fixed, small number.
     scored = long(test).join(F.broadcast(theta.select("variant", "theta", "theta_tick")), "variant")
@@ -84,19 +79,18 @@ def ablation_scores(
         ]
     )
     flag = lambda n: F.col(f"_w.{n}")
-    a = {k: flag(f"f_{k}") * c for k, c in zip("iqt", alpha)}
-    base = total(list(a.values()))
+    on = {f"_{k}": flag(f"f_{k}") * c for k, c in zip("iqt", alpha)}
+    df = df.withColumn("_w", F.explode(rows)).withColumns(on)
+    df = df.withColumn("_base", F.nullif(total([F.col(c) for c in on]), F.lit(0.0)))
     weight = {}
     for v in spec.names:
-        mix = a["i"] * F.col("i") + a["q"] * F.col(f"q_{v}") + a["t"] * F.col("t")
-        r = F.when(base > 0, F.try_divide(mix, base)).otherwise(F.lit(1.0))
+        mix = F.col("_i") * F.col("i") + F.col("_q") * F.col(f"q_{v}") + F.col("_t") * F.col("t")
+        r = F.coalesce(mix / F.col("_base"), F.lit(1.0))
         glob = F.when(flag("f_g") > 0, g[v]).otherwise(F.lit(1.0))
-        weight[v] = F.when(flag("without") == v, F.lit(0.0)).otherwise(glob * r)
-    return (
-        df.withColumn("_w", F.explode(rows))
-        .withColumn("s", fused(spec, weight))
-        .select(*keep, F.col("_w.variant").alias("variant"), "s")
-    )
+        used = F.when(flag("without") == v, F.lit(0.0)).otherwise(glob * r)
+        weight[f"w_{v}"] = F.when(F.col(f"p_{v}").isNotNull(), used)
+    scored = df.withColumns(weight).withColumn("s", fused(spec))
+    return scored.select(*keep, F.col("_w.variant").alias("variant"), "s")
 
 
 def ablate(
@@ -150,8 +144,9 @@ def degradation_curve(
     test: DataFrame,
     spec: ViewSpec,
     g: dict[str, Column],
+    alpha: tuple[object, object, object],
     seed: object,
-    params: str = "_P",
+    constants: str = "_P",
     theta_tick: str = "theta_tick",
     rates: tuple[float, ...] = RATES,
 ) -> DataFrame:
@@ -166,9 +161,9 @@ def degradation_curve(
     hit = degrade(
         test.withColumn("_d", F.explode(scenarios)), spec, F.col("_d.view"), F.col("_d.rate"), seed
     )
-    scored = with_quality(with_scores(hit, spec, params), spec)
-    weight = evidence_weights(spec, g, (F.lit(0.4), F.lit(0.3), F.lit(0.3)))
-    variants = {"unweighted": unweighted(spec), "reliability": fused(spec, weight)}
+    scored = with_quality(with_scores(hit, spec, constants), spec)
+    scored = fuse(scored, spec, g, alpha)
+    variants = {"unweighted": unweighted(spec), "reliability": F.col("s")}
     long = score_variants(
         scored.withColumns({"view": F.col("_d.view"), "rate": F.col("_d.rate")}),
         variants,
@@ -201,8 +196,9 @@ def cross_dataset(
     broadcasts them by their size on disk.
     """
     fit = fit_view_params(df.where(F.col("split") == "train"), spec, by=["dataset"])
-    params = stage(fit, "cross_params").select(
-        "dataset", F.struct(*[c for c in fit.columns if c != "dataset"]).alias("_P")
+    constants = stage(score_constants(fit, spec, ["dataset"]), "cross_constants")
+    params = constants.select(
+        "dataset", F.struct(*[c for c in constants.columns if c != "dataset"]).alias("_P")
     )
     keys = ["fit_dataset"]
 
@@ -214,12 +210,11 @@ def cross_dataset(
         df.where(F.col("split") == "validation").withColumn("fit_dataset", F.col("dataset"))
     )
     weights = stage(fit_view_weights(val, spec, by=keys), "cross_weights")
-    weight = evidence_weights(spec, weight_columns(spec), alpha)
-    fuse = lambda rows: rows.join(weights, keys).withColumn("s", fused(spec, weight))
-    theta = stage(fit_threshold(fuse(val), by=keys), "cross_theta")
+    weighed = lambda rows: fuse(rows.join(weights, keys), spec, weight_columns(spec), alpha)
+    theta = stage(fit_threshold(weighed(val), by=keys), "cross_theta")
     others = F.explode(F.array_except(F.array(*[F.lit(d) for d in datasets]), F.array("dataset")))
     test = df.where(F.col("split") == "test").withColumn("fit_dataset", others)
-    final = fuse(scored(test)).join(theta, keys)
+    final = weighed(scored(test)).join(theta, keys)
     return metrics(
         final.withColumnRenamed("dataset", "test_dataset"), ["fit_dataset", "test_dataset", "theta"]
     )
@@ -252,8 +247,9 @@ def cv_scores(
     per_fold = fit_view_params(rows, spec, by=["repeat", "fold"])
     models = merge_fold_params(per_fold, spec, ["repeat"], "fold", trains, "model_fold")
     keys = ["repeat", "model_fold"]
-    params = stage(models, "cv_params").select(
-        *keys, F.struct(*[c for c in models.columns if c not in keys]).alias("_P")
+    constants = stage(score_constants(models, spec, keys), "cv_constants")
+    params = constants.select(
+        *keys, F.struct(*[c for c in constants.columns if c not in keys]).alias("_P")
     )
 
     def scored(model: Column) -> DataFrame:
@@ -262,9 +258,10 @@ def cv_scores(
 
     val = scored(F.pmod(fold + F.lit(k - 1), F.lit(k)))
     weights = stage(fit_view_weights(val, spec, by=keys), "cv_weights")
-    weight = evidence_weights(spec, weight_columns(spec), alpha)
     long = lambda part: score_variants(
-        part.join(weights, keys), standard_variants(spec, weight), ["y", *keys]
+        fuse(part.join(weights, keys), spec, weight_columns(spec), alpha),
+        standard_variants(spec),
+        ["y", *keys],
     )
     theta = stage(fit_threshold(long(val), by=[*keys, "variant"]), "cv_theta").select(
         *keys, "variant", "theta_tick"

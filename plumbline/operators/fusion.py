@@ -38,34 +38,53 @@ def weight_columns(spec: ViewSpec, prefix: str = "") -> dict[str, Column]:
     return {v: F.col(f"{dot}g_{v}") for v in spec.names}
 
 
-def fused(spec: ViewSpec, weight: dict[str, Column]) -> Column:
-    """Weighted mean of the views that have a score; null when none has."""
-    up = total([F.coalesce(weight[v] * F.col(f"p_{v}"), F.lit(0.0)) for v in spec.names])
-    down = total(
-        [F.when(F.col(f"p_{v}").isNotNull(), weight[v]).otherwise(F.lit(0.0)) for v in spec.names]
-    )
-    return F.try_divide(up, down)
+def evidence_weights(
+    spec: ViewSpec, g: dict[str, Column], alpha: tuple[object, object, object]
+) -> dict[str, Column]:
+    """``w_<view>``: global weight times record reliability; null without a score."""
+    r = reliability(spec, alpha)
+    return {
+        f"w_{v}": F.when(F.col(f"p_{v}").isNotNull(), g[v] * r[f"r_{v}"]) for v in spec.names
+    }
+
+
+def weight_total(spec: ViewSpec) -> Column:
+    return total([F.coalesce(f"w_{v}", F.lit(0.0)) for v in spec.names])
+
+
+def weighted_scores(spec: ViewSpec) -> Column:
+    return total([F.coalesce(F.col(f"w_{v}") * F.col(f"p_{v}"), F.lit(0.0)) for v in spec.names])
+
+
+def fused(spec: ViewSpec) -> Column:
+    """mean of the view scores weighted by ``w_<view>``; null when none has a score.
+
+    The weights are columns of their own: inlining them wherever they are used
+    would grow the generated code past what the JVM compiles.
+    """
+    return F.try_divide(weighted_scores(spec), weight_total(spec))
 
 
 def unweighted(spec: ViewSpec) -> Column:
     """plain mean of the views that have a score."""
-    return fused(spec, {v: F.lit(1.0) for v in spec.names})
+    up = total([F.coalesce(f"p_{v}", F.lit(0.0)) for v in spec.names])
+    down = total([F.col(f"p_{v}").isNotNull().cast("int") for v in spec.names])
+    return F.try_divide(up, down.cast("double"))
 
 
-def evidence_weights(
-    spec: ViewSpec, g: dict[str, Column], alpha: tuple[object, object, object] | None = None
-) -> dict[str, Column]:
-    """Global weight times record reliability, per view (``r_<view>`` unless alpha is given)."""
-    r = reliability(spec, alpha) if alpha else {f"r_{v}": F.col(f"r_{v}") for v in spec.names}
-    return {v: g[v] * r[f"r_{v}"] for v in spec.names}
+def fuse(df: DataFrame, spec: ViewSpec, g: dict[str, Column], alpha: tuple[object, object, object]) -> DataFrame:
+    """Adds ``w_<view>`` and the fused score ``s``."""
+    return df.withColumns(evidence_weights(spec, g, alpha)).withColumn("s", fused(spec))
 
 
 def fit_alpha(val: DataFrame, spec: ViewSpec, grid: list[dict[str, float]], g_prefix: str = "_G") -> DataFrame:
     """Reliability coefficients with the lowest Brier score of the fused validation score."""
 
-    def loss(c: str) -> Column:
-        alpha = tuple(F.col(f"{c}.{n}") for n in ("a_i", "a_q", "a_t"))
-        s = fused(spec, evidence_weights(spec, weight_columns(spec, g_prefix), alpha))
-        return (s - F.col("y")) * (s - F.col("y"))
+    def with_loss(df: DataFrame) -> DataFrame:
+        alpha = tuple(F.col(f"_cand.{n}") for n in ("a_i", "a_q", "a_t"))
+        df = fuse(df, spec, weight_columns(spec, g_prefix), alpha)
+        return df.withColumn("_miss", F.col("s") - F.col("y")).withColumn(
+            "_loss", F.col("_miss") * F.col("_miss")
+        )
 
-    return select_params(val, grid, loss)
+    return select_params(val, grid, with_loss)

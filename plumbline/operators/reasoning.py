@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import ticks, total
+from plumbline.operators.fusion import weight_total, weighted_scores
 from plumbline.operators.reliability import select_params
 from plumbline.spec import ViewSpec
 
@@ -15,54 +16,39 @@ BETA = (0.4, 0.3, 0.3)
 CONTESTED_SHARE = 0.3
 
 
-def _sum_where(spec: ViewSpec, cond: dict[str, Column], weight: dict[str, Column]) -> Column:
-    return total(
-        [F.when(cond[v], weight[v]).otherwise(F.lit(0.0)) for v in spec.names]
-    )
-
-
 def reason(
     df: DataFrame,
     spec: ViewSpec,
-    weight: dict[str, Column],
     theta_tick: Column,
     score: str = "s",
     contested_share: float = CONTESTED_SHARE,
 ) -> DataFrame:
-    """Adds ``contributions``, ``supporting``, ``contradicting`` and ``verdict``."""
-    scored = {v: F.col(f"p_{v}").isNotNull() for v in spec.names}
-    up = {v: scored[v] & (ticks(f"p_{v}") >= theta_tick) for v in spec.names}
-    down = {v: scored[v] & (ticks(f"p_{v}") < theta_tick) for v in spec.names}
+    """Adds ``contributions``, ``supporting``, ``contradicting`` and ``verdict``.
+
+    Reads ``p_<view>``, ``w_<view>``, ``i`` and the fused score. Intermediate
+    values are columns, so that each is computed once per row.
+    """
     df = df.withColumns(
         {
-            "_all": _sum_where(spec, scored, weight),
-            "_for": _sum_where(spec, up, weight),
-            "_against": _sum_where(spec, down, weight),
-            "_mass": total(
-                [F.coalesce(weight[v] * F.col(f"p_{v}"), F.lit(0.0)) for v in spec.names]
-            ),
+            "_all": weight_total(spec),
+            "_mass": weighted_scores(spec),
+            **{f"_up_{v}": ticks(f"p_{v}") >= theta_tick for v in spec.names},
         }
     )
+    side = lambda flag: total(
+        [F.when(F.col(f"_up_{v}") == flag, F.col(f"w_{v}")).otherwise(F.lit(0.0)) for v in spec.names]
+    )
     shares = {
-        f"share_{v}": F.when(
-            scored[v], F.try_divide(weight[v] * F.col(f"p_{v}"), F.col("_mass"))
-        )
+        f"share_{v}": F.try_divide(F.col(f"w_{v}") * F.col(f"p_{v}"), F.col("_mass"))
         for v in spec.names
     }
-    df = df.withColumns(shares)
+    df = df.withColumns({"_for": side(True), "_against": side(False), **shares})
+    contribution = lambda v: F.when(
+        F.col(f"share_{v}").isNotNull(),
+        F.struct(F.col(f"share_{v}").alias("share"), F.lit(v).alias("view")),
+    )
     contributions = F.sort_array(
-        F.array_compact(
-            F.array(
-                *[
-                    F.when(
-                        F.col(f"share_{v}").isNotNull(),
-                        F.struct(F.col(f"share_{v}").alias("share"), F.lit(v).alias("view")),
-                    )
-                    for v in spec.names
-                ]
-            )
-        ),
-        asc=False,
+        F.array_compact(F.array(*[contribution(v) for v in spec.names])), asc=False
     )
     least = F.lit(contested_share) * F.col("_all")
     verdict = (
@@ -71,44 +57,43 @@ def reason(
         .when(ticks(score) >= theta_tick, F.lit("attack"))
         .otherwise(F.lit("benign"))
     )
-    names = lambda cond: F.array_compact(F.array(*[F.when(cond[v], F.lit(v)) for v in spec.names]))
+    names = lambda flag: F.array_compact(
+        F.array(*[F.when(F.col(f"_up_{v}") == flag, F.lit(v)) for v in spec.names])
+    )
     return df.withColumns(
         {
             "contributions": contributions,
-            "supporting": names(up),
-            "contradicting": names(down),
+            "supporting": names(True),
+            "contradicting": names(False),
             "verdict": verdict,
         }
-    ).drop("_all", "_for", "_against", "_mass")
+    ).drop("_all", "_for", "_against", "_mass", *[f"_up_{v}" for v in spec.names])
 
 
 def confidence_parts(
-    df: DataFrame,
-    spec: ViewSpec,
-    weight: dict[str, Column],
-    g: dict[str, Column],
-    theta: Column,
-    score: str = "s",
+    df: DataFrame, spec: ViewSpec, g: dict[str, Column], theta: Column, score: str = "s"
 ) -> DataFrame:
     """Adds reliability ``c_r``, agreement ``c_a`` and margin ``c_m``, each in [0, 1]."""
-    scored = {v: F.col(f"p_{v}").isNotNull() for v in spec.names}
-    mass = _sum_where(spec, scored, weight)
-    spread = total(
-        [
-            F.coalesce(
-                weight[v] * (F.col(f"p_{v}") - F.col(score)) * (F.col(f"p_{v}") - F.col(score)),
-                F.lit(0.0),
-            )
-            for v in spec.names
-        ]
+    df = df.withColumns(
+        {
+            "_all": weight_total(spec),
+            "_g_all": total(
+                [F.when(F.col(f"p_{v}").isNotNull(), g[v]).otherwise(F.lit(0.0)) for v in spec.names]
+            ),
+            **{f"_off_{v}": F.col(f"p_{v}") - F.col(score) for v in spec.names},
+        }
     )
+    squares = [
+        F.coalesce(F.col(f"w_{v}") * F.col(f"_off_{v}") * F.col(f"_off_{v}"), F.lit(0.0))
+        for v in spec.names
+    ]
     return df.withColumns(
         {
-            "c_r": F.try_divide(mass, _sum_where(spec, scored, g)),
-            "c_a": F.lit(1.0) - F.lit(2.0) * F.sqrt(F.try_divide(spread, mass)),
+            "c_r": F.try_divide(F.col("_all"), F.col("_g_all")),
+            "c_a": F.lit(1.0) - F.lit(2.0) * F.sqrt(F.try_divide(total(squares), F.col("_all"))),
             "c_m": F.abs(F.col(score) - theta) / F.greatest(theta, F.lit(1.0) - theta),
         }
-    )
+    ).drop("_all", "_g_all", *[f"_off_{v}" for v in spec.names])
 
 
 def confidence(beta: tuple[object, object, object] = BETA) -> Column:
@@ -126,8 +111,10 @@ def verdict_correct(y: str = "y") -> Column:
 def fit_beta(val: DataFrame, grid: list[dict[str, float]]) -> DataFrame:
     """Confidence coefficients with the lowest Brier score of "the verdict is correct"."""
 
-    def loss(c: str) -> Column:
-        miss = confidence(tuple(F.col(f"{c}.{n}") for n in ("b_r", "b_a", "b_m"))) - verdict_correct()
-        return miss * miss
+    def with_loss(df: DataFrame) -> DataFrame:
+        beta = tuple(F.col(f"_cand.{n}") for n in ("b_r", "b_a", "b_m"))
+        return df.withColumn("_miss", confidence(beta) - verdict_correct()).withColumn(
+            "_loss", F.col("_miss") * F.col("_miss")
+        )
 
-    return select_params(val, grid, loss)
+    return select_params(val, grid, with_loss)

@@ -35,11 +35,12 @@ def simplex_grid(names: tuple[str, ...], steps: int = 5) -> list[dict[str, float
 
 
 def select_params(
-    val: DataFrame, grid: list[dict[str, float]], loss: Callable[[str], Column]
+    val: DataFrame, grid: list[dict[str, float]], with_loss: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
     """The grid point with the lowest mean loss on validation rows, as one row.
 
-    ``loss(prefix)`` builds the row loss from candidate fields ``<prefix>.<name>``.
+    ``with_loss`` adds ``_loss`` to rows that carry a candidate's fields as
+    ``_cand.<name>``.
     The grid is a literal exploded inside the scan stage, so one pass evaluates
     every candidate and the shuffle carries one row per task and candidate. Ties
     on the loss, rounded to nine digits, go to the earlier grid point.
@@ -53,8 +54,7 @@ def select_params(
         ]
     )
     means = (
-        val.withColumn("_cand", F.explode(candidates))
-        .withColumn("_loss", loss("_cand"))
+        with_loss(val.withColumn("_cand", F.explode(candidates)))
         .groupBy("_cand")
         .agg(F.avg("_loss").alias("loss"))
     )

@@ -103,26 +103,46 @@ def merge_fold_params(
     return expanded.groupBy(*keys).agg(*aggs)
 
 
-def view_score(spec: ViewSpec, view: str, params: str = "_P") -> Column:
+def score_constants(params: DataFrame, spec: ViewSpec, by: list[str] = ()) -> DataFrame:
+    """What a row needs from the fitted parameters, derived once per parameter row.
+
+    Logarithms and divisions leave the per-row expression, which also keeps the
+    generated code small enough to be compiled natively. A feature that a class
+    never showed gets zero terms.
+    """
+    out = [F.ln(F.col("n1") / F.nullif(F.col("n0"), F.lit(0))).alias("prior")]
+    for f in spec.features:
+        m0, m1, v0, v1 = (F.col(f"{f}__{k}") for k in ("m0", "m1", "v0", "v1"))
+        known = m0.isNotNull() & m1.isNotNull()
+        terms = {
+            "c": F.lit(0.5) * F.ln(v0 / v1),
+            "m0": m0,
+            "m1": m1,
+            "h0": F.lit(0.5) / v0,
+            "h1": F.lit(0.5) / v1,
+        }
+        out += [F.when(known, t).otherwise(F.lit(0.0)).alias(f"{f}__{k}") for k, t in terms.items()]
+    return params.select(*by, *out)
+
+
+def view_score(spec: ViewSpec, view: str, constants: str = "_P") -> Column:
     """Probability of class 1 from the view's valid features; null if none is valid."""
     terms = []
     for f in spec.views[view]:
         x = F.col(f)
-        m0, m1, v0, v1 = (F.col(f"{params}.{f}__{k}") for k in ("m0", "m1", "v0", "v1"))
-        term = F.lit(0.5) * F.ln(v0 / v1) - (x - m1) * (x - m1) / (2 * v1) + (x - m0) * (x - m0) / (2 * v0)
-        terms.append(F.coalesce(term, F.lit(0.0)))
-    prior = F.ln(F.col(f"{params}.n1") / F.nullif(F.col(f"{params}.n0"), F.lit(0)))
+        c, m0, m1, h0, h1 = (F.col(f"{constants}.{f}__{k}") for k in ("c", "m0", "m1", "h0", "h1"))
+        terms.append(F.coalesce(c + (x - m0) * (x - m0) * h0 - (x - m1) * (x - m1) * h1, F.lit(0.0)))
     seen = F.coalesce(*[F.col(f) for f in spec.views[view]]).isNotNull()
-    return F.when(seen, logistic(prior + total(terms)))
+    return F.when(seen, logistic(F.col(f"{constants}.prior") + total(terms)))
 
 
-def with_scores(df: DataFrame, spec: ViewSpec, params: str = "_P") -> DataFrame:
-    return df.withColumns({f"p_{v}": view_score(spec, v, params) for v in spec.names})
+def with_scores(df: DataFrame, spec: ViewSpec, constants: str = "_P") -> DataFrame:
+    return df.withColumns({f"p_{v}": view_score(spec, v, constants) for v in spec.names})
 
 
 def score_views(df: DataFrame, spec: ViewSpec, params: DataFrame) -> DataFrame:
     """Adds ``p_<view>`` from a one-row parameter table."""
-    return with_scores(with_scalar(df, params, "_P"), spec).drop("_P")
+    return with_scores(with_scalar(df, score_constants(params, spec), "_P"), spec).drop("_P")
 
 
 def fit_class_params(train: DataFrame, features: list[str], classes: list[str], cls: str) -> DataFrame:

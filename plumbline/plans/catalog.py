@@ -45,13 +45,9 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def fused_events(evidence: DataFrame, params: DataFrame, weights: DataFrame) -> DataFrame:
-    scored = scoring.score_views(evidence, EVENT_VIEWS, params).withColumns(
-        reliability(EVENT_VIEWS, ALPHA)
-    )
-    weight = fusion.evidence_weights(EVENT_VIEWS, fusion.weight_columns(EVENT_VIEWS, "_G"))
-    return with_scalar(scored, weights, "_G").withColumns(
-        {"s": fusion.fused(EVENT_VIEWS, weight), "s_unweighted": fusion.unweighted(EVENT_VIEWS)}
-    )
+    scored = with_scalar(scoring.score_views(evidence, EVENT_VIEWS, params), weights, "_G")
+    out = fusion.fuse(scored, EVENT_VIEWS, fusion.weight_columns(EVENT_VIEWS, "_G"), ALPHA)
+    return out.withColumn("s_unweighted", fusion.unweighted(EVENT_VIEWS))
 
 
 @query
@@ -142,41 +138,32 @@ def reliability_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fitted_alpha(spark, sf_dir))
 
 
-def line_cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, Column], dict[str, Column]]:
-    """Fused lines with fitted coefficients and threshold, and their weights."""
+def line_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with verdict and confidence parts, from fitted coefficients and threshold."""
     alpha = B.once(spark, sf_dir, "line_alpha", lambda: fitted_alpha(spark, sf_dir))
     scored = with_scalar(B.line_scores(spark, sf_dir), B.line_weights(spark, sf_dir), "_G")
     scored = with_scalar(scored, alpha, "_A")
     g = fusion.weight_columns(LINE_VIEWS, "_G")
-    coefficients = tuple(F.col(f"_A.{n}") for n in ("a_i", "a_q", "a_t"))
-    weight = fusion.evidence_weights(LINE_VIEWS, g, coefficients)
-    rows = scored.withColumn("s", fusion.fused(LINE_VIEWS, weight))
+    rows = fusion.fuse(scored, LINE_VIEWS, g, tuple(F.col(f"_A.{n}") for n in ("a_i", "a_q", "a_t")))
     theta = B.once(
-        spark,
-        sf_dir,
-        "line_theta",
-        lambda: E.fit_threshold(B.split_rows(rows, "validation")),
+        spark, sf_dir, "line_theta", lambda: E.fit_threshold(B.split_rows(rows, "validation"))
     )
-    return with_scalar(rows, theta, "_T"), weight, g
+    out = reasoning.reason(with_scalar(rows, theta, "_T"), LINE_VIEWS, F.col("_T.theta_tick"))
+    return reasoning.confidence_parts(out, LINE_VIEWS, g, F.col("_T.theta"))
 
 
 @query
 def decision_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threshold of every view and both fusions, chosen on validation rows."""
-    scored = with_scalar(B.line_scores(spark, sf_dir), B.line_weights(spark, sf_dir), "_G")
-    weight = fusion.evidence_weights(LINE_VIEWS, fusion.weight_columns(LINE_VIEWS, "_G"), ALPHA)
-    long = X.score_variants(
-        B.split_rows(scored, "validation"), X.standard_variants(LINE_VIEWS, weight), ["y"]
-    )
+    rows = B.split_rows(line_fused(spark, sf_dir), "validation")
+    long = X.score_variants(rows, X.standard_variants(LINE_VIEWS), ["y"])
     return rounded(E.fit_threshold(long, by=["variant"]))
 
 
 @query
 def forensic_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, weight, _ = line_cases(spark, sf_dir)
-    out = reasoning.reason(rows, LINE_VIEWS, weight, F.col("_T.theta_tick"))
     return rounded(
-        out.select(
+        line_cases(spark, sf_dir).select(
             "record_id",
             "s",
             "verdict",
@@ -188,15 +175,9 @@ def forensic_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def line_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, weight, g = line_cases(spark, sf_dir)
-    out = reasoning.reason(rows, LINE_VIEWS, weight, F.col("_T.theta_tick"))
-    return reasoning.confidence_parts(out, LINE_VIEWS, weight, g, F.col("_T.theta"))
-
-
 @query
 def investigation_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_confidence(spark, sf_dir)
+    rows = line_cases(spark, sf_dir)
     beta = B.once(
         spark,
         sf_dir,
@@ -438,14 +419,13 @@ def event_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def line_fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, Column]]:
+def line_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = with_scalar(B.line_scores(spark, sf_dir), B.line_weights(spark, sf_dir), "_G")
-    weight = fusion.evidence_weights(LINE_VIEWS, fusion.weight_columns(LINE_VIEWS, "_G"), ALPHA)
-    return scored.withColumn("s", fusion.fused(LINE_VIEWS, weight)), weight
+    return fusion.fuse(scored, LINE_VIEWS, fusion.weight_columns(LINE_VIEWS, "_G"), ALPHA)
 
 
 def line_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = line_fused(spark, sf_dir)
+    rows = line_fused(spark, sf_dir)
     return B.once(
         spark, sf_dir, "line_default_theta", lambda: E.fit_threshold(B.split_rows(rows, "validation"))
     )
@@ -453,7 +433,7 @@ def line_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def confusion_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = line_fused(spark, sf_dir)
+    rows = line_fused(spark, sf_dir)
     rows = with_scalar(B.split_rows(rows, "test"), line_theta(spark, sf_dir), "_T")
     pred = rows.withColumn("pred", (ticks("s") >= F.col("_T.theta_tick")).cast("int"))
     return rounded(E.rates(E.confusion(pred, by=["dataset"])))
@@ -461,8 +441,8 @@ def confusion_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ranking_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, weight = line_fused(spark, sf_dir)
-    long = X.score_variants(rows, X.standard_variants(LINE_VIEWS, weight), ["split", "y"])
+    rows = line_fused(spark, sf_dir)
+    long = X.score_variants(rows, X.standard_variants(LINE_VIEWS), ["split", "y"])
     return rounded(E.auc(long, ["variant", "split"]))
 
 
@@ -477,11 +457,9 @@ def class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def view_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, weight = line_fused(spark, sf_dir)
+    rows = line_fused(spark, sf_dir)
     return rounded(
-        X.validate_views(
-            B.split_rows(rows, "validation"), B.split_rows(rows, "test"), LINE_VIEWS, weight
-        )
+        X.validate_views(B.split_rows(rows, "validation"), B.split_rows(rows, "test"), LINE_VIEWS)
     )
 
 
@@ -513,7 +491,8 @@ def degraded_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def degradation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_scalar(B.line_evidence(spark, sf_dir), B.line_params(spark, sf_dir), "_P")
+    constants = scoring.score_constants(B.line_params(spark, sf_dir), LINE_VIEWS)
+    rows = with_scalar(B.line_evidence(spark, sf_dir), constants, "_P")
     rows = with_scalar(rows, B.line_weights(spark, sf_dir), "_G")
     rows = with_scalar(B.split_rows(rows, "test"), line_theta(spark, sf_dir), "_T")
     return rounded(
@@ -521,6 +500,7 @@ def degradation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows.withColumn("theta_tick", F.col("_T.theta_tick")),
             LINE_VIEWS,
             fusion.weight_columns(LINE_VIEWS, "_G"),
+            ALPHA,
             42,
         )
     )

@@ -13,6 +13,10 @@ RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # The JVM does not compile methods of more than 8000 bytes of bytecode. A
+    # stage beyond that, e.g. with very many features, runs faster when Spark
+    # splits its expressions instead of fusing the whole stage.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

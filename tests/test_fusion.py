@@ -9,7 +9,7 @@ from plumbline.functions.scalars import finite, with_scalar
 from plumbline.operators import fusion, reasoning, scoring
 from plumbline.operators.experiments import ablation_scores, degrade
 from plumbline.operators.integrity import integrity_factor
-from plumbline.operators.reliability import reliability, select_params, simplex_grid
+from plumbline.operators.reliability import ALPHA, reliability, select_params, simplex_grid
 from plumbline.operators.temporal import temporal_factor
 from plumbline.operators.views import finite_features, melt_views, to_views, with_quality
 from plumbline.spec import ViewSpec
@@ -86,15 +86,13 @@ def weights():
 def test_equal_weights_reduce_to_the_plain_mean(spark):
     df = scored(spark, [("r", 1, 0.5, 0.5, 0.5, 0.5, 0.9, 0.2)])
     same = {"a": F.lit(0.3), "b": F.lit(0.3)}
-    weight = fusion.evidence_weights(SPEC, same, (0.4, 0.3, 0.3))
-    row = df.select(fusion.fused(SPEC, weight).alias("s"), fusion.unweighted(SPEC).alias("u")).first()
+    row = fusion.fuse(df, SPEC, same, ALPHA).withColumn("u", fusion.unweighted(SPEC)).first()
     assert row.s == pytest.approx(row.u) == pytest.approx(0.55)
 
 
 def test_missing_view_is_left_out(spark):
     df = scored(spark, [("one", 1, 1.0, 1.0, 1.0, 0.0, 0.9, None), ("none", 1, 1.0, 1.0, 0.0, 0.0, None, None)])
-    weight = fusion.evidence_weights(SPEC, weights(), (0.4, 0.3, 0.3))
-    got = {r.record_id: r.s for r in df.withColumn("s", fusion.fused(SPEC, weight)).collect()}
+    got = {r.record_id: r.s for r in fusion.fuse(df, SPEC, weights(), ALPHA).collect()}
     assert got["one"] == pytest.approx(0.9) and got["none"] is None
 
 
@@ -102,7 +100,7 @@ def test_fused_by_hand(spark):
     df = scored(spark, [("r", 1, 1.0, 0.5, 1.0, 0.5, 0.9, 0.2)]).withColumns(
         reliability(SPEC, (0.4, 0.3, 0.3))
     )
-    row = df.withColumn("s", fusion.fused(SPEC, fusion.evidence_weights(SPEC, weights()))).first()
+    row = fusion.fuse(df, SPEC, weights(), ALPHA).first()
     r_a, r_b = 0.4 + 0.3 + 0.15, 0.4 + 0.15 + 0.15
     assert (row.r_a, row.r_b) == (pytest.approx(r_a), pytest.approx(r_b))
     w_a, w_b = 0.6 * r_a, 0.2 * r_b
@@ -127,11 +125,10 @@ def test_quality_and_long_views(spark):
 
 
 def reasoned(spark, rows, theta=0.5):
-    df = scored(spark, rows)
-    weight = fusion.evidence_weights(SPEC, {v: F.lit(0.5) for v in SPEC.names}, (0.4, 0.3, 0.3))
-    df = df.withColumn("s", fusion.fused(SPEC, weight))
-    out = reasoning.reason(df, SPEC, weight, F.lit(int(theta * 1_000_000)))
-    return reasoning.confidence_parts(out, SPEC, weight, {v: F.lit(0.5) for v in SPEC.names}, F.lit(theta))
+    g = {v: F.lit(0.5) for v in SPEC.names}
+    df = fusion.fuse(scored(spark, rows), SPEC, g, ALPHA)
+    out = reasoning.reason(df, SPEC, F.lit(int(theta * 1_000_000)))
+    return reasoning.confidence_parts(out, SPEC, g, F.lit(theta))
 
 
 def test_verdicts(spark):
@@ -160,9 +157,9 @@ def test_grid_selection_prefers_the_best_and_earliest(spark):
     grid = simplex_grid(("a", "b"), 4)
     assert len(grid) == 5 and all(sum(p.values()) == pytest.approx(1) for p in grid)
     df = spark.createDataFrame([(0.25,), (0.25,)], "target double")
-    loss = lambda c: F.abs(F.col(f"{c}.a") - F.col("target"))
+    loss = lambda rows: rows.withColumn("_loss", F.abs(F.col("_cand.a") - F.col("target")))
     assert select_params(df, grid, loss).first().a == 0.25
-    flat = select_params(df, grid, lambda c: F.lit(1.0)).first()
+    flat = select_params(df, grid, lambda rows: rows.withColumn("_loss", F.lit(1.0))).first()
     assert flat.grid_id == 0
 
 
@@ -188,8 +185,7 @@ def test_ablation_full_and_unweighted_match_the_fusions(spark):
     df = scored(spark, [("r", 1, 1.0, 0.5, 1.0, 0.5, 0.9, 0.2)])
     alpha = tuple(F.lit(a) for a in (0.4, 0.3, 0.3))
     got = {r.variant: r.s for r in ablation_scores(df, SPEC, weights(), alpha, ["record_id"]).collect()}
-    full = df.select(fusion.fused(SPEC, fusion.evidence_weights(SPEC, weights(), (0.4, 0.3, 0.3)))).first()[0]
-    assert got["full"] == pytest.approx(full)
+    assert got["full"] == pytest.approx(fusion.fuse(df, SPEC, weights(), ALPHA).first().s)
     assert got["unweighted"] == pytest.approx(0.55)
     assert got["without:b"] == pytest.approx(0.9)
 

@@ -22,12 +22,11 @@ def fitted(rows):
     val = with_scalar(val, weights, "_G")
     g = fusion.weight_columns(SPEC, "_G")
     alpha = fusion.fit_alpha(val, SPEC, simplex_grid(("a_i", "a_q", "a_t"), 3))
-    weight = fusion.evidence_weights(SPEC, g, ALPHA)
-    val = val.withColumn("s", fusion.fused(SPEC, weight))
+    val = fusion.fuse(val, SPEC, g, ALPHA)
     theta = evaluate.fit_threshold(val)
     best = theta.first()
-    cases = reason(val, SPEC, weight, F.lit(best.theta_tick))
-    cases = confidence_parts(cases, SPEC, weight, g, F.lit(best.theta))
+    cases = reason(val, SPEC, F.lit(best.theta_tick))
+    cases = confidence_parts(cases, SPEC, g, F.lit(best.theta))
     beta = fit_beta(cases, simplex_grid(("b_r", "b_a", "b_m"), 3))
     return [t.first().asDict() for t in (params, scaler, weights, alpha, theta, beta)]
 
