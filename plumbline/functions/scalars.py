@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Scores are compared on a grid of one millionth. Grouping by the tick instead
-# of the raw double bounds every score histogram to TICKS + 1 rows per group.
+# Scores are compared on a grid of one millionth, so that the last bits of a sum
+# decide nothing and a score histogram has at most TICKS + 1 rows per group.
 TICKS = 1_000_000
 
 

@@ -1,8 +1,8 @@
 """Evaluation utilities (E1-E3) and the decision threshold (M3).
 
-Ranking metrics start from a histogram of scores at one millionth: the partial
-aggregate shrinks any number of rows to at most 1,000,001 per group before the
-shuffle, and the running sum reads only that histogram.
+Ranking metrics start from a histogram of scores. Its resolution bounds the rows
+per group, after the partial aggregate of each task and again after the shuffle,
+and the running sum reads only that histogram. Scores in one bin count as tied.
 """
 
 from __future__ import annotations
@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import TICKS, ticks
 
+# Bins when many variants are compared in one pass: few enough that every task
+# shrinks its rows to variants x bins before the shuffle.
+COMPARE_BINS = 10_000
+
 
 def confusion(df: DataFrame, y: str = "y", pred: str = "pred", by: list[str] = ()) -> DataFrame:
     cell = lambda a, b: F.count(F.when((F.col(y) == a) & (F.col(pred) == b), 1))
@@ -41,22 +45,32 @@ def rates(counts: DataFrame) -> DataFrame:
     )
 
 
-def score_histogram(df: DataFrame, by: list[str], score: str = "s", y: str = "y") -> DataFrame:
+def score_bin(score: str = "s", bins: int = TICKS) -> Column:
+    return F.floor(ticks(score) / F.lit(TICKS // bins))
+
+
+def _scored(df: DataFrame, score: str, y: str) -> DataFrame:
+    return df.where(F.col(score).isNotNull() & F.col(y).isNotNull())
+
+
+def _counted(cond: Column) -> Column:
+    return F.count(F.when(cond, 1))
+
+
+def score_histogram(
+    df: DataFrame, by: list[str], score: str = "s", y: str = "y", bins: int = TICKS, also: list[Column] = ()
+) -> DataFrame:
     return (
-        df.where(F.col(score).isNotNull() & F.col(y).isNotNull())
-        .groupBy(*by, ticks(score).alias("tick"))
-        .agg(
-            F.count(F.when(F.col(y) == 1, 1)).alias("pos"),
-            F.count(F.when(F.col(y) == 0, 1)).alias("neg"),
-        )
+        _scored(df, score, y)
+        .groupBy(*by, score_bin(score, bins).alias("bin"))
+        .agg(_counted(F.col(y) == 1).alias("pos"), _counted(F.col(y) == 0).alias("neg"), *also)
     )
 
 
 def _ranked(hist: DataFrame, by: list[str]) -> DataFrame:
-    upward = Window.partitionBy(*by).orderBy("tick")
+    upward = Window.partitionBy(*by).orderBy("bin")
     below = F.sum("neg").over(upward) - F.col("neg")
-    pairs = F.col("pos").cast("double") * (below + F.col("neg") / 2)
-    return hist.withColumn("_wins", pairs)
+    return hist.withColumn("_wins", F.col("pos").cast("double") * (below + F.col("neg") / 2))
 
 
 def _auc() -> Column:
@@ -64,37 +78,52 @@ def _auc() -> Column:
     return F.try_divide(F.sum("_wins"), both)
 
 
-def auc(df: DataFrame, by: list[str] = (), score: str = "s", y: str = "y") -> DataFrame:
-    """Area under the ROC curve; tied scores count one half."""
-    hist = score_histogram(df, list(by), score, y)
+def auc(
+    df: DataFrame, by: list[str] = (), score: str = "s", y: str = "y", bins: int = TICKS
+) -> DataFrame:
+    """Area under the ROC curve; tied scores count one half."""
+    hist = score_histogram(df, list(by), score, y, bins)
     return _ranked(hist, list(by)).groupBy(*by).agg(_auc().alias("auc"))
 
 
 def metrics(
-    df: DataFrame, by: list[str], theta_tick: str = "theta_tick", score: str = "s", y: str = "y"
+    df: DataFrame,
+    by: list[str],
+    theta_tick: str = "theta_tick",
+    score: str = "s",
+    y: str = "y",
+    bins: int = COMPARE_BINS,
 ) -> DataFrame:
-    """Counts, rates, AUC and Brier score per group from one histogram pass.
+    """Counts, rates, AUC and Brier score per group from one pass and one shuffle.
 
-    ``theta_tick`` names a column that is constant inside each group.
+    Counts and Brier score use the score itself; only the AUC uses ``bins``. The
+    threshold is a column, in millionths.
     """
-    hist = score_histogram(df, [*by, theta_tick], score, y)
-    at = F.col("tick") >= F.col(theta_tick)
-    s = F.col("tick") / F.lit(float(TICKS))
-    add = lambda c, cond: F.sum(F.when(cond, F.col(c)).otherwise(F.lit(0)))
+    hit = ticks(score) >= F.col(theta_tick)
+    miss = F.col(score) - F.col(y)
+    hist = score_histogram(
+        df,
+        by,
+        score,
+        y,
+        bins,
+        [
+            _counted((F.col(y) == 1) & hit).alias("tp"),
+            _counted((F.col(y) == 0) & hit).alias("fp"),
+            F.sum(miss * miss).alias("_sse"),
+        ],
+    )
     counts = (
-        _ranked(hist, [*by, theta_tick])
+        _ranked(hist, by)
         .groupBy(*by)
         .agg(
             F.sum(F.col("pos") + F.col("neg")).alias("n"),
-            add("pos", at).alias("tp"),
-            add("neg", at).alias("fp"),
-            add("neg", ~at).alias("tn"),
-            add("pos", ~at).alias("fn"),
+            F.sum("tp").alias("tp"),
+            F.sum("fp").alias("fp"),
+            F.sum(F.col("neg") - F.col("fp")).alias("tn"),
+            F.sum(F.col("pos") - F.col("tp")).alias("fn"),
             _auc().alias("auc"),
-            F.try_divide(
-                F.sum(F.col("pos") * (1 - s) * (1 - s) + F.col("neg") * s * s),
-                F.sum(F.col("pos") + F.col("neg")),
-            ).alias("brier"),
+            F.try_divide(F.sum("_sse"), F.sum(F.col("pos") + F.col("neg"))).alias("brier"),
         )
     )
     return rates(counts)
@@ -115,13 +144,8 @@ def fit_threshold(
     tie goes to the lowest.
     """
     width = TICKS // steps
-    bins = (
-        val.where(F.col(score).isNotNull() & F.col(y).isNotNull())
-        .groupBy(*by, F.floor(ticks(score) / F.lit(width)).alias("_bin"))
-        .agg(
-            F.count(F.when(F.col(y) == 1, 1)).alias("_pos"),
-            F.count(F.when(F.col(y) == 0, 1)).alias("_neg"),
-        )
+    bins = score_histogram(val, list(by), score, y, steps).select(
+        *by, F.col("bin").alias("_bin"), F.col("pos").alias("_pos"), F.col("neg").alias("_neg")
     )
     down = Window.partitionBy(*by).orderBy(F.col("_bin").desc())
     whole = Window.partitionBy(*by)

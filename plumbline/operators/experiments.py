@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import hash_bucket, total
@@ -170,16 +170,13 @@ def degradation_curve(
         ["y", theta_tick, "view", "rate"],
     )
     per_rate = metrics(long, ["variant", "view", "rate"], theta_tick)
-    clean = per_rate.where(F.col("rate") == min(rates)).select(
-        "variant",
-        "view",
-        F.col("auc").alias("_auc0"),
-        F.col("brier").alias("_brier0"),
-    )
-    return (
-        per_rate.join(F.broadcast(clean), ["variant", "view"])
-        .withColumns({"auc_loss": F.col("_auc0") - F.col("auc"), "brier_rise": F.col("brier") - F.col("_brier0")})
-        .drop("_auc0", "_brier0")
+    # One row per declared variant, view and rate is left here.
+    clean = Window.partitionBy("variant", "view").orderBy("rate")
+    return per_rate.withColumns(
+        {
+            "auc_loss": F.first("auc").over(clean) - F.col("auc"),
+            "brier_rise": F.col("brier") - F.first("brier").over(clean),
+        }
     )
 
 

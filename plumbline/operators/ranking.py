@@ -62,12 +62,12 @@ def bracket_columns(value: str, probs: list[float], accuracy: int = 20_000) -> l
     """
     margin = 2.0 / accuracy
     small = F.count(value) < F.lit(int(4 / margin))
+    edges = [q for p in probs for q in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    # One call with all edges: one sketch per group.
+    sketch = F.percentile_approx(value, edges, F.lit(accuracy))
     out = [F.count(value).alias("_n")]
-    for j, p in enumerate(probs):
-        low, high = (
-            F.percentile_approx(value, F.lit(q), F.lit(accuracy))
-            for q in (max(p - margin, 0.0), min(p + margin, 1.0))
-        )
+    for j in range(len(probs)):
+        low, high = F.get(sketch, F.lit(2 * j)), F.get(sketch, F.lit(2 * j + 1))
         out.append(F.when(small, F.min(value)).otherwise(low).alias(f"_lo{j}"))
         out.append(F.when(small, F.max(value)).otherwise(high).alias(f"_hi{j}"))
     return out

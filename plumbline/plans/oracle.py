@@ -201,16 +201,16 @@ def metrics(src: str, by: str) -> str:
     """Counts, AUC, Brier score and rates; ``theta_tick`` is a column of ``src``."""
     return f"""
     SELECT *, {RATE_COLS} FROM (
-      SELECT {by}, sum(pos + neg)::BIGINT AS n,
-             coalesce(sum(pos) FILTER (WHERE k >= theta_tick), 0)::BIGINT AS tp,
-             coalesce(sum(neg) FILTER (WHERE k >= theta_tick), 0)::BIGINT AS fp,
-             coalesce(sum(neg) FILTER (WHERE k < theta_tick), 0)::BIGINT AS tn,
-             coalesce(sum(pos) FILTER (WHERE k < theta_tick), 0)::BIGINT AS fn,
+      SELECT {by}, sum(pos + neg)::BIGINT AS n, sum(hp)::BIGINT AS tp, sum(hn)::BIGINT AS fp,
+             sum(neg - hn)::BIGINT AS tn, sum(pos - hp)::BIGINT AS fn,
              sum(pos * (below + neg / 2)) / nullif(sum(pos)::DOUBLE * sum(neg)::DOUBLE, 0) AS auc,
-             sum(pos * (1 - k / 1e6) * (1 - k / 1e6) + neg * (k / 1e6) * (k / 1e6)) / nullif(sum(pos + neg), 0) AS brier
-      FROM (SELECT *, sum(neg) OVER (PARTITION BY {by} ORDER BY k) - neg AS below
-            FROM (SELECT {by}, theta_tick, {tick('s')} AS k,
-                         count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg
+             sum(sse) / nullif(sum(pos + neg), 0) AS brier
+      FROM (SELECT *, sum(neg) OVER (PARTITION BY {by} ORDER BY bin) - neg AS below
+            FROM (SELECT {by}, ({tick('s')}) // 100 AS bin,
+                         count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg,
+                         count(*) FILTER (WHERE y = 1 AND {tick('s')} >= theta_tick) AS hp,
+                         count(*) FILTER (WHERE y = 0 AND {tick('s')} >= theta_tick) AS hn,
+                         sum((s - y) * (s - y)) AS sse
                   FROM {src} WHERE s IS NOT NULL AND y IS NOT NULL GROUP BY ALL))
       GROUP BY ALL)"""
 

@@ -41,7 +41,8 @@ def test_metrics_agree_with_confusion(spark):
         for c in ("tp", "fp", "tn", "fn", "accuracy", "precision", "recall", "f1", "mcc"):
             assert got[r.g][c] == pytest.approx(r[c])
     part = pdf[pdf.g == "a"]
-    assert got["a"].brier == pytest.approx(((part.s - part.y) ** 2).mean(), abs=1e-6)
+    assert got["a"].brier == pytest.approx(((part.s - part.y) ** 2).mean())
+    assert got["a"].auc == pytest.approx(brute_auc(part.y.values, part.s.values), abs=1e-3)
 
 
 @pytest.mark.parametrize("metric", ["youden", "f1"])
