@@ -370,7 +370,7 @@ CASES = [
 ]
 ORACLE["forensic_reasoning"] = with_(*CASES) + (
     f"SELECT record_id, {R('s')} AS s, verdict, supporting, contradicting, top_view, "
-    + ", ".join(f"{R(f'share_{v}')} AS share_{v}" for v in _names)
+    + ", ".join(f"{R(f'share_{v}', 4)} AS share_{v}" for v in _names)
     + " FROM cas"
 )
 _spread = " + ".join(f"coalesce(w_{v} * (p_{v} - s) * (p_{v} - s), 0.0::DOUBLE)" for v in _names)
