@@ -13,7 +13,7 @@ from plumbline.operators import consolidate as C
 from plumbline.operators import evaluate as E
 from plumbline.operators import experiments as X
 from plumbline.operators import fusion, integrity, prepare, reasoning, scoring, splits, stats
-from plumbline.operators.baseline import fit_baseline, score_baseline
+from plumbline.operators.baseline import ESTIMATORS, fit_baseline, score_baseline
 from plumbline.operators.describe import assess, class_distribution, describe_features
 from plumbline.operators.reliability import ALPHA, reliability, simplex_grid
 from plumbline.operators.views import finite_features, melt_views, to_views, with_quality
@@ -573,37 +573,39 @@ def scalability_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- consolidation ----------------------------------------------------------
 
 
-def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results of the earlier stages as stored numbers; nothing is fitted after this."""
+RATE_METRICS = ["accuracy", "auc", "brier", "f1"]
 
-    def build() -> DataFrame:
-        lines = F.lit("lines")
-        return C.consolidate(
-            [
-                C.as_results(
-                    dataset_assessment(spark, sf_dir), 1, "dataset_assessment",
-                    F.col("dataset"), F.col("column"), ["rows", "nulls", "distinct"],
-                ),
-                C.as_results(
-                    view_validation(spark, sf_dir), 3, "view_validation",
-                    lines, F.col("variant"), ["accuracy", "auc", "brier", "f1"],
-                ),
-                C.as_results(
-                    component_ablation(spark, sf_dir), 4, "clean_ablation",
-                    lines, F.col("variant"), ["accuracy", "auc", "brier", "f1"],
-                ),
-                C.as_results(
-                    cross_dataset(spark, sf_dir), 5, "cross_dataset_results",
-                    F.col("test_dataset"), F.concat(F.lit("fit:"), "fit_dataset"), ["accuracy", "auc", "brier", "f1"],
-                ),
-                C.as_results(
-                    score_summary(spark, sf_dir), 7, "cv_scores",
-                    F.lit("events"), F.concat_ws(":", "model", "metric"), ["mean", "sd"],
-                ),
-            ]
-        )
 
-    return B.once(spark, sf_dir, "results", build)
+def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of the earlier stages as stored numbers; nothing is fitted after this."""
+    lines, events = F.lit("lines"), F.lit("events")
+    joined = lambda *c: F.concat_ws(":", *c)
+    outputs = [
+        (dataset_assessment, 1, "dataset_assessment", F.col("dataset"), F.col("column"), ["rows", "nulls", "distinct"]),
+        (feature_statistics, 1, "descriptive_statistics", F.col("dataset"), F.col("feature"), ["mean", "sd", "p50"]),
+        (view_validation, 3, "view_validation", lines, F.col("variant"), RATE_METRICS),
+        (component_ablation, 4, "clean_ablation", lines, F.col("variant"), RATE_METRICS),
+        (
+            degradation_curve, 4, "degradation_comparison", lines,
+            joined("variant", "view", F.col("rate").cast("string")), ["auc", "brier", "auc_loss"],
+        ),
+        (cross_dataset, 5, "cross_dataset_results", F.col("test_dataset"), joined(F.lit("fit"), "fit_dataset"), RATE_METRICS),
+        (efficiency_table, 6, "efficiency_table", events, F.col("stage"), ["total_seconds", "median_seconds", "p95_seconds"]),
+        (
+            scalability_table, 6, "scalability_table", events,
+            joined("stage", F.col("rows").cast("string")), ["mean_seconds", "rows_per_second"],
+        ),
+        (
+            stored_scores, 7, "cv_scores", events,
+            joined("model", "metric", F.col("repeat").cast("string"), F.col("fold").cast("string")), ["value"],
+        ),
+        (score_summary, 7, "score_summary", events, joined("model", "metric"), ["mean", "sd"]),
+        (paired_t_test, 7, "paired_tests", events, F.col("metric"), ["t", "effect_size"]),
+        (signed_rank_test, 7, "paired_tests", events, F.col("metric"), ["w", "z"]),
+        (permutation_test, 7, "paired_tests", events, F.col("metric"), ["p"]),
+    ]
+    named = lambda run, *rest: C.as_results(run(spark, sf_dir), *rest)
+    return B.once(spark, sf_dir, "results", lambda: C.consolidate([named(*o) for o in outputs]))
 
 
 @query
@@ -618,6 +620,7 @@ CLAIMS = [
     ("c3", "scores carry over to the other dataset", "cross_dataset_results", "auc"),
     ("c4", "averages are stable over repeats", "cv_scores", "sd"),
     ("c5", "runs scale with the input", "scalability_table", "rows_per_second"),
+    ("c6", "fused evidence holds against conventional models", "baseline_results", "auc"),
 ]
 
 
@@ -680,24 +683,38 @@ def publication_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- baselines --------------------------------------------------------------
 
 
-def _metrics_of(scored: DataFrame, name: str) -> DataFrame:
-    hit = F.avg((F.col("pred") == F.col("y")).cast("double"))
-    return scored.groupBy("split").agg(F.count("*").alias("n"), hit.alias("accuracy")).select(
-        F.lit(name).alias("model"), "split", "n", "accuracy"
-    )
+def _baseline_scores(rows: DataFrame, features: list[str], names: list[str]) -> DataFrame:
+    """Predictions of every baseline, fitted on the train rows only."""
+    train = B.split_rows(rows, "train")
+    out = None
+    for name in names:
+        part = score_baseline(rows, fit_baseline(train, features, name), ["split", "y"])
+        part = part.withColumn("variant", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query
 def baseline_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Binary baselines on all line features: fitted on train, scored on all splits."""
+    """Binary baselines on all line features: thresholds from validation, metrics on test."""
     rows = B.line_evidence(spark, sf_dir)
-    train = B.split_rows(rows, "train")
-    out = None
-    for name in ("logistic_regression", "decision_tree", "random_forest", "gradient_boosting", "naive_bayes"):
-        model = fit_baseline(train, LINE_VIEWS.features, name)
-        part = _metrics_of(score_baseline(rows, model, ["split", "y"]), name)
-        out = part if out is None else out.unionByName(part)
-    return rounded(out)
+    scored = stage(_baseline_scores(rows, LINE_VIEWS.features, list(ESTIMATORS)), "baseline_scores")
+    theta = E.fit_threshold(B.split_rows(scored, "validation"), by=["variant"])
+    # One row per declared model.
+    side = F.broadcast(theta.select("variant", "theta", "theta_tick"))
+    return rounded(E.metrics(B.split_rows(scored, "test").join(side, "variant"), ["variant", "theta"]))
+
+
+@query
+def complete_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stored results including the baselines, which have no SQL."""
+    baselines = stage(
+        C.as_results(
+            baseline_models(spark, sf_dir), 2, "baseline_results", F.lit("lines"), F.col("variant"), RATE_METRICS
+        ),
+        "baseline_results",
+    )
+    return rounded(C.consolidate([stored_results(spark, sf_dir), baselines]))
 
 
 @query
@@ -711,9 +728,9 @@ def baseline_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
         splits.split_of("vec_id").alias("split"),
         *[F.col("embedding")[j].cast("double").alias(f) for j, f in enumerate(features)],
     )
-    out = None
-    for name in ("logistic_regression", "random_forest", "naive_bayes"):
-        model = fit_baseline(B.split_rows(rows, "train"), features, name)
-        part = _metrics_of(score_baseline(rows, model, ["split", "y"]), name)
-        out = part if out is None else out.unionByName(part)
-    return rounded(out)
+    names = ["logistic_regression", "random_forest", "naive_bayes"]
+    scored = _baseline_scores(rows, features, names)
+    hit = F.avg((F.col("pred") == F.col("y")).cast("double"))
+    return rounded(
+        scored.groupBy("variant", "split").agg(F.count("*").alias("n"), hit.alias("accuracy"))
+    )

@@ -705,23 +705,32 @@ FROM sz WINDOW w AS (PARTITION BY stage ORDER BY rows)"""
 
 def results_of(sql: str, experiment: int, output: str, dataset: str, subject: str, names: list[str]) -> str:
     body = " UNION ALL ".join(
-        f"""SELECT {dataset} AS dataset, {subject} AS subject, '{m}' AS metric, "{m}"::DOUBLE AS value FROM ({sql})"""
+        f"""SELECT {dataset} AS d, {subject} AS subject, '{m}' AS m, "{m}"::DOUBLE AS v FROM ({sql})"""
         for m in names
     )
     return (
-        f"SELECT '{experiment}/{output}/' || dataset || '/' || subject || '/' || metric AS result_id, "
-        f"{experiment} AS experiment, '{output}' AS output, dataset, subject, metric, value FROM ({body})"
+        f"SELECT '{experiment}/{output}/' || d || '/' || subject || '/' || m AS result_id, "
+        f"{experiment} AS experiment, '{output}' AS output, d AS dataset, subject, m AS metric, v AS value FROM ({body})"
     )
 
 
 _M = ["accuracy", "auc", "brier", "f1"]
 RESULTS = " UNION ALL ".join(
-    [
-        results_of(ORACLE["dataset_assessment"], 1, "dataset_assessment", "dataset", '"column"', ["rows", "nulls", "distinct"]),
-        results_of(ORACLE["view_validation"], 3, "view_validation", "'lines'", "variant", _M),
-        results_of(ORACLE["component_ablation"], 4, "clean_ablation", "'lines'", "variant", _M),
-        results_of(ORACLE["cross_dataset"], 5, "cross_dataset_results", "test_dataset", "'fit:' || fit_dataset", _M),
-        results_of(ORACLE["score_summary"], 7, "cv_scores", "'events'", "model || ':' || metric", ["mean", "sd"]),
+    results_of(ORACLE[query], *rest)
+    for query, *rest in [
+        ("dataset_assessment", 1, "dataset_assessment", "dataset", '"column"', ["rows", "nulls", "distinct"]),
+        ("feature_statistics", 1, "descriptive_statistics", "dataset", "feature", ["mean", "sd", "p50"]),
+        ("view_validation", 3, "view_validation", "'lines'", "variant", _M),
+        ("component_ablation", 4, "clean_ablation", "'lines'", "variant", _M),
+        ("degradation_curve", 4, "degradation_comparison", "'lines'", "variant || ':' || view || ':' || rate", ["auc", "brier", "auc_loss"]),
+        ("cross_dataset", 5, "cross_dataset_results", "test_dataset", "'fit:' || fit_dataset", _M),
+        ("efficiency_table", 6, "efficiency_table", "'events'", "stage", ["total_seconds", "median_seconds", "p95_seconds"]),
+        ("scalability_table", 6, "scalability_table", "'events'", "stage || ':' || rows", ["mean_seconds", "rows_per_second"]),
+        ("cv_scores", 7, "cv_scores", "'events'", "model || ':' || metric || ':' || repeat || ':' || fold", ["value"]),
+        ("score_summary", 7, "score_summary", "'events'", "model || ':' || metric", ["mean", "sd"]),
+        ("paired_t_test", 7, "paired_tests", "'events'", "metric", ["t", "effect_size"]),
+        ("signed_rank_test", 7, "paired_tests", "'events'", "metric", ["w", "z"]),
+        ("permutation_test", 7, "paired_tests", "'events'", "metric", ["p"]),
     ]
 )
 ORACLE["consolidated_results"] = (
