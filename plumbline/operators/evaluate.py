@@ -147,6 +147,7 @@ def fit_threshold(
     bins = score_histogram(val, list(by), score, y, steps).select(
         *by, F.col("bin").alias("_bin"), F.col("pos").alias("_pos"), F.col("neg").alias("_neg")
     )
+    # Without groups this is one window, over that one histogram.
     down = Window.partitionBy(*by).orderBy(F.col("_bin").desc())
     whole = Window.partitionBy(*by)
     tp, fp = F.sum("_pos").over(down), F.sum("_neg").over(down)

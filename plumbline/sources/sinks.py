@@ -7,18 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _partitioned(df: DataFrame, path: str, columns: list[str], mode: str) -> None:
+    """One directory per value, in files of the advisory partition size.
+
+    The rebalance hint gathers each value's rows instead of leaving a small file
+    per task and value; adaptive execution splits a dominant value over tasks.
+    """
+    df.hint("rebalance", *columns).write.mode(mode).partitionBy(*columns).parquet(path)
+
+
 def write_splits(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Split index, one directory per split."""
-    df.write.mode(mode).partitionBy("split").parquet(path)
+    _partitioned(df, path, ["split"], mode)
 
 
 def write_predictions(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Per-view predictions, one directory per dataset and view.
-
-    Only declared values partition the output; rows stay in the tasks that made
-    them, so a dominant dataset does not end in one writer.
-    """
-    df.write.mode(mode).partitionBy("dataset", "view").parquet(path)
+    """Per-view predictions, one directory per dataset and view."""
+    _partitioned(df, path, ["dataset", "view"], mode)
 
 
 def save_params(params: DataFrame, path: str, mode: str = "errorifexists") -> None:
