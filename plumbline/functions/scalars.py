@@ -58,3 +58,15 @@ def with_scalar(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
     join and no shuffle of ``df``. Spark fails the query if it is not one row.
     """
     return df.withColumn(name, one_row.select(F.struct("*")).scalar())
+
+
+def long_features(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
+    """``keep`` plus one row (``_f``, ``_x``) per feature, ``_f`` being its position.
+
+    Statistics over many features are cheapest in this shape: three aggregates
+    grouped by (feature, class) stay in compiled code, where hundreds of
+    conditional aggregates side by side do not. The groups are few, so every
+    task shrinks its rows to them before the shuffle.
+    """
+    cells = [F.struct(F.lit(j).alias("_f"), F.col(f).alias("_x")) for j, f in enumerate(features)]
+    return df.select(*keep, F.inline(F.array(*cells)))

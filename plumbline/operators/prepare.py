@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import finite, micros, total, with_scalar
+from plumbline.functions.scalars import finite, long_features, micros, total, with_scalar
 from plumbline.spec import FlowMapping
 
 
@@ -74,15 +74,16 @@ def harmonize(
 
 def fit_scaler(train: DataFrame, features: list[str], by: list[str] = ()) -> DataFrame:
     """Mean, spread and range per feature; pass training rows only. One row per group."""
-    aggs = []
-    for f in features:
-        aggs += [
-            F.avg(f).alias(f"{f}__mean"),
-            F.stddev_samp(f).alias(f"{f}__sd"),
-            F.min(f).alias(f"{f}__min"),
-            F.max(f).alias(f"{f}__max"),
-        ]
-    return train.groupBy(*by).agg(*aggs)
+    stats = {"mean": F.avg("_x"), "sd": F.stddev_samp("_x"), "min": F.min("_x"), "max": F.max("_x")}
+    per_feature = (
+        long_features(train, features, list(by))
+        .groupBy(*by, "_f")
+        .agg(*[a.alias(n) for n, a in stats.items()])
+    )
+    pick = lambda j, n: F.max(F.when(F.col("_f") == j, F.col(n)))
+    return per_feature.groupBy(*by).agg(
+        *[pick(j, n).alias(f"{f}__{n}") for j, f in enumerate(features) for n in stats]
+    )
 
 
 def transformed(f: str, how: str, params: str = "_S") -> Column:

@@ -1,34 +1,43 @@
-"""Per-view scores from class-conditional Gaussians (M2), fitted by one aggregate."""
+"""Per-view scores from class-conditional Gaussians (M2), fitted by aggregates."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import logistic, total, with_scalar
+from plumbline.functions.scalars import logistic, long_features, total, with_scalar
 from plumbline.spec import ViewSpec
 
 MIN_VARIANCE = 1e-9
 
 
+def class_statistics(train: DataFrame, features: list[str], y: str, by: list[str] = ()) -> DataFrame:
+    """Count, mean and variance per feature and class, and the class counts.
+
+    One shuffle of at most tasks x features x classes x groups small rows,
+    whatever the size of ``train``.
+    """
+    long = long_features(train.where(F.col(y).isNotNull()), features, [*by, y])
+    names = F.array(*[F.lit(f) for f in features])
+    return (
+        long.groupBy(*by, "_f", F.col(y).alias("class"))
+        .agg(
+            F.count("*").alias("n_class"),
+            F.count("_x").alias("n"),
+            F.avg("_x").alias("mean"),
+            F.greatest(F.var_samp("_x"), F.lit(MIN_VARIANCE)).alias("var"),
+        )
+        .withColumn("feature", F.element_at(names, F.col("_f") + 1))
+        .drop("_f")
+    )
+
+
 def fit_view_params(train: DataFrame, spec: ViewSpec, y: str = "y", by: list[str] = ()) -> DataFrame:
-    """Class counts, and mean and variance per feature and class.
+    """Class counts, and mean and variance per feature and class; one row per group.
 
-    One row per ``by`` group; pure partial aggregation, so the shuffle carries
-    one row per task and group whatever the size of ``train``. Pass rows of the
-    training split only.
+    Pass rows of the training split only.
     """
-    label = F.col(y)
-    aggs = [F.count(F.when(label == c, 1)).alias(f"n{c}") for c in (0, 1)]
-    for f in spec.features:
-        for c in (0, 1):
-            x = F.when(label == c, F.col(f))
-            aggs += [
-                F.count(x).alias(f"{f}__n{c}"),
-                F.avg(x).alias(f"{f}__m{c}"),
-                F.greatest(F.var_samp(x), F.lit(MIN_VARIANCE)).alias(f"{f}__v{c}"),
-            ]
-    return train.groupBy(*by).agg(*aggs)
+    return params_wide(class_statistics(train, spec.features, y, by), spec, by)
 
 
 def params_long(params: DataFrame, spec: ViewSpec, by: list[str] = ()) -> DataFrame:
@@ -51,22 +60,32 @@ def params_long(params: DataFrame, spec: ViewSpec, by: list[str] = ()) -> DataFr
     return params.select(*by, F.inline(rows))
 
 
-def params_wide(long: DataFrame, spec: ViewSpec, by: list[str] = ()) -> DataFrame:
-    """Inverse of ``params_long``, e.g. after reading a saved parameter table."""
-    aggs = [
-        F.max(F.when(F.col("class") == c, F.col("n_class"))).alias(f"n{c}") for c in (0, 1)
-    ]
-    for f in spec.features:
-        for c in (0, 1):
-            here = (F.col("feature") == f) & (F.col("class") == c)
+def wide_statistics(long: DataFrame, features: list[str], classes: list, by: list[str] = ()) -> DataFrame:
+    """Class statistics side by side: ``n<j>``, ``<feature>__n<j>``, ``__m<j>``, ``__v<j>``.
+
+    Reads one row per group, feature and class. A class that never occurs has
+    count 0, no mean and the least variance.
+    """
+    aggs = []
+    for j, c in enumerate(classes):
+        of_class = F.col("class") == F.lit(c)
+        aggs.append(F.coalesce(F.max(F.when(of_class, F.col("n_class"))), F.lit(0)).alias(f"n{j}"))
+        for f in features:
+            here = of_class & (F.col("feature") == f)
+            pick = lambda name: F.max(F.when(here, F.col(name)))
             aggs += [
-                F.max(F.when(here, F.col("n"))).alias(f"{f}__n{c}"),
-                F.max(F.when(here, F.col("mean"))).alias(f"{f}__m{c}"),
-                F.max(F.when(here, F.col("var"))).alias(f"{f}__v{c}"),
+                F.coalesce(pick("n"), F.lit(0)).alias(f"{f}__n{j}"),
+                pick("mean").alias(f"{f}__m{j}"),
+                F.coalesce(pick("var"), F.lit(MIN_VARIANCE)).alias(f"{f}__v{j}"),
             ]
     return long.groupBy(*by).agg(*aggs)
 
 
+def params_wide(long: DataFrame, spec: ViewSpec, by: list[str] = ()) -> DataFrame:
+    """Inverse of ``params_long``, e.g. after reading a saved parameter table."""
+    return wide_statistics(long, spec.features, [0, 1], by)
+
+
 def merge_fold_params(
     stats: DataFrame, spec: ViewSpec, group: list[str], folds: str, trains: Column, model: str
 ) -> DataFrame:
@@ -147,17 +166,7 @@ def score_views(df: DataFrame, spec: ViewSpec, params: DataFrame) -> DataFrame:
 
 def fit_class_params(train: DataFrame, features: list[str], classes: list[str], cls: str) -> DataFrame:
     """One-row Gaussian parameters for several classes (``classes`` is declared)."""
-    aggs = []
-    for j, c in enumerate(classes):
-        here = F.col(cls) == F.lit(c)
-        aggs.append(F.count(F.when(here, 1)).alias(f"n{j}"))
-        for f in features:
-            x = F.when(here, F.col(f))
-            aggs += [
-                F.avg(x).alias(f"{f}__m{j}"),
-                F.greatest(F.var_samp(x), F.lit(MIN_VARIANCE)).alias(f"{f}__v{j}"),
-            ]
-    return train.agg(*aggs)
+    return wide_statistics(class_statistics(train, features, cls), features, classes)
 
 
 def predict_class(
