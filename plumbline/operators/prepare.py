@@ -37,6 +37,22 @@ def clean(
     return df.join(kept, key, "left_semi")
 
 
+def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
+
+
+def require_unique(df: DataFrame, key: str) -> DataFrame:
+    """``df`` itself, after checking that ``key`` identifies a record.
+
+    Joins on the record key rely on it. Call it on a staged table: it is a job of
+    its own, over the key column only.
+    """
+    worst = duplicate_keys(df, key).first()
+    if worst is not None:
+        raise ValueError(f"{key} {worst[key]!r} occurs {worst['copies']} times")
+    return df
+
+
 def harmonize(
     datasets: Mapping[str, tuple[DataFrame, FlowMapping]],
     class_map: Mapping[str, Mapping[str, str]],

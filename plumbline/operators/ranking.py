@@ -20,7 +20,7 @@ def with_hash_rank(
     key: str,
     seed: object,
     seed_cols: tuple[str, ...] = (),
-    digits: int = 4,
+    digits: int = 3,
     name: str = "rank",
     size: str = "group_size",
 ) -> DataFrame:

@@ -33,7 +33,7 @@ def stratified_split(
     seed: object = SEED,
     low: int = TRAIN_BELOW,
     high: int = VALIDATION_BELOW,
-    digits: int = 4,
+    digits: int = 3,
 ) -> DataFrame:
     """Split index with exact shares inside each class: 0-based rank * 100 / class size."""
     strata = df.select(key, F.coalesce(F.col(cls).cast("string"), F.lit("")).alias("stratum"))
@@ -56,7 +56,7 @@ def assign_folds(
     k: int,
     repeats: int,
     seed: object = SEED,
-    digits: int = 4,
+    digits: int = 3,
 ) -> DataFrame:
     """Fold index (key, repeat, fold): stratified, balanced to one record per class."""
     rows = df.select(

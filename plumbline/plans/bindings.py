@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import finite, micros
 from plumbline.operators.fusion import fit_view_weights
+from plumbline.operators.prepare import require_unique
 from plumbline.operators.scoring import fit_view_params, score_views
 from plumbline.operators.splits import split_of
 from plumbline.operators.temporal import temporal_factor, with_gap
@@ -54,6 +55,7 @@ def once(
     name: str,
     build: Callable[[], DataFrame],
     partition_by: tuple[str, ...] = (),
+    unique: str | None = None,
 ) -> DataFrame:
     """Stage a prepared table the first time a session asks for it.
 
@@ -62,7 +64,8 @@ def once(
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _staged:
-        _staged[key] = stage(build(), name, partition_by)
+        table = stage(build(), name, partition_by)
+        _staged[key] = require_unique(table, unique) if unique else table
     return _staged[key]
 
 
@@ -95,7 +98,12 @@ def event_evidence_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staged by split, so that a fit reads only the directories it may use."""
     return once(
-        spark, sf_dir, "event_evidence", lambda: event_evidence_plan(spark, sf_dir), ("split",)
+        spark,
+        sf_dir,
+        "event_evidence",
+        lambda: event_evidence_plan(spark, sf_dir),
+        partition_by=("split",),
+        unique="record_id",
     )
 
 
@@ -187,7 +195,14 @@ def line_evidence_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, sf_dir, "line_evidence", lambda: line_evidence_plan(spark, sf_dir), ("split",))
+    return once(
+        spark,
+        sf_dir,
+        "line_evidence",
+        lambda: line_evidence_plan(spark, sf_dir),
+        partition_by=("split",),
+        unique="record_id",
+    )
 
 
 def line_params(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from plumbline.operators.baseline import ESTIMATORS, fit_baseline, score_baseline
 from plumbline.operators.integrity import attach_integrity, integrity_factor, verify_integrity
-from plumbline.operators.prepare import clean, harmonize
+from plumbline.operators.prepare import clean, harmonize, require_unique
 from plumbline.sources import flows, manifest, sinks
 from plumbline.spec import FlowMapping
 
@@ -93,6 +93,13 @@ def test_harmonize_fills_and_maps(spark):
     assert rows == {"1": ("a", "dos", 1, 1.0, None), "2": ("a", None, None, 2.0, None), "k": ("b", "benign", 0, None, 3.0)}
 
 
+def test_repeated_record_key_is_refused(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (1, "c")], "id long, v string")
+    assert require_unique(df.where("v <> 'c'"), "id").count() == 2
+    with pytest.raises(ValueError, match="id 1 occurs 2 times"):
+        require_unique(df, "id")
+
+
 def test_run_log_appends(spark, tmp_path):
     log = spark.sql("select 'r1' run_id, 'fit' stage, 10L rows, 1.5D seconds, timestamp'2024-01-01' started")
     for _ in range(2):
