@@ -1,6 +1,8 @@
 """Headline timings: prints one JSON line.
 
-BENCH_SF_DIR is the table folder, BENCH_CPUS the number of local cores. The
+BENCH_SF_DIR is the table folder, BENCH_CPUS the number of local cores. With
+BENCH_LOG_DIR set, the runs are appended there as a run log, the input of the
+efficiency and scalability tables. The
 flagship is timed from the raw table, preparation and fits included. The other
 queries read evidence that was prepared and staged before, and the cost of that
 is listed as its own entry.
@@ -12,8 +14,10 @@ import json
 import os
 import sys
 import time
+from datetime import datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
+from pyspark.sql import functions as F
 
 HEADLINE = [
     "decision_threshold",
@@ -47,21 +51,35 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
+        # Plans are built here, not debugged: no call site per expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     from plumbline.plans import bindings
     from plumbline.plans.catalog import QUERIES
+    from plumbline.sources.sinks import append_run_log
+
+    app = spark.sparkContext.applicationId
 
     def timed(action) -> float:
         started = time.perf_counter()
         action()
         return time.perf_counter() - started
 
+    log = []
+
     def run(name: str) -> float:
-        # The no-op sink computes every row and column and keeps none.
-        sink = lambda: QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        return timed(sink)
+        started, seen = datetime.now(), Observation()
+
+        def sink() -> None:
+            # The no-op sink computes every row and column and keeps none.
+            df = QUERIES[name](spark, sf_dir).observe(seen, F.count(F.lit(1)).alias("rows"))
+            df.write.format("noop").mode("overwrite").save()
+
+        took = timed(sink)
+        log.append((f"{app}-{len(log)}", name, seen.get["rows"], took, started))
+        return took
 
     def flagship() -> float:
         bindings.forget_staged()
@@ -73,6 +91,9 @@ def main() -> None:
     for name in HEADLINE:
         seconds[name] = run(name)
         print(f"{name} {seconds[name]:.2f}", file=sys.stderr)
+    if folder := os.environ.get("BENCH_LOG_DIR"):
+        columns = "run_id string, stage string, rows long, seconds double, started timestamp"
+        append_run_log(spark.createDataFrame(log, columns), folder)
     spark.stop()
     print(
         json.dumps(

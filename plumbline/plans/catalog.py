@@ -13,7 +13,7 @@ from plumbline.operators import consolidate as C
 from plumbline.operators import evaluate as E
 from plumbline.operators import experiments as X
 from plumbline.operators import fusion, integrity, prepare, reasoning, scoring, splits, stats
-from plumbline.operators.baseline import ESTIMATORS, fit_baseline, score_baseline
+from plumbline.operators.baseline import ESTIMATORS, fit_baseline, score_baseline, tune_baseline
 from plumbline.operators.describe import assess, class_distribution, describe_features
 from plumbline.operators.reliability import ALPHA, reliability, simplex_grid
 from plumbline.operators.views import finite_features, melt_views, to_views, with_quality
@@ -705,6 +705,15 @@ def baseline_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.metrics(B.split_rows(scored, "test").join(side, "variant"), ["variant", "theta"]))
 
 
+@query
+def tuned_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regularisation of the logistic baseline, chosen on validation rows."""
+    rows = B.line_evidence(spark, sf_dir)
+    grid = [{"regParam": r} for r in (0.0, 0.01, 0.1)]
+    train, val = B.split_rows(rows, "train"), B.split_rows(rows, "validation")
+    return rounded(tune_baseline(train, val, LINE_VIEWS.features, "logistic_regression", grid))
+
+
 @query
 def complete_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stored results including the baselines, which have no SQL."""

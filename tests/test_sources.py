@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.operators.baseline import ESTIMATORS, fit_baseline, score_baseline
+from plumbline.operators.baseline import ESTIMATORS, fit_baseline, score_baseline, tune_baseline
 from plumbline.operators.integrity import attach_integrity, integrity_factor, verify_integrity
 from plumbline.operators.prepare import clean, harmonize, require_unique
 from plumbline.sources import flows, manifest, sinks
@@ -130,3 +130,10 @@ def test_saved_model_scores_alike(spark, tmp_path):
     again = sinks.load_model(str(tmp_path / "model"))
     left, right = (score_baseline(df, m, ["y"]).orderBy("s").collect() for m in (model, again))
     assert left == right
+
+
+def test_tuning_picks_the_better_grid_point(spark):
+    df = separable(spark)
+    tried = tune_baseline(df, df, ["x2", "x1"], "decision_tree", [{"maxDepth": 0}, {"maxDepth": 3}, {"maxDepth": 4}])
+    rows = {r.params: (r.auc, r.chosen) for r in tried.collect()}
+    assert rows == {"maxDepth=0": (0.5, False), "maxDepth=3": (1.0, True), "maxDepth=4": (1.0, False)}
