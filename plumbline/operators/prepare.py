@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import finite, long_features, micros, total, with_scalar
+from plumbline.functions.scalars import finite, long_features, micros, with_scalar
 from plumbline.spec import FlowMapping
 
 
@@ -130,7 +130,3 @@ def transform_features(
     df = df.withColumns({f: transformed(f, kind) for f, kind in how.items()})
     return df.drop("_S")
 
-
-def unusable(features: list[str]) -> Column:
-    """True where no feature has a usable value."""
-    return total([F.when(finite(f).isNotNull(), 1).otherwise(0) for f in features]) == 0

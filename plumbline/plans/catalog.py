@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.scalars import finite, hash_bucket, micros, ticks, with_scalar
+from plumbline.functions.scalars import hash_bucket, micros, ticks, with_scalar
 from plumbline.operators import consolidate as C
 from plumbline.operators import evaluate as E
 from plumbline.operators import experiments as X
@@ -16,7 +16,7 @@ from plumbline.operators import fusion, integrity, prepare, reasoning, scoring,
 from plumbline.operators.baseline import ESTIMATORS, fit_baseline, score_baseline, tune_baseline
 from plumbline.operators.describe import assess, class_distribution, describe_features
 from plumbline.operators.reliability import ALPHA, reliability, simplex_grid
-from plumbline.operators.views import finite_features, melt_views, to_views, with_quality
+from plumbline.operators.views import melt_views, to_views, with_quality
 from plumbline.plans import bindings as B
 from plumbline.plans.bindings import DOCUMENT_VIEWS, EVENT_CLASSES, EVENT_VIEWS, LINE_DATASETS, LINE_VIEWS
 from plumbline.session import fresh_path, stage

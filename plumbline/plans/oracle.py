@@ -12,7 +12,6 @@ from plumbline.plans.bindings import (
     DOCUMENT_VIEWS,
     EVENT_CLASSES,
     EVENT_VIEWS,
-    LINE_DATASETS,
     LINE_VIEWS,
 )
 from plumbline.plans.catalog import (

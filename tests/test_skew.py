@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.joins import salted_lookup
 from plumbline.operators.ranking import bracket_columns, exact_quantiles, with_hash_rank
-from plumbline.operators.splits import assign_folds, stratified_split
+from plumbline.operators.splits import assign_folds, assign_split, stratified_split
 from plumbline.operators.temporal import with_gap
 
 
@@ -51,6 +51,14 @@ def test_hash_rank_equals_row_number(spark, digits):
     }
 
 
+def test_hash_split_fractions_and_seed(spark):
+    keys = spark.range(20_000)
+    first = assign_split(keys, "id").groupBy("split").count().toPandas().set_index("split")["count"] / 20_000
+    assert abs(first["train"] - 0.6) < 0.02 and abs(first["test"] - 0.2) < 0.02
+    both = assign_split(keys, "id").join(assign_split(keys, "id", seed=7).withColumnRenamed("split", "other"), "id")
+    assert both.where("split = other").count() < 0.6 * 20_000
+
+
 def test_stratified_split_shares(spark):
     df = spark.range(1000).select("id", F.when(F.col("id") < 900, "a").otherwise("b").alias("c"))
     counts = {
