@@ -105,6 +105,11 @@ def ablate(
     return metrics(scored, ["variant"], theta_tick)
 
 
+def degradation_draw(seed: object, view: Column, key: str = "record_id") -> Column:
+    """Number in [0, 1000) that decides from which rate on a record's view is hit."""
+    return hash_bucket(seed, view, key, buckets=1000)
+
+
 def degrade(
     df: DataFrame,
     spec: ViewSpec,
@@ -114,14 +119,18 @@ def degrade(
     key: str = "record_id",
     mode: str = "drop",
     scale: Mapping[str, Column] | None = None,
+    draw: Column | None = None,
 ) -> DataFrame:
     """Drop or perturb a view's features for a share ``rate`` of the records.
 
     Which records are hit depends only on seed, view and key, so the records hit
     at a low rate are hit at every higher one; 0 leaves all, 1 hits all. Noise
-    is uniform in ``[-scale, scale]``.
+    is uniform in ``[-scale, scale]``. ``draw`` is the result of ``degradation_draw``
+    where the caller has it already.
     """
-    df = df.withColumn("_hit", hash_bucket(seed, view, key, buckets=1000) < rate * 1000)
+    if draw is None:
+        draw = degradation_draw(seed, view, key)
+    df = df.withColumn("_hit", draw < rate * 1000)
     changed = {}
     for v, fs in spec.views.items():
         for f in fs:
@@ -151,24 +160,16 @@ def degradation_curve(
     rates: tuple[float, ...] = RATES,
 ) -> DataFrame:
     """Both fusions under every (view, rate), and the loss against rate 0."""
-    scenarios = F.array(
-        *[
-            F.struct(F.lit(v).alias("view"), F.lit(float(r)).alias("rate"))
-            for v in spec.names
-            for r in rates
-        ]
-    )
-    hit = degrade(
-        test.withColumn("_d", F.explode(scenarios)), spec, F.col("_d.view"), F.col("_d.rate"), seed
+    # One draw per record and view serves all rates.
+    drawn = test.withColumn("view", F.explode(F.array(*[F.lit(v) for v in spec.names]))).withColumn(
+        "_draw", degradation_draw(seed, F.col("view"))
     )
+    spread = drawn.withColumn("rate", F.explode(F.array(*[F.lit(float(r)) for r in rates])))
+    hit = degrade(spread, spec, F.col("view"), F.col("rate"), seed, draw=F.col("_draw"))
     scored = with_quality(with_scores(hit, spec, constants), spec)
     scored = fuse(scored, spec, g, alpha)
     variants = {"unweighted": unweighted(spec), "reliability": F.col("s")}
-    long = score_variants(
-        scored.withColumns({"view": F.col("_d.view"), "rate": F.col("_d.rate")}),
-        variants,
-        ["y", theta_tick, "view", "rate"],
-    )
+    long = score_variants(scored, variants, ["y", theta_tick, "view", "rate"])
     per_rate = metrics(long, ["variant", "view", "rate"], theta_tick)
     # One row per declared variant, view and rate is left here.
     clean = Window.partitionBy("variant", "view").orderBy("rate")
