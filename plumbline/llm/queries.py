@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import mixing, sharding
+from plumbline.llm import fingerprints, mixing, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.select("doc_id", (F.col("quality") * 1.5 + 0.5).alias("weight"))
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(documents(spark, sf_dir))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir), quality_weights(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -36,5 +40,5 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op7_sharding)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op4_mixing, op7_sharding)}
 ORACLE: dict[str, str] = {}
