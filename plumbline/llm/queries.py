@@ -5,13 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import fingerprints, mixing, packing, sharding
+from plumbline.llm import fingerprints, mixing, packing, secrets, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source stands for an owner, its documents in one language for a repository."""
+    found = secrets.scan(
+        documents(spark, sf_dir), repo=F.struct("source", "lang"), owner=F.col("source")
+    )
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+        F.col("live").alias("n_live"),
+        F.col("copied").alias("n_copied"),
+    )
+
+
 def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampling weights from the quality labels: 2 for good, 1/2 for poor, 1 without a label."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -50,5 +68,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op4_mixing, op7_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_secrets, op4_mixing, op7_sharding, op10_packing)}
 ORACLE: dict[str, str] = {}
