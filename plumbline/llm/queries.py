@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import fingerprints, licenses, mixing, packing, secrets, sharding
+from plumbline.llm import fingerprints, licenses, mixing, packing, secrets, sharding, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,23 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def toxicity_lexicon(docs: DataFrame, sf_dir: str) -> toxicity.Lexicon:
+    labels = docs.sparkSession.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.fit(toxicity.training_rows(docs, labels))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity_lexicon(docs, sf_dir))
+    return scored.select(
+        "doc_id",
+        F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        "hits",
+    )
+
+
 def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampling weights from the quality labels: 2 for good, 1/2 for poor, 1 without a label."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -72,5 +89,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_secrets, op4_mixing, op7_sharding, op9_licenses, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_secrets, op3_toxicity, op4_mixing, op7_sharding, op9_licenses, op10_packing)}
 ORACLE: dict[str, str] = {}
