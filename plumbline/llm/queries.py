@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import fingerprints, licenses, mixing, packing, secrets, sharding, toxicity
+from plumbline.llm import fingerprints, licenses, mixing, neighbours, packing, secrets, sharding, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).drop("blocks")
 
@@ -89,5 +94,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_secrets, op3_toxicity, op4_mixing, op7_sharding, op9_licenses, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_secrets, op3_toxicity, op4_mixing, op7_sharding, op8_neighbours, op9_licenses, op10_packing)}
 ORACLE: dict[str, str] = {}
