@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import fingerprints, licenses, mixing, neighbours, packing, secrets, sharding, toxicity
+from plumbline.llm import fingerprints, licenses, mixing, neighbours, ngramjoin, packing, secrets, sharding, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).drop("blocks")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.similar(documents(spark, sf_dir))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -94,5 +98,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_secrets, op3_toxicity, op4_mixing, op7_sharding, op8_neighbours, op9_licenses, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_secrets, op3_toxicity, op4_mixing, op6_ngram_join, op7_sharding, op8_neighbours, op9_licenses, op10_packing)}
 ORACLE: dict[str, str] = {}
