@@ -24,7 +24,6 @@ import os
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.words import chunks
+from plumbline.llm.words import BLANK, Words, chunks
 from plumbline.session import configure
 
 #: Context sizes, longest first; token that ends a document.
 TIERS, END = (2048, 1024, 512, 256), 1
 #: Tokens packed at once, and tokens of a step group.
 PORTION, STEP_TOKENS = 2_000_000, 65_536
-#: Entries of a task's memo of encoded strings; it is emptied when full.
+#: Entries of each half of a task's memo of encoded words.
 MEMO = 400_000
 
 
@@ -47,8 +46,9 @@ class Encoder:
     """Token ids of texts, as little-endian 32-bit bytes.
 
     The vocabulary drops white space and never joins across it, so a text's ids are those
-    of its parts between blanks and newlines. Parts recur, so each is encoded once. Texts
-    with the string of a special token are encoded whole.
+    of its parts between blanks and newlines, in either case of ASCII letters. Parts recur,
+    so each is encoded once and found by a 64-bit hash. Texts with the string of a special
+    token are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -57,20 +57,38 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set(chain.from_iterable(parts)) - self.memo.keys())
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list(set(chain.from_iterable(parts)))
-        self.memo.update(zip(new, self.encode(new)))
-        out = [b"".join(map(self.memo.__getitem__, p)) for p in parts]
+        w = Words(texts, BLANK)
+        distinct, sample, nth = np.unique(w.hashes, return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        if len(self.memo) > MEMO:  # what is still in use comes back from the older half
+            self.older, self.memo = self.memo, {}
+        memo = self.memo
+        new = [i for i, k in enumerate(keys) if k not in memo]
+        kept = [i for i in new if keys[i] in self.older]
+        memo.update((keys[i], self.older[keys[i]]) for i in kept)
+        new = sorted(set(new).difference(kept)) if kept else new
+        at = sample[new]
+        parts = [w.bytes[s:e].decode() for s, e in zip(w.starts[at].tolist(), w.ends[at].tolist())]
+        memo.update(zip([keys[i] for i in new], self.encode(parts)))
+        known = list(map(memo.__getitem__, keys))
+        ids = np.frombuffer(b"".join(known), dtype="<u4")
+        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        begins = np.cumsum(sizes) - sizes
+        # Ids of all words in a row: each word's run begins at its place among the distinct ones.
+        run = sizes[nth]
+        ends = np.cumsum(run)
+        place = np.arange(int(run.sum())) + np.repeat(begins[nth] - (ends - run), run)
+        data = ids[place].tobytes()
+        bounds = np.concatenate([[0], ends])[w.first].tolist()
+        out = [data[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:])]
         for i, t in enumerate(texts):
             if "<" in t and any(s in t for s in self.special):
                 out[i] = self.encode([t])[0]

@@ -49,6 +49,8 @@ _SHIFT = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+BLANK = np.zeros(256, dtype=bool)
+BLANK[[0x20, 0x0A]] = True
 #: Everything of ASCII but digits and letters.
 NON_WORD = np.ones(256, dtype=bool)
 NON_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -66,31 +68,40 @@ def chunks(texts: list[str], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+class Words:
+    """Words of texts: bytes of all texts, starts, ends and hashes of the words, and where
+    each text's words begin among them (``first``, one more than texts)."""
+
+    def __init__(self, texts: list[str], separators: np.ndarray):
+        raw = [t.encode() for t in texts]
+        self.bytes = b"\n".join(raw) + b"\n"
+        data = np.frombuffer(self.bytes, dtype=np.uint8)
+        apart = separators[data]
+        edge = np.empty(len(data), dtype=bool)
+        edge[0] = not apart[0]
+        np.not_equal(apart[1:], apart[:-1], out=edge[1:])
+        at = np.flatnonzero(edge)
+        self.starts, self.ends = at[::2], at[1::2]
+        self.hashes = np.empty(len(self.starts), dtype=np.uint64)
+        i = 0
+        while i < len(self.starts):
+            low = self.starts[i]
+            j = max(i + 1, int(np.searchsorted(self.ends, low + PIECE, "right")))
+            piece = _VALUES[data[low : self.ends[j - 1]]]
+            up, down = _power_tables(max(PIECE, len(piece)))
+            total = np.cumsum(piece * up[: len(piece)])
+            s, e = self.starts[i:j] - low, self.ends[i:j] - low
+            before = np.where(s > 0, total[s - 1], np.uint64(0))
+            self.hashes[i:j] = mix((total[e - 1] - before) * down[s])
+            i = j
+        begins = np.zeros(len(texts) + 1, dtype=np.int64)
+        np.cumsum([len(r) + 1 for r in raw], out=begins[1:])
+        self.first = np.searchsorted(self.starts, begins)
+
+
 def word_hashes(texts: list[str], separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and where each text's words begin among them (one more than texts)."""
-    raw = [t.encode() for t in texts]
-    data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
-    apart = separators[data]
-    edge = np.empty(len(data), dtype=bool)
-    edge[0] = not apart[0]
-    np.not_equal(apart[1:], apart[:-1], out=edge[1:])
-    at = np.flatnonzero(edge)
-    starts, ends = at[::2], at[1::2]
-    out = np.empty(len(starts), dtype=np.uint64)
-    i = 0
-    while i < len(starts):
-        low = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, low + PIECE, "right")))
-        piece = _VALUES[data[low : ends[j - 1]]]
-        up, down = _power_tables(max(PIECE, len(piece)))
-        total = np.cumsum(piece * up[: len(piece)])
-        s, e = starts[i:j] - low, ends[i:j] - low
-        before = np.where(s > 0, total[s - 1], np.uint64(0))
-        out[i:j] = mix((total[e - 1] - before) * down[s])
-        i = j
-    begins = np.zeros(len(texts) + 1, dtype=np.int64)
-    np.cumsum([len(r) + 1 for r in raw], out=begins[1:])
-    return out, np.searchsorted(starts, begins)
+    w = Words(texts, separators)
+    return w.hashes, w.first
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
