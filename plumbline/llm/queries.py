@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import fingerprints, licenses, mixing, neighbours, ngramjoin, packing, secrets, sharding, toxicity
+from plumbline.llm import fingerprints, licenses, linededup, mixing, neighbours, ngramjoin, packing, secrets, sharding, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,14 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).drop("blocks")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(documents(spark, sf_dir), dropped="n_dropped")
+    n_lines = F.size(F.split("text", "\n", -1)).cast("long") + F.col("n_dropped")
+    return kept.select(
+        "doc_id", F.coalesce(n_lines, F.lit(0)).alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), "text"
+    )
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.similar(documents(spark, sf_dir))
 
@@ -98,5 +106,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_secrets, op3_toxicity, op4_mixing, op6_ngram_join, op7_sharding, op8_neighbours, op9_licenses, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_fingerprints,
+        op2_secrets,
+        op3_toxicity,
+        op4_mixing,
+        op5_line_dedup,
+        op6_ngram_join,
+        op7_sharding,
+        op8_neighbours,
+        op9_licenses,
+        op10_packing,
+    )
+}
 ORACLE: dict[str, str] = {}

@@ -211,7 +211,7 @@ def fit(labelled: DataFrame, exceptions: Iterable[str] = EXCEPTIONS, fit_rows: i
 
 def matched(rows: DataFrame, lexicon: Lexicon, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` with total, hits, words and score of each row's text."""
-    picked = rows.select(*keep, F.col(text).alias("_text"))
+    picked = rows.select(*keep, F.col(text).alias("_matched"))
     kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,6 +231,18 @@ def matched(rows: DataFrame, lexicon: Lexicon, keep: list[str], text: str = "tex
     return picked.mapInArrow(run, ", ".join([*kinds, "total double", "hits long", "words long", "score double"]))
 
 
+def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score under ``threshold``, all columns as they are."""
+    configure(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.array([lexicon.match(t) for t in b.column(text).to_pylist()], float).reshape(-1, 3)
+            yield b.filter(pa.array(lexicon.score(found) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled documents that are not held out; of several labels of a document the largest counts."""
     own = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
