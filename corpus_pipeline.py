@@ -26,12 +26,11 @@ def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document that names it stays."""
+    """Of each component of near copies the document that names it stays, with all its rows."""
     named = ngramjoin.similar(docs)
-    stays = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.alias("d").join(
-        stays.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left_semi"
-    )
+    goes = named.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    goes = stage(goes, "near_copies").alias("g")
+    return docs.alias("d").join(goes, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -164,24 +164,17 @@ def mix(
     )
 
 
-def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """``docs`` as often as ``mixed`` takes them; rows of one doc_id are told apart by nothing else.
+def take(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, each as often as ``mixed`` takes it.
 
-    Keys that occur in several rows are joined by their number within the key.
+    Repeated rows (one doc_id and size) are taken alike: each as often as they are taken
+    on average, rounded.
     """
-    nth = Window.partitionBy("doc_id").orderBy("size")
-    counted = mixed.where(F.col("copies") > 0).select(
-        "doc_id", "copies", "size", F.row_number().over(nth).alias("_nth")
+    copies = mixed.groupBy("doc_id", "size").agg(F.round(F.avg("copies")).cast("int").alias("copies"))
+    m, d = copies.where("copies > 0").alias("m"), docs.alias("d")
+    same = F.col(f"d.{key}").eqNullSafe(F.col("m.doc_id")) & (size_in_words(F.col(f"d.{text}")) == F.col("m.size"))
+    taken = d.join(m, same).select(
+        F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("_row"),
+        F.explode(F.array_repeat(F.lit(1), F.col("m.copies"))).alias("_one"),
     )
-    names = docs.columns
-    numbered = docs.withColumn("_size", size_in_words(F.col("text")))
-    numbered = numbered.withColumn(
-        "_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("_size"))
-    )
-    joined = numbered.alias("d").join(
-        counted.alias("m"),
-        F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d._nth") == F.col("m._nth")),
-    )
-    return joined.select(*[F.col(f"d.{c}") for c in names], F.col("m.copies").alias("_copies")).select(
-        *names, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")
-    ).select(*names)
+    return taken.select("_row.*")
