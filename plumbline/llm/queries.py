@@ -32,7 +32,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_lexicon(docs: DataFrame, sf_dir: str) -> toxicity.Lexicon:
     labels = docs.sparkSession.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.fit(toxicity.training_rows(docs, labels))
+    return toxicity.fit(docs, labels)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,18 +163,31 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float =
     return tuple(beta.tolist())
 
 
-def fit(labelled: DataFrame, exceptions: Iterable[str] = EXCEPTIONS, fit_rows: int = FIT_ROWS) -> Lexicon:
-    """Learns from ``labelled``: doc_id, text, toxic (0 or 1)."""
-    spark = labelled.sparkSession
-    sizes = {r["toxic"]: r["n"] for r in labelled.where("toxic in (0, 1)").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(sizes) < 2:
-        return Lexicon({}, exceptions)
+def fit_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, dict[int, int]]:
+    """Texts with their labels for the fit, and how many labels each class has.
+
+    Labels of held-out documents are not used; of several labels of a document the largest
+    counts. Rows are drawn from the labels alone, so that the table that meets the texts
+    has no more than ``fit_rows`` rows a class and can go to every task.
+    """
+    own = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
+    own = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    sizes = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) / F.lit(1e6)
-    rate = F.when(F.col("toxic") == 1, fit_rows / sizes[1]).otherwise(fit_rows / sizes[0])
+    rate = F.when(F.col("toxic") == 1, fit_rows / sizes.get(1, 1)).otherwise(fit_rows / sizes.get(0, 1))
     part = (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3)) == 0).cast("int")
-    used = labelled.where(F.col("toxic").isin(0, 1) & (draw < rate))
+    drawn = own.where(draw < rate).withColumn("part", part)
+    used = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
     used = used.dropDuplicates(["text", "toxic"])  # copies are no further evidence
-    used = stage(used.select("text", F.col("toxic").cast("int").alias("toxic"), part.alias("part")), "toxic_fit")
+    return stage(used.select("text", "toxic", "part"), "toxic_fit"), sizes
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, exceptions: Iterable[str] = EXCEPTIONS, fit_rows: int = FIT_ROWS
+) -> Lexicon:
+    """Learns from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic: 0 or 1)."""
+    configure(docs.sparkSession)
+    used, sizes = fit_sample(docs, labels, fit_rows)
     counts = _count_terms(used.where("part = 0"))
     have = {r["toxic"]: r["n"] for r in used.where("part = 0").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(have) < 2:
@@ -243,13 +256,6 @@ def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOL
     return docs.mapInArrow(run, docs.schema)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled documents that are not held out; of several labels of a document the largest counts."""
-    own = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(own, "doc_id")
-
-
 def score(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score, hits and words of every row."""
     configure(docs.sparkSession)
