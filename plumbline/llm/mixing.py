@@ -120,7 +120,7 @@ def mix(
     sources = targets(sources, weights, most).withColumn(
         "tag", F.when(F.col("name").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("name")))
     )
-    epochs = F.floor(F.col("target") / F.col("source_size"))
+    epochs = F.floor(F.try_divide("target", "source_size"))
     sources = sources.select(
         "tag",
         "source_size",
