@@ -57,7 +57,7 @@ class Tree:
     def _build(self, lifted, begin, end, leaf):
         if end - begin <= leaf:
             return (begin, end, None, 0.0, None, None)
-        at = self.order[begin:end]
+        at = self.order[begin:end].copy()
         # Of a few points spread over the range, the one whose distances vary most.
         some = at[:: max(1, len(at) // 8)][:8]
         away = [np.sqrt(((lifted[at] - lifted[s]) ** 2).sum(axis=1)) for s in some]
