@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
@@ -49,6 +49,8 @@ BITS, PORTION, MOST_TEXTS, BUCKET = 48, 2_000_000, 60_000, 3_000_000
 LONG, LAST = 32, 255
 #: Postings that one task searches at once, about.
 CLUSTER = 4_000_000
+#: Parts of an entry's list.
+PARTS = 16
 #: Bytes of text for each shingle, at a guess; only the number of buckets depends on it.
 TEXT_BYTES = 6
 
@@ -374,26 +376,33 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     texts = told.where("keys is null").select("doc_id", "node", F.col("n").alias("n_shingles"))
     sets = told.where("keys is not null")
     entries = sets.select("node", F.explode("entries").alias("key"))
-    heads = entries.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
-    near = salted_lookup(entries, stage(heads.select("key", "head"), "ngram_heads"), "key", "node")
-    clusters = components(near.where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")))
-    members = sets.select("node", "n", "keys").join(clusters.withColumnRenamed("component", "cluster"), "node")
-    weights = members.groupBy("cluster").agg(F.sum(F.size("keys")).alias("postings"))
-    members = stage(members, "ngram_members")
-    weights = stage(weights, "ngram_weights")
-    parts = max(1, -(-(weights.agg(F.sum("postings")).first()[0] or 0) // CLUSTER))
-    blocks = F.ceil(F.col("postings") / F.lit(CLUSTER // 2)).cast("int")
-    members = salted_lookup(members, weights.withColumn("blocks", blocks), "cluster", "node")
+    # Nodes of one entry are tied to the least of their part of its list, and these to each
+    # other: an entry of very many nodes meets in parts only.
+    part = F.pmod(F.xxhash64("node"), F.lit(PARTS))
+    low = F.min("node").over(Window.partitionBy("key", part))
+    parts = entries.select("key", "node", low.alias("low"))
+    lows = parts.select("key", "low").distinct()
+    lows = lows.select(F.min("low").over(Window.partitionBy("key")).alias("a"), F.col("low").alias("b"))
+    clusters = components(parts.select(F.col("low").alias("a"), F.col("node").alias("b")).unionAll(lows))
+    sizes = sets.select("node", F.size("keys").alias("size")).join(
+        clusters.withColumnRenamed("component", "cluster"), "node"
+    )
+    sizes = stage(sizes, "ngram_members")
+    weights = stage(sizes.groupBy("cluster").agg(F.sum("size").alias("postings")), "ngram_weights")
+    tasks = max(1, -(-(weights.agg(F.sum("postings")).first()[0] or 0) // CLUSTER))
+    members = salted_lookup(sizes.drop("size"), weights, "cluster", "node")
+    members = members.withColumn("blocks", F.ceil(F.col("postings") / F.lit(CLUSTER // 2)).cast("int"))
     # Clusters up to the bound share tasks; a larger one is searched as pairs of its blocks.
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("postings") > CLUSTER, F.col("blocks") - 1).otherwise(0)))
-    dealt = members.select("*", own.alias("own"), other.alias("other"))
+    dealt = members.select("*", own.alias("own")).select("*", other.alias("other"))
     pair = F.when(
         F.col("postings") > CLUSTER,
         F.concat_ws(":", "cluster", F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string")),
-    ).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(parts)).cast("string"))
+    ).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(tasks)).cast("string"))
     links = (
-        dealt.select(pair.alias("task"), "cluster", "node", "n", "keys")
+        dealt.select(pair.alias("task"), "cluster", "node")
+        .join(sets.select("node", "n", "keys"), "node")
         .groupBy("task")
         .applyInArrow(_search, "a long, b long")
     )
@@ -402,8 +411,8 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     named = ids.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = stage(named.join(least, "component").select("node", "component_id"), "ngram_names")
-    out = salted_lookup(texts, named, "node", "doc_id")
-    return out.select(
+    # A node of very many copies is split by the adaptive skew join.
+    return texts.join(named, "node").select(
         "doc_id",
         F.col("n_shingles").cast("long").alias("n_shingles"),
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
