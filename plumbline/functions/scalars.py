@@ -7,10 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Scores are compared on a grid of one millionth, so that the last bits of a sum
-# decide nothing and a score histogram has at most TICKS + 1 rows per group.
-TICKS = 1_000_000
-
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -39,10 +35,6 @@ def micros(c: str | Column) -> Column:
     return F.unix_micros(col(c).cast("timestamp"))
 
 
-def ticks(score: str | Column) -> Column:
-    return F.floor(col(score) * F.lit(float(TICKS)) + F.lit(0.5))
-
-
 def total(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, cols)
 

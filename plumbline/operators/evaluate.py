@@ -1,8 +1,9 @@
 """Evaluation utilities (E1-E3) and the decision threshold (M3).
 
-Ranking metrics start from a histogram of scores. Its resolution bounds the rows
-per group, after the partial aggregate of each task and again after the shuffle,
-and the running sum reads only that histogram. Scores in one bin count as tied.
+Ranking is exact: every distinct score counts. Scores are counted by a partial
+aggregate, ranked inside cells of the score range, and the cells are chained by
+running sums, so that no task sorts a whole group. A record without a score was
+not detected: it ranks below every score and no threshold reaches it.
 """
 
 from __future__ import annotations
@@ -10,11 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import TICKS, ticks
-
-# Bins when many variants are compared in one pass: few enough that every task
-# shrinks its rows to variants x bins before the shuffle.
-COMPARE_BINS = 10_000
+# Cells of [0, 1]: at most so many rows per group in the running sum over cells.
+CELLS = 1 << 20
+# Stands for a missing score; scores are probabilities.
+UNSCORED = -1.0
 
 
 def confusion(df: DataFrame, y: str = "y", pred: str = "pred", by: list[str] = ()) -> DataFrame:
@@ -45,32 +45,35 @@ def rates(counts: DataFrame) -> DataFrame:
     )
 
 
-def score_bin(score: str = "s", bins: int = TICKS) -> Column:
-    return F.floor(ticks(score) / F.lit(TICKS // bins))
-
-
-def _scored(df: DataFrame, score: str, y: str) -> DataFrame:
-    return df.where(F.col(score).isNotNull() & F.col(y).isNotNull())
-
-
 def _counted(cond: Column) -> Column:
     return F.count(F.when(cond, 1))
 
 
 def score_histogram(
-    df: DataFrame, by: list[str], score: str = "s", y: str = "y", bins: int = TICKS, also: list[Column] = ()
+    df: DataFrame, by: list[str], score: str = "s", y: str = "y", also: list[Column] = ()
 ) -> DataFrame:
+    """Positive and negative records per group and distinct score ``_s``, with its ``_cell``."""
+    s = F.coalesce(F.col(score), F.lit(UNSCORED))
     return (
-        _scored(df, score, y)
-        .groupBy(*by, score_bin(score, bins).alias("bin"))
+        df.where(F.col(y).isNotNull())
+        .groupBy(*by, F.floor(s * CELLS).alias("_cell"), s.alias("_s"))
         .agg(_counted(F.col(y) == 1).alias("pos"), _counted(F.col(y) == 0).alias("neg"), *also)
     )
 
 
-def _ranked(hist: DataFrame, by: list[str]) -> DataFrame:
-    upward = Window.partitionBy(*by).orderBy("bin")
-    below = F.sum("neg").over(upward) - F.col("neg")
-    return hist.withColumn("_wins", F.col("pos").cast("double") * (below + F.col("neg") / 2))
+def _ranked(hist: DataFrame, by: list[str], sums: list[str] = ()) -> DataFrame:
+    """Cells with the pairs they win (``_wins``: a positive above a negative is one, a tie a half)."""
+    inside = Window.partitionBy(*by, "_cell").orderBy("_s")
+    below = F.sum("neg").over(inside) - F.col("neg")
+    cells = (
+        hist.withColumn("_wins", F.col("pos").cast("double") * (below + F.col("neg") / 2))
+        .groupBy(*by, "_cell")
+        .agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "_wins", *sums)])
+    )
+    lower = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    return cells.withColumn(
+        "_wins", F.col("_wins") + F.col("pos").cast("double") * F.coalesce(F.sum("neg").over(lower), F.lit(0))
+    )
 
 
 def _auc() -> Column:
@@ -78,100 +81,97 @@ def _auc() -> Column:
     return F.try_divide(F.sum("_wins"), both)
 
 
-def auc(
-    df: DataFrame, by: list[str] = (), score: str = "s", y: str = "y", bins: int = TICKS
-) -> DataFrame:
+def auc(df: DataFrame, by: list[str] = (), score: str = "s", y: str = "y") -> DataFrame:
     """Area under the ROC curve; tied scores count one half."""
-    hist = score_histogram(df, list(by), score, y, bins)
+    hist = score_histogram(df, list(by), score, y)
     return _ranked(hist, list(by)).groupBy(*by).agg(_auc().alias("auc"))
 
 
 def metrics(
-    df: DataFrame,
-    by: list[str],
-    theta_tick: str = "theta_tick",
-    score: str = "s",
-    y: str = "y",
-    bins: int = COMPARE_BINS,
+    df: DataFrame, by: list[str], theta: str = "theta", score: str = "s", y: str = "y"
 ) -> DataFrame:
-    """Counts, rates, AUC and Brier score per group from one pass and one shuffle.
+    """Counts, rates, AUC and Brier score per group; the threshold is a column.
 
-    Counts and Brier score use the score itself; only the AUC uses ``bins``. The
-    threshold is a column, in millionths.
+    A record without a score counts as not detected, and in ``n_unscored``. The
+    Brier score is that of the scored records.
     """
-    hit = ticks(score) >= F.col(theta_tick)
+    hit = F.coalesce(F.col(score) >= F.col(theta), F.lit(False))
     miss = F.col(score) - F.col(y)
     hist = score_histogram(
         df,
         by,
         score,
         y,
-        bins,
         [
             _counted((F.col(y) == 1) & hit).alias("tp"),
             _counted((F.col(y) == 0) & hit).alias("fp"),
             F.sum(miss * miss).alias("_sse"),
+            _counted(F.col(score).isNull()).alias("n_unscored"),
         ],
     )
+    n = F.sum(F.col("pos") + F.col("neg"))
     counts = (
-        _ranked(hist, by)
+        _ranked(hist, by, ["tp", "fp", "_sse", "n_unscored"])
         .groupBy(*by)
         .agg(
-            F.sum(F.col("pos") + F.col("neg")).alias("n"),
+            n.alias("n"),
+            F.sum("n_unscored").alias("n_unscored"),
             F.sum("tp").alias("tp"),
             F.sum("fp").alias("fp"),
             F.sum(F.col("neg") - F.col("fp")).alias("tn"),
             F.sum(F.col("pos") - F.col("tp")).alias("fn"),
             _auc().alias("auc"),
-            F.try_divide(F.sum("_sse"), F.sum(F.col("pos") + F.col("neg"))).alias("brier"),
+            F.try_divide(F.sum("_sse"), n - F.sum("n_unscored")).alias("brier"),
         )
     )
     return rates(counts)
 
 
 def fit_threshold(
-    val: DataFrame,
-    by: list[str] = (),
-    score: str = "s",
-    y: str = "y",
-    steps: int = 100,
-    metric: str = "youden",
+    val: DataFrame, by: list[str] = (), score: str = "s", y: str = "y", metric: str = "youden"
 ) -> DataFrame:
-    """M3: the threshold ``bin/steps`` that is best on validation rows.
+    """M3: the score that is the best threshold on validation rows.
 
-    Scores are counted per bin, so every threshold is tried from at most
-    ``steps + 1`` rows per group. Candidates are the edges of occupied bins; a
-    tie goes to the lowest.
+    Every distinct score is a candidate. Counts above a cell come from running
+    sums over cells, those inside it from a window over the cell; a tie goes to
+    the lowest score.
     """
-    width = TICKS // steps
-    bins = score_histogram(val, list(by), score, y, steps).select(
-        *by, F.col("bin").alias("_bin"), F.col("pos").alias("_pos"), F.col("neg").alias("_neg")
-    )
-    # Without groups this is one window, over that one histogram.
-    down = Window.partitionBy(*by).orderBy(F.col("_bin").desc())
+    by = list(by)
+    hist = score_histogram(val, by, score, y)
+    cells = hist.groupBy(*by, "_cell").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    higher = Window.partitionBy(*by).orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
-    tp, fp = F.sum("_pos").over(down), F.sum("_neg").over(down)
-    pos, neg = F.sum("_pos").over(whole), F.sum("_neg").over(whole)
+    above = cells.select(
+        *[F.col(c).alias(f"_by{j}") for j, c in enumerate(by)],
+        F.col("_cell").alias("_at"),
+        F.coalesce(F.sum("_p").over(higher), F.lit(0)).alias("_p_above"),
+        F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_n_above"),
+        F.sum("_p").over(whole).alias("_p_all"),
+        F.sum("_n").over(whole).alias("_n_all"),
+    )
+    same = F.col("_cell") == F.col("_at")
+    for j, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{j}"))
+    down = Window.partitionBy(*by, "_cell").orderBy(F.desc("_s"))
+    tp = F.col("_p_above") + F.sum("pos").over(down)
+    fp = F.col("_n_above") + F.sum("neg").over(down)
+    pos, neg = F.col("_p_all"), F.col("_n_all")
     if metric == "youden":
         value = F.try_divide(tp, pos) - F.try_divide(fp, neg)
     elif metric == "f1":
         value = F.try_divide(2 * tp, tp + fp + pos)
     else:
         raise ValueError(f"unknown metric {metric!r}")
-    tried = bins.withColumn("_value", F.coalesce(F.round(value, 9), F.lit(-1.0)))
+    tried = hist.join(above, same).withColumn("_value", F.coalesce(F.round(value, 9), F.lit(-1.0)))
     best = F.min_by(
-        F.struct(F.col("_bin").alias("bin"), F.col("_value").alias("value")),
-        F.struct(-F.col("_value"), F.col("_bin")),
+        F.struct(F.col("_s").alias("theta"), F.col("_value").alias("value")),
+        F.struct(-F.col("_value"), F.col("_s")),
     )
     return (
-        tried.groupBy(*by)
+        tried.where(F.col("_s") >= 0)
+        .groupBy(*by)
         .agg(best.alias("_b"))
-        .select(
-            *by,
-            (F.col("_b.bin") / F.lit(float(steps))).alias("theta"),
-            (F.col("_b.bin") * F.lit(width)).alias("theta_tick"),
-            F.col("_b.value").alias(metric),
-        )
+        .select(*by, F.col("_b.theta").alias("theta"), F.col("_b.value").alias(metric))
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import hash_bucket, total
 from plumbline.operators.evaluate import fit_threshold, metrics
-from plumbline.operators.fusion import fit_view_weights, fuse, fused, unweighted, weight_columns
+from plumbline.operators.fusion import fit_alpha, fit_view_weights, fuse, fused, unweighted, weight_columns
 from plumbline.operators.scoring import (
     fit_view_params,
     merge_fold_params,
@@ -34,6 +34,23 @@ def score_variants(df: DataFrame, variants: Mapping[str, Column], keep: list[str
     return df.select(*keep, F.inline(rows))
 
 
+def with_fitted(df: DataFrame, fitted: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Attach a fitted table of few rows by its keys, without a join.
+
+    ``fitted`` has one row per declared variant, dataset or (repeat, fold). It is
+    one map from keys to values, evaluated once and shipped as a constant: rows of
+    one key never have to meet, whatever the planner thinks of sizes. A group that
+    was not fitted keeps its rows, with nulls.
+    """
+    pairs = F.collect_list(
+        F.struct(F.to_json(F.struct(*keys)).alias("key"), F.struct(*names).alias("value"))
+    )
+    table = fitted.agg(F.map_from_entries(pairs).alias("_m"))
+    row = F.try_element_at(F.col("_m"), F.to_json(F.struct(*keys)))
+    df = df.withColumn("_m", table.scalar()).withColumn("_m", row)
+    return df.withColumns({n: F.col(f"_m.{n}") for n in names}).drop("_m")
+
+
 def standard_variants(spec: ViewSpec) -> dict[str, Column]:
     """Every single view, the plain mean, and the fused score ``s``."""
     return {
@@ -47,9 +64,7 @@ def validate_views(val: DataFrame, test: DataFrame, spec: ViewSpec) -> DataFrame
     """All variants side by side; each threshold comes from validation rows."""
     long = lambda df: score_variants(df, standard_variants(spec), ["y"])
     theta = fit_threshold(long(val), by=["variant"])
-    # One row per declared variant: a fixed, small number.
-    scored = long(test).join(F.broadcast(theta.select("variant", "theta", "theta_tick")), "variant")
-    return metrics(scored, ["variant", "theta"])
+    return metrics(with_fitted(long(test), theta, ["variant"], ["theta"]), ["variant", "theta"])
 
 
 def ablation_variants(spec: ViewSpec) -> list[dict[str, object]]:
@@ -94,15 +109,16 @@ def ablation_scores(
 
 
 def ablate(
+    val: DataFrame,
     test: DataFrame,
     spec: ViewSpec,
     g: dict[str, Column],
     alpha: tuple[Column, Column, Column],
-    theta_tick: str = "theta_tick",
 ) -> DataFrame:
-    """E5: metrics of every component variant on clean rows, in one pass."""
-    scored = ablation_scores(test, spec, g, alpha, ["y", theta_tick])
-    return metrics(scored, ["variant"], theta_tick)
+    """E5: metrics of every component variant on clean rows, each with its own threshold."""
+    long = lambda df: ablation_scores(df, spec, g, alpha, ["y"])
+    theta = fit_threshold(long(val), by=["variant"])
+    return metrics(with_fitted(long(test), theta, ["variant"], ["theta"]), ["variant", "theta"])
 
 
 def degradation_draw(seed: object, view: Column, key: str = "record_id") -> Column:
@@ -154,12 +170,15 @@ def degradation_curve(
     spec: ViewSpec,
     g: dict[str, Column],
     alpha: tuple[object, object, object],
+    theta: DataFrame,
     seed: object,
     constants: str = "_P",
-    theta_tick: str = "theta_tick",
     rates: tuple[float, ...] = RATES,
 ) -> DataFrame:
-    """Both fusions under every (view, rate), and the loss against rate 0."""
+    """Both fusions under every (view, rate), and the loss against rate 0.
+
+    ``theta`` has the threshold of each of the two, fitted on clean validation rows.
+    """
     # One draw per record and view serves all rates.
     drawn = test.withColumn("view", F.explode(F.array(*[F.lit(v) for v in spec.names]))).withColumn(
         "_draw", degradation_draw(seed, F.col("view"))
@@ -169,8 +188,10 @@ def degradation_curve(
     scored = with_quality(with_scores(hit, spec, constants), spec)
     scored = fuse(scored, spec, g, alpha)
     variants = {"unweighted": unweighted(spec), "reliability": F.col("s")}
-    long = score_variants(scored, variants, ["y", theta_tick, "view", "rate"])
-    per_rate = metrics(long, ["variant", "view", "rate"], theta_tick)
+    long = with_fitted(
+        score_variants(scored, variants, ["y", "view", "rate"]), theta, ["variant"], ["theta"]
+    )
+    per_rate = metrics(long, ["variant", "view", "rate"])
     # One row per declared variant, view and rate is left here.
     clean = Window.partitionBy("variant", "view").orderBy("rate")
     return per_rate.withColumns(
@@ -182,58 +203,60 @@ def degradation_curve(
 
 
 def cross_dataset(
-    df: DataFrame,
-    spec: ViewSpec,
-    datasets: list[str],
-    alpha: tuple[object, object, object],
+    df: DataFrame, spec: ViewSpec, datasets: list[str], grid: list[dict[str, float]]
 ) -> DataFrame:
     """Fit everything on one dataset, score the test rows of every other one.
 
     ``df`` has dataset, split, y, i, t and the features. The fitted tables have
-    one row per dataset and are staged: each is computed once, and the planner
-    broadcasts them by their size on disk.
+    one row per dataset and are staged: each is computed once.
     """
-    fit = fit_view_params(df.where(F.col("split") == "train"), spec, by=["dataset"])
-    constants = stage(score_constants(fit, spec, ["dataset"]), "cross_constants")
-    params = constants.select(
-        "dataset", F.struct(*[c for c in constants.columns if c != "dataset"]).alias("_P")
-    )
     keys = ["fit_dataset"]
-
-    def scored(rows: DataFrame) -> DataFrame:
-        side = params.withColumnRenamed("dataset", "fit_dataset")
-        return with_quality(with_scores(rows.join(side, keys), spec), spec)
-
-    val = scored(
-        df.where(F.col("split") == "validation").withColumn("fit_dataset", F.col("dataset"))
-    )
-    weights = stage(fit_view_weights(val, spec, by=keys), "cross_weights")
-    weighed = lambda rows: fuse(rows.join(weights, keys), spec, weight_columns(spec), alpha)
-    theta = stage(fit_threshold(weighed(val), by=keys), "cross_theta")
+    fit = fit_view_params(df.where(F.col("split") == "train"), spec, by=["dataset"])
+    fitted = stage(score_constants(fit, spec, ["dataset"]), "cross_constants").withColumnRenamed("dataset", keys[0])
+    val = df.where(F.col("split") == "validation").withColumn("fit_dataset", F.col("dataset"))
     others = F.explode(F.array_except(F.array(*[F.lit(d) for d in datasets]), F.array("dataset")))
     test = df.where(F.col("split") == "test").withColumn("fit_dataset", others)
-    final = weighed(scored(test)).join(theta, keys)
+    final = _fitted_chain(val, test, fitted, spec, keys, grid, lambda rows: rows.select("*", F.lit("s").alias("variant")))
     return metrics(
         final.withColumnRenamed("dataset", "test_dataset"), ["fit_dataset", "test_dataset", "theta"]
     )
 
 
+def _fitted_chain(val, test, constants, spec, keys, grid, long) -> DataFrame:
+    """Test rows with fused scores and thresholds from weights, coefficients and
+    thresholds that were fitted on the validation rows of the same keys."""
+    names = [c for c in constants.columns if c not in keys]
+    packed = constants.select(*keys, F.struct(*names).alias("_P"))
+    scored = lambda rows: with_quality(with_scores(with_fitted(rows, packed, keys, ["_P"]), spec).drop("_P"), spec)
+    g = [f"g_{v}" for v in spec.names]
+    weights = stage(fit_view_weights(scored(val), spec, by=keys), "fitted_weights")
+    weighed = lambda rows: with_fitted(scored(rows), weights, keys, g)
+    boxed = weighed(val).withColumn("_G", F.struct(*g))
+    alpha = stage(fit_alpha(boxed, spec, grid, by=keys), "fitted_alpha")
+    a = ["a_i", "a_q", "a_t"]
+    final = lambda rows: long(
+        fuse(with_fitted(weighed(rows), alpha, keys, a), spec, weight_columns(spec), tuple(F.col(n) for n in a))
+    )
+    theta = stage(fit_threshold(final(val), by=[*keys, "variant"]), "fitted_theta")
+    return with_fitted(final(test), theta, [*keys, "variant"], ["theta"])
+
+
 def cv_scores(
     df: DataFrame,
     folds: DataFrame,
     spec: ViewSpec,
     k: int,
-    alpha: tuple[object, object, object],
+    grid: list[dict[str, float]],
     key: str = "record_id",
 ) -> DataFrame:
     """Metrics of every variant, repeat and fold.
 
-    Model f is tested on fold f, takes weights and thresholds from the next fold
-    and is trained on the rest, so no number it uses has seen its test rows. Per
+    Model f is tested on fold f, takes weights, coefficients and thresholds from
+    the next fold and is trained on the rest, so no number it uses has seen its test rows. Per
     fold class statistics are computed once and merged into the k models; rows
     are never copied per model. A record is stored once with its fold of every
     repeat and is spread over the repeats while it is read. Fitted tables have
-    repeats * k rows and are staged, so the planner broadcasts them by size.
+    repeats * k rows and are attached as one map each.
     """
     assigned = folds.groupBy(key).agg(F.collect_list(F.struct("repeat", "fold")).alias("_in"))
     records = stage(df.join(assigned, key), "cv_records")
@@ -246,25 +269,10 @@ def cv_scores(
     models = merge_fold_params(per_fold, spec, ["repeat"], "fold", trains, "model_fold")
     keys = ["repeat", "model_fold"]
     constants = stage(score_constants(models, spec, keys), "cv_constants")
-    params = constants.select(
-        *keys, F.struct(*[c for c in constants.columns if c not in keys]).alias("_P")
-    )
-
-    def scored(model: Column) -> DataFrame:
-        cast = rows.withColumn("model_fold", model.cast("int"))
-        return with_quality(with_scores(cast.join(params, keys), spec), spec)
-
-    val = scored(F.pmod(fold + F.lit(k - 1), F.lit(k)))
-    weights = stage(fit_view_weights(val, spec, by=keys), "cv_weights")
-    long = lambda part: score_variants(
-        fuse(part.join(weights, keys), spec, weight_columns(spec), alpha),
-        standard_variants(spec),
-        ["y", *keys],
-    )
-    theta = stage(fit_threshold(long(val), by=[*keys, "variant"]), "cv_theta").select(
-        *keys, "variant", "theta_tick"
-    )
-    test = long(scored(fold)).join(theta, [*keys, "variant"])
+    cast = lambda model: rows.withColumn("model_fold", model.cast("int"))
+    long = lambda part: score_variants(part, standard_variants(spec), ["y", *keys])
+    val = cast(F.pmod(fold + F.lit(k - 1), F.lit(k)))
+    test = _fitted_chain(val, cast(fold), constants, spec, keys, grid, long)
     per_model = metrics(test, ["repeat", "model_fold", "variant"])
     named = F.array(
         *[

@@ -77,14 +77,19 @@ def fuse(df: DataFrame, spec: ViewSpec, g: dict[str, Column], alpha: tuple[objec
     return df.withColumns(evidence_weights(spec, g, alpha)).withColumn("s", fused(spec))
 
 
-def fit_alpha(val: DataFrame, spec: ViewSpec, grid: list[dict[str, float]], g_prefix: str = "_G") -> DataFrame:
+def alpha_columns(prefix: str) -> tuple[Column, Column, Column]:
+    return tuple(F.col(f"{prefix}.{n}") for n in ("a_i", "a_q", "a_t"))
+
+
+def fit_alpha(
+    val: DataFrame, spec: ViewSpec, grid: list[dict[str, float]], g_prefix: str = "_G", by: list[str] = ()
+) -> DataFrame:
     """Reliability coefficients with the lowest Brier score of the fused validation score."""
 
     def with_loss(df: DataFrame) -> DataFrame:
-        alpha = tuple(F.col(f"_cand.{n}") for n in ("a_i", "a_q", "a_t"))
-        df = fuse(df, spec, weight_columns(spec, g_prefix), alpha)
+        df = fuse(df, spec, weight_columns(spec, g_prefix), alpha_columns("_cand"))
         return df.withColumn("_miss", F.col("s") - F.col("y")).withColumn(
             "_loss", F.col("_miss") * F.col("_miss")
         )
 
-    return select_params(val, grid, with_loss)
+    return select_params(val, grid, with_loss, by)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import ticks, total
+from plumbline.functions.scalars import total
 from plumbline.operators.fusion import weight_total, weighted_scores
 from plumbline.operators.reliability import select_params
 from plumbline.spec import ViewSpec
@@ -19,7 +19,7 @@ CONTESTED_SHARE = 0.3
 def reason(
     df: DataFrame,
     spec: ViewSpec,
-    theta_tick: Column,
+    theta: Column,
     score: str = "s",
     contested_share: float = CONTESTED_SHARE,
 ) -> DataFrame:
@@ -32,7 +32,7 @@ def reason(
         {
             "_all": weight_total(spec),
             "_mass": weighted_scores(spec),
-            **{f"_up_{v}": ticks(f"p_{v}") >= theta_tick for v in spec.names},
+            **{f"_up_{v}": F.col(f"p_{v}") >= theta for v in spec.names},
         }
     )
     side = lambda flag: total(
@@ -54,7 +54,7 @@ def reason(
     verdict = (
         F.when(F.col(score).isNull() | (F.col("i") == 0), F.lit("insufficient"))
         .when((F.col("_for") >= least) & (F.col("_against") >= least), F.lit("contested"))
-        .when(ticks(score) >= theta_tick, F.lit("attack"))
+        .when(F.col(score) >= theta, F.lit("attack"))
         .otherwise(F.lit("benign"))
     )
     names = lambda flag: F.array_compact(

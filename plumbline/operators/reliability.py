@@ -35,9 +35,12 @@ def simplex_grid(names: tuple[str, ...], steps: int = 5) -> list[dict[str, float
 
 
 def select_params(
-    val: DataFrame, grid: list[dict[str, float]], with_loss: Callable[[DataFrame], DataFrame]
+    val: DataFrame,
+    grid: list[dict[str, float]],
+    with_loss: Callable[[DataFrame], DataFrame],
+    by: list[str] = (),
 ) -> DataFrame:
-    """The grid point with the lowest mean loss on validation rows, as one row.
+    """The grid point with the lowest mean loss on validation rows, one row per group.
 
     ``with_loss`` adds ``_loss`` to rows that carry a candidate's fields as
     ``_cand.<name>``.
@@ -55,10 +58,9 @@ def select_params(
     )
     means = (
         with_loss(val.withColumn("_cand", F.explode(candidates)))
-        .groupBy("_cand")
+        .groupBy(*by, "_cand")
         .agg(F.avg("_loss").alias("loss"))
     )
     order = F.struct(F.round("loss", 9).alias("loss"), F.col("_cand.grid_id").alias("grid_id"))
-    return means.agg(F.min_by(F.struct("_cand", "loss"), order).alias("_b")).select(
-        "_b._cand.*", "_b.loss"
-    )
+    best = means.groupBy(*by).agg(F.min_by(F.struct("_cand", "loss"), order).alias("_b"))
+    return best.select(*by, "_b._cand.*", "_b.loss")

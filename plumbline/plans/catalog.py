@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.scalars import hash_bucket, micros, ticks, with_scalar
+from plumbline.functions.scalars import hash_bucket, micros, with_scalar
 from plumbline.operators import consolidate as C
 from plumbline.operators import evaluate as E
 from plumbline.operators import experiments as X
@@ -28,6 +28,7 @@ QUERIES: dict[str, Query] = {}
 
 CV_REPEATS, CV_FOLDS = 3, 5
 PERMUTATIONS = 500
+ALPHA_GRID = simplex_grid(("a_i", "a_q", "a_t"))
 
 
 def query(fn: Query) -> Query:
@@ -44,9 +45,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 # ---- fusion -----------------------------------------------------------------
 
 
-def fused_events(evidence: DataFrame, params: DataFrame, weights: DataFrame) -> DataFrame:
+def fused_events(evidence: DataFrame, params: DataFrame, weights: DataFrame, alpha: DataFrame) -> DataFrame:
     scored = with_scalar(scoring.score_views(evidence, EVENT_VIEWS, params), weights, "_G")
-    out = fusion.fuse(scored, EVENT_VIEWS, fusion.weight_columns(EVENT_VIEWS, "_G"), ALPHA)
+    scored = with_scalar(scored, alpha, "_A")
+    out = fusion.fuse(
+        scored, EVENT_VIEWS, fusion.weight_columns(EVENT_VIEWS, "_G"), fusion.alpha_columns("_A")
+    )
     return out.withColumn("s_unweighted", fusion.unweighted(EVENT_VIEWS))
 
 
@@ -56,8 +60,9 @@ def reliability_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidence = B.event_evidence(spark, sf_dir)
     params = scoring.fit_view_params(B.split_rows(evidence, "train"), EVENT_VIEWS)
     val = scoring.score_views(B.split_rows(evidence, "validation"), EVENT_VIEWS, params)
-    weights = fusion.fit_view_weights(val, EVENT_VIEWS)
-    out = fused_events(evidence, params, weights)
+    weights = stage(fusion.fit_view_weights(val, EVENT_VIEWS), "flagship_weights")
+    alpha = fusion.fit_alpha(with_scalar(val, weights, "_G"), EVENT_VIEWS, ALPHA_GRID)
+    out = fused_events(evidence, params, weights, alpha)
     return rounded(out.select("record_id", "split", "y", "s", "s_unweighted"))
 
 
@@ -80,10 +85,9 @@ def view_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = lambda df: melt_views(df, EVENT_VIEWS, ["record_id", "split", "y"], score="p_")
     theta = E.fit_threshold(
         long(B.split_rows(scored, "validation")), by=["view"], score="score"
-    ).select("view", "theta_tick")
-    # One row per declared view.
-    out = long(scored).join(F.broadcast(theta), "view", "left")
-    pred = (ticks("score") >= F.col("theta_tick")).cast("double")
+    )
+    out = X.with_fitted(long(scored), theta, ["view"], ["theta"])
+    pred = (F.col("score") >= F.col("theta")).cast("double")
     return rounded(out.select("record_id", "view", "score", pred.alias("pred")))
 
 
@@ -130,7 +134,7 @@ def reliability_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fitted_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     val = B.split_rows(B.line_scores(spark, sf_dir), "validation")
     val = with_scalar(val, B.line_weights(spark, sf_dir), "_G")
-    return fusion.fit_alpha(val, LINE_VIEWS, simplex_grid(("a_i", "a_q", "a_t")))
+    return fusion.fit_alpha(val, LINE_VIEWS, ALPHA_GRID)
 
 
 @query
@@ -140,24 +144,23 @@ def reliability_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with verdict and confidence parts, from fitted coefficients and threshold."""
-    alpha = B.once(spark, sf_dir, "line_alpha", lambda: fitted_alpha(spark, sf_dir))
-    scored = with_scalar(B.line_scores(spark, sf_dir), B.line_weights(spark, sf_dir), "_G")
-    scored = with_scalar(scored, alpha, "_A")
-    g = fusion.weight_columns(LINE_VIEWS, "_G")
-    rows = fusion.fuse(scored, LINE_VIEWS, g, tuple(F.col(f"_A.{n}") for n in ("a_i", "a_q", "a_t")))
-    theta = B.once(
-        spark, sf_dir, "line_theta", lambda: E.fit_threshold(B.split_rows(rows, "validation"))
+    rows = with_scalar(line_fused(spark, sf_dir), line_theta(spark, sf_dir), "_T")
+    out = reasoning.reason(rows, LINE_VIEWS, F.col("_T.theta"))
+    return reasoning.confidence_parts(
+        out, LINE_VIEWS, fusion.weight_columns(LINE_VIEWS, "_G"), F.col("_T.theta")
     )
-    out = reasoning.reason(with_scalar(rows, theta, "_T"), LINE_VIEWS, F.col("_T.theta_tick"))
-    return reasoning.confidence_parts(out, LINE_VIEWS, g, F.col("_T.theta"))
+
+
+def variant_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.split_rows(line_fused(spark, sf_dir), "validation")
+    long = X.score_variants(rows, X.standard_variants(LINE_VIEWS), ["y"])
+    return B.once(spark, sf_dir, "line_variant_thetas", lambda: E.fit_threshold(long, by=["variant"]))
 
 
 @query
 def decision_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threshold of every view and both fusions, chosen on validation rows."""
-    rows = B.split_rows(line_fused(spark, sf_dir), "validation")
-    long = X.score_variants(rows, X.standard_variants(LINE_VIEWS), ["y"])
-    return rounded(E.fit_threshold(long, by=["variant"]))
+    return rounded(variant_thresholds(spark, sf_dir))
 
 
 @query
@@ -414,21 +417,23 @@ def appended_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- evaluation -------------------------------------------------------------
 
 
-def event_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fused_events(
-        B.event_evidence(spark, sf_dir), B.event_params(spark, sf_dir), B.event_weights(spark, sf_dir)
-    )
+def line_fitted(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """``rows`` with the fitted weights ``_G`` and coefficients ``_A``."""
+    alpha = B.once(spark, sf_dir, "line_alpha", lambda: fitted_alpha(spark, sf_dir))
+    return with_scalar(with_scalar(rows, B.line_weights(spark, sf_dir), "_G"), alpha, "_A")
 
 
 def line_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = with_scalar(B.line_scores(spark, sf_dir), B.line_weights(spark, sf_dir), "_G")
-    return fusion.fuse(scored, LINE_VIEWS, fusion.weight_columns(LINE_VIEWS, "_G"), ALPHA)
+    scored = line_fitted(spark, sf_dir, B.line_scores(spark, sf_dir))
+    return fusion.fuse(
+        scored, LINE_VIEWS, fusion.weight_columns(LINE_VIEWS, "_G"), fusion.alpha_columns("_A")
+    )
 
 
 def line_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_fused(spark, sf_dir)
     return B.once(
-        spark, sf_dir, "line_default_theta", lambda: E.fit_threshold(B.split_rows(rows, "validation"))
+        spark, sf_dir, "line_theta", lambda: E.fit_threshold(B.split_rows(rows, "validation"))
     )
 
 
@@ -436,7 +441,7 @@ def line_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def confusion_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_fused(spark, sf_dir)
     rows = with_scalar(B.split_rows(rows, "test"), line_theta(spark, sf_dir), "_T")
-    pred = rows.withColumn("pred", (ticks("s") >= F.col("_T.theta_tick")).cast("int"))
+    pred = rows.withColumn("pred", F.coalesce(F.col("s") >= F.col("_T.theta"), F.lit(False)).cast("int"))
     return rounded(E.rates(E.confusion(pred, by=["dataset"])))
 
 
@@ -466,15 +471,14 @@ def view_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def component_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_scalar(B.line_scores(spark, sf_dir), B.line_weights(spark, sf_dir), "_G")
-    rows = with_scalar(B.split_rows(rows, "test"), line_theta(spark, sf_dir), "_T")
-    alpha = tuple(F.lit(a) for a in ALPHA)
+    rows = line_fitted(spark, sf_dir, B.line_scores(spark, sf_dir))
     return rounded(
         X.ablate(
-            rows.withColumn("theta_tick", F.col("_T.theta_tick")),
+            B.split_rows(rows, "validation"),
+            B.split_rows(rows, "test"),
             LINE_VIEWS,
             fusion.weight_columns(LINE_VIEWS, "_G"),
-            alpha,
+            fusion.alpha_columns("_A"),
         )
     )
 
@@ -494,14 +498,14 @@ def degraded_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def degradation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     constants = scoring.score_constants(B.line_params(spark, sf_dir), LINE_VIEWS)
     rows = with_scalar(B.line_evidence(spark, sf_dir), constants, "_P")
-    rows = with_scalar(rows, B.line_weights(spark, sf_dir), "_G")
-    rows = with_scalar(B.split_rows(rows, "test"), line_theta(spark, sf_dir), "_T")
+    rows = line_fitted(spark, sf_dir, B.split_rows(rows, "test"))
     return rounded(
         X.degradation_curve(
-            rows.withColumn("theta_tick", F.col("_T.theta_tick")),
+            rows,
             LINE_VIEWS,
             fusion.weight_columns(LINE_VIEWS, "_G"),
-            ALPHA,
+            fusion.alpha_columns("_A"),
+            variant_thresholds(spark, sf_dir),
             42,
         )
     )
@@ -509,13 +513,13 @@ def degradation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cross_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(X.cross_dataset(B.line_evidence(spark, sf_dir), LINE_VIEWS, LINE_DATASETS, ALPHA))
+    return rounded(X.cross_dataset(B.line_evidence(spark, sf_dir), LINE_VIEWS, LINE_DATASETS, ALPHA_GRID))
 
 
 def event_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = B.event_evidence(spark, sf_dir)
     folds = splits.assign_folds(e, "record_id", "class", CV_FOLDS, CV_REPEATS)
-    return X.cv_scores(e.drop("class"), folds, EVENT_VIEWS, CV_FOLDS, ALPHA)
+    return X.cv_scores(e.drop("class"), folds, EVENT_VIEWS, CV_FOLDS, ALPHA_GRID)
 
 
 @query
@@ -700,9 +704,8 @@ def baseline_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.line_evidence(spark, sf_dir)
     scored = stage(_baseline_scores(rows, LINE_VIEWS.features, list(ESTIMATORS)), "baseline_scores")
     theta = E.fit_threshold(B.split_rows(scored, "validation"), by=["variant"])
-    # One row per declared model.
-    side = F.broadcast(theta.select("variant", "theta", "theta_tick"))
-    return rounded(E.metrics(B.split_rows(scored, "test").join(side, "variant"), ["variant", "theta"]))
+    test = X.with_fitted(B.split_rows(scored, "test"), theta, ["variant"], ["theta"])
+    return rounded(E.metrics(test, ["variant", "theta"]))
 
 
 @query

@@ -6,7 +6,7 @@ and cross products are fine here, since it only checks results.
 
 from __future__ import annotations
 
-from plumbline.operators.experiments import RATES, ablation_variants
+from plumbline.operators.experiments import RATES
 from plumbline.operators.reliability import ALPHA, simplex_grid
 from plumbline.plans.bindings import (
     DOCUMENT_VIEWS,
@@ -42,10 +42,6 @@ def split_sql(key: str) -> str:
     return f"CASE WHEN {b} < 60 THEN 'train' WHEN {b} < 80 THEN 'validation' ELSE 'test' END"
 
 
-def tick(x: str) -> str:
-    return f"floor(({x}) * 1000000.0::DOUBLE + 0.5::DOUBLE)::BIGINT"
-
-
 def fin(x: str) -> str:
     return f"CASE WHEN isfinite(({x})::DOUBLE) THEN ({x})::DOUBLE END"
 
@@ -170,19 +166,19 @@ def gr(spec: ViewSpec, alpha=None, g: bool = True) -> dict[str, str]:
 
 
 def theta(src: str, by: str = "", score: str = "s") -> str:
-    """Best Youden threshold over occupied bins."""
+    """The distinct score with the best Youden index; the lowest of several."""
     head = f"{by}, " if by else ""
     part = f"PARTITION BY {by}" if by else ""
     return f"""
-    SELECT {head}theta, theta_tick, value AS youden FROM (
-      SELECT {head}bin / 100.0::DOUBLE AS theta, bin * 10000 AS theta_tick, value,
-             row_number() OVER ({part} ORDER BY value DESC, bin) AS pick
-      FROM (SELECT {head}bin, round(
-                sum(pos) OVER ({part} ORDER BY bin DESC)::DOUBLE / nullif(sum(pos) OVER ({part}), 0)
-              - sum(neg) OVER ({part} ORDER BY bin DESC)::DOUBLE / nullif(sum(neg) OVER ({part}), 0), 9) AS value
-            FROM (SELECT {head}({tick(score)}) // 10000 AS bin,
+    SELECT {head}theta, value AS youden FROM (
+      SELECT {head}theta, value, row_number() OVER ({part} ORDER BY value DESC, theta) AS pick
+      FROM (SELECT {head}theta, coalesce(round(
+                sum(pos) OVER ({part} ORDER BY theta DESC)::DOUBLE / nullif(sum(pos) OVER ({part}), 0)
+              - sum(neg) OVER ({part} ORDER BY theta DESC)::DOUBLE / nullif(sum(neg) OVER ({part}), 0), 9), -1.0::DOUBLE) AS value
+            FROM (SELECT {head}coalesce({score}, -1.0::DOUBLE) AS theta,
                          count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg
-                  FROM {src} WHERE {score} IS NOT NULL AND y IS NOT NULL GROUP BY ALL)))
+                  FROM {src} WHERE y IS NOT NULL GROUP BY ALL))
+      WHERE theta >= 0)
     WHERE pick = 1"""
 
 
@@ -197,26 +193,26 @@ RATE_NAMES = ["accuracy", "precision", "recall", "specificity", "f1", "balanced_
 
 
 def metrics(src: str, by: str) -> str:
-    """Counts, AUC, Brier score and rates; ``theta_tick`` is a column of ``src``."""
+    """Counts, AUC by exact pair counts, Brier score and rates; ``theta`` is a column of ``src``."""
     return f"""
     SELECT *, {RATE_COLS} FROM (
-      SELECT {by}, sum(pos + neg)::BIGINT AS n, sum(hp)::BIGINT AS tp, sum(hn)::BIGINT AS fp,
+      SELECT {by}, sum(pos + neg)::BIGINT AS n, sum(miss)::BIGINT AS n_unscored, sum(hp)::BIGINT AS tp, sum(hn)::BIGINT AS fp,
              sum(neg - hn)::BIGINT AS tn, sum(pos - hp)::BIGINT AS fn,
              sum(pos * (below + neg / 2)) / nullif(sum(pos)::DOUBLE * sum(neg)::DOUBLE, 0) AS auc,
-             sum(sse) / nullif(sum(pos + neg), 0) AS brier
-      FROM (SELECT *, sum(neg) OVER (PARTITION BY {by} ORDER BY bin) - neg AS below
-            FROM (SELECT {by}, ({tick('s')}) // 100 AS bin,
+             sum(sse) / nullif(sum(pos + neg - miss), 0) AS brier
+      FROM (SELECT *, sum(neg) OVER (PARTITION BY {by} ORDER BY v) - neg AS below
+            FROM (SELECT {by}, coalesce(s, -1.0::DOUBLE) AS v,
                          count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg,
-                         count(*) FILTER (WHERE y = 1 AND {tick('s')} >= theta_tick) AS hp,
-                         count(*) FILTER (WHERE y = 0 AND {tick('s')} >= theta_tick) AS hn,
-                         sum((s - y) * (s - y)) AS sse
-                  FROM {src} WHERE s IS NOT NULL AND y IS NOT NULL GROUP BY ALL))
+                         count(*) FILTER (WHERE y = 1 AND s >= theta) AS hp,
+                         count(*) FILTER (WHERE y = 0 AND s >= theta) AS hn,
+                         count(*) FILTER (WHERE s IS NULL) AS miss, sum((s - y) * (s - y)) AS sse
+                  FROM {src} WHERE y IS NOT NULL GROUP BY ALL))
       GROUP BY ALL)"""
 
 
 def metric_list(keys: str) -> str:
     cols = ", ".join(f'{R(chr(34) + m + chr(34))} AS "{m}"' for m in ["auc", "brier", *RATE_NAMES])
-    return f"{keys}, n, tp, fp, tn, fn, {cols}"
+    return f"{keys}, n, n_unscored, tp, fp, tn, fn, {cols}"
 
 
 def variants(spec: ViewSpec, src: str, keep: str, w: dict[str, str]) -> str:
@@ -250,21 +246,46 @@ def grid_values(names: list[str]) -> str:
 
 EVC = [EV, *chain(EVENT_VIEWS, "ev")]
 LIC = [LI, *chain(LINE_VIEWS, "li")]
-LIF = [*LIC, f"fz AS (SELECT *, {fused(LINE_VIEWS, gr(LINE_VIEWS))} AS s FROM sw)"]
+FIT = ("a_i", "a_q", "a_t")
+
+
+def alpha_fit(spec: ViewSpec, src: str, by: str = "") -> list[str]:
+    """Coefficients with the lowest Brier score over ``src``, one row per group."""
+    head = f"{by}, " if by else ""
+    part = f"PARTITION BY {by}" if by else ""
+    return [
+        f"agrid AS (SELECT * FROM {grid_values(list(FIT))})",
+        f"""alpha AS (SELECT {head}grid_id, a_i, a_q, a_t, loss FROM (
+          SELECT *, row_number() OVER ({part} ORDER BY round(loss, 9), grid_id) AS pick
+          FROM (SELECT {head}grid_id, a_i, a_q, a_t, avg((s - y) * (s - y)) AS loss
+                FROM (SELECT {head}agrid.*, y, {fused(spec, gr(spec, FIT))} AS s FROM {src}, agrid) GROUP BY ALL))
+          WHERE pick = 1)""",
+    ]
+
+
+LIA = [
+    *LIC,
+    "svl0 AS (SELECT * FROM sw WHERE split = 'validation')",
+    *alpha_fit(LINE_VIEWS, "svl0"),
+    "aw AS (SELECT sw.*, a_i, a_q, a_t FROM sw, alpha)",
+]
+LIF = [*LIA, f"fz AS (SELECT *, {fused(LINE_VIEWS, gr(LINE_VIEWS, FIT))} AS s FROM aw)"]
 LIT = [
     *LIF,
     "fv AS (SELECT * FROM fz WHERE split = 'validation')",
     f"th AS ({theta('fv')})",
-    "ft AS (SELECT fz.*, th.theta, th.theta_tick FROM fz, th WHERE split = 'test')",
+    "ft AS (SELECT fz.*, th.theta FROM fz, th WHERE split = 'test')",
 ]
 
 ORACLE: dict[str, str] = {}
 
 # ---- fusion -----------------------------------------------------------------
 
-ORACLE["reliability_fusion"] = with_(*EVC) + (
-    f"SELECT record_id, split, y, {R(fused(EVENT_VIEWS, gr(EVENT_VIEWS)))} AS s, "
-    f"{R(plain(EVENT_VIEWS))} AS s_unweighted FROM sw"
+ORACLE["reliability_fusion"] = with_(
+    *EVC, "svl0 AS (SELECT * FROM sw WHERE split = 'validation')", *alpha_fit(EVENT_VIEWS, "svl0")
+) + (
+    f"SELECT record_id, split, y, {R(fused(EVENT_VIEWS, gr(EVENT_VIEWS, FIT)))} AS s, "
+    f"{R(plain(EVENT_VIEWS))} AS s_unweighted FROM sw, alpha"
 )
 ORACLE["unweighted_fusion"] = with_(*EVC) + f"SELECT record_id, {R(plain(EVENT_VIEWS))} AS s_unweighted FROM scored"
 ORACLE["view_weights"] = with_(*EVC) + " UNION ALL ".join(
@@ -276,7 +297,7 @@ _long_views = " UNION ALL ".join(
 ORACLE["view_predictions"] = with_(
     *EVC, f"pl AS ({_long_views})", "pv AS (SELECT * FROM pl WHERE split = 'validation')", f"pt AS ({theta('pv', 'view')})"
 ) + (
-    f"SELECT record_id, pl.view AS view, {R('s')} AS score, ({tick('s')} >= theta_tick)::INT::DOUBLE AS pred "
+    f"SELECT record_id, pl.view AS view, {R('s')} AS score, (s >= theta)::INT::DOUBLE AS pred "
     "FROM pl LEFT JOIN pt ON pl.view = pt.view"
 )
 ORACLE["view_parameters"] = with_(*LIC) + " UNION ALL ".join(
@@ -319,43 +340,35 @@ ORACLE["reliability_vector"] = with_(LI) + " UNION ALL ".join(
     for v in LINE_VIEWS.names
 )
 
-_ga = gr(LINE_VIEWS, ("a_i", "a_q", "a_t"))
-ALPHA_FIT = [
-    *LIC,
-    f"agrid AS (SELECT * FROM {grid_values(['a_i', 'a_q', 'a_t'])})",
-    f"""alpha AS (
-      SELECT grid_id, a_i, a_q, a_t, avg((s - y) * (s - y)) AS loss
-      FROM (SELECT agrid.*, y, {fused(LINE_VIEWS, _ga)} AS s FROM sw, agrid WHERE split = 'validation')
-      GROUP BY ALL ORDER BY round(loss, 9), grid_id LIMIT 1)""",
-]
-ORACLE["reliability_coefficients"] = with_(*ALPHA_FIT) + (
+_ga = gr(LINE_VIEWS, FIT)
+ORACLE["reliability_coefficients"] = with_(*LIA) + (
     f"SELECT grid_id, {R('a_i')} AS a_i, {R('a_q')} AS a_q, {R('a_t')} AS a_t, {R('loss')} AS loss FROM alpha"
 )
-ORACLE["decision_threshold"] = with_(
-    *LIC,
-    "svl AS (SELECT * FROM sw WHERE split = 'validation')",
-    f"vl AS ({variants(LINE_VIEWS, 'svl', 'y', gr(LINE_VIEWS))})",
+VT = [
+    *LIA,
+    "svl AS (SELECT * FROM aw WHERE split = 'validation')",
+    f"vl AS ({variants(LINE_VIEWS, 'svl', 'y', gr(LINE_VIEWS, FIT))})",
     f"vt AS ({theta('vl', 'variant')})",
-) + f"SELECT variant, {R('theta')} AS theta, theta_tick, {R('youden')} AS youden FROM vt"
+]
+ORACLE["decision_threshold"] = with_(*VT) + f"SELECT variant, {R('theta')} AS theta, {R('youden')} AS youden FROM vt"
 
 _names = LINE_VIEWS.names
-_for = " + ".join(f"CASE WHEN p_{v} IS NOT NULL AND {tick(f'p_{v}')} >= theta_tick THEN w_{v} ELSE 0.0::DOUBLE END" for v in _names)
-_against = " + ".join(f"CASE WHEN p_{v} IS NOT NULL AND {tick(f'p_{v}')} < theta_tick THEN w_{v} ELSE 0.0::DOUBLE END" for v in _names)
+_for = " + ".join(f"CASE WHEN p_{v} IS NOT NULL AND p_{v} >= theta THEN w_{v} ELSE 0.0::DOUBLE END" for v in _names)
+_against = " + ".join(f"CASE WHEN p_{v} IS NOT NULL AND p_{v} < theta THEN w_{v} ELSE 0.0::DOUBLE END" for v in _names)
 _w = {v: f"w_{v}" for v in _names}
-_up = ", ".join(f"CASE WHEN {tick(f'p_{v}')} >= theta_tick THEN '{v}' END" for v in _names)
-_down = ", ".join(f"CASE WHEN {tick(f'p_{v}')} < theta_tick THEN '{v}' END" for v in _names)
+_up = ", ".join(f"CASE WHEN p_{v} >= theta THEN '{v}' END" for v in _names)
+_down = ", ".join(f"CASE WHEN p_{v} < theta THEN '{v}' END" for v in _names)
 _share_top = " ".join(
     f"WHEN share_{v} >= greatest({', '.join(f'share_{u}' for u in _names)}) THEN '{v}'" for v in sorted(_names, reverse=True)
 )
 CASES = [
-    *ALPHA_FIT,
-    "aw AS (SELECT sw.*, a_i, a_q, a_t FROM sw, alpha)",
+    *LIA,
     "wz AS (SELECT *, " + ", ".join(f"{_ga[v]} AS w_{v}" for v in _names) + " FROM aw)",
     f"fz AS (SELECT *, {fused(LINE_VIEWS, _w)} AS s FROM wz)",
     "fv AS (SELECT * FROM fz WHERE split = 'validation')",
     f"th AS ({theta('fv')})",
     f"""pre AS (
-      SELECT fz.*, theta, theta_tick, {wsum(LINE_VIEWS, _w)} AS w_all, {_for} AS w_for, {_against} AS w_against,
+      SELECT fz.*, theta, {wsum(LINE_VIEWS, _w)} AS w_all, {_for} AS w_for, {_against} AS w_against,
              {wmass(LINE_VIEWS, _w)} AS w_mass FROM fz, th)""",
     "shr AS (SELECT *, "
     + ", ".join(f"w_{v} * p_{v} / nullif(w_mass, 0) AS share_{v}" for v in _names)
@@ -363,7 +376,7 @@ CASES = [
     f"""cas AS (
       SELECT *, CASE WHEN s IS NULL OR i = 0 THEN 'insufficient'
                      WHEN w_for >= 0.3::DOUBLE * w_all AND w_against >= 0.3::DOUBLE * w_all THEN 'contested'
-                     WHEN {tick('s')} >= theta_tick THEN 'attack' ELSE 'benign' END AS verdict,
+                     WHEN s >= theta THEN 'attack' ELSE 'benign' END AS verdict,
              concat_ws(',', {_up}) AS supporting, concat_ws(',', {_down}) AS contradicting,
              CASE {_share_top} END AS top_view FROM shr)""",
 ]
@@ -487,7 +500,7 @@ SELECT event_id::VARCHAR AS run_id, event_type AS stage, regexp_extract(props, '
 # ---- evaluation -------------------------------------------------------------
 
 ORACLE["confusion_rates"] = with_(
-    *LIT, f"pr AS (SELECT dataset, y, ({tick('s')} >= theta_tick)::INT AS pred FROM ft)",
+    *LIT, f"pr AS (SELECT dataset, y, coalesce(s >= theta, false)::INT AS pred FROM ft)",
     """cf AS (SELECT dataset, count(*) FILTER (WHERE y = 1 AND pred = 1) AS tp, count(*) FILTER (WHERE y = 0 AND pred = 1) AS fp,
              count(*) FILTER (WHERE y = 0 AND pred = 0) AS tn, count(*) FILTER (WHERE y = 1 AND pred = 0) AS fn
              FROM pr GROUP BY dataset)""",
@@ -496,10 +509,10 @@ ORACLE["confusion_rates"] = with_(
     f'{R(chr(34) + m + chr(34))} AS "{m}"' for m in RATE_NAMES
 ) + " FROM rt"
 ORACLE["ranking_auc"] = with_(
-    *LIC, f"vl AS ({variants(LINE_VIEWS, 'sw', 'split, y', gr(LINE_VIEWS))})",
+    *LIA, f"vl AS ({variants(LINE_VIEWS, 'aw', 'split, y', gr(LINE_VIEWS, FIT))})",
     f"""rk AS (SELECT variant, split, y, rank() OVER (PARTITION BY variant, split ORDER BY k)
                 + (count(*) OVER (PARTITION BY variant, split, k) - 1) / 2 AS r
-             FROM (SELECT *, {tick('s')} AS k FROM vl WHERE s IS NOT NULL))""",
+             FROM (SELECT *, coalesce(s, -1.0::DOUBLE) AS k FROM vl))""",
 ) + f"""
 SELECT variant, split, {R('''(sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2)
        / nullif(count(*) FILTER (WHERE y = 1)::DOUBLE * count(*) FILTER (WHERE y = 0)::DOUBLE, 0)''')} AS auc
@@ -534,34 +547,48 @@ SELECT class, support, predicted, hits, {R('hits / nullif(predicted, 0)')} AS "p
        {R('hits / nullif(support, 0)')} AS recall, {R('2 * hits / nullif(predicted + support, 0)')} AS f1 FROM pc"""
 
 _vv = [
-    *LIC,
-    "svl AS (SELECT * FROM sw WHERE split = 'validation')",
-    "ste AS (SELECT * FROM sw WHERE split = 'test')",
-    f"vl AS ({variants(LINE_VIEWS, 'svl', 'y', gr(LINE_VIEWS))})",
-    f"vt AS ({theta('vl', 'variant')})",
-    f"tl0 AS ({variants(LINE_VIEWS, 'ste', 'y', gr(LINE_VIEWS))})",
-    "tl AS (SELECT tl0.*, theta, theta_tick FROM tl0 JOIN vt USING (variant))",
+    *VT,
+    "ste AS (SELECT * FROM aw WHERE split = 'test')",
+    f"tl0 AS ({variants(LINE_VIEWS, 'ste', 'y', gr(LINE_VIEWS, FIT))})",
+    "tl AS (SELECT tl0.*, theta FROM tl0 LEFT JOIN vt USING (variant))",
     f"vm AS ({metrics('tl', 'variant, theta')})",
 ]
 ORACLE["view_validation"] = with_(*_vv) + f"SELECT {metric_list('variant')}, {R('theta')} AS theta FROM vm"
 
+# Fixed values, written out: component switches (integrity, quality, time, weights, left out).
+_switches = [
+    ("full", "iqt", True, ""),
+    ("no_integrity", "qt", True, ""),
+    ("no_quality", "it", True, ""),
+    ("no_temporal", "iq", True, ""),
+    ("no_reliability", "", True, ""),
+    ("no_weights", "iqt", False, ""),
+    ("unweighted", "", False, ""),
+    ("without:volume", "iqt", True, "volume"),
+    ("without:terms", "iqt", True, "terms"),
+    ("without:timing", "iqt", True, "timing"),
+]
 _ab = []
-for _v in ablation_variants(LINE_VIEWS):
-    _sum = sum(a * _v[f"f_{k}"] for a, k in zip(ALPHA, "iqt"))
+for _variant, _on, _g, _without in _switches:
     _wt = {}
     for _n in _names:
-        if _v["without"] == _n:
+        if _without == _n:
             _wt[_n] = "0.0::DOUBLE"
             continue
-        _terms = [
-            f"{a}::DOUBLE * {c}" for a, k, c in zip(ALPHA, "iqt", ("i", f"q_{_n}", "t")) if _v[f"f_{k}"]
-        ]
-        _base = " + ".join(f"{a}::DOUBLE" for a, k in zip(ALPHA, "iqt") if _v[f"f_{k}"])
-        _r = f"(({' + '.join(_terms)}) / ({_base}))" if _terms else "1.0::DOUBLE"
-        _wt[_n] = (f"g_{_n} * " if _v["f_g"] else "") + _r
-    _ab.append(f"SELECT '{_v['variant']}' AS variant, y, theta_tick, {fused(LINE_VIEWS, _wt)} AS s FROM ft")
-_ablation = [*LIT, f"ab AS ({' UNION ALL '.join(_ab)})", f"am AS ({metrics('ab', 'variant')})"]
-ORACLE["component_ablation"] = with_(*_ablation) + f"SELECT {metric_list('variant')} FROM am"
+        _terms = " + ".join(f"a_{k} * {c}" for k, c in zip("iqt", ("i", f"q_{_n}", "t")) if k in _on)
+        _base = " + ".join(f"a_{k}" for k in _on)
+        _r = f"coalesce(({_terms}) / nullif({_base}, 0), 1.0::DOUBLE)" if _on else "1.0::DOUBLE"
+        _wt[_n] = (f"g_{_n} * " if _g else "") + _r
+    _ab.append(f"SELECT '{_variant}' AS variant, split, y, {fused(LINE_VIEWS, _wt)} AS s FROM aw")
+_ablation = [
+    *LIA,
+    f"ab AS ({' UNION ALL '.join(_ab)})",
+    "abv AS (SELECT * FROM ab WHERE split = 'validation')",
+    f"abt AS ({theta('abv', 'variant')})",
+    "abl AS (SELECT ab.*, theta FROM ab LEFT JOIN abt USING (variant) WHERE split = 'test')",
+    f"am AS ({metrics('abl', 'variant, theta')})",
+]
+ORACLE["component_ablation"] = with_(*_ablation) + f"SELECT {metric_list('variant')}, {R('theta')} AS theta FROM am"
 
 _hit_a = f"({bucket(chr(39) + 'amount' + chr(39), 'record_id', buckets=1000)} < 0.3::DOUBLE * 1000)"
 _hit_t = f"({bucket(chr(39) + 'timing' + chr(39), 'record_id', buckets=1000)} < 0.5::DOUBLE * 1000)"
@@ -581,14 +608,15 @@ for _v, _fs in LINE_VIEWS.views.items():
         f"{bucket(chr(39) + _v + chr(39), 'record_id', buckets=1000)} < rate * 1000 AS hit "
         f"FROM li, (SELECT unnest([{', '.join(f'{r}::DOUBLE' for r in RATES)}]) AS rate) WHERE split = 'test')"
     )
-_w_or = gr(LINE_VIEWS)
+_w_fit = gr(LINE_VIEWS, FIT)
 ORACLE["degradation_curve"] = with_(
-    *LIT,
+    *VT,
     f"dg AS ({' UNION ALL '.join(_deg)})",
     f"ds AS (SELECT b.*, {q_cols(LINE_VIEWS)}, {p_cols(LINE_VIEWS)} FROM dg b, par P)",
-    "dw AS (SELECT * FROM ds, wts, (SELECT theta_tick FROM th))",
-    f"dl AS (SELECT 'unweighted' AS variant, view, rate, y, theta_tick, {plain(LINE_VIEWS)} AS s FROM dw "
-    f"UNION ALL SELECT 'reliability', view, rate, y, theta_tick, {fused(LINE_VIEWS, _w_or)} FROM dw)",
+    "dw AS (SELECT * FROM ds, wts, (SELECT a_i, a_q, a_t FROM alpha))",
+    f"dl0 AS (SELECT 'unweighted' AS variant, view, rate, y, {plain(LINE_VIEWS)} AS s FROM dw "
+    f"UNION ALL SELECT 'reliability', view, rate, y, {fused(LINE_VIEWS, _w_fit)} FROM dw)",
+    "dl AS (SELECT dl0.*, theta FROM dl0 LEFT JOIN vt USING (variant))",
     f"dm AS ({metrics('dl', 'variant, view, rate')})",
 ) + (
     f"SELECT {metric_list('variant, view, rate')}, "
@@ -602,16 +630,18 @@ _cross = [
     f"par AS ({params(LINE_VIEWS, 'tr', 'dataset')})",
     f"va AS (SELECT b.*, b.dataset AS fit_dataset, {p_cols(LINE_VIEWS)} FROM li b JOIN par P ON P.dataset = b.dataset WHERE split = 'validation')",
     f"wts AS ({weights(LINE_VIEWS, 'va', 'fit_dataset')})",
-    f"vf AS (SELECT fit_dataset, y, {fused(LINE_VIEWS, _w_or)} AS s FROM va JOIN wts USING (fit_dataset))",
+    "vaw AS (SELECT * FROM va JOIN wts USING (fit_dataset))",
+    *alpha_fit(LINE_VIEWS, "vaw", "fit_dataset"),
+    f"vf AS (SELECT fit_dataset, y, {fused(LINE_VIEWS, _w_fit)} AS s FROM vaw JOIN alpha USING (fit_dataset))",
     f"th AS ({theta('vf', 'fit_dataset')})",
     f"te AS (SELECT b.*, P.dataset AS fit_dataset, {p_cols(LINE_VIEWS)} FROM li b JOIN par P ON P.dataset <> b.dataset WHERE split = 'test')",
-    f"tf AS (SELECT fit_dataset, dataset AS test_dataset, y, theta, theta_tick, {fused(LINE_VIEWS, _w_or)} AS s "
-    "FROM te JOIN wts USING (fit_dataset) JOIN th USING (fit_dataset))",
+    f"tf AS (SELECT fit_dataset, dataset AS test_dataset, y, theta, {fused(LINE_VIEWS, _w_fit)} AS s "
+    "FROM te JOIN wts USING (fit_dataset) JOIN alpha USING (fit_dataset) JOIN th USING (fit_dataset))",
     f"xm AS ({metrics('tf', 'fit_dataset, test_dataset, theta')})",
 ]
 ORACLE["cross_dataset"] = with_(*_cross) + f"SELECT {metric_list('fit_dataset, test_dataset')}, {R('theta')} AS theta FROM xm"
 
-_cv_variants = lambda src, keep: variants(EVENT_VIEWS, src, keep, gr(EVENT_VIEWS))
+_cv_variants = lambda src, keep: variants(EVENT_VIEWS, src, keep, gr(EVENT_VIEWS, FIT))
 CV = [
     EV,
     f"fo AS ({_folds})",
@@ -621,13 +651,15 @@ CV = [
     f"par AS ({params(EVENT_VIEWS, 'tr', 'repeat, model_fold')})",
     f"va AS (SELECT b.*, P.model_fold, {p_cols(EVENT_VIEWS)} FROM rw b JOIN par P ON P.repeat = b.repeat AND b.fold = (P.model_fold + 1) % {CV_FOLDS})",
     f"wts AS ({weights(EVENT_VIEWS, 'va', 'repeat, model_fold')})",
-    "vw AS (SELECT * FROM va JOIN wts USING (repeat, model_fold))",
+    "vw0 AS (SELECT * FROM va JOIN wts USING (repeat, model_fold))",
+    *alpha_fit(EVENT_VIEWS, "vw0", "repeat, model_fold"),
+    "vw AS (SELECT * FROM vw0 JOIN alpha USING (repeat, model_fold))",
     f"vl AS ({_cv_variants('vw', 'y, repeat, model_fold')})",
     f"th AS ({theta('vl', 'repeat, model_fold, variant')})",
     f"te AS (SELECT b.*, P.model_fold, {p_cols(EVENT_VIEWS)} FROM rw b JOIN par P ON P.repeat = b.repeat AND b.fold = P.model_fold)",
-    "tw AS (SELECT * FROM te JOIN wts USING (repeat, model_fold))",
+    "tw AS (SELECT * FROM te JOIN wts USING (repeat, model_fold) JOIN alpha USING (repeat, model_fold))",
     f"tl0 AS ({_cv_variants('tw', 'y, repeat, model_fold')})",
-    "tl AS (SELECT tl0.*, theta_tick FROM tl0 JOIN th USING (repeat, model_fold, variant))",
+    "tl AS (SELECT tl0.*, theta FROM tl0 JOIN th USING (repeat, model_fold, variant))",
     f"cm AS ({metrics('tl', 'repeat, model_fold, variant')})",
     "sco AS ("
     + " UNION ALL ".join(
