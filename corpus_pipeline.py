@@ -29,7 +29,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Of each component of near copies the document that names it stays, with all its rows."""
     named = ngramjoin.similar(docs)
     goes = named.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    goes = stage(goes, "near_copies").alias("g")
+    goes = stage(goes, "near_copies").alias("g").hint("merge")
     return docs.alias("d").join(goes, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_anti")
 
 

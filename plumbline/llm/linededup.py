@@ -2,8 +2,8 @@
 
 A line's tokens are its lower-cased words; tokens with a digit are variable fields. The
 tree has a fixed depth: number of tokens, then the leading tokens. In a leaf, lines that
-agree in at least ``SIMILAR`` of their tokens share a template, in which the tokens that
-differ have become variable, too. A template that occurs in at least ``MIN_DOCS``
+agree in at least ``SIMILAR`` of their fields share a template, in which the fields that
+differ have become variable, too; a field is a token, or one of ``FIELDS`` runs of tokens. A template that occurs in at least ``MIN_DOCS``
 documents recurs: its lines are dropped from all documents but the one with the smallest
 doc_id.
 
@@ -31,13 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.words import SPACE, Words, chunks, mix
-from plumbline.operators.joins import salted_lookup
 from plumbline.session import configure, stage
 
 #: Leading tokens of a leaf's path, and of the path of a leaf that would be too large.
 DEPTH, DEEPER = 3, 8
 #: Distinct lines of a leaf at most; share of tokens in which lines of a template agree.
 LEAF_LINES, SIMILAR = 4096, 0.7
+#: Fields in which lines are compared: longer lines have runs of tokens as fields.
+FIELDS = 16
 #: Documents in which a template recurs, words of a line that may be dropped.
 MIN_DOCS, MIN_WORDS = 5, 3
 #: A document is a copy as a whole if recurring lines hold this share of its words, or,
@@ -48,33 +49,39 @@ TASK_BYTES = 16_000_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = mix(np.arange(1, DEEPER + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
-#: Token that stands for a variable field.
-_FIELD = np.uint32(0)
+#: Hash of a token with a digit; field of a template that varies.
+_VARIABLE, _FIELD = np.uint64(0x5851F42D4C957F2D), np.uint32(0)
 
 
 def _parsed(lines: list[str]) -> tuple[np.ndarray, ...]:
-    """Tokens of all lines, where each line's begin, and per line its two paths and its digest."""
+    """Words per line, fields of all lines, where each line's begin, and per line its two paths
+    and its digest. A field is a token, or in long lines a run of neighbouring tokens."""
     w = Words(lines, SPACE)
     data = np.frombuffer(w.bytes, dtype=np.uint8)
     digits = np.concatenate([[0], np.cumsum((data >= 0x30) & (data <= 0x39), dtype=np.int64)])
-    tokens = np.maximum((w.hashes >> np.uint64(32)).astype(np.uint32), np.uint32(1))
-    tokens[digits[w.ends] > digits[w.starts]] = _FIELD
+    tokens = mix(w.hashes | np.uint64(1))
+    tokens[digits[w.ends] > digits[w.starts]] = _VARIABLE
     first, counts = w.first[:-1], np.diff(w.first)
-    wide = mix(tokens.astype(np.uint64) + np.uint64(1))
     paths = []
     for depth in (DEPTH, DEEPER):
         path = counts.astype(np.uint64) * _STEP
         for k in range(depth):
             some = counts > k
-            path[some] += wide[first[some] + k] * _SHIFT[k]
+            path[some] += tokens[first[some] + k] * _SHIFT[k]
         paths.append(mix(path))
-    place = np.arange(len(tokens), dtype=np.uint64) - np.repeat(first, counts).astype(np.uint64)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wide * mix(place + _STEP))])
+    place = np.arange(len(tokens)) - np.repeat(first, counts)
+    placed = tokens * mix(place.astype(np.uint64) + _STEP)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(placed)])
     digest = mix(total[w.first[1:]] - total[first] + counts.astype(np.uint64))
-    return tokens, w.first, *paths, digest
+    fields = np.minimum(counts, FIELDS)
+    begins = np.concatenate([[0], np.cumsum(fields)])
+    field = np.repeat(begins[:-1], counts) + place * np.repeat(fields, counts) // np.repeat(counts, counts)
+    starts = np.flatnonzero(np.diff(field, prepend=-1))
+    sums = np.add.reduceat(placed, starts) if len(starts) else placed
+    return counts, np.maximum((mix(sums) >> np.uint64(32)).astype(np.uint32), 1), begins, *paths, digest
 
 
-_LINES = "doc_id long, mark long, line int, words int, of int, path long, deeper long, digest long, tokens binary"
+_LINES = "doc_id long, mark long, line int, words int, of int, path long, deeper long, digest long, fields binary"
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,13 +92,12 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for begin, end in chunks(texts):
             split = [t.split("\n") for t in texts[begin:end]]
             sizes = np.array([len(s) for s in split])
-            tokens, first, path, deeper, digest = _parsed([x for s in split for x in s])
-            counts = np.diff(first)
+            counts, fields, first, path, deeper, digest = _parsed([x for s in split for x in s])
             doc = np.repeat(np.arange(begin, end), sizes)
             line = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             of = np.bincount(doc - begin, weights=counts, minlength=end - begin).astype(np.int32)
             at = np.flatnonzero(counts >= MIN_WORDS)
-            raw = tokens.tobytes()
+            raw = fields.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([keys[i] for i in doc[at].tolist()], pa.int64()),
@@ -106,12 +112,12 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def leaf_templates(tokens: np.ndarray, similar: float) -> np.ndarray:
-    """Row of ``tokens`` (lines of one leaf, most frequent first) that founded each row's template."""
+def leaf_templates(lines: np.ndarray, similar: float) -> np.ndarray:
+    """Row of ``lines`` (fields of the lines of one leaf, most frequent first) that founded each row's template."""
     founders: list[int] = []
-    templates = np.empty_like(tokens)
-    out = np.empty(len(tokens), dtype=np.int64)
-    for i, line in enumerate(tokens):
+    templates = np.empty_like(lines)
+    out = np.empty(len(lines), dtype=np.int64)
+    for i, line in enumerate(lines):
         n = len(founders)
         if n:
             share = ((templates[:n] == line) & (line != _FIELD)).mean(axis=1)
@@ -129,15 +135,15 @@ def leaf_templates(tokens: np.ndarray, similar: float) -> np.ndarray:
 def _cluster(similar: float):
     def run(group: pa.Table) -> pa.Table:
         leaf, digest, n = (group.column(c).to_numpy() for c in ("leaf", "digest", "n"))
-        tokens = group.column("tokens").to_pylist()
+        fields = group.column("fields").to_pylist()
         template = digest.copy()
         order = np.lexsort((digest, -n, leaf))
         begins = np.flatnonzero(np.concatenate([[True], leaf[order][1:] != leaf[order][:-1]]))
         for at in np.split(order, begins[1:]) if len(order) else ():
             if len(at) > 1:
-                size = len(tokens[at[0]])
-                at = at[[len(tokens[i]) == size for i in at]]
-                rows = np.frombuffer(b"".join(tokens[i] for i in at), dtype=np.uint32).reshape(len(at), -1)
+                size = len(fields[at[0]])
+                at = at[[len(fields[i]) == size for i in at]]
+                rows = np.frombuffer(b"".join(fields[i] for i in at), dtype=np.uint32).reshape(len(at), -1)
                 template[at] = digest[at][leaf_templates(rows, similar)]
         return pa.table({"digest": digest, "template": template})
 
@@ -165,26 +171,21 @@ def recurring_lines(
         .otherwise(F.lit(None).cast("long"))
     )
     chosen = stage(chosen.select("path", "deeper", leaf.alias("leaf")), "leaves")
-    spread = salted_lookup(
-        lines.withColumn("place", F.struct("path", "deeper")),
-        chosen.select(F.struct("path", "deeper").alias("place"), "leaf", F.lit(True).alias("known")),
-        "place",
-        "mark",
-    ).where("known")
-    some = spread.select(
-        "doc_id", "mark", "line", "words", "of", "digest", F.coalesce("leaf", "digest").alias("leaf"), "tokens"
+    # Merge joins at every size: the adaptive skew join splits hot paths, templates and lines.
+    some = lines.join(chosen.hint("merge"), ["path", "deeper"]).select(
+        "doc_id", "mark", "line", "words", "of", "digest", F.coalesce("leaf", "digest").alias("leaf"), "fields"
     )
     some = stage(some, "leaf_lines")
-    sample = some.groupBy("leaf", "digest").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n"))
+    sample = some.groupBy("leaf", "digest").agg(F.first("fields").alias("fields"), F.count("*").alias("n"))
     sample = stage(sample, "leaf_samples")
-    size = sample.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    size = sample.agg(F.sum(F.octet_length("fields"))).first()[0] or 0
     parts = max(1, -(-size // TASK_BYTES))
     clustered = (
         sample.withColumn("task", F.pmod(F.xxhash64("leaf"), F.lit(parts)))
         .groupBy("task")
         .applyInArrow(_cluster(similar), "digest long, template long")
     )
-    named = salted_lookup(some.drop("tokens", "leaf"), stage(clustered, "templates"), "digest", "mark")
+    named = some.drop("fields", "leaf").join(stage(clustered, "templates").hint("merge"), "digest")
     named = stage(named.dropDuplicates(["doc_id", "mark", "line"]), "named_lines")
     order = F.coalesce("doc_id", F.lit(2**63 - 1))
     per_doc = named.groupBy("template", "doc_id").agg(F.lit(1).alias("one"))
@@ -194,7 +195,7 @@ def recurring_lines(
         .where(F.col("docs") >= min_docs)
         .select("template", "first")
     )
-    found = salted_lookup(named, stage(again, "recurring"), "template", "mark").where("first is not null")
+    found = named.join(stage(again, "recurring").hint("merge"), "template")
     per_row = found.groupBy("doc_id", "mark").agg(
         F.sum("words").alias("words"),
         F.max("of").alias("of"),
@@ -227,4 +228,4 @@ def dedup_lines(
     out = [changed.get(c, F.col(f"d.`{c}`")) for c in docs.columns]
     if dropped:
         out.append(F.coalesce(F.size("r.drop"), F.lit(0)).alias(dropped))
-    return d.join(drops, same, "left").select(*out)
+    return d.join(drops.hint("merge"), same, "left").select(*out)

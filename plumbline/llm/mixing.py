@@ -173,7 +173,7 @@ def take(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", text: str = "te
     copies = mixed.groupBy("doc_id", "size").agg(F.round(F.avg("copies")).cast("int").alias("copies"))
     m, d = copies.where("copies > 0").alias("m"), docs.alias("d")
     same = F.col(f"d.{key}").eqNullSafe(F.col("m.doc_id")) & (size_in_words(F.col(f"d.{text}")) == F.col("m.size"))
-    taken = d.join(m, same).select(
+    taken = d.join(m.hint("merge"), same).select(
         F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("_row"),
         F.explode(F.array_repeat(F.lit(1), F.col("m.copies"))).alias("_one"),
     )

@@ -402,7 +402,7 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     ).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(tasks)).cast("string"))
     links = (
         dealt.select(pair.alias("task"), "cluster", "node")
-        .join(sets.select("node", "n", "keys"), "node")
+        .join(sets.select("node", "n", "keys").hint("merge"), "node")
         .groupBy("task")
         .applyInArrow(_search, "a long, b long")
     )
@@ -412,7 +412,7 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = stage(named.join(least, "component").select("node", "component_id"), "ngram_names")
     # A node of very many copies is split by the adaptive skew join.
-    return texts.join(named, "node").select(
+    return texts.join(named.hint("merge"), "node").select(
         "doc_id",
         F.col("n_shingles").cast("long").alias("n_shingles"),
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
