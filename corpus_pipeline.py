@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import linededup, mixing, ngramjoin, packing, toxicity
+from plumbline.llm.common import prepare
 from plumbline.llm.queries import documents, quality_weights, tokenizer_path, toxicity_lexicon
-from plumbline.session import configure, stage
+from plumbline.session import stage
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays under the threshold."""
@@ -55,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configure(spark)
+    prepare(spark)
     docs = documents(spark, sf_dir)
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name.split()[0])

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import prepare
 from plumbline.llm.words import shingle_sets
-from plumbline.session import configure
 
 #: Hashes of a sketch, and their bits. 48 bits keep a sketch short and still tell 10**12 shingles apart.
 K, BITS = 256, 48
@@ -154,7 +154,7 @@ def compare_with_edits(docs: DataFrame, text: str = "text", key: str = "doc_id",
     last. Rows with equal ids follow each other in the order of a text hash; a null id
     comes last.
     """
-    configure(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     columns = [

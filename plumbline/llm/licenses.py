@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import prepare
 from plumbline.llm.words import NON_WORD, chunks, word_hashes
-from plumbline.session import configure
 
 # Phrases whose places are reported, with their labels.
 PHRASES = {
@@ -146,7 +146,7 @@ def scan(
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels,
     labels (both comma-joined), blocks (lines that meet a template, with it) and score, the
     largest share of a template met, 1 with a phrase."""
-    configure(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     vocabulary = Matcher(templates, {}, threshold).vocabulary

@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import prepare
 from plumbline.llm.words import SPACE, Words, chunks, mix
-from plumbline.session import configure, stage
+from plumbline.session import stage
 
 #: Leading tokens of a leaf's path, and of the path of a leaf that would be too large.
 DEPTH, DEEPER = 3, 8
@@ -216,7 +217,7 @@ def dedup_lines(
     docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, dropped: str | None = None
 ) -> DataFrame:
     """``docs`` with recurring lines dropped from ``text``; ``dropped`` names a column for their number."""
-    configure(docs.sparkSession)
+    prepare(docs.sparkSession)
     drops = stage(recurring_lines(docs, min_docs, similar), "drops").alias("r")
     d = docs.alias("d")
     same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("r.doc_id")) & (F.xxhash64("d.text") == F.col("r.mark"))

@@ -20,8 +20,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import prepare
 from plumbline.operators.joins import salted_lookup
-from plumbline.session import configure, stage
+from plumbline.session import stage
 
 #: Words are runs without ASCII white space; weights repeat over the sources.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -94,7 +95,7 @@ def mix(
     document is taken, ``taken`` its words times that. A source's documents are taken as
     far as the cut comes nearest to its target.
     """
-    configure(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select(
         F.col(key).alias("doc_id"), F.col(source).alias("name"), size_in_words(F.col(text)).alias("size")
     )

@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import configure, stage
+from plumbline.llm.common import prepare
+from plumbline.session import stage
 
 #: Rows of a shard and queries of a block, on average; points of a leaf.
 SHARD_ROWS, BLOCK_ROWS, LEAF = 8192, 8192, 256
@@ -160,7 +161,7 @@ def nearest(
     vector: str = "embedding",
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the ``k`` nearest rows of each query."""
-    configure(table.sparkSession)
+    prepare(table.sparkSession)
     rows = table.select(
         F.col(key).cast("long").alias("vec_id"), is_query.alias("ask"), usable(F.col(vector)).alias("vector")
     ).where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull())

@@ -36,19 +36,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import prepare
 from plumbline.llm.components import components
 from plumbline.llm.words import mix, shingle_sets
 from plumbline.operators.joins import salted_lookup
-from plumbline.session import configure, stage
+from plumbline.session import stage
 
 #: Links need 100 * overlap >= PERCENT * union.
 PERCENT = 75
 #: Bits of a shingle's key. Postings a task sorts at once, texts in them at most, postings of a bucket.
-BITS, PORTION, MOST_TEXTS, BUCKET = 48, 2_000_000, 60_000, 3_000_000
+BITS, PORTION, MOST_TEXTS, BUCKET = 48, 2_000_000, 60_000, 2_000_000
 #: Nodes of one portion that make a shingle long, and the class of long ones.
 LONG, LAST = 32, 255
 #: Postings that one task searches at once, about.
-CLUSTER = 4_000_000
+CLUSTER = 2_000_000
 #: Parts of an entry's list.
 PARTS = 16
 #: Bytes of text for each shingle, at a guess; only the number of buckets depends on it.
@@ -361,7 +362,7 @@ def _search(group: pa.Table) -> pa.Table:
 def similar(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, of every row."""
     spark = docs.sparkSession
-    configure(spark)
+    prepare(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // (TEXT_BYTES * BUCKET)))

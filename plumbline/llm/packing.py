@@ -31,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import prepare
 from plumbline.llm.words import BLANK, Words, chunks
-from plumbline.session import configure
 
 #: Context sizes, longest first; token that ends a document.
 TIERS, END = (2048, 1024, 512, 256), 1
@@ -169,7 +169,7 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     window (size of its sequence), step_group. ``tokenizer`` is the path of a vocabulary file."""
-    configure(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     longs = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group")

@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import configure, stage
+from plumbline.llm.common import prepare
+from plumbline.session import stage
 
 # The base patterns and the least length of what they must hold. ASCII
 # letters in either case are spelled out, so that no other character can match.
@@ -118,7 +119,7 @@ def scan(
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, ``base`` and ``spans`` (arrays of spans in order),
     ``live`` and ``copied`` (how many distinct values look live or copied)."""
-    configure(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select(
         F.col(key).alias("doc_id"),
         F.coalesce(repo.cast("string"), F.lit("\0")).alias("repo"),

@@ -19,7 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import configure, stage
+from plumbline.llm.common import prepare
+from plumbline.session import stage
 
 #: Cells of the first look: 2**FIRST_BITS. A closer look splits a cell into 2**MORE_BITS.
 FIRST_BITS, MORE_BITS = 14, 10
@@ -130,7 +131,7 @@ def shard(docs: DataFrame, shards: int = 24, text: str = "text", key: str = "doc
     shard is as small as contiguous cuts allow, and the others are cut as evenly as that
     bound lets them. Slots run from 0 without a gap.
     """
-    configure(docs.sparkSession)
+    prepare(docs.sparkSession)
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = stage(
         docs.select(

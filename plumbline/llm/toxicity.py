@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import configure, stage
+from plumbline.llm.common import prepare
+from plumbline.session import stage
 
 #: Labelled rows of each class that the fit uses, in expectation.
 FIT_ROWS = 12_000
@@ -38,6 +39,8 @@ STEMS, LEAST, LONGEST = (3, 4, 5, 6, 7, 8), 2, 24
 #: A term is in so many toxic fit rows at least, with this weight and this log likelihood ratio
 #: against having no meaning; chance alone gives ten thousands of terms a ratio of 9. Terms at most.
 MIN_ROWS, MIN_WEIGHT, MIN_EVIDENCE, MOST_TERMS = 3, 1.6, 11.0, 2000
+#: Terms that a task counts before it passes the counts on.
+PORTION = 200_000
 #: Score from which a text is rejected.
 THRESHOLD = 0.7
 
@@ -85,13 +88,9 @@ def _terms_of(words: Iterable[str]) -> set[str]:
 def _count_terms(fit: DataFrame) -> DataFrame:
     """Toxic and clean documents with each term; a task adds up its rows first."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = (Counter(), Counter())
-        for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                counts[toxic].update(_terms_of(fold(text or "")))
+    def added_up(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
         terms = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [
                 pa.array(terms, pa.string()),
                 pa.array([counts[1][t] for t in terms], pa.int64()),
@@ -100,6 +99,16 @@ def _count_terms(fit: DataFrame) -> DataFrame:
             ["term", "toxic", "clean"],
         )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = (Counter(), Counter())
+        for b in batches:
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                counts[toxic].update(_terms_of(fold(text or "")))
+                if len(counts[0]) + len(counts[1]) > PORTION:
+                    yield added_up(counts)
+                    counts = (Counter(), Counter())
+        yield added_up(counts)
+
     counted = fit.select("text", "toxic").mapInArrow(run, "term string, toxic long, clean long")
     return counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
@@ -186,7 +195,7 @@ def fit(
     docs: DataFrame, labels: DataFrame, exceptions: Iterable[str] = EXCEPTIONS, fit_rows: int = FIT_ROWS
 ) -> Lexicon:
     """Learns from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic: 0 or 1)."""
-    configure(docs.sparkSession)
+    prepare(docs.sparkSession)
     used, sizes = fit_sample(docs, labels, fit_rows)
     counts = _count_terms(used.where("part = 0"))
     have = {r["toxic"]: r["n"] for r in used.where("part = 0").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -246,7 +255,7 @@ def matched(rows: DataFrame, lexicon: Lexicon, keep: list[str], text: str = "tex
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The rows of ``docs`` with a score under ``threshold``, all columns as they are."""
-    configure(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -258,6 +267,6 @@ def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOL
 
 def score(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score, hits and words of every row."""
-    configure(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     return matched(rows, lexicon, ["doc_id"]).select("doc_id", "score", "hits", "words")
