@@ -22,9 +22,8 @@ def clean(
 
     A cell that does not parse becomes null. A row is unusable without key, with
     a required column missing, or with no numeric value at all. Of rows with the
-    same ``content`` the lowest key stays: copies are grouped by a digest, so the
-    shuffle carries (digest, key) and a hot group shrinks on the map side; the
-    survivors are found by a semi join on the unique key.
+    same ``content`` the one with the lowest key stays, also if the key repeats.
+    Copies are grouped by a digest and a hot group shrinks on the map side.
     """
     numeric = [c for c, t in casts.items() if t in ("float", "double")]
     typed = {c: F.col(c).try_cast(t) for c, t in casts.items()}
@@ -33,8 +32,9 @@ def clean(
     if numeric:
         df = df.na.drop(how="all", subset=numeric)
     digest = F.sha2(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}), 256)
-    kept = df.groupBy(digest.alias("_content")).agg(F.min(key).alias(key)).select(key)
-    return df.join(kept, key, "left_semi")
+    row = F.struct(*df.columns)
+    kept = F.min_by(row, F.struct(key, F.xxhash64(*df.columns)))
+    return df.groupBy(digest.alias("_content")).agg(kept.alias("_row")).select("_row.*")
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:

@@ -19,7 +19,7 @@ from plumbline.operators.scoring import fit_view_params, score_views
 from plumbline.operators.splits import split_of
 from plumbline.operators.temporal import temporal_factor, with_gap
 from plumbline.operators.views import finite_features, with_quality
-from plumbline.session import configure, spread, stage
+from plumbline.session import configure, stage
 from plumbline.spec import ViewSpec
 
 EVENT_VIEWS = ViewSpec({"amount": ("value",), "payload": ("k",), "timing": ("gap",)})
@@ -41,13 +41,8 @@ DOCUMENT_VIEWS = ViewSpec(
 _staged: dict[tuple[str, str, str], DataFrame] = {}
 
 
-# Record keys of the tables that hold the records.
-SPREAD_KEYS = {"events": "event_id", "lineitem": "l_partkey", "documents": "doc_id"}
-
-
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    df = configure(spark).read.parquet(f"{sf_dir}/{table}.parquet")
-    return spread(df, SPREAD_KEYS[table]) if table in SPREAD_KEYS else df
+    return configure(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def once(

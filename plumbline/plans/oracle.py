@@ -407,7 +407,7 @@ ORACLE["investigation_confidence"] = with_(
 ORACLE["clean_records"] = """
 SELECT doc_id, lang, source, n_chars::DOUBLE AS n_chars, md5(text) AS digest FROM documents
 WHERE text IS NOT NULL AND n_chars IS NOT NULL
-  AND doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)"""
+  AND doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text, lang, source, n_chars)"""
 
 _case = lambda col, m: f"CASE {col} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in m.items()) + " END"
 _y = lambda c: f"({c} <> 'benign')::INT"
@@ -480,7 +480,7 @@ ORACLE["class_shares"] = with_(LI) + (
 
 # ---- sources and sinks ------------------------------------------------------
 
-ORACLE["csv_flows"] = "SELECT event_id AS record_id, user_id, event_type, value, props FROM events"
+ORACLE["csv_flows"] = "SELECT event_id AS record_id, user_id, event_type, value, props, epoch_us(ts) AS ts_us FROM events"
 ORACLE["csv_datasets"] = (
     f"SELECT {LINE_KEY} AS record_id, l_linestatus AS dataset, l_extendedprice, l_quantity FROM lineitem"
 )
@@ -663,12 +663,12 @@ CV = [
     f"cm AS ({metrics('tl', 'repeat, model_fold, variant')})",
     "sco AS ("
     + " UNION ALL ".join(
-        f"SELECT variant AS model, repeat, model_fold AS fold, '{m}' AS metric, {R(m)} AS value FROM cm"
+        f"SELECT variant AS model, repeat, model_fold AS fold, '{m}' AS metric, ({m})::DOUBLE AS value FROM cm"
         for m in ("accuracy", "auc", "brier", "f1")
     )
     + ")",
 ]
-ORACLE["cv_scores"] = with_(*CV) + "SELECT model, repeat, fold, metric, value FROM sco"
+ORACLE["cv_scores"] = with_(*CV) + f"SELECT model, repeat, fold, metric, {R('value')} AS value FROM sco"
 
 # ---- statistics -------------------------------------------------------------
 

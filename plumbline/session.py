@@ -60,16 +60,3 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash a table of very few input splits over all cores.
-
-    One small file is read by one task, and everything up to the next shuffle
-    would run there. A table with at least one split per core is left alone, so
-    large inputs are never shuffled by this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)

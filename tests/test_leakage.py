@@ -25,7 +25,7 @@ def fitted(rows):
     val = fusion.fuse(val, SPEC, g, ALPHA)
     theta = evaluate.fit_threshold(val)
     best = theta.first()
-    cases = reason(val, SPEC, F.lit(best.theta_tick))
+    cases = reason(val, SPEC, F.lit(best.theta))
     cases = confidence_parts(cases, SPEC, g, F.lit(best.theta))
     beta = fit_beta(cases, simplex_grid(("b_r", "b_a", "b_m"), 3))
     return [t.first().asDict() for t in (params, scaler, weights, alpha, theta, beta)]

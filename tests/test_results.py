@@ -34,7 +34,7 @@ def test_auc_without_one_class_is_null(spark):
 def test_metrics_agree_with_confusion(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"g": rng.choice(["a", "b"], 500), "y": rng.integers(0, 2, 500), "s": rng.random(500)})
-    df = spark.createDataFrame(pdf).withColumn("theta_tick", F.lit(400_000))
+    df = spark.createDataFrame(pdf).withColumn("theta", F.lit(0.4))
     got = {r.g: r for r in E.metrics(df, ["g"]).collect()}
     direct = E.rates(E.confusion(df.withColumn("pred", (F.col("s") >= 0.4).cast("int")), by=["g"]))
     for r in direct.collect():
@@ -42,7 +42,7 @@ def test_metrics_agree_with_confusion(spark):
             assert got[r.g][c] == pytest.approx(r[c])
     part = pdf[pdf.g == "a"]
     assert got["a"].brier == pytest.approx(((part.s - part.y) ** 2).mean())
-    assert got["a"].auc == pytest.approx(brute_auc(part.y.values, part.s.values), abs=1e-3)
+    assert got["a"].auc == pytest.approx(brute_auc(part.y.values, part.s.values), abs=1e-12)
 
 
 @pytest.mark.parametrize("metric", ["youden", "f1"])
@@ -58,10 +58,30 @@ def test_threshold_is_the_best_edge(spark, metric):
             return tp / (y == 1).sum() - fp / (y == 0).sum()
         return 2 * tp / (tp + fp + (y == 1).sum())
 
-    assert got[metric] == pytest.approx(max(value(j / 100) for j in range(101)), abs=1e-9)
+    assert got[metric] == pytest.approx(max(value(t) for t in s), abs=1e-9)
     assert value(got.theta) == pytest.approx(got[metric], abs=1e-9)
 
 
+def test_close_scores_that_separate(spark):
+    """All scores lie within 1e-4, and in one hundredth."""
+    rows = [(1, 0.05 + 1e-4 + k * 1e-9) for k in range(50)] + [(0, 0.05 + k * 1e-9) for k in range(60)]
+    df = spark.createDataFrame(rows, "y int, s double")
+    best = E.fit_threshold(df).first()
+    assert best.youden == 1.0 and best.theta == rows[0][1]
+    got = E.metrics(df.withColumn("theta", F.lit(best.theta)).withColumn("g", F.lit(1)), ["g"]).first()
+    assert (got.auc, got.recall, got.specificity) == (1.0, 1.0, 1.0)
+    assert E.auc(df).first().auc == 1.0
+
+
+def test_missing_scores_are_not_detected(spark):
+    rows = [("a", 1, 0.9), ("a", 1, None), ("a", 0, 0.1), (None, 1, 0.8), (None, 0, None)]
+    df = spark.createDataFrame(rows, "g string, y int, s double").withColumn("theta", F.lit(0.5))
+    got = {r.g: r for r in E.metrics(df, ["g"]).collect()}
+    assert (got["a"].n, got["a"].n_unscored, got["a"].recall, got["a"].auc) == (3, 1, 0.5, 0.5)
+    assert (got[None].n, got[None].n_unscored, got[None].specificity, got[None].auc) == (2, 1, 1.0, 1.0)
+    assert {r.g: r.theta for r in E.fit_threshold(df, by=["g"]).collect()} == {"a": 0.9, None: 0.8}
+
+
 def test_per_class(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "b")], "y string, yhat string")
     rows = {r["class"]: r for r in E.per_class(df).collect()}

@@ -41,6 +41,19 @@ def test_read_datasets(spark, root):
     assert rows[2].rate == float("inf")
 
 
+def test_columns_are_bound_by_header(spark, tmp_path):
+    (tmp_path / "d" / "deep").mkdir(parents=True)
+    (tmp_path / "d" / "one.csv").write_text("Label,extra,Flow Bytes/s,Flow ID\nDoS,x,1.5,10\nLabel,extra,Flow Bytes/s,Flow ID\n")
+    (tmp_path / "d" / "deep" / "two.csv").write_text("Flow ID,Flow Bytes/s,Label\n11,2.5,BENIGN\n")
+    got = flows.read_datasets(spark, str(tmp_path), SCHEMA, NAMES)
+    rows = {r.record_id: (r.rate, r["class"], r.dataset, r[flows.CORRUPT]) for r in got.collect()}
+    assert rows.pop(10) == (1.5, "DoS", "d", None) and rows.pop(11) == (2.5, "BENIGN", "d", None)
+    assert rows[None][3] == "Label,extra,Flow Bytes/s,Flow ID"
+    (tmp_path / "d" / "short.csv").write_text("Flow ID,Label\n1,x\n")
+    with pytest.raises(ValueError, match="Flow Bytes/s"):
+        flows.read_datasets(spark, str(tmp_path), SCHEMA, NAMES)
+
+
 def test_manifest_and_tampering(spark, root):
     path = str(root)
     first = manifest.build_manifest(spark, path, "*.csv")
