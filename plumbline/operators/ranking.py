@@ -7,6 +7,8 @@ cells are counted by a partial aggregate, and only rows of one cell meet.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,78 +56,84 @@ def with_hash_rank(
     )
 
 
-def bracket_columns(value: str, probs: list[float], accuracy: int = 20_000) -> list[Column]:
-    """Aggregates that enclose each quantile, and the group size ``_n``.
+# Cells of a first and a second look: about 2**12 and 2**32 to a doubling of the value. A
+# cell of the second look holds at most 2**21 distinct doubles.
+LOOKS = (12, 32)
 
-    The sketch has rank error 1/accuracy; the margin is twice that. In a group so
-    small that the margin is not a few ranks, the bracket is the whole range.
-    """
-    margin = 2.0 / accuracy
-    small = F.count(value) < F.lit(int(4 / margin))
-    edges = [q for p in probs for q in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    # One call with all edges: one sketch per group.
-    sketch = F.percentile_approx(value, edges, F.lit(accuracy))
-    out = [F.count(value).alias("_n")]
-    for j in range(len(probs)):
-        low, high = F.get(sketch, F.lit(2 * j)), F.get(sketch, F.lit(2 * j + 1))
-        out.append(F.when(small, F.min(value)).otherwise(low).alias(f"_lo{j}"))
-        out.append(F.when(small, F.max(value)).otherwise(high).alias(f"_hi{j}"))
-    return out
-
-
-def exact_quantiles(
-    df: DataFrame, by: list[str], value: str, probs: dict[str, float], bracketed: DataFrame
-) -> DataFrame:
-    """Interpolated quantiles, exact, from a sketch and one refining pass.
 
-    ``bracketed`` has one row per group with ``bracket_columns``. Only values
-    inside a bracket are kept apart (a few ten-thousandths of a large group); all
-    values below are counted by the map-side aggregate. A quantile outside
-    its bracket fails the query rather than giving a wrong value.
+def value_cell(x: Column, bits: int) -> Column:
+    """A number that never falls as ``x`` rises: power of two and the first ``bits`` bits after it."""
+    size = F.abs(x)
+    power = F.greatest(F.floor(F.log2(F.when(size > 0, size))), F.lit(-1022))
+    part = F.floor((size / F.pow(F.lit(2.0), power) - 1) * F.lit(float(2**bits)))
+    steps = F.least(F.greatest(part, F.lit(0)), F.lit(2**bits - 1))
+    cell = (power + F.lit(1100)) * F.lit(2**bits) + steps
+    return F.when(x > 0, cell).when(x < 0, -cell).otherwise(F.lit(0)).cast("long")
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles per group, exact, from counts.
+
+    The first pass counts values per cell; running sums give the cells of the ranks
+    asked for. The second pass counts finer cells inside those, the third the values
+    inside the finer ones. Every pass shrinks its rows to counts before the shuffle, and
+    no window reads more than the cells of one group, so a group may hold any share of
+    the rows. Values must be finite; a null group is a group.
     """
     plist = list(probs.values())
-    bounds = stage(bracketed, "quantile_bounds")
-    slots = F.array(
+    key = F.struct(*[F.col(c).alias(f"k{j}") for j, c in enumerate(by)])
+    x = df.where(F.col(value).isNotNull()).select(key.alias("_g"), F.col(value).cast("double").alias("_x"))
+    position = lambda p: F.lit(float(p)) * (F.col("_n") - 1)
+    ranks = F.array(
         *[
-            F.struct(
-                F.lit(j).alias("j"),
-                F.col(f"_lo{j}").alias("lo"),
-                F.col(f"_hi{j}").alias("hi"),
-                (F.lit(float(p)) * (F.col("_n") - 1)).alias("pos"),
-            )
+            F.struct(F.lit(2 * j + side).alias("slot"), edge(position(p)).cast("long").alias("rank"))
             for j, p in enumerate(plist)
+            for side, edge in enumerate((F.floor, F.ceil))
         ]
     )
-    x = F.col(value)
-    narrowed = (
-        df.where(x.isNotNull())
-        .join(bounds.withColumn("_slots", slots).select(*by, "_slots"), by)
-        .select(*by, x.alias("_x"), F.explode("_slots").alias("_s"))
-        .where(F.col("_x") <= F.col("_s.hi"))
-        .withColumn("_v", F.when(F.col("_x") >= F.col("_s.lo"), F.col("_x")))
-        .groupBy(*by, F.col("_s.j").alias("_j"), F.col("_s.pos").alias("_pos"), "_v")
-        .agg(F.count("*").alias("_c"))
-    )
-    upward = Window.partitionBy(*by, "_j").orderBy(F.col("_v").asc_nulls_first())
-    cum = narrowed.withColumn("_cum", F.sum("_c").over(upward))
-    low, high = F.floor("_pos"), F.ceil("_pos")
-    per_slot = cum.groupBy(*by, "_j", "_pos").agg(
-        F.max(F.when(F.col("_v").isNull(), F.col("_cum")).otherwise(F.lit(0))).alias("_below"),
-        F.min(F.when(F.col("_v").isNotNull() & (F.col("_cum") > low), F.col("_v"))).alias("_x0"),
-        F.min(F.when(F.col("_v").isNotNull() & (F.col("_cum") > high), F.col("_v"))).alias("_x1"),
-    )
-    inside = (F.col("_below") <= low) & F.col("_x1").isNotNull()
-    quantile = F.when(
-        inside,
-        F.col("_x0") + (F.col("_pos") - low) * (F.col("_x1") - F.col("_x0")),
-    ).otherwise(F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
-    return (
-        per_slot.withColumn("_q", quantile)
-        .groupBy(*by)
-        .agg(
-            *[
-                F.max(F.when(F.col("_j") == j, F.col("_q"))).alias(n)
-                for j, n in enumerate(probs)
-            ]
+
+    def at_rank(cells: DataFrame, over: list[str], slots: Column | None) -> DataFrame:
+        """The cell of each slot's rank, and how many values of the group's part come before it."""
+        upward = Window.partitionBy(*over).orderBy("_cell")
+        summed = cells.withColumn("_end", F.sum("_c").over(upward))
+        if slots is not None:
+            summed = summed.withColumn("_n", F.sum("_c").over(Window.partitionBy(*over)))
+            summed = summed.select("*", F.inline(slots))
+        inside = (F.col("rank") < F.col("_end")) & (F.col("rank") >= F.col("_end") - F.col("_c"))
+        return summed.where(inside).withColumn("rank", F.col("rank") - F.col("_end") + F.col("_c"))
+
+    first = x.groupBy("_g", value_cell(F.col("_x"), LOOKS[0]).alias("_cell")).agg(F.count("*").alias("_c"))
+    found = at_rank(first, ["_g"], ranks).select("_g", "_n", "slot", "rank", F.col("_cell").alias("_in"))
+    for bits, outer in ((LOOKS[1], LOOKS[0]), (None, LOOKS[1])):
+        # A few rows per group, as one map: rows of a hot group do not have to meet it.
+        wanted = stage(found, "quantile_cells")
+        spots = wanted.groupBy("_g").agg(F.collect_set("_in").alias("cells"))
+        table = spots.agg(F.map_from_entries(F.collect_list(F.struct("_g", "cells"))).alias("_m"))
+        near = x.withColumn("_in", value_cell(F.col("_x"), outer)).withColumn("_m", table.scalar())
+        near = near.where(F.array_contains(F.try_element_at("_m", F.col("_g")), F.col("_in")))
+        cell = value_cell(F.col("_x"), bits) if bits else F.col("_x")
+        counts = near.groupBy("_g", "_in", cell.alias("_cell")).agg(F.count("*").alias("_c"))
+        slots = wanted.select("_g", "_in", F.col("_n"), "slot", "rank")
+        upward = Window.partitionBy("_g", "_in").orderBy("_cell")
+        ends = counts.withColumn("_end", F.sum("_c").over(upward))
+        joined = ends.alias("e").join(
+            slots.alias("s"), F.col("e._g").eqNullSafe(F.col("s._g")) & (F.col("e._in") == F.col("s._in"))
         )
-    )
+        hit = (F.col("rank") < F.col("_end")) & (F.col("rank") >= F.col("_end") - F.col("_c"))
+        found = joined.where(hit).select(
+            F.col("e._g").alias("_g"), "_n", "slot", (F.col("rank") - F.col("_end") + F.col("_c")).alias("rank"),
+            F.col("_cell").alias("_in"),
+        )
+    out = []
+    for j, (name, p) in enumerate(probs.items()):
+        low, high = (F.max(F.when(F.col("slot") == 2 * j + side, F.col("_in"))) for side in (0, 1))
+        share = F.max(position(p)) - F.floor(F.max(position(p)))
+        out.append((low + share * (high - low)).alias(name))
+    per_group = found.groupBy("_g").agg(*out)
+    return per_group.select(*[F.col(f"_g.k{j}").alias(c) for j, c in enumerate(by)], *probs)
+
+
+def same_group(left: str, right: str, by: list[str]) -> Column:
+    """Join condition on the columns ``by`` of two aliases; null matches null."""
+    parts = [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in by]
+    return reduce(lambda a, b: a & b, parts)

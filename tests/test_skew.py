@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.joins import salted_lookup
-from plumbline.operators.ranking import bracket_columns, exact_quantiles, with_hash_rank
+from plumbline.operators.ranking import exact_quantiles, with_hash_rank
 from plumbline.operators.splits import assign_folds, assign_split, stratified_split
 from plumbline.operators.temporal import with_gap
 
@@ -81,18 +81,28 @@ def test_folds_cover_and_balance(spark):
     assert (first != second).any()
 
 
-@pytest.mark.parametrize("accuracy", [50, 2000])
-def test_exact_quantiles_on_hot_values(spark, accuracy):
-    """Low accuracy forces real brackets; a third of all values are equal."""
+def test_exact_quantiles_on_hot_values(spark):
+    """A third of all values are equal, a group is null, one has close values, one a single value."""
     rng = np.random.default_rng(5)
-    x = np.where(rng.random(30_000) < 0.34, 7.0, rng.lognormal(2, 2, 30_000).round(3))
-    df = spark.createDataFrame(pd.DataFrame({"g": np.where(rng.random(30_000) < 0.8, "a", "b"), "x": x}))
+    x = np.where(rng.random(30_000) < 0.34, 7.0, rng.lognormal(2, 2, 30_000).round(3)) * rng.choice([-1, 1, 1], 30_000)
+    pdf = pd.DataFrame({"g": np.where(rng.random(30_000) < 0.8, "a", "b"), "x": x})
+    close = pd.DataFrame({"g": "c", "x": 1 + rng.permutation(5000) * 2.0**-50})
+    few = pd.DataFrame({"g": ["d"] * 3 + [None] * 2 + ["e"], "x": [5e-324, 0.0, 1e300, 2.0, 4.0, 9.0]})
+    pdf = pd.concat([pdf, close, few])
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "g string, x double")
     probs = {"q1": 0.25, "q2": 0.5, "q3": 0.75, "q9": 0.99}
-    bounds = df.groupBy("g").agg(*bracket_columns("x", list(probs.values()), accuracy))
-    got = exact_quantiles(df, ["g"], "x", probs, bounds).toPandas().set_index("g").sort_index()
-    pdf = df.toPandas()
-    want = pdf.groupby("g").x.quantile(list(probs.values())).unstack().set_axis(list(probs), axis=1)
-    pd.testing.assert_frame_equal(got, want.sort_index(), check_names=False, check_exact=False, rtol=1e-12)
+    got = {r.g: [r[q] for q in probs] for r in exact_quantiles(df, ["g"], "x", probs).collect()}
+    assert got.keys() == {"a", "b", "c", "d", "e", None}
+    for g, values in got.items():
+        own = pdf[pdf.g.isna()] if g is None else pdf[pdf.g == g]
+        assert values == pytest.approx(own.x.quantile(list(probs.values())).tolist(), rel=1e-15), g
+
+
+def test_exact_quantiles_of_one_large_group(spark):
+    df = spark.range(300_000).select(F.lit("a").alias("g"), (F.col("id") / 7.0).alias("x"))
+    df = df.unionAll(spark.range(300_000).select(F.lit("b").alias("g"), F.lit(3.5).alias("x")))
+    got = {r.g: r.q for r in exact_quantiles(df, ["g"], "x", {"q": 0.5}).collect()}
+    assert got == {"a": pytest.approx(149_999.5 / 7), "b": 3.5}
 
 
 def test_salted_lookup_without_broadcast(spark):
