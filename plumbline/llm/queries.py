@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import fingerprints, licenses, linededup, mixing, neighbours, ngramjoin, packing, secrets, sharding, toxicity
+from plumbline.llm import (
+    fingerprints,
+    licenses,
+    linededup,
+    mixing,
+    neighbours,
+    ngramjoin,
+    packing,
+    secrets,
+    sharding,
+    toxicity,
+)
+from plumbline.llm.oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +73,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir), quality_weights(spark, sf_dir))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,4 +135,3 @@ QUERIES = {
         op10_packing,
     )
 }
-ORACLE: dict[str, str] = {}
