@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from datetime import datetime
 
@@ -38,6 +39,10 @@ HEADLINE = [
     "verified_integrity",
     "attached_integrity",
     "efficiency_table",
+    "ranking_auc",
+    "baseline_models",
+    "written_predictions",
+    "csv_datasets",
 ]
 
 
@@ -51,6 +56,10 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="plumbline-bench-"))
+        # The tables are one small file each: smaller splits keep all cores busy.
+        .config("spark.sql.files.maxPartitionBytes", "2m")
+        .config("spark.sql.files.minPartitionNum", cpus)
         # Plans are built here, not debugged: no call site per expression.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()

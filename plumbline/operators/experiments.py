@@ -19,6 +19,7 @@ from plumbline.operators.scoring import (
     fit_view_params,
     merge_fold_params,
     score_constants,
+    view_score,
     with_scores,
 )
 from plumbline.operators.views import with_quality
@@ -60,6 +61,11 @@ def standard_variants(spec: ViewSpec) -> dict[str, Column]:
     }
 
 
+def gaussian_baseline(spec: ViewSpec, constants: str = "_P") -> Column:
+    """A conventional model on all features at once, from the same class statistics."""
+    return view_score(ViewSpec({"all": tuple(spec.features)}), "all", constants)
+
+
 def validate_views(val: DataFrame, test: DataFrame, spec: ViewSpec) -> DataFrame:
     """All variants side by side; each threshold comes from validation rows."""
     long = lambda df: score_variants(df, standard_variants(spec), ["y"])
@@ -227,7 +233,11 @@ def _fitted_chain(val, test, constants, spec, keys, grid, long) -> DataFrame:
     thresholds that were fitted on the validation rows of the same keys."""
     names = [c for c in constants.columns if c not in keys]
     packed = constants.select(*keys, F.struct(*names).alias("_P"))
-    scored = lambda rows: with_quality(with_scores(with_fitted(rows, packed, keys, ["_P"]), spec).drop("_P"), spec)
+
+    def scored(rows: DataFrame) -> DataFrame:
+        rows = with_scores(with_fitted(rows, packed, keys, ["_P"]), spec)
+        return with_quality(rows.withColumn("b_gaussian", gaussian_baseline(spec)).drop("_P"), spec)
+
     g = [f"g_{v}" for v in spec.names]
     weights = stage(fit_view_weights(scored(val), spec, by=keys), "fitted_weights")
     weighed = lambda rows: with_fitted(scored(rows), weights, keys, g)
@@ -270,7 +280,8 @@ def cv_scores(
     keys = ["repeat", "model_fold"]
     constants = stage(score_constants(models, spec, keys), "cv_constants")
     cast = lambda model: rows.withColumn("model_fold", model.cast("int"))
-    long = lambda part: score_variants(part, standard_variants(spec), ["y", *keys])
+    compared = {**standard_variants(spec), "baseline:gaussian": F.col("b_gaussian")}
+    long = lambda part: score_variants(part, compared, ["y", *keys])
     val = cast(F.pmod(fold + F.lit(k - 1), F.lit(k)))
     test = _fitted_chain(val, cast(fold), constants, spec, keys, grid, long)
     per_model = metrics(test, ["repeat", "model_fold", "variant"])

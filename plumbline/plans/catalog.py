@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -537,8 +538,16 @@ def stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.once(spark, sf_dir, "cv_scores", lambda: event_cv(spark, sf_dir))
 
 
+COMPARED = ("unweighted", "baseline:gaussian")
+
+
 def stored_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.paired(stored_scores(spark, sf_dir), "reliability", "unweighted", ["metric"])
+    """Reliability fusion against the plain mean and against a conventional model."""
+    scores, out = stored_scores(spark, sf_dir), None
+    for other in COMPARED:
+        part = stats.paired(scores, "reliability", other, ["metric"]).withColumn("versus", F.lit(other))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query
@@ -553,17 +562,17 @@ def paired_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def paired_t_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.paired_t(stored_diffs(spark, sf_dir), ["metric"]), 5)
+    return rounded(stats.paired_t(stored_diffs(spark, sf_dir), ["versus", "metric"]), 5)
 
 
 @query
 def signed_rank_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.signed_rank(stored_diffs(spark, sf_dir), ["metric"]))
+    return rounded(stats.signed_rank(stored_diffs(spark, sf_dir), ["versus", "metric"]))
 
 
 @query
 def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.permutation_p(stored_diffs(spark, sf_dir), ["metric"], PERMUTATIONS))
+    return rounded(stats.permutation_p(stored_diffs(spark, sf_dir), ["versus", "metric"], PERMUTATIONS))
 
 
 @query
@@ -606,9 +615,9 @@ def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
             joined("model", "metric", F.col("repeat").cast("string"), F.col("fold").cast("string")), ["value"],
         ),
         (score_summary, 7, "score_summary", events, joined("model", "metric"), ["mean", "sd"]),
-        (paired_t_test, 7, "paired_tests", events, F.col("metric"), ["t", "effect_size"]),
-        (signed_rank_test, 7, "paired_tests", events, F.col("metric"), ["w", "z"]),
-        (permutation_test, 7, "paired_tests", events, F.col("metric"), ["p"]),
+        (paired_t_test, 7, "paired_tests", events, joined("versus", "metric"), ["t", "effect_size"]),
+        (signed_rank_test, 7, "paired_tests", events, joined("versus", "metric"), ["w", "z"]),
+        (permutation_test, 7, "paired_tests", events, joined("versus", "metric"), ["p"]),
     ]
     named = lambda run, *rest: C.as_results(run(spark, sf_dir), *rest)
     return B.once(spark, sf_dir, "results", lambda: C.consolidate([named(*o) for o in outputs]))
@@ -689,7 +698,7 @@ def publication_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- baselines --------------------------------------------------------------
 
 
-def _baseline_scores(rows: DataFrame, features: list[str], names: list[str]) -> DataFrame:
+def _baseline_scores(rows: DataFrame, features: list[str] | str, names: list[str]) -> DataFrame:
     """Predictions of every baseline, fitted on the train rows only."""
     train = B.split_rows(rows, "train")
     out = None
@@ -710,6 +719,19 @@ def baseline_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.metrics(test, ["variant", "theta"]))
 
 
+@query
+def baseline_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Gaussian baseline on all line features: threshold from validation, metrics on test."""
+    constants = scoring.score_constants(B.line_params(spark, sf_dir), LINE_VIEWS)
+    rows = with_scalar(B.line_evidence(spark, sf_dir), constants, "_P")
+    rows = rows.select(
+        "split", "y", F.lit("gaussian").alias("variant"), X.gaussian_baseline(LINE_VIEWS).alias("s")
+    )
+    theta = E.fit_threshold(B.split_rows(rows, "validation"), by=["variant"])
+    test = X.with_fitted(B.split_rows(rows, "test"), theta, ["variant"], ["theta"])
+    return rounded(E.metrics(test, ["variant", "theta"]))
+
+
 @query
 def tuned_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regularisation of the logistic baseline, chosen on validation rows."""
@@ -735,15 +757,14 @@ def complete_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def baseline_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten-class baselines on the whole embedding."""
     v = B.load(spark, sf_dir, "embeddings")
-    features = [f"x{j}" for j in range(64)]
     rows = v.select(
         F.col("vec_id").alias("record_id"),
         F.col("label").alias("y"),
         splits.split_of("vec_id").alias("split"),
-        *[F.col("embedding")[j].cast("double").alias(f) for j, f in enumerate(features)],
+        array_to_vector(F.col("embedding").cast("array<double>")).alias("vector"),
     )
     names = ["logistic_regression", "random_forest", "naive_bayes"]
-    scored = _baseline_scores(rows, features, names)
+    scored = _baseline_scores(rows, "vector", names)
     hit = F.avg((F.col("pred") == F.col("y")).cast("double"))
     return rounded(
         scored.groupBy("variant", "split").agg(F.count("*").alias("n"), hit.alias("accuracy"))

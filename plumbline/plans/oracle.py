@@ -641,7 +641,11 @@ _cross = [
 ]
 ORACLE["cross_dataset"] = with_(*_cross) + f"SELECT {metric_list('fit_dataset, test_dataset')}, {R('theta')} AS theta FROM xm"
 
-_cv_variants = lambda src, keep: variants(EVENT_VIEWS, src, keep, gr(EVENT_VIEWS, FIT))
+EVENT_ALL, LINE_ALL = (ViewSpec({"all": tuple(v.features)}) for v in (EVENT_VIEWS, LINE_VIEWS))
+_cv_variants = lambda src, keep: (
+    variants(EVENT_VIEWS, src, keep, gr(EVENT_VIEWS, FIT))
+    + f" UNION ALL SELECT {keep}, 'baseline:gaussian' AS variant, p_all AS s FROM {src}"
+)
 CV = [
     EV,
     f"fo AS ({_folds})",
@@ -649,14 +653,14 @@ CV = [
     f"mo AS (SELECT unnest(range(0, {CV_FOLDS}))::INT AS model_fold)",
     f"tr AS (SELECT rw.*, model_fold FROM rw, mo WHERE fold <> model_fold AND fold <> (model_fold + 1) % {CV_FOLDS})",
     f"par AS ({params(EVENT_VIEWS, 'tr', 'repeat, model_fold')})",
-    f"va AS (SELECT b.*, P.model_fold, {p_cols(EVENT_VIEWS)} FROM rw b JOIN par P ON P.repeat = b.repeat AND b.fold = (P.model_fold + 1) % {CV_FOLDS})",
+    f"va AS (SELECT b.*, P.model_fold, {p_cols(EVENT_VIEWS)}, {p_cols(EVENT_ALL)} FROM rw b JOIN par P ON P.repeat = b.repeat AND b.fold = (P.model_fold + 1) % {CV_FOLDS})",
     f"wts AS ({weights(EVENT_VIEWS, 'va', 'repeat, model_fold')})",
     "vw0 AS (SELECT * FROM va JOIN wts USING (repeat, model_fold))",
     *alpha_fit(EVENT_VIEWS, "vw0", "repeat, model_fold"),
     "vw AS (SELECT * FROM vw0 JOIN alpha USING (repeat, model_fold))",
     f"vl AS ({_cv_variants('vw', 'y, repeat, model_fold')})",
     f"th AS ({theta('vl', 'repeat, model_fold, variant')})",
-    f"te AS (SELECT b.*, P.model_fold, {p_cols(EVENT_VIEWS)} FROM rw b JOIN par P ON P.repeat = b.repeat AND b.fold = P.model_fold)",
+    f"te AS (SELECT b.*, P.model_fold, {p_cols(EVENT_VIEWS)}, {p_cols(EVENT_ALL)} FROM rw b JOIN par P ON P.repeat = b.repeat AND b.fold = P.model_fold)",
     "tw AS (SELECT * FROM te JOIN wts USING (repeat, model_fold) JOIN alpha USING (repeat, model_fold))",
     f"tl0 AS ({_cv_variants('tw', 'y, repeat, model_fold')})",
     "tl AS (SELECT tl0.*, theta FROM tl0 JOIN th USING (repeat, model_fold, variant))",
@@ -670,6 +674,16 @@ CV = [
 ]
 ORACLE["cv_scores"] = with_(*CV) + f"SELECT model, repeat, fold, metric, {R('value')} AS value FROM sco"
 
+ORACLE["baseline_gaussian"] = with_(
+    *LIC[:3],
+    f"bs AS (SELECT 'gaussian' AS variant, split, y, {p_cols(LINE_ALL)} FROM li b, par P)",
+    "bg AS (SELECT variant, split, y, p_all AS s FROM bs)",
+    "bv AS (SELECT * FROM bg WHERE split = 'validation')",
+    f"bt AS ({theta('bv', 'variant')})",
+    "be AS (SELECT bg.*, theta FROM bg LEFT JOIN bt USING (variant) WHERE split = 'test')",
+    f"bm AS ({metrics('be', 'variant, theta')})",
+) + f"SELECT {metric_list('variant')}, {R('theta')} AS theta FROM bm"
+
 # ---- statistics -------------------------------------------------------------
 
 _summary = f"""
@@ -681,41 +695,41 @@ ORACLE["score_summary"] = with_(*CV, _summary) + "SELECT model, metric, n, " + "
 ) + " FROM sm"
 DIFF = [
     *CV,
-    """df AS (SELECT metric, repeat, fold, a.value AS value_a, b.value AS value_b, a.value - b.value AS diff
-       FROM sco a JOIN sco b USING (metric, repeat, fold) WHERE a.model = 'reliability' AND b.model = 'unweighted')""",
+    """df AS (SELECT b.model AS versus, metric, repeat, fold, a.value AS value_a, b.value AS value_b, a.value - b.value AS diff
+       FROM sco a JOIN sco b USING (metric, repeat, fold) WHERE a.model = 'reliability' AND b.model IN ('unweighted', 'baseline:gaussian'))""",
 ]
 ORACLE["paired_differences"] = with_(*DIFF) + (
-    f"SELECT metric, repeat, fold, {R('value_a')} AS value_a, {R('value_b')} AS value_b, {R('diff')} AS diff FROM df"
+    f"SELECT versus, metric, repeat, fold, {R('value_a')} AS value_a, {R('value_b')} AS value_b, {R('diff')} AS diff FROM df"
 )
 ORACLE["paired_t_test"] = with_(
     *DIFF,
-    "pt AS (SELECT metric, count(diff) AS n, avg(diff) AS mean_diff, stddev_samp(diff) AS sd_diff FROM df GROUP BY metric)",
+    "pt AS (SELECT versus, metric, count(diff) AS n, avg(diff) AS mean_diff, stddev_samp(diff) AS sd_diff FROM df GROUP BY versus, metric)",
     "pu AS (SELECT *, CASE WHEN sd_diff > 1e-12 THEN sd_diff END AS sd0 FROM pt)",
 ) + (
-    f"SELECT metric, n, {R('mean_diff', 5)} AS mean_diff, {R('sd_diff', 5)} AS sd_diff, "
+    f"SELECT versus, metric, n, {R('mean_diff', 5)} AS mean_diff, {R('sd_diff', 5)} AS sd_diff, "
     f"{R('mean_diff / (sd0 / sqrt(n))', 5)} AS t, {R('mean_diff / sd0', 5)} AS effect_size FROM pu"
 )
 ORACLE["signed_rank_test"] = with_(
     *DIFF,
-    "nz AS (SELECT metric, round(diff, 9) AS d FROM df WHERE round(diff, 9) <> 0)",
-    """rk AS (SELECT metric, d, count(*) OVER (PARTITION BY metric, abs(d)) AS t,
-           rank() OVER (PARTITION BY metric ORDER BY abs(d)) + (count(*) OVER (PARTITION BY metric, abs(d)) - 1) / 2 AS r FROM nz)""",
-    """sr AS (SELECT metric, count(*) AS n, coalesce(sum(r) FILTER (WHERE d > 0), 0)::DOUBLE AS w_plus,
-           coalesce(sum(r) FILTER (WHERE d < 0), 0)::DOUBLE AS w_minus FROM rk GROUP BY metric)""",
-    """tg AS (SELECT metric, sum(t * t * t - t)::DOUBLE AS ties
-           FROM (SELECT metric, abs(d) AS a, count(*) AS t FROM nz GROUP BY ALL) GROUP BY metric)""",
+    "nz AS (SELECT versus, metric, round(diff, 9) AS d FROM df WHERE round(diff, 9) <> 0)",
+    """rk AS (SELECT versus, metric, d, count(*) OVER (PARTITION BY versus, metric, abs(d)) AS t,
+           rank() OVER (PARTITION BY versus, metric ORDER BY abs(d)) + (count(*) OVER (PARTITION BY versus, metric, abs(d)) - 1) / 2 AS r FROM nz)""",
+    """sr AS (SELECT versus, metric, count(*) AS n, coalesce(sum(r) FILTER (WHERE d > 0), 0)::DOUBLE AS w_plus,
+           coalesce(sum(r) FILTER (WHERE d < 0), 0)::DOUBLE AS w_minus FROM rk GROUP BY versus, metric)""",
+    """tg AS (SELECT versus, metric, sum(t * t * t - t)::DOUBLE AS ties
+           FROM (SELECT versus, metric, abs(d) AS a, count(*) AS t FROM nz GROUP BY ALL) GROUP BY versus, metric)""",
 ) + (
-    f"SELECT metric, n, {R('w_plus')} AS w_plus, {R('w_minus')} AS w_minus, {R('least(w_plus, w_minus)')} AS w, "
-    f"{R('(w_plus - n * (n + 1) / 4) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 0)')} AS z FROM sr JOIN tg USING (metric)"
+    f"SELECT versus, metric, n, {R('w_plus')} AS w_plus, {R('w_minus')} AS w_minus, {R('least(w_plus, w_minus)')} AS w, "
+    f"{R('(w_plus - n * (n + 1) / 4) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 0)')} AS z FROM sr JOIN tg USING (versus, metric)"
 )
 ORACLE["permutation_test"] = with_(
     *DIFF,
-    "ob AS (SELECT metric, count(diff) AS n, avg(diff) AS mean_diff FROM df GROUP BY metric)",
-    f"""pm AS (SELECT metric, b, avg(CASE WHEN ('0x' || substr(md5('42|' || b || '|' || repeat || '|' || fold), 1, 1))::INT < 8 THEN diff ELSE -diff END) AS m
+    "ob AS (SELECT versus, metric, count(diff) AS n, avg(diff) AS mean_diff FROM df GROUP BY versus, metric)",
+    f"""pm AS (SELECT versus, metric, b, avg(CASE WHEN ('0x' || substr(md5('42|' || b || '|' || repeat || '|' || fold), 1, 1))::INT < 8 THEN diff ELSE -diff END) AS m
            FROM df, (SELECT unnest(range(1, {PERMUTATIONS + 1})) AS b) GROUP BY ALL)""",
-    """ex AS (SELECT metric, n, mean_diff, count(*) FILTER (WHERE round(abs(m), 9) >= round(abs(mean_diff), 9)) AS extreme
-           FROM pm JOIN ob USING (metric) GROUP BY ALL)""",
-) + f"SELECT metric, n, {R('mean_diff')} AS mean_diff, extreme, {R(f'(extreme + 1) / {PERMUTATIONS + 1}.0::DOUBLE')} AS p FROM ex"
+    """ex AS (SELECT versus, metric, n, mean_diff, count(*) FILTER (WHERE round(abs(m), 9) >= round(abs(mean_diff), 9)) AS extreme
+           FROM pm JOIN ob USING (versus, metric) GROUP BY ALL)""",
+) + f"SELECT versus, metric, n, {R('mean_diff')} AS mean_diff, extreme, {R(f'(extreme + 1) / {PERMUTATIONS + 1}.0::DOUBLE')} AS p FROM ex"
 
 LOG = """
 lg AS (SELECT event_type AS stage, regexp_extract(props, '"k": *(-?[0-9]+)', 1)::BIGINT AS rows, value AS seconds FROM events)"""
@@ -759,9 +773,9 @@ RESULTS = " UNION ALL ".join(
         ("scalability_table", 6, "scalability_table", "'events'", "stage || ':' || rows", ["mean_seconds", "rows_per_second"]),
         ("cv_scores", 7, "cv_scores", "'events'", "model || ':' || metric || ':' || repeat || ':' || fold", ["value"]),
         ("score_summary", 7, "score_summary", "'events'", "model || ':' || metric", ["mean", "sd"]),
-        ("paired_t_test", 7, "paired_tests", "'events'", "metric", ["t", "effect_size"]),
-        ("signed_rank_test", 7, "paired_tests", "'events'", "metric", ["w", "z"]),
-        ("permutation_test", 7, "paired_tests", "'events'", "metric", ["p"]),
+        ("paired_t_test", 7, "paired_tests", "'events'", "versus || ':' || metric", ["t", "effect_size"]),
+        ("signed_rank_test", 7, "paired_tests", "'events'", "versus || ':' || metric", ["w", "z"]),
+        ("permutation_test", 7, "paired_tests", "'events'", "versus || ':' || metric", ["p"]),
     ]
 )
 ORACLE["consolidated_results"] = (
