@@ -127,7 +127,7 @@ def test_quality_and_long_views(spark):
 def reasoned(spark, rows, theta=0.5):
     g = {v: F.lit(0.5) for v in SPEC.names}
     df = fusion.fuse(scored(spark, rows), SPEC, g, ALPHA)
-    out = reasoning.reason(df, SPEC, F.lit(int(theta * 1_000_000)))
+    out = reasoning.reason(df, SPEC, F.lit(theta))
     return reasoning.confidence_parts(out, SPEC, g, F.lit(theta))
 
 
