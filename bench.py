@@ -40,7 +40,6 @@ HEADLINE = [
     "attached_integrity",
     "efficiency_table",
     "ranking_auc",
-    "baseline_models",
     "written_predictions",
     "csv_datasets",
 ]
