@@ -7,9 +7,10 @@ differ have become variable, too; a field is a token, or one of ``FIELDS`` runs
 documents recurs: its lines are dropped from all documents but the one with the smallest
 doc_id.
 
-A document of which recurring templates make up a large part is a copy as a whole. It is
-left as it is: whether to keep it is a question for document dedup, which would not
-recognise its remains.
+A document of which recurring templates make up a large part, and which the n-gram join
+links with another one that has such a part, is a copy as a whole. It is left as it is:
+whether to keep it is a question for document dedup, which would not recognise its remains.
+Without such a link it loses its recurring lines, however large their part is.
 
 Lines that recur are pre-aggregated to distinct lines before they meet in a leaf. A leaf
 with too many distinct lines is parsed deeper by more leading tokens, and in the end by
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm import ngramjoin
 from plumbline.llm.common import prepare
 from plumbline.llm.words import SPACE, Words, chunks, mix
 from plumbline.session import stage
@@ -42,11 +44,13 @@ LEAF_LINES, SIMILAR = 4096, 0.7
 FIELDS = 16
 #: Documents in which a template recurs, words of a line that may be dropped.
 MIN_DOCS, MIN_WORDS = 5, 3
-#: A document is a copy as a whole if recurring lines hold this share of its words, or,
-#: with MANY of them, the smaller share.
+#: A document may be a copy as a whole if recurring lines hold this share of its words, or,
+#: with MANY of them, the smaller share; it is one if the n-gram join links it, too.
 WHOLE, PART, MANY = 0.5, 0.25, 3
 #: Bytes of distinct lines that one task clusters, about.
 TASK_BYTES = 16_000_000
+#: Bits of a filter; rows that pass it by chance only make work.
+FILTER = 1 << 22
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = mix(np.arange(1, DEEPER + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
@@ -151,6 +155,43 @@ def _cluster(similar: float):
     return run
 
 
+def _filter(values: DataFrame, column: str) -> np.ndarray:
+    """Which numbers modulo ``FILTER`` occur in a column of hashes; its size does not depend on theirs."""
+    words = values.selectExpr(
+        f"shiftright(pmod(`{column}`, {FILTER}L), 6) AS at", f"shiftleft(1L, cast(pmod(`{column}`, 64L) AS int)) AS bit"
+    )
+    bits = np.zeros(FILTER // 64, dtype=np.int64)
+    for at, word in words.groupBy("at").agg(F.bit_or("bit")).collect():
+        bits[at] = word
+    return bits
+
+
+def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & (FILTER - 1)
+    return (bits[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def _with_marks(bits: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_passes(bits, b.column(0).to_numpy())))
+
+    return run
+
+
+def _copies(rows: DataFrame, per_row: DataFrame) -> DataFrame:
+    """The marks of ``per_row`` whose texts are near copies of others of it."""
+    marks = stage(per_row.groupBy("mark").agg(F.count("*").alias("docs")), "copy_marks")
+    if marks.isEmpty():
+        return marks.select("mark")
+    near = rows.select("mark", "text").mapInArrow(_with_marks(_filter(marks, "mark")), "mark long, text string")
+    near = stage(near.dropDuplicates(["mark"]).join(marks.hint("merge"), "mark"), "copy_texts")
+    named = ngramjoin.similar(near, key="mark").select(F.col("doc_id").alias("mark"), "component_id")
+    named = stage(named.join(marks.hint("merge"), "mark"), "copy_names")
+    groups = named.groupBy("component_id").agg(F.sum("docs").alias("members")).where("members > 1")
+    return named.join(groups.hint("merge"), "component_id").select("mark")
+
+
 def recurring_lines(
     docs: DataFrame,
     min_docs: int = MIN_DOCS,
@@ -205,7 +246,12 @@ def recurring_lines(
     )
     share = F.col("words") / F.col("of")
     whole = (share >= WHOLE) | ((F.col("templates") >= MANY) & (share >= PART))
-    return per_row.where(~whole & (F.size("drop") > 0)).select("doc_id", "mark", "drop")
+    per_row = stage(per_row.withColumn("share", share).withColumn("whole", whole), "recurring_rows")
+    # A partner that has the recurring lines, too, has at least this share.
+    partners = per_row.where(F.col("share") >= PART * ngramjoin.PERCENT / 100)
+    copies = stage(_copies(rows, partners), "copies").withColumn("copy", F.lit(True))
+    per_row = per_row.where(F.size("drop") > 0).join(copies.hint("merge"), "mark", "left")
+    return per_row.where(~F.col("whole") | F.col("copy").isNull()).select("doc_id", "mark", "drop")
 
 
 def without_lines(text: Column, drop: Column) -> Column:

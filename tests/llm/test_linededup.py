@@ -69,3 +69,16 @@ def test_lines_go_by_number(spark, text):
     df = spark.createDataFrame([(text, [1])], "t string, d array<int>")
     want = "\n".join(x for k, x in enumerate(text.split("\n")) if k != 1)
     assert df.select(ld.without_lines(F.col("t"), F.col("d"))).first()[0] == want
+
+
+def test_documents_that_are_no_copies_lose_their_recurring_lines_however_large_the_part(corpus):
+    passage = " ".join("long" + chr(97 + k % 26) + chr(97 + k // 26) for k in range(60))
+    short = "\n".join(f"{x} one two three four" for x in ("header", "menu", "footer"))
+    rows = [(i, f"{own(i, 40)}\n{passage}") for i in range(8)]
+    rows += [(20 + i, f"{own(100 + i, 35)}\n{short}") for i in range(8)]
+    rows += [(40 + i, f"{PASSAGE}\nas ever\n{own(200 + i, 3)}") for i in range(6)]  # near copies
+    got = run(corpus(rows))
+    assert got[0].text == rows[0][1] and got[20].text == rows[8][1]
+    assert all(got[i].text == own(i, 40) for i in range(1, 8))
+    assert all(got[20 + i].text == own(100 + i, 35) for i in range(1, 8))
+    assert all(got[i].text == t for i, t in rows[16:])
