@@ -3,18 +3,23 @@
 A line's tokens are its lower-cased words; tokens with a digit are variable fields. The
 tree has a fixed depth: number of tokens, then the leading tokens. In a leaf, lines that
 agree in at least ``SIMILAR`` of their fields share a template, in which the fields that
-differ have become variable, too; a field is a token, or one of ``FIELDS`` runs of tokens. A template that occurs in at least ``MIN_DOCS``
-documents recurs: its lines are dropped from all documents but the one with the smallest
-doc_id.
+differ have become variable, too; a field is a token, or one of ``FIELDS`` runs of tokens. A template
+that occurs in at least ``MIN_DOCS`` documents recurs: its lines are dropped from all
+documents but the one with the smallest doc_id.
 
 A document of which recurring templates make up a large part, and which the n-gram join
 links with another one that has such a part, is a copy as a whole. It is left as it is:
 whether to keep it is a question for document dedup, which would not recognise its remains.
 Without such a link it loses its recurring lines, however large their part is.
 
-Lines that recur are pre-aggregated to distinct lines before they meet in a leaf. A leaf
-with too many distinct lines is parsed deeper by more leading tokens, and in the end by
-all of them, so no task gets an unbounded leaf and no line is left out.
+Lines that recur are pre-aggregated to distinct lines before they meet in a leaf, and only
+these bring their tokens, in a second reading of the texts that a bitmap of the leaves in
+which enough lines meet restricts. The leaf is the same at every size. One with too many
+distinct lines is dealt to blocks; the templates found in a block then meet those of every
+other block, as lines with variable fields, in pairs of blocks of bounded size, and those
+that agree are one template. So no task gets an unbounded leaf and no two lines are kept
+apart by a leaf's size. The pairs of blocks grow with the square of a leaf's templates, not
+of its lines.
 
 Defined cases: a null text stays null; lines of fewer than ``MIN_WORDS`` words always
 stay; repeated rows are one document and are treated alike; rows with a null doc_id are
@@ -33,12 +38,13 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import ngramjoin
 from plumbline.llm.common import prepare
+from plumbline.llm.components import components
 from plumbline.llm.words import SPACE, Words, chunks, mix
 from plumbline.session import stage
 
-#: Leading tokens of a leaf's path, and of the path of a leaf that would be too large.
-DEPTH, DEEPER = 3, 8
-#: Distinct lines of a leaf at most; share of tokens in which lines of a template agree.
+#: Leading tokens of a leaf's path.
+DEPTH = 3
+#: Distinct lines of a block of a leaf, about; share of tokens in which lines of a template agree.
 LEAF_LINES, SIMILAR = 4096, 0.7
 #: Fields in which lines are compared: longer lines have runs of tokens as fields.
 FIELDS = 16
@@ -53,27 +59,24 @@ TASK_BYTES = 16_000_000
 FILTER = 1 << 22
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_SHIFT = mix(np.arange(1, DEEPER + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
+_SHIFT = mix(np.arange(1, DEPTH + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
 #: Hash of a token with a digit; field of a template that varies.
 _VARIABLE, _FIELD = np.uint64(0x5851F42D4C957F2D), np.uint32(0)
 
 
 def _parsed(lines: list[str]) -> tuple[np.ndarray, ...]:
-    """Words per line, fields of all lines, where each line's begin, and per line its two paths
-    and its digest. A field is a token, or in long lines a run of neighbouring tokens."""
+    """Words per line, fields of all lines, where each line's begin, and per line its path
+    and its digest."""
     w = Words(lines, SPACE)
     data = np.frombuffer(w.bytes, dtype=np.uint8)
     digits = np.concatenate([[0], np.cumsum((data >= 0x30) & (data <= 0x39), dtype=np.int64)])
     tokens = mix(w.hashes | np.uint64(1))
     tokens[digits[w.ends] > digits[w.starts]] = _VARIABLE
     first, counts = w.first[:-1], np.diff(w.first)
-    paths = []
-    for depth in (DEPTH, DEEPER):
-        path = counts.astype(np.uint64) * _STEP
-        for k in range(depth):
-            some = counts > k
-            path[some] += tokens[first[some] + k] * _SHIFT[k]
-        paths.append(mix(path))
+    path = counts.astype(np.uint64) * _STEP
+    for k in range(DEPTH):
+        some = counts > k
+        path[some] += tokens[first[some] + k] * _SHIFT[k]
     place = np.arange(len(tokens)) - np.repeat(first, counts)
     placed = tokens * mix(place.astype(np.uint64) + _STEP)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(placed)])
@@ -83,10 +86,10 @@ def _parsed(lines: list[str]) -> tuple[np.ndarray, ...]:
     field = np.repeat(begins[:-1], counts) + place * np.repeat(fields, counts) // np.repeat(counts, counts)
     starts = np.flatnonzero(np.diff(field, prepend=-1))
     sums = np.add.reduceat(placed, starts) if len(starts) else placed
-    return counts, np.maximum((mix(sums) >> np.uint64(32)).astype(np.uint32), 1), begins, *paths, digest
+    return counts, np.maximum((mix(sums) >> np.uint64(32)).astype(np.uint32), 1), begins, mix(path), digest
 
 
-_LINES = "doc_id long, mark long, line int, words int, of int, path long, deeper long, digest long, fields binary"
+_LINES = "doc_id long, mark long, line int, words int, of int, path long, digest long"
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,12 +100,11 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for begin, end in chunks(texts):
             split = [t.split("\n") for t in texts[begin:end]]
             sizes = np.array([len(s) for s in split])
-            counts, fields, first, path, deeper, digest = _parsed([x for s in split for x in s])
+            counts, _, _, path, digest = _parsed([x for s in split for x in s])
             doc = np.repeat(np.arange(begin, end), sizes)
             line = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             of = np.bincount(doc - begin, weights=counts, minlength=end - begin).astype(np.int32)
             at = np.flatnonzero(counts >= MIN_WORDS)
-            raw = fields.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([keys[i] for i in doc[at].tolist()], pa.int64()),
@@ -110,15 +112,42 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(line[at].astype(np.int32)),
                     pa.array(counts[at].astype(np.int32)),
                     pa.array(of[doc[at] - begin]),
-                    *(pa.array(x[at].view(np.int64)) for x in (path, deeper, digest)),
-                    pa.array([raw[4 * a : 4 * b] for a, b in zip(first[at].tolist(), first[at + 1].tolist())], pa.binary()),
+                    *(pa.array(x[at].view(np.int64)) for x in (path, digest)),
                 ],
                 [c.split()[0] for c in _LINES.split(", ")],
             )
 
 
-def leaf_templates(lines: np.ndarray, similar: float) -> np.ndarray:
-    """Row of ``lines`` (fields of the lines of one leaf, most frequent first) that founded each row's template."""
+_FIELDS = "path long, digest long, n long, fields binary"
+
+
+def _fields(bits: np.ndarray):
+    """Distinct lines of a portion, with their fields, whose paths pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or "" for t in b.column(0).to_pylist()]
+            for begin, end in chunks(texts):
+                counts, fields, first, path, digest = _parsed([x for t in texts[begin:end] for x in t.split("\n")])
+                path = path.view(np.int64)
+                at = np.flatnonzero((counts >= MIN_WORDS) & _passes(bits, path))
+                digest, one, n = np.unique(digest[at], return_index=True, return_counts=True)
+                at = at[one]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(path[at]),
+                        pa.array(digest.view(np.int64)),
+                        pa.array(n.astype(np.int64)),
+                        pa.array([fields[first[i] : first[i + 1]].tobytes() for i in at.tolist()], pa.binary()),
+                    ],
+                    [c.split()[0] for c in _FIELDS.split(", ")],
+                )
+
+    return run
+
+
+def _templates(lines: np.ndarray, similar: float) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Row of ``lines`` that founded each row's template, and the template of each such row."""
     founders: list[int] = []
     templates = np.empty_like(lines)
     out = np.empty(len(lines), dtype=np.int64)
@@ -134,27 +163,78 @@ def leaf_templates(lines: np.ndarray, similar: float) -> np.ndarray:
         templates[n] = line
         founders.append(i)
         out[i] = i
-    return out
+    return out, dict(zip(founders, templates))
+
+
+def leaf_templates(lines: np.ndarray, similar: float) -> np.ndarray:
+    """Row of ``lines`` (fields of the lines of one leaf, most frequent first) that founded each row's template."""
+    return _templates(lines, similar)[0]
+
+
+_TEMPLATES = "path long, digest long, template long, n long, fields binary"
 
 
 def _cluster(similar: float):
+    """Each line's template; a founder, and a line of a size of its own, has the template's fields."""
+
     def run(group: pa.Table) -> pa.Table:
-        leaf, digest, n = (group.column(c).to_numpy() for c in ("leaf", "digest", "n"))
+        path, block, digest, n = (group.column(c).to_numpy() for c in ("path", "block", "digest", "n"))
         fields = group.column("fields").to_pylist()
-        template = digest.copy()
-        order = np.lexsort((digest, -n, leaf))
-        begins = np.flatnonzero(np.concatenate([[True], leaf[order][1:] != leaf[order][:-1]]))
-        for at in np.split(order, begins[1:]) if len(order) else ():
-            if len(at) > 1:
-                size = len(fields[at[0]])
-                at = at[[len(fields[i]) == size for i in at]]
-                rows = np.frombuffer(b"".join(fields[i] for i in at), dtype=np.uint32).reshape(len(at), -1)
-                template[at] = digest[at][leaf_templates(rows, similar)]
-        return pa.table({"digest": digest, "template": template})
+        sizes = np.array([len(f) for f in fields], dtype=np.int64)
+        template, own = digest.copy(), [None] * len(fields)
+        order = np.lexsort((digest, -n, sizes, block, path))
+        keys = np.stack([x[order] for x in (path, block, sizes)])
+        begins = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        for at in np.split(order, begins) if len(order) else ():
+            rows = np.frombuffer(b"".join(fields[i] for i in at), dtype=np.uint32).reshape(len(at), -1)
+            founder, found = _templates(rows, similar)
+            template[at] = digest[at][founder]
+            for i, pattern in found.items():
+                own[at[i]] = pattern.tobytes()
+        columns = {"path": path, "digest": digest, "template": template, "n": n}
+        return pa.table({**columns, "fields": pa.array(own, pa.binary())})
 
     return run
 
 
+def _blocks() -> Column:
+    """Number of blocks of a leaf of ``lines`` lines of ``words`` words."""
+    most = F.least(F.lit(LEAF_LINES), F.greatest(F.lit(1), F.floor(TASK_BYTES / (4 * F.col("words")))))
+    return F.ceil(F.col("lines") / most).cast("int")
+
+
+def _clustered(lines: DataFrame, similar: float) -> DataFrame:
+    """``_cluster`` over tasks of bounded size; a unit of it is one ``block`` of one ``path``."""
+    size = lines.agg(F.sum(F.octet_length("fields"))).first()[0] or 0
+    parts = max(1, -(-size // TASK_BYTES))
+    task = F.pmod(F.xxhash64("path", "block"), F.lit(parts))
+    return lines.withColumn("task", task).groupBy("task").applyInArrow(_cluster(similar), _TEMPLATES)
+
+
+def line_templates(rows: DataFrame, leaves: DataFrame, similar: float) -> DataFrame:
+    """digest and template (the digest of one of its lines) of each distinct line of ``leaves``."""
+    own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    tokens = rows.select("text").mapInArrow(_fields(_filter(leaves, "path")), _FIELDS)
+    tokens = tokens.groupBy("path", "digest").agg(F.first("fields").alias("fields"), F.sum("n").alias("n"))
+    sample = tokens.join(leaves.hint("merge"), "path").withColumn("blocks", _blocks())
+    sample = stage(sample.select("path", own.cast("string").alias("block"), "digest", "n", "fields", "blocks"), "leaf_samples")
+    found = stage(_clustered(sample.drop("blocks"), similar), "templates")
+    large = stage(sample.where("blocks > 1").select("path").distinct(), "large_leaves")
+    if large.isEmpty():
+        return found.select("digest", "template")
+    # Templates of the blocks of a leaf meet in pairs of blocks; those that agree are tied.
+    again = stage(found.where("fields is not null").join(large.hint("merge"), "path"), "block_templates")
+    counts = again.groupBy("path").agg(F.count("*").alias("lines"), F.max(F.octet_length("fields") / 4).alias("words"))
+    again = again.drop("template").join(counts.hint("merge"), "path").withColumn("blocks", _blocks())
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    pairs = again.select("*", own.alias("own")).select("*", other)
+    block = F.concat_ws(":", F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string"))
+    pairs = stage(pairs.select("path", block.alias("block"), "digest", "n", "fields"), "block_pairs")
+    ties = components(_clustered(pairs, similar).select(F.col("digest").alias("a"), F.col("template").alias("b")))
+    named = found.select("digest", "template").join(ties.hint("merge"), F.col("template") == F.col("node"), "left")
+    return named.select("digest", F.coalesce("component", "template").alias("template"))
+
+
 def _filter(values: DataFrame, column: str) -> np.ndarray:
     """Which numbers modulo ``FILTER`` occur in a column of hashes; its size does not depend on theirs."""
     words = values.selectExpr(
@@ -202,32 +282,15 @@ def recurring_lines(
     """Rows that lose lines: doc_id, mark (a hash of the text), ``drop`` (numbers of the lines)."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     lines = stage(rows.mapInArrow(_lines, _LINES), "lines")
-    # Leaves in which enough documents meet, and their numbers of distinct lines.
-    distinct = lines.groupBy("path", "deeper", "digest").agg(F.count("*").alias("n"))
-    leaves = distinct.groupBy("path").agg(F.count("*").alias("lines"), F.sum("n").alias("n")).where(F.col("n") >= min_docs)
-    deep = distinct.groupBy("path", "deeper").agg(F.count("*").alias("deep_lines"))
-    chosen = leaves.join(deep, "path")
-    leaf = (
-        F.when(F.col("lines") <= LEAF_LINES, F.col("path"))
-        .when(F.col("deep_lines") <= LEAF_LINES, F.col("deeper"))
-        .otherwise(F.lit(None).cast("long"))
+    # Leaves in which enough lines meet, and their numbers of distinct lines.
+    distinct = lines.groupBy("path", "digest").agg(F.count("*").alias("n"), F.max("words").alias("words"))
+    leaves = distinct.groupBy("path").agg(
+        F.count("*").alias("lines"), F.max("words").alias("words"), F.sum("n").alias("n")
     )
-    chosen = stage(chosen.select("path", "deeper", leaf.alias("leaf")), "leaves")
+    leaves = stage(leaves.where(F.col("n") >= min_docs).drop("n"), "leaves")
     # Merge joins at every size: the adaptive skew join splits hot paths, templates and lines.
-    some = lines.join(chosen.hint("merge"), ["path", "deeper"]).select(
-        "doc_id", "mark", "line", "words", "of", "digest", F.coalesce("leaf", "digest").alias("leaf"), "fields"
-    )
-    some = stage(some, "leaf_lines")
-    sample = some.groupBy("leaf", "digest").agg(F.first("fields").alias("fields"), F.count("*").alias("n"))
-    sample = stage(sample, "leaf_samples")
-    size = sample.agg(F.sum(F.octet_length("fields"))).first()[0] or 0
-    parts = max(1, -(-size // TASK_BYTES))
-    clustered = (
-        sample.withColumn("task", F.pmod(F.xxhash64("leaf"), F.lit(parts)))
-        .groupBy("task")
-        .applyInArrow(_cluster(similar), "digest long, template long")
-    )
-    named = some.drop("fields", "leaf").join(stage(clustered, "templates").hint("merge"), "digest")
+    some = stage(lines.join(leaves.select("path").hint("merge"), "path").drop("path"), "leaf_lines")
+    named = some.join(stage(line_templates(rows, leaves, similar), "line_templates").hint("merge"), "digest")
     named = stage(named.dropDuplicates(["doc_id", "mark", "line"]), "named_lines")
     order = F.coalesce("doc_id", F.lit(2**63 - 1))
     per_doc = named.groupBy("template", "doc_id").agg(F.lit(1).alias("one"))

@@ -82,3 +82,9 @@ def test_documents_that_are_no_copies_lose_their_recurring_lines_however_large_t
     assert all(got[i].text == own(i, 40) for i in range(1, 8))
     assert all(got[20 + i].text == own(100 + i, 35) for i in range(1, 8))
     assert all(got[i].text == t for i, t in rows[16:])
+
+
+def test_large_leaves_find_the_templates_that_small_ones_find(corpus, monkeypatch):
+    monkeypatch.setattr(ld, "LEAF_LINES", 3)
+    rows = [(i, f"{own(i, 80)}\nplease do welcome guest {own(i, 1)} to the evening show tonight") for i in range(14)]
+    assert all(("evening" in r.text) == (i == 0) for i, r in run(corpus(rows)).items())
