@@ -3,7 +3,7 @@
 A line's tokens are its lower-cased words; tokens with a digit are variable fields. The
 tree has a fixed depth: number of tokens, then the leading tokens. In a leaf, lines that
 agree in at least ``SIMILAR`` of their fields share a template, in which the fields that
-differ have become variable, too; a field is a token, or one of ``FIELDS`` runs of tokens. A template
+differ have become variable, too; a field is a token, whatever the line's length. A template
 that occurs in at least ``MIN_DOCS`` documents recurs: its lines are dropped from all
 documents but the one with the smallest doc_id.
 
@@ -46,8 +46,6 @@ from plumbline.session import stage
 DEPTH = 3
 #: Distinct lines of a block of a leaf, about; share of tokens in which lines of a template agree.
 LEAF_LINES, SIMILAR = 4096, 0.7
-#: Fields in which lines are compared: longer lines have runs of tokens as fields.
-FIELDS = 16
 #: Documents in which a template recurs, words of a line that may be dropped.
 MIN_DOCS, MIN_WORDS = 5, 3
 #: A document may be a copy as a whole if recurring lines hold this share of its words, or,
@@ -78,15 +76,9 @@ def _parsed(lines: list[str]) -> tuple[np.ndarray, ...]:
         some = counts > k
         path[some] += tokens[first[some] + k] * _SHIFT[k]
     place = np.arange(len(tokens)) - np.repeat(first, counts)
-    placed = tokens * mix(place.astype(np.uint64) + _STEP)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(placed)])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * mix(place.astype(np.uint64) + _STEP))])
     digest = mix(total[w.first[1:]] - total[first] + counts.astype(np.uint64))
-    fields = np.minimum(counts, FIELDS)
-    begins = np.concatenate([[0], np.cumsum(fields)])
-    field = np.repeat(begins[:-1], counts) + place * np.repeat(fields, counts) // np.repeat(counts, counts)
-    starts = np.flatnonzero(np.diff(field, prepend=-1))
-    sums = np.add.reduceat(placed, starts) if len(starts) else placed
-    return counts, np.maximum((mix(sums) >> np.uint64(32)).astype(np.uint32), 1), begins, mix(path), digest
+    return counts, np.maximum((tokens >> np.uint64(32)).astype(np.uint32), 1), w.first, mix(path), digest
 
 
 _LINES = "doc_id long, mark long, line int, words int, of int, path long, digest long"

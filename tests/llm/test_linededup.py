@@ -88,3 +88,14 @@ def test_large_leaves_find_the_templates_that_small_ones_find(corpus, monkeypatc
     monkeypatch.setattr(ld, "LEAF_LINES", 3)
     rows = [(i, f"{own(i, 80)}\nplease do welcome guest {own(i, 1)} to the evening show tonight") for i in range(14)]
     assert all(("evening" in r.text) == (i == 0) for i, r in run(corpus(rows)).items())
+
+
+def test_long_lines_with_a_few_free_words_share_a_template(corpus):
+    words, rows = PASSAGE.split(), []
+    for i in range(8):
+        line = list(words)
+        for k in range(8):  # 47 of 55 words are equal
+            line[5 + 6 * k] = own(i, 9).split()[k]
+        rows.append((i, f"{own(i, 90)}\n{' '.join(line)}"))
+    got = run(corpus(rows))
+    assert got[0].text == rows[0][1] and all(got[i].text == own(i, 90) for i in range(1, 8))
