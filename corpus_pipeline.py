@@ -27,11 +27,28 @@ def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document that names it stays, with all its rows."""
-    named = ngramjoin.similar(docs)
-    goes = named.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    goes = stage(goes, "near_copies").alias("g").hint("merge")
-    return docs.alias("d").join(goes, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_anti")
+    """Of each component of near copies one document stays, the first by (doc_id, nulls last, hash of text).
+
+    A document is a doc_id with one text, and stays or goes with all its rows. Rows without
+    a doc_id are documents of their own: of those with equal texts one row stays. Texts
+    without words have no copies.
+    """
+    mark, key = F.xxhash64("text"), F.col("doc_id").cast("long")
+    named = ngramjoin.similar(docs.select(mark.alias("mark"), "text"), key="mark").where("n_shingles > 0")
+    named = stage(named.select(F.col("doc_id").alias("mark"), "component_id").distinct(), "near_marks").hint("merge")
+    members = docs.select(key.alias("doc_id"), mark.alias("mark")).distinct().join(named, "mark")
+    members = members.withColumn("place", F.struct(F.isnull("doc_id").alias("last"), "doc_id", "mark"))
+    members = stage(members, "near_members")
+    first = stage(members.groupBy("component_id").agg(F.min("place").alias("first")), "near_first").hint("merge")
+    goes = members.join(first, "component_id").where(~F.col("place").eqNullSafe(F.col("first")))
+    goes = stage(goes.select("doc_id", "mark"), "near_copies").alias("g").hint("merge")
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.mark"))
+    stay = stage(docs.alias("d").join(goes, same, "left_anti"), "near_stay")
+    unnamed = stay.where("doc_id is null").select(mark.alias("mark"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    unnamed = unnamed.join(named.select("mark", F.lit(True).alias("known")), "mark", "left")
+    once = unnamed.where("known").groupBy("mark").agg(F.min("row").alias("row")).select("row.*")
+    others = unnamed.where("known is null").select("row.*")
+    return stay.where("doc_id is not null").unionByName(once).unionByName(others)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

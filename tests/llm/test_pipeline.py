@@ -70,6 +70,20 @@ def test_each_stage_on_planted_cases(spark, tmp_path_factory):
     assert sum(r.length for r in pieces if r.start == 0) > 0
 
 
+def test_near_copies_go_by_document_also_without_or_with_repeated_ids(spark, corpus):
+    text = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
+    near = lambda name: text(name) + " other end"
+    rows = [(1, text("a")), (None, near("a")), (None, text("b")), (None, ""), (None, ""), (None, None)]
+    rows += [(2, near("c")), (2, text("d")), (0, text("c"))]  # one id, two texts, one of them a copy
+    rows += [(None, text("e"))] * 3 + [(None, near("f")), (None, text("f"))]
+    rows += [(7, text("g"))] * 2
+    out = corpus_pipeline.without_near_copies(spark, corpus(rows), "").collect()
+    got = [(r.doc_id, r.text) for r in out]
+    f = [x for x in got if x[1] in (text("f"), near("f"))]
+    want = [rows[0], *rows[2:6], rows[7], rows[8], rows[9], *rows[-2:]]
+    assert len(f) == 1 and sorted(map(str, got)) == sorted(map(str, want + f))
+
+
 def test_run_is_the_stages_in_a_row(spark, tmp_path_factory):
     folder, *_ = written(spark, tmp_path_factory)
     out = entry.queries()["pipeline"](spark, folder)
