@@ -76,6 +76,17 @@ e AS (SELECT a, b FROM o WHERE 100 * o >= 75 * (na + nb - o)),
 r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.c = e.a)
 SELECT r.doc_id AS doc_id, any_value(len(h))::BIGINT AS n_shingles, min(c) AS component_id FROM r JOIN h ON h.doc_id = r.doc_id GROUP BY r.doc_id"""
 
+ORACLE["op13_minhash_dedup"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS h FROM w),
+s AS (SELECT doc_id, len(h) AS n, unnest(h) AS x FROM h),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS o FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM o WHERE 100 * o >= 80 * (na + nb - o)),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.c = e.a)
+SELECT r.doc_id AS doc_id, any_value(len(h))::BIGINT AS n_shingles, min(c) AS component_id, min(c) = r.doc_id AS kept
+FROM r JOIN h ON h.doc_id = r.doc_id GROUP BY r.doc_id"""
+
 ORACLE["op8_neighbours"] = """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0

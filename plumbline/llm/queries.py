@@ -9,6 +9,7 @@ from plumbline.llm import (
     fingerprints,
     licenses,
     linededup,
+    lshforest,
     mixing,
     neighbours,
     ngramjoin,
@@ -120,6 +121,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lshforest.near_copies(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -133,5 +138,6 @@ QUERIES = {
         op8_neighbours,
         op9_licenses,
         op10_packing,
+        op13_minhash_dedup,
     )
 }

@@ -104,8 +104,8 @@ def word_hashes(texts: list[str], separators: np.ndarray = SPACE) -> tuple[np.nd
     return w.hashes, w.first
 
 
-def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """For each text its distinct shingle hashes, ascending.
+def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """For each text its distinct hashes of shingles of ``size`` words (SHINGLE at most), ascending.
 
     Lower-cased (A-Z) words between ASCII white space; a text with fewer words than a
     shingle has them all as its one shingle, and without words it has none.
@@ -113,14 +113,14 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
     texts = [t or "" for t in texts]
     for begin, end in chunks(texts):
         w, first = word_hashes(texts[begin:end])
-        n = max(0, len(w) - SHINGLE + 1)
+        n = max(0, len(w) - size + 1)
         s = np.zeros(n, dtype=np.uint64)
-        for k in range(SHINGLE):
+        for k in range(size):
             s += w[k : k + n] * _SHIFT[k]
         s = mix(s)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-            if b - a >= SHINGLE:
-                yield np.unique(s[a : b - SHINGLE + 1])
+            if b - a >= size:
+                yield np.unique(s[a : b - size + 1])
             elif b > a:
                 yield mix((w[a:b] * _SHIFT[: b - a]).sum(keepdims=True) + np.uint64(b - a))
             else:
