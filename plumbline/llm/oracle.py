@@ -76,6 +76,26 @@ e AS (SELECT a, b FROM o WHERE 100 * o >= 75 * (na + nb - o)),
 r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.c = e.a)
 SELECT r.doc_id AS doc_id, any_value(len(h))::BIGINT AS n_shingles, min(c) AS component_id FROM r JOIN h ON h.doc_id = r.doc_id GROUP BY r.doc_id"""
 
+_cuts = " UNION ALL ".join(
+    f"SELECT lang, g, a, {k} AS k, g[1:{k}] AS x, g[{k + 1}:] AS y FROM kept WHERE len(g) > {k}" for k in range(1, 5)
+)
+ORACLE["op12_collocations"] = rf"""
+WITH p AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w
+           FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS t FROM documents)),
+g AS (SELECT lang, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 6) AS r(k))),
+f AS (SELECT lang, g, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE len(g) = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE a >= 100 AND len(g) >= 2),
+inner_ AS (SELECT DISTINCT lang, a, g[i:j] AS g FROM (SELECT *, unnest(range(i + 1, len(g) + 1)) AS j FROM (SELECT *, unnest(range(1, len(g))) AS i FROM c)) WHERE j - i + 1 < len(g)),
+kept AS (SELECT c.* FROM c ANTI JOIN inner_ USING (lang, g, a)),
+cut AS ({_cuts}),
+s AS (SELECT cut.*, l.a AS l, r.a AS r, n, (1000::HUGEINT * cut.a * n) // (l.a::HUGEINT * r.a) AS score
+      FROM cut JOIN f AS l ON l.lang = cut.lang AND l.g = x JOIN f AS r ON r.lang = cut.lang AND r.g = y JOIN n ON n.lang = cut.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank,
+             array_to_string(g, ' ') AS phrase, a, l, r, n, score::BIGINT AS score FROM b)
+SELECT * FROM o WHERE rank <= 2000"""
+
 ORACLE["op13_minhash_dedup"] = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 h AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))

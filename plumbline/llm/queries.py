@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
+    collocations,
     fingerprints,
     licenses,
     linededup,
@@ -121,6 +122,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
 def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lshforest.near_copies(documents(spark, sf_dir))
 
@@ -138,6 +143,7 @@ QUERIES = {
         op8_neighbours,
         op9_licenses,
         op10_packing,
+        op12_collocations,
         op13_minhash_dedup,
     )
 }
