@@ -76,6 +76,28 @@ e AS (SELECT a, b FROM o WHERE 100 * o >= 75 * (na + nb - o)),
 r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.c = e.a)
 SELECT r.doc_id AS doc_id, any_value(len(h))::BIGINT AS n_shingles, min(c) AS component_id FROM r JOIN h ON h.doc_id = r.doc_id GROUP BY r.doc_id"""
 
+# CRC-32 of the decimal name, a bit at a time: xor with the byte, then eight shifts.
+_CRC = (
+    "xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ord(s)::BIGINT), "
+    "lambda a, b: list_reduce([xor(a, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], "
+    "lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)), 4294967295)"
+)
+ORACLE["op11_prefix_trie"] = rf"""
+WITH t AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
+           FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, ({_CRC} % 4)::INT AS h FROM t),
+r AS (SELECT h.conv_id AS c, list_concat(coalesce(b.l, [])[1:h.h], h.l[h.h + 1:]) AS l FROM h LEFT JOIN t AS b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT c, d, len(l) AS n, l[1:d] AS p, l[1:d - 1] AS q FROM (SELECT *, unnest(range(0, len(l) + 1)) AS d FROM r)),
+nd AS (SELECT d, p, min(CASE WHEN d = 0 THEN NULL ELSE q END) AS q, min(c) AS conv, count(*) AS n_convs,
+              (count(*) - 1) * coalesce(len(regexp_extract_all(p[d].t, '[^\x20\x09-\x0D]+')), 0) AS saved,
+              sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends FROM p GROUP BY d, p),
+ch AS (SELECT d - 1 AS d, q AS p, count(*) AS n_children FROM nd WHERE d > 0 GROUP BY ALL),
+x AS (SELECT nd.*, coalesce(n_children, 0) AS n_children FROM nd LEFT JOIN ch ON ch.d = nd.d AND ch.p = nd.p),
+up AS (SELECT e, p[1:e] AS p, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved
+       FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM x) GROUP BY ALL)
+SELECT x.conv AS conv_id, x.d AS depth, o.conv AS parent_conv_id, x.n_convs, x.n_children, n_leaves, up.saved AS saved_tokens, x.ends AS ends_sha256
+FROM x JOIN up ON up.e = x.d AND up.p = x.p LEFT JOIN nd AS o ON o.d = x.d - 1 AND o.p = x.q"""
+
 _cuts = " UNION ALL ".join(
     f"SELECT lang, g, a, {k} AS k, g[1:{k}] AS x, g[{k + 1}:] AS y FROM kept WHERE len(g) > {k}" for k in range(1, 5)
 )

@@ -15,6 +15,7 @@ from plumbline.llm import (
     neighbours,
     ngramjoin,
     packing,
+    prefixtrie,
     secrets,
     sharding,
     toxicity,
@@ -122,6 +123,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(documents(spark, sf_dir))
 
@@ -143,6 +148,7 @@ QUERIES = {
         op8_neighbours,
         op9_licenses,
         op10_packing,
+        op11_prefix_trie,
         op12_collocations,
         op13_minhash_dedup,
     )
