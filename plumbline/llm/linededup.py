@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import ngramjoin
-from plumbline.llm.common import prepare
+from plumbline.llm.common import prepare, tidy, tidy_group
 from plumbline.llm.components import components
 from plumbline.llm.words import SPACE, Words, chunks, mix
 from plumbline.session import stage
@@ -200,13 +200,13 @@ def _clustered(lines: DataFrame, similar: float) -> DataFrame:
     size = lines.agg(F.sum(F.octet_length("fields"))).first()[0] or 0
     parts = max(1, -(-size // TASK_BYTES))
     task = F.pmod(F.xxhash64("path", "block"), F.lit(parts))
-    return lines.withColumn("task", task).groupBy("task").applyInArrow(_cluster(similar), _TEMPLATES)
+    return lines.withColumn("task", task).groupBy("task").applyInArrow(tidy_group(_cluster(similar)), _TEMPLATES)
 
 
 def line_templates(rows: DataFrame, leaves: DataFrame, similar: float) -> DataFrame:
     """digest and template (the digest of one of its lines) of each distinct line of ``leaves``."""
     own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    tokens = rows.select("text").mapInArrow(_fields(_filter(leaves, "path")), _FIELDS)
+    tokens = rows.select("text").mapInArrow(tidy(_fields(_filter(leaves, "path"))), _FIELDS)
     tokens = tokens.groupBy("path", "digest").agg(F.first("fields").alias("fields"), F.sum("n").alias("n"))
     sample = tokens.join(leaves.hint("merge"), "path").withColumn("blocks", _blocks())
     sample = stage(sample.select("path", own.cast("string").alias("block"), "digest", "n", "fields", "blocks"), "leaf_samples")
@@ -256,7 +256,7 @@ def _copies(rows: DataFrame, per_row: DataFrame) -> DataFrame:
     marks = stage(per_row.groupBy("mark").agg(F.count("*").alias("docs")), "copy_marks")
     if marks.isEmpty():
         return marks.select("mark")
-    near = rows.select("mark", "text").mapInArrow(_with_marks(_filter(marks, "mark")), "mark long, text string")
+    near = rows.select("mark", "text").mapInArrow(tidy(_with_marks(_filter(marks, "mark"))), "mark long, text string")
     near = stage(near.dropDuplicates(["mark"]).join(marks.hint("merge"), "mark"), "copy_texts")
     named = ngramjoin.similar(near, key="mark").select(F.col("doc_id").alias("mark"), "component_id")
     named = stage(named.join(marks.hint("merge"), "mark"), "copy_names")
@@ -273,7 +273,7 @@ def recurring_lines(
 ) -> DataFrame:
     """Rows that lose lines: doc_id, mark (a hash of the text), ``drop`` (numbers of the lines)."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
-    lines = stage(rows.mapInArrow(_lines, _LINES), "lines")
+    lines = stage(rows.mapInArrow(tidy(_lines), _LINES), "lines")
     # Leaves in which enough lines meet, and their numbers of distinct lines.
     distinct = lines.groupBy("path", "digest").agg(F.count("*").alias("n"), F.max("words").alias("words"))
     leaves = distinct.groupBy("path").agg(

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import prepare
+from plumbline.llm.common import prepare, tidy, tidy_group
 from plumbline.llm.components import components
 from plumbline.llm.words import mix, shingle_sets
 from plumbline.operators.joins import salted_lookup
@@ -367,11 +367,11 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // (TEXT_BYTES * BUCKET)))
     told = (
-        rows.mapInArrow(_postings_of(buckets), _ROW)
+        rows.mapInArrow(tidy(_postings_of(buckets)), _ROW)
         .groupBy("bucket")
-        .applyInArrow(_recurring(buckets), _ROW)
+        .applyInArrow(tidy_group(_recurring(buckets)), _ROW)
         .groupBy("to")
-        .applyInArrow(_entries, _ENTRIES)
+        .applyInArrow(tidy_group(_entries), _ENTRIES)
     )
     told = stage(told, "ngram_entries")
     texts = told.where("keys is null").select("doc_id", "node", F.col("n").alias("n_shingles"))
@@ -405,7 +405,7 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
         dealt.select(pair.alias("task"), "cluster", "node")
         .join(sets.select("node", "n", "keys").hint("merge"), "node")
         .groupBy("task")
-        .applyInArrow(_search, "a long, b long")
+        .applyInArrow(tidy_group(_search), "a long, b long")
     )
     found = components(links)
     ids = texts.groupBy("node").agg(F.min("doc_id").alias("least"))

@@ -31,15 +31,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import prepare
+from plumbline.llm.common import prepare, tidy
 from plumbline.llm.words import BLANK, Words, chunks
 
 #: Context sizes, longest first; token that ends a document.
 TIERS, END = (2048, 1024, 512, 256), 1
 #: Tokens packed at once, and tokens of a step group.
-PORTION, STEP_TOKENS = 2_000_000, 65_536
+PORTION, STEP_TOKENS = 500_000, 65_536
 #: Entries of each half of a task's memo of encoded words.
-MEMO = 400_000
+MEMO = 150_000
+#: Characters encoded at once.
+CHUNK = 2 << 20
 
 
 class Encoder:
@@ -85,7 +87,8 @@ class Encoder:
         # Ids of all words in a row: each word's run begins at its place among the distinct ones.
         run = sizes[nth]
         ends = np.cumsum(run)
-        place = np.arange(int(run.sum())) + np.repeat(begins[nth] - (ends - run), run)
+        place = np.arange(int(run.sum()), dtype=np.int32)
+        place += np.repeat((begins[nth] - (ends - run)).astype(np.int32), run)
         data = ids[place].tobytes()
         bounds = np.concatenate([[0], ends])[w.first].tolist()
         out = [data[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:])]
@@ -210,7 +213,7 @@ def pack(
         for b in batches:
             id_type = b.schema.field(0).type
             keys, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for begin, stop in chunks(texts):
+            for begin, stop in chunks(texts, CHUNK):
                 for doc_id, data in zip(keys[begin:stop], encode(texts[begin:stop])):
                     ids[number], tokens[number] = doc_id, data + finish
                     seen += len(tokens[number]) // 4
@@ -224,7 +227,7 @@ def pack(
         if done:
             yield out()
 
-    return rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in longs))
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in longs))
 
 
 def end_bytes(end: int) -> bytes:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import prepare
+from plumbline.llm.common import prepare, tidy
 from plumbline.session import stage
 
 #: Labelled rows of each class that the fit uses, in expectation.
@@ -262,7 +262,7 @@ def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOL
             found = np.array([lexicon.match(t) for t in b.column(text).to_pylist()], float).reshape(-1, 3)
             yield b.filter(pa.array(lexicon.score(found) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def score(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text") -> DataFrame:
