@@ -13,7 +13,7 @@ from plumbline.functions.scalars import hash_bucket, micros, with_scalar
 from plumbline.operators import consolidate as C
 from plumbline.operators import evaluate as E
 from plumbline.operators import experiments as X
-from plumbline.operators import fusion, integrity, prepare, reasoning, scoring, splits, stats
+from plumbline.operators import fusion, groups, integrity, prepare, reasoning, scoring, splits, stats
 from plumbline.operators.baseline import ESTIMATORS, fit_baseline, score_baseline, tune_baseline
 from plumbline.operators.describe import assess, class_distribution, describe_features
 from plumbline.operators.reliability import ALPHA, reliability, simplex_grid
@@ -283,6 +283,21 @@ def fold_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events of a user in one part."""
+    records = B.event_records(spark, sf_dir)
+    parts = groups.group_split(records, "record_id", "entity", "class")
+    return records.select("record_id", "entity", "class").join(parts, "record_id")
+
+
+@query
+def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.group_folds(
+        B.event_records(spark, sf_dir), "record_id", "entity", "class", CV_FOLDS, CV_REPEATS
+    )
+
+
 @query
 def seeded_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = B.load(spark, sf_dir, "events")

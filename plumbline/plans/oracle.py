@@ -451,6 +451,51 @@ SELECT event_id AS record_id, event_type AS stratum, repeat,
        ((row_number() OVER (PARTITION BY repeat, event_type ORDER BY md5('42|' || repeat || '|' || event_id), event_id) - 1) % {CV_FOLDS})::INT AS fold
 FROM events, (SELECT unnest(range(1, {CV_REPEATS + 1}))::INT AS repeat)"""
 ORACLE["fold_index"] = _folds
+
+def group_parts(shares: list[float], repeats: int) -> str:
+    """Entities with a 150th of all records one by one, the others by running sums."""
+    n = len(shares)
+    gains = (
+        f"list_transform(range(0, {n}), lambda p: round(list_sum(list_transform(range(1, len(ts) + 1), "
+        "lambda c: counts[c] * lacks[p * len(ts) + c] / ts[c])), 6))"
+    )
+    lack = [f"greatest(lacks[{p} * len(ts) + lead], 0.0::DOUBLE)" for p in range(n)]
+    some = " + ".join(f"l{p}" for p in range(n))
+    ends = [" + ".join(f"CASE WHEN {some} > 0 THEN l{q} ELSE {shares[q]}::DOUBLE END" for q in range(p + 1)) for p in range(n)]
+    part = " ".join(f"WHEN middle * ({ends[-1]}) < 2.0::DOUBLE * total * ({ends[p]}) THEN {p}" for p in range(n - 1))
+    return f"""WITH RECURSIVE {EV},
+    rec AS (SELECT record_id, entity, class, coalesce('entity:' || entity, 'record:' || record_id) AS grp FROM ev),
+    cn AS (SELECT grp, coalesce(class, '') AS class, count(*) AS n FROM rec GROUP BY ALL),
+    ct AS (SELECT class, sum(n)::DOUBLE AS t FROM cn GROUP BY class),
+    cl AS (SELECT list(t ORDER BY class) AS ts, sum(t) AS nn FROM ct),
+    pf0 AS (SELECT g.grp AS grp, list(coalesce(n, 0) ORDER BY ct.class) AS counts
+            FROM (SELECT DISTINCT grp FROM cn) AS g CROSS JOIN ct LEFT JOIN cn ON cn.grp = g.grp AND cn.class = ct.class GROUP BY g.grp),
+    pf1 AS (SELECT *, list_sum(counts)::BIGINT AS size, list_transform(range(1, len(ts) + 1), lambda i: counts[i] / ts[i]) AS sh FROM pf0, cl),
+    pf AS (SELECT *, list_position(sh, list_max(sh)) AS lead, size * 150 >= nn AS large, length(bin(size)) AS oos, repeat,
+                  md5('{SEED}|' || repeat || '|' || grp) AS h FROM pf1, (SELECT unnest(range(1, {repeats + 1}))::INT AS repeat)),
+    lg AS (SELECT *, row_number() OVER (PARTITION BY repeat ORDER BY oos DESC, h, grp) AS i FROM pf WHERE large),
+    pl AS (SELECT repeat, 0::BIGINT AS i, list_concat({', '.join(f'list_transform(ts, lambda t: t * {x!r}::DOUBLE)' for x in shares)}) AS lacks,
+                  NULL::VARCHAR AS grp, NULL::BIGINT AS part FROM cl, (SELECT unnest(range(1, {repeats + 1}))::INT AS repeat)
+           UNION ALL
+           SELECT repeat, i, list_transform(range(1, len(lacks) + 1), lambda j: CASE WHEN (j - 1) // len(ts) = b THEN lacks[j] - counts[(j - 1) % len(ts) + 1] ELSE lacks[j] END),
+                  grp, b FROM (
+             SELECT lg.repeat, lg.i, lacks, ts, counts, lg.grp, list_position(w, list_max(w)) - 1 AS b FROM (
+               SELECT lg.*, lacks, {gains} AS w FROM pl JOIN lg ON lg.repeat = pl.repeat AND lg.i = pl.i + 1) AS lg)),
+    la AS (SELECT repeat, arg_max(lacks, i) AS lacks FROM pl GROUP BY repeat),
+    sm AS (SELECT pf.*, lacks, 2 * sum(size) OVER (PARTITION BY pf.repeat, lead, oos ORDER BY h, grp) - size AS middle,
+                  sum(size) OVER (PARTITION BY pf.repeat, lead, oos) AS total FROM pf JOIN la ON la.repeat = pf.repeat WHERE NOT large),
+    sl AS (SELECT *, {', '.join(f'{c} AS l{p}' for p, c in enumerate(lack))} FROM sm),
+    pt AS (SELECT repeat, grp, part FROM pl WHERE i > 0 UNION ALL SELECT repeat, grp, CASE {part} ELSE {n - 1} END FROM sl)
+    """
+
+
+ORACLE["group_split"] = group_parts([0.6, 0.2, 0.2], 1) + (
+    "SELECT record_id, entity, class, ['train', 'validation', 'test'][part + 1] AS split FROM rec JOIN pt ON rec.grp = pt.grp"
+)
+ORACLE["group_folds"] = group_parts([1.0 / CV_FOLDS] * CV_FOLDS, CV_REPEATS) + (
+    "SELECT record_id, repeat, part::INT AS fold FROM rec JOIN pt ON rec.grp = pt.grp"
+)
+
 ORACLE["seeded_buckets"] = (
     f"SELECT event_id, {bucket('event_id')} AS bucket_a, {bucket('event_id', seed=7)} AS bucket_b FROM events"
 )
