@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import hash_bucket, total
+from plumbline.operators import logistic
 from plumbline.operators.evaluate import fit_threshold, metrics
 from plumbline.operators.fusion import fit_alpha, fit_view_weights, fuse, fused, unweighted, weight_columns
 from plumbline.operators.scoring import (
@@ -180,10 +181,12 @@ def degradation_curve(
     seed: object,
     constants: str = "_P",
     rates: tuple[float, ...] = RATES,
+    baselines: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Both fusions under every (view, rate), and the loss against rate 0.
+    """Both fusions, and models without views (``baselines``: name and score of a row),
+    under every (view, rate), and the loss against rate 0.
 
-    ``theta`` has the threshold of each of the two, fitted on clean validation rows.
+    ``theta`` has the threshold of each of them, fitted on clean validation rows.
     """
     # One draw per record and view serves all rates.
     drawn = test.withColumn("view", F.explode(F.array(*[F.lit(v) for v in spec.names]))).withColumn(
@@ -193,7 +196,7 @@ def degradation_curve(
     hit = degrade(spread, spec, F.col("view"), F.col("rate"), seed, draw=F.col("_draw"))
     scored = with_quality(with_scores(hit, spec, constants), spec)
     scored = fuse(scored, spec, g, alpha)
-    variants = {"unweighted": unweighted(spec), "reliability": F.col("s")}
+    variants = {"unweighted": unweighted(spec), "reliability": F.col("s"), **(baselines or {})}
     long = with_fitted(
         score_variants(scored, variants, ["y", "view", "rate"]), theta, ["variant"], ["theta"]
     )
@@ -236,7 +239,10 @@ def _fitted_chain(val, test, constants, spec, keys, grid, long) -> DataFrame:
 
     def scored(rows: DataFrame) -> DataFrame:
         rows = with_scores(with_fitted(rows, packed, keys, ["_P"]), spec)
-        return with_quality(rows.withColumn("b_gaussian", gaussian_baseline(spec)).drop("_P"), spec)
+        rows = rows.withColumn("b_gaussian", gaussian_baseline(spec))
+        if "b" in names:
+            rows = rows.withColumn("b_logistic", logistic.probability(spec.features, "_P"))
+        return with_quality(rows.drop("_P"), spec)
 
     g = [f"g_{v}" for v in spec.names]
     weights = stage(fit_view_weights(scored(val), spec, by=keys), "fitted_weights")
@@ -278,9 +284,16 @@ def cv_scores(
     per_fold = fit_view_params(rows, spec, by=["repeat", "fold"])
     models = merge_fold_params(per_fold, spec, ["repeat"], "fold", trains, "model_fold")
     keys = ["repeat", "model_fold"]
-    constants = stage(score_constants(models, spec, keys), "cv_constants")
+    models = stage(models, "cv_models")
+    spread = rows.select("repeat", F.explode(trains).alias("model_fold"), "y", *spec.features)
+    fitted = logistic.fit_logistic(spread, models, spec.features, keys)
+    constants = stage(score_constants(models, spec, keys).join(fitted, keys), "cv_constants")
     cast = lambda model: rows.withColumn("model_fold", model.cast("int"))
-    compared = {**standard_variants(spec), "baseline:gaussian": F.col("b_gaussian")}
+    compared = {
+        **standard_variants(spec),
+        "baseline:gaussian": F.col("b_gaussian"),
+        "baseline:logistic": F.col("b_logistic"),
+    }
     long = lambda part: score_variants(part, compared, ["y", *keys])
     val = cast(F.pmod(fold + F.lit(k - 1), F.lit(k)))
     test = _fitted_chain(val, cast(fold), constants, spec, keys, grid, long)

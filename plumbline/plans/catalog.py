@@ -13,7 +13,7 @@ from plumbline.functions.scalars import hash_bucket, micros, with_scalar
 from plumbline.operators import consolidate as C
 from plumbline.operators import evaluate as E
 from plumbline.operators import experiments as X
-from plumbline.operators import fusion, groups, integrity, prepare, reasoning, scoring, splits, stats
+from plumbline.operators import fusion, groups, integrity, logistic, prepare, reasoning, scoring, splits, stats
 from plumbline.operators.baseline import ESTIMATORS, fit_baseline, score_baseline, tune_baseline
 from plumbline.operators.describe import assess, class_distribution, describe_features
 from plumbline.operators.reliability import ALPHA, reliability, simplex_grid
@@ -515,8 +515,15 @@ def degraded_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def degradation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    constants = scoring.score_constants(B.line_params(spark, sf_dir), LINE_VIEWS)
-    rows = with_scalar(B.line_evidence(spark, sf_dir), constants, "_P")
+    """Both fusions and two conventional models while a view's evidence is dropped."""
+    models = with_scalar(scoring.score_constants(B.line_params(spark, sf_dir), LINE_VIEWS), line_logistic(spark, sf_dir), "_L")
+    rows = with_scalar(B.line_evidence(spark, sf_dir), models, "_P")
+    baselines = {
+        "baseline:gaussian": X.gaussian_baseline(LINE_VIEWS),
+        "baseline:logistic": logistic.probability(LINE_VIEWS.features, "_P._L"),
+    }
+    clean = X.score_variants(B.split_rows(rows, "validation"), baselines, ["y"])
+    theta = variant_thresholds(spark, sf_dir).unionByName(E.fit_threshold(clean, by=["variant"]))
     rows = line_fitted(spark, sf_dir, B.split_rows(rows, "test"))
     return rounded(
         X.degradation_curve(
@@ -524,8 +531,9 @@ def degradation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
             LINE_VIEWS,
             fusion.weight_columns(LINE_VIEWS, "_G"),
             fusion.alpha_columns("_A"),
-            variant_thresholds(spark, sf_dir),
+            stage(theta, "degradation_thetas"),
             42,
+            baselines=baselines,
         )
     )
 
@@ -553,11 +561,11 @@ def stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.once(spark, sf_dir, "cv_scores", lambda: event_cv(spark, sf_dir))
 
 
-COMPARED = ("unweighted", "baseline:gaussian")
+COMPARED = ("unweighted", "baseline:gaussian", "baseline:logistic")
 
 
 def stored_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reliability fusion against the plain mean and against a conventional model."""
+    """Reliability fusion against the plain mean and against conventional models."""
     scores, out = stored_scores(spark, sf_dir), None
     for other in COMPARED:
         part = stats.paired(scores, "reliability", other, ["metric"]).withColumn("versus", F.lit(other))
@@ -747,6 +755,34 @@ def baseline_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.metrics(test, ["variant", "theta"]))
 
 
+def line_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logistic regression on all line features, fitted on train rows; one row."""
+    params = B.line_params(spark, sf_dir)
+    train = B.split_rows(B.line_evidence(spark, sf_dir), "train")
+    return B.once(
+        spark, sf_dir, "line_logistic", lambda: logistic.fit_logistic(train, params, LINE_VIEWS.features, [])
+    )
+
+
+@query
+def logistic_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = F.array(*[F.lit(t) for t in ("(intercept)", *LINE_VIEWS.features)])
+    pairs = F.arrays_zip(terms.alias("term"), F.col("b"))
+    return rounded(line_logistic(spark, sf_dir).select(F.inline(pairs)))
+
+
+@query
+def baseline_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logistic baseline: threshold from validation, metrics on test."""
+    rows = with_scalar(B.line_evidence(spark, sf_dir), line_logistic(spark, sf_dir), "_L")
+    rows = rows.select(
+        "split", "y", F.lit("logistic").alias("variant"), logistic.probability(LINE_VIEWS.features, "_L").alias("s")
+    )
+    theta = E.fit_threshold(B.split_rows(rows, "validation"), by=["variant"])
+    test = X.with_fitted(B.split_rows(rows, "test"), theta, ["variant"], ["theta"])
+    return rounded(E.metrics(test, ["variant", "theta"]))
+
+
 @query
 def tuned_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regularisation of the logistic baseline, chosen on validation rows."""

@@ -277,6 +277,64 @@ LIT = [
     "ft AS (SELECT fz.*, th.theta FROM fz, th WHERE split = 'test')",
 ]
 
+
+def newton(spec: ViewSpec, src: str, par: str, by: str = "", steps: int = 6, ridge: float = 1e-3) -> list[str]:
+    """Logistic regression: ``ls`` (mean and spread of the features) and ``lb`` (coefficients), one row per group."""
+    fs, d = spec.features, len(spec.features) + 1
+    head, join = (f"{by}, ", lambda t: f"JOIN {t} USING ({by})") if by else ("", lambda t: f"CROSS JOIN {t}")
+    mu, sd = [], []
+    for f in fs:
+        m = (
+            f"coalesce((coalesce({f}__n0 * {f}__m0, 0.0::DOUBLE) + coalesce({f}__n1 * {f}__m1, 0.0::DOUBLE)) "
+            f"/ nullif({f}__n0 + {f}__n1, 0), 0.0::DOUBLE)"
+        )
+        inside = " + ".join(f"CASE WHEN {f}__n{c} > 1 THEN ({f}__n{c} - 1) * {f}__v{c} ELSE 0.0::DOUBLE END" for c in (0, 1))
+        apart = " + ".join(f"coalesce({f}__n{c} * ({f}__m{c} - {m}) * ({f}__m{c} - {m}), 0.0::DOUBLE)" for c in (0, 1))
+        v = f"(({inside}) + ({apart})) / nullif({f}__n0 + {f}__n1 - 1, 0)"
+        mu.append(f"{m} AS {f}__mu")
+        sd.append(f"CASE WHEN {v} > 1e-12 THEN sqrt({v}) ELSE 1.0::DOUBLE END AS {f}__sd")
+    z = ["1.0::DOUBLE AS z0", *[f"coalesce(({f} - {f}__mu) / {f}__sd, 0.0::DOUBLE) AS z{j + 1}" for j, f in enumerate(fs)]]
+    bs = [f"b{i}" for i in range(d)]
+    ctes = [
+        f"ls AS (SELECT {head}{', '.join(mu + sd)} FROM {par})",
+        f"lz AS (SELECT {head}y::DOUBLE AS y, {', '.join(z)} FROM {src} {join('ls')} WHERE y IS NOT NULL)",
+        f"lb0 AS (SELECT {head}{', '.join(f'0.0::DOUBLE AS {b}' for b in bs)} FROM ls)",
+    ]
+    dot = " + ".join(f"b{i} * z{i}" for i in range(d))
+    for k in range(steps):
+        sums = [f"sum(p * (1 - p) * z{i} * z{j}) AS a{i}_{j}" for i in range(d) for j in range(i, d)]
+        sums += [f"sum((y - p) * z{i}) AS r{i}" for i in range(d)]
+        ctes.append(
+            f"lg{k} AS (SELECT {head}count(*) AS n, min(y) < max(y) AS both_, {', '.join(f'any_value({b}) AS {b}' for b in bs)}, "
+            f"{', '.join(sums)} FROM (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + exp(-({dot}))) AS p FROM lz {join(f'lb{k}')}) GROUP BY ALL)"
+        )
+        pen = [f"{ridge}::DOUBLE * n" if i else "0.0::DOUBLE" for i in range(d)]
+        keep = f"{head}both_, {', '.join(bs)}"
+        full = [
+            f"a{min(i, j)}_{max(i, j)}" + (f" + {pen[i]}" if i == j else "") + f" AS m{i}_{j}" for i in range(d) for j in range(d)
+        ]
+        sql = f"SELECT {keep}, {', '.join(full)}, {', '.join(f'r{i} - {pen[i]} * b{i} AS c{i}' for i in range(d))} FROM lg{k}"
+        for p in range(d - 1):  # elimination, a column at a time
+            cells = [
+                (f"m{i}_{j}" if i <= p else f"m{i}_{j} - m{i}_{p} / m{p}_{p} * m{p}_{j} AS m{i}_{j}") for i in range(d) for j in range(d)
+            ]
+            right = [f"c{i}" if i <= p else f"c{i} - m{i}_{p} / m{p}_{p} * c{p} AS c{i}" for i in range(d)]
+            sql = f"SELECT {keep}, {', '.join(cells + right)} FROM ({sql})"
+        for i in reversed(range(d)):
+            known = "".join(f" - m{i}_{j} * x{j}" for j in range(i + 1, d))
+            sql = f"SELECT *, (c{i}{known}) / m{i}_{i} AS x{i} FROM ({sql})"
+        moved = ", ".join(f"CASE WHEN both_ THEN b{i} + x{i} ELSE b{i} END AS b{i}" for i in range(d))
+        ctes.append(f"{'lb' if k == steps - 1 else f'lb{k + 1}'} AS (SELECT {head}{moved} FROM ({sql}))")
+    return ctes
+
+
+def p_logistic(spec: ViewSpec, row: str = "b") -> str:
+    """Needs the columns of ``ls`` and ``lb``."""
+    z = " + ".join(f"b{j + 1} * coalesce(({row}.{f} - {f}__mu) / {f}__sd, 0.0::DOUBLE)" for j, f in enumerate(spec.features))
+    seen = ", ".join(f"{row}.{f}" for f in spec.features)
+    return f"CASE WHEN coalesce({seen}) IS NOT NULL THEN 1.0::DOUBLE / (1.0::DOUBLE + exp(-(b0 + {z}))) END AS p_logit"
+
+
 ORACLE: dict[str, str] = {}
 
 # ---- fusion -----------------------------------------------------------------
@@ -654,14 +712,21 @@ for _v, _fs in LINE_VIEWS.views.items():
         f"FROM li, (SELECT unnest([{', '.join(f'{r}::DOUBLE' for r in RATES)}]) AS rate) WHERE split = 'test')"
     )
 _w_fit = gr(LINE_VIEWS, FIT)
+EVENT_ALL, LINE_ALL = (ViewSpec({"all": tuple(v.features)}) for v in (EVENT_VIEWS, LINE_VIEWS))
 ORACLE["degradation_curve"] = with_(
     *VT,
     f"dg AS ({' UNION ALL '.join(_deg)})",
-    f"ds AS (SELECT b.*, {q_cols(LINE_VIEWS)}, {p_cols(LINE_VIEWS)} FROM dg b, par P)",
+    *newton(LINE_VIEWS, "train", "par"),
+    f"ds AS (SELECT b.*, {q_cols(LINE_VIEWS)}, {p_cols(LINE_VIEWS)}, {p_cols(LINE_ALL)}, {p_logistic(LINE_VIEWS)} FROM dg b, par P, ls, lb)",
+    f"bl0 AS (SELECT b.y, {p_cols(LINE_ALL)}, {p_logistic(LINE_VIEWS)} FROM li b, par P, ls, lb WHERE split = 'validation')",
+    "bl AS (SELECT 'baseline:gaussian' AS variant, y, p_all AS s FROM bl0 UNION ALL SELECT 'baseline:logistic', y, p_logit FROM bl0)",
+    f"bt AS ({theta('bl', 'variant')})",
     "dw AS (SELECT * FROM ds, wts, (SELECT a_i, a_q, a_t FROM alpha))",
     f"dl0 AS (SELECT 'unweighted' AS variant, view, rate, y, {plain(LINE_VIEWS)} AS s FROM dw "
-    f"UNION ALL SELECT 'reliability', view, rate, y, {fused(LINE_VIEWS, _w_fit)} FROM dw)",
-    "dl AS (SELECT dl0.*, theta FROM dl0 LEFT JOIN vt USING (variant))",
+    f"UNION ALL SELECT 'reliability', view, rate, y, {fused(LINE_VIEWS, _w_fit)} FROM dw "
+    "UNION ALL SELECT 'baseline:gaussian', view, rate, y, p_all FROM dw UNION ALL SELECT 'baseline:logistic', view, rate, y, p_logit FROM dw)",
+    "alt AS (SELECT variant, theta FROM vt UNION ALL SELECT variant, theta FROM bt)",
+    "dl AS (SELECT dl0.*, theta FROM dl0 LEFT JOIN alt USING (variant))",
     f"dm AS ({metrics('dl', 'variant, view, rate')})",
 ) + (
     f"SELECT {metric_list('variant, view, rate')}, "
@@ -686,10 +751,10 @@ _cross = [
 ]
 ORACLE["cross_dataset"] = with_(*_cross) + f"SELECT {metric_list('fit_dataset, test_dataset')}, {R('theta')} AS theta FROM xm"
 
-EVENT_ALL, LINE_ALL = (ViewSpec({"all": tuple(v.features)}) for v in (EVENT_VIEWS, LINE_VIEWS))
 _cv_variants = lambda src, keep: (
     variants(EVENT_VIEWS, src, keep, gr(EVENT_VIEWS, FIT))
     + f" UNION ALL SELECT {keep}, 'baseline:gaussian' AS variant, p_all AS s FROM {src}"
+    + f" UNION ALL SELECT {keep}, 'baseline:logistic' AS variant, p_logit AS s FROM {src}"
 )
 CV = [
     EV,
@@ -698,14 +763,16 @@ CV = [
     f"mo AS (SELECT unnest(range(0, {CV_FOLDS}))::INT AS model_fold)",
     f"tr AS (SELECT rw.*, model_fold FROM rw, mo WHERE fold <> model_fold AND fold <> (model_fold + 1) % {CV_FOLDS})",
     f"par AS ({params(EVENT_VIEWS, 'tr', 'repeat, model_fold')})",
-    f"va AS (SELECT b.*, P.model_fold, {p_cols(EVENT_VIEWS)}, {p_cols(EVENT_ALL)} FROM rw b JOIN par P ON P.repeat = b.repeat AND b.fold = (P.model_fold + 1) % {CV_FOLDS})",
+    *newton(EVENT_VIEWS, "tr", "par", "repeat, model_fold"),
+    "lm AS (SELECT * FROM ls JOIN lb USING (repeat, model_fold))",
+    f"va AS (SELECT b.*, P.model_fold, {p_cols(EVENT_VIEWS)}, {p_cols(EVENT_ALL)}, {p_logistic(EVENT_VIEWS)} FROM rw b JOIN par P ON P.repeat = b.repeat AND b.fold = (P.model_fold + 1) % {CV_FOLDS} JOIN lm ON lm.repeat = P.repeat AND lm.model_fold = P.model_fold)",
     f"wts AS ({weights(EVENT_VIEWS, 'va', 'repeat, model_fold')})",
     "vw0 AS (SELECT * FROM va JOIN wts USING (repeat, model_fold))",
     *alpha_fit(EVENT_VIEWS, "vw0", "repeat, model_fold"),
     "vw AS (SELECT * FROM vw0 JOIN alpha USING (repeat, model_fold))",
     f"vl AS ({_cv_variants('vw', 'y, repeat, model_fold')})",
     f"th AS ({theta('vl', 'repeat, model_fold, variant')})",
-    f"te AS (SELECT b.*, P.model_fold, {p_cols(EVENT_VIEWS)}, {p_cols(EVENT_ALL)} FROM rw b JOIN par P ON P.repeat = b.repeat AND b.fold = P.model_fold)",
+    f"te AS (SELECT b.*, P.model_fold, {p_cols(EVENT_VIEWS)}, {p_cols(EVENT_ALL)}, {p_logistic(EVENT_VIEWS)} FROM rw b JOIN par P ON P.repeat = b.repeat AND b.fold = P.model_fold JOIN lm ON lm.repeat = P.repeat AND lm.model_fold = P.model_fold)",
     "tw AS (SELECT * FROM te JOIN wts USING (repeat, model_fold) JOIN alpha USING (repeat, model_fold))",
     f"tl0 AS ({_cv_variants('tw', 'y, repeat, model_fold')})",
     "tl AS (SELECT tl0.*, theta FROM tl0 JOIN th USING (repeat, model_fold, variant))",
@@ -729,6 +796,20 @@ ORACLE["baseline_gaussian"] = with_(
     f"bm AS ({metrics('be', 'variant, theta')})",
 ) + f"SELECT {metric_list('variant')}, {R('theta')} AS theta FROM bm"
 
+ORACLE["logistic_coefficients"] = with_(*LIC[:3], *newton(LINE_VIEWS, "train", "par")) + " UNION ALL ".join(
+    f"SELECT '{t}' AS term, {R(f'b{j}')} AS b FROM lb" for j, t in enumerate(["(intercept)", *LINE_VIEWS.features])
+)
+ORACLE["baseline_logistic"] = with_(
+    *LIC[:3],
+    *newton(LINE_VIEWS, "train", "par"),
+    f"bg0 AS (SELECT 'logistic' AS variant, split, y, {p_logistic(LINE_VIEWS)} FROM li b, ls, lb)",
+    "bg AS (SELECT variant, split, y, p_logit AS s FROM bg0)",
+    "bv AS (SELECT * FROM bg WHERE split = 'validation')",
+    f"bt AS ({theta('bv', 'variant')})",
+    "be AS (SELECT bg.*, theta FROM bg LEFT JOIN bt USING (variant) WHERE split = 'test')",
+    f"bm AS ({metrics('be', 'variant, theta')})",
+) + f"SELECT {metric_list('variant')}, {R('theta')} AS theta FROM bm"
+
 # ---- statistics -------------------------------------------------------------
 
 _summary = f"""
@@ -741,7 +822,7 @@ ORACLE["score_summary"] = with_(*CV, _summary) + "SELECT model, metric, n, " + "
 DIFF = [
     *CV,
     """df AS (SELECT b.model AS versus, metric, repeat, fold, a.value AS value_a, b.value AS value_b, a.value - b.value AS diff
-       FROM sco a JOIN sco b USING (metric, repeat, fold) WHERE a.model = 'reliability' AND b.model IN ('unweighted', 'baseline:gaussian'))""",
+       FROM sco a JOIN sco b USING (metric, repeat, fold) WHERE a.model = 'reliability' AND b.model IN ('unweighted', 'baseline:gaussian', 'baseline:logistic'))""",
 ]
 ORACLE["paired_differences"] = with_(*DIFF) + (
     f"SELECT versus, metric, repeat, fold, {R('value_a')} AS value_a, {R('value_b')} AS value_b, {R('diff')} AS diff FROM df"
