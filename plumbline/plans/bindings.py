@@ -17,6 +17,7 @@ from plumbline.operators.integrity import integrity_factor
 from plumbline.operators.prepare import require_unique
 from plumbline.operators.scoring import fit_view_params, score_views
 from plumbline.operators.splits import split_of
+from plumbline.operators.store import Steps
 from plumbline.operators.temporal import temporal_factor, with_gap
 from plumbline.operators.views import finite_features, with_quality
 from plumbline.session import configure, stage
@@ -39,9 +40,16 @@ DOCUMENT_VIEWS = ViewSpec(
 )
 
 _staged: dict[tuple[str, str, str], DataFrame] = {}
+_steps: dict[tuple[str, str], Steps] = {}
+
+
+def steps_of(spark: SparkSession, sf_dir: str) -> Steps:
+    """Lineage of what this session has built from a folder."""
+    return _steps.setdefault((spark.sparkContext.applicationId, sf_dir), Steps())
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    steps_of(spark, sf_dir).uses(f"table:{table}")
     return configure(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -59,14 +67,34 @@ def once(
     reads, so no query repeats the temporal pass or a fit.
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
+    steps = steps_of(spark, sf_dir)
+    steps.uses(f"stage:{name}")
     if key not in _staged:
-        table = stage(build(), name, partition_by)
+        steps.begin()
+        try:
+            table = stage(build(), name, partition_by)
+        except BaseException:
+            steps.drop()
+            raise
+        steps.end(f"stage:{name}", build.__qualname__.removesuffix(".<lambda>").removesuffix(".<locals>"), {"partition_by": list(partition_by)})
         _staged[key] = require_unique(table, unique) if unique else table
     return _staged[key]
 
 
 def forget_staged() -> None:
     _staged.clear()
+    _steps.clear()
+
+
+def staged_rows(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    """Rows of every staged table and every table read: counted from file footers."""
+    app = spark.sparkContext.applicationId
+    rows = {f"stage:{n}": t.count() for (a, f, n), t in list(_staged.items()) if (a, f) == (app, sf_dir)}
+    read = {i for (_, i) in steps_of(spark, sf_dir).rows if i and i.startswith("table:")}
+    for node in sorted(read):
+        table = node.removeprefix("table:")
+        rows[node] = spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
+    return rows
 
 
 def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from plumbline.functions.scalars import hash_bucket, micros, with_scalar
 from plumbline.operators import consolidate as C
 from plumbline.operators import evaluate as E
 from plumbline.operators import experiments as X
+from plumbline.operators import store as S
 from plumbline.operators import fusion, groups, integrity, logistic, prepare, reasoning, scoring, splits, stats
 from plumbline.operators.baseline import ESTIMATORS, fit_baseline, score_baseline, tune_baseline
 from plumbline.operators.describe import assess, class_distribution, describe_features
@@ -37,8 +40,23 @@ def query(fn: Query) -> Query:
     return fn
 
 
+_full: list[bool] = []
+
+
+@contextmanager
+def full_precision():
+    """Results are stored as they are; only what is shown is rounded."""
+    _full.append(True)
+    try:
+        yield
+    finally:
+        _full.pop()
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles at ``digits`` places, so that two engines' sums compare equal."""
+    if _full:
+        return df
     doubles = [n for n, t in df.dtypes if t == "double"]
     return df.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in doubles})
 
@@ -153,9 +171,11 @@ def line_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def variant_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = B.split_rows(line_fused(spark, sf_dir), "validation")
-    long = X.score_variants(rows, X.standard_variants(LINE_VIEWS), ["y"])
-    return B.once(spark, sf_dir, "line_variant_thetas", lambda: E.fit_threshold(long, by=["variant"]))
+    def fitted() -> DataFrame:
+        rows = B.split_rows(line_fused(spark, sf_dir), "validation")
+        return E.fit_threshold(X.score_variants(rows, X.standard_variants(LINE_VIEWS), ["y"]), by=["variant"])
+
+    return B.once(spark, sf_dir, "line_variant_thetas", fitted)
 
 
 @query
@@ -450,10 +470,8 @@ def line_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_fused(spark, sf_dir)
-    return B.once(
-        spark, sf_dir, "line_theta", lambda: E.fit_threshold(B.split_rows(rows, "validation"))
-    )
+    fitted = lambda: E.fit_threshold(B.split_rows(line_fused(spark, sf_dir), "validation"))
+    return B.once(spark, sf_dir, "line_theta", fitted)
 
 
 @query
@@ -614,13 +632,15 @@ def scalability_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 RATE_METRICS = ["accuracy", "auc", "brier", "f1"]
 
 
-def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results of the earlier stages as stored numbers; nothing is fitted after this."""
+def experiment_outputs() -> list[tuple]:
+    """Query, experiment, output, dataset, subject and numbers of everything that is stored."""
     lines, events = F.lit("lines"), F.lit("events")
     joined = lambda *c: F.concat_ws(":", *c)
-    outputs = [
+    return [
         (dataset_assessment, 1, "dataset_assessment", F.col("dataset"), F.col("column"), ["rows", "nulls", "distinct"]),
         (feature_statistics, 1, "descriptive_statistics", F.col("dataset"), F.col("feature"), ["mean", "sd", "p50"]),
+        (baseline_gaussian, 2, "baseline_results", lines, F.col("variant"), RATE_METRICS),
+        (baseline_logistic, 2, "baseline_results", lines, F.col("variant"), RATE_METRICS),
         (view_validation, 3, "view_validation", lines, F.col("variant"), RATE_METRICS),
         (component_ablation, 4, "clean_ablation", lines, F.col("variant"), RATE_METRICS),
         (
@@ -642,13 +662,70 @@ def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         (signed_rank_test, 7, "paired_tests", events, joined("versus", "metric"), ["w", "z"]),
         (permutation_test, 7, "paired_tests", events, joined("versus", "metric"), ["p"]),
     ]
-    named = lambda run, *rest: C.as_results(run(spark, sf_dir), *rest)
-    return B.once(spark, sf_dir, "results", lambda: C.consolidate([named(*o) for o in outputs]))
+
+
+RUN = "main"
+
+
+def record(spark: SparkSession, sf_dir: str, store: str, outputs: list[tuple], run: str = RUN) -> None:
+    """Run experiments and append their results, at full precision, and their lineage to a store."""
+    steps = B.steps_of(spark, sf_dir)
+    written = {}
+    for run_query, experiment, output, dataset, subject, numbers in outputs:
+        steps.begin()
+        with full_precision():
+            results = stage(C.as_results(run_query(spark, sf_dir), experiment, output, dataset, subject, numbers), output)
+        node = S.result_node(experiment, output)
+        written[node] = written.get(node, 0) + results.count()
+        S.record_results(C.consolidate([results]), store, run)
+        before = {i for (o, i) in steps.rows if o == node and i}
+        for known in before:  # an output of several queries has the inputs of all of them
+            steps.uses(known)
+        steps.end(node, run_query.__name__, {"seed": splits.SEED, "folds": CV_FOLDS, "repeats": CV_REPEATS})
+    rows = {**B.staged_rows(spark, sf_dir), **written}
+    for (output, node), step in list(steps.rows.items()):
+        steps.rows[output, node] = (*step[:4], rows.get(output))
+        if node and node.startswith("table:"):
+            steps.rows[node, None] = (node, None, "source", json.dumps({"folder": sf_dir}), rows[node])
+    S.record_steps(spark, steps, store, run)
+
+
+def record_claims(spark: SparkSession, sf_dir: str, store: str, run: str = RUN) -> None:
+    """Experiment 8: the claims matrix over what the store has, stored in its turn."""
+    steps = B.steps_of(spark, sf_dir)
+    results = S.read_results(spark, store, [run]).where("experiment < 8")
+    matrix = claims_matrix_of(spark, results)
+    cells = [c for c in matrix.columns if c.startswith("experiment_")]
+    rows = stage(C.as_results(matrix, 8, "claims_matrix", F.lit("claims"), F.col("claim_id"), cells), "claims_matrix")
+    S.record_results(rows, store, run)
+    steps.begin()
+    for output in sorted({c[2] for c in CLAIMS}):
+        experiment = next(e for e, _, o in C.EXPERIMENTS if o == output)
+        steps.uses(S.result_node(experiment, output))
+    steps.end(S.result_node(8, "claims_matrix"), "claims_matrix", {"claims": len(CLAIMS)}, rows.count())
+    S.record_steps(spark, steps, store, run)
+
+
+_stores: dict[tuple[str, str], str] = {}
+
+
+def recorded_store(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of this session's results: experiments run once, before anything is consolidated."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        store = fresh_path(spark, "store")
+        record(spark, sf_dir, store, experiment_outputs())
+        record_claims(spark, sf_dir, store)
+        _stores[key] = store
+    return _stores[key]
+
+
+# From here on queries read the store and nothing else.
 
 
 @query
 def consolidated_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stored_results(spark, sf_dir))
+    return rounded(S.read_results(spark, recorded_store(spark, sf_dir), [RUN]))
 
 
 # Claim, the output that would support it, and its metric.
@@ -656,23 +733,28 @@ CLAIMS = [
     ("c1", "fused evidence ranks at least as well as single views", "view_validation", "auc"),
     ("c2", "every component contributes on clean data", "clean_ablation", "auc"),
     ("c3", "scores carry over to the other dataset", "cross_dataset_results", "auc"),
-    ("c4", "averages are stable over repeats", "cv_scores", "sd"),
+    ("c4", "averages are stable over repeats", "score_summary", "sd"),
     ("c5", "runs scale with the input", "scalability_table", "rows_per_second"),
     ("c6", "fused evidence holds against conventional models", "baseline_results", "auc"),
 ]
 
 
-@query
-def claims_to_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def claims_matrix_of(spark: SparkSession, results: DataFrame) -> DataFrame:
     claims = spark.createDataFrame(CLAIMS, "claim_id string, text string, output string, metric string")
-    matrix = C.claims_matrix(claims, C.link_evidence(claims, stored_results(spark, sf_dir)))
+    matrix = C.claims_matrix(claims, C.link_evidence(claims, results))
     cells = [c for c in matrix.columns if c.startswith("experiment_")]
     return matrix.withColumns({c: F.col(c).cast("double") for c in cells})
 
 
+@query
+def claims_to_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = S.read_results(spark, recorded_store(spark, sf_dir), [RUN])
+    return claims_matrix_of(spark, results.where("experiment < 8"))
+
+
 @query
 def output_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = stored_results(spark, sf_dir)
+    results = S.read_results(spark, recorded_store(spark, sf_dir), [RUN])
     missing = C.missing_outputs(results).select("experiment", "output", F.lit(True).alias("missing"))
     index = C.results_index(results).join(missing, ["experiment", "output"], "left")
     return index.withColumn("missing", F.coalesce("missing", F.lit(False)))
@@ -680,42 +762,16 @@ def output_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def result_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every cross-dataset result traced to the lines its dataset came from."""
-    results = stored_results(spark, sf_dir).where(F.col("experiment") == 5).select(
-        "result_id", "dataset", "value", F.concat_ws("/", "output", "dataset").alias("artifact_id")
-    )
-    lines = B.line_evidence(spark, sf_dir)
-    prepared = (
-        lines.groupBy("dataset", "split").agg(F.count("*").alias("n")).groupBy("dataset").agg(
-            F.sum("n").alias("prepared_rows"),
-            F.sum(F.when(F.col("split") == "test", F.col("n"))).alias("test_rows"),
-        )
-    )
-    run = F.concat(F.lit("cross_dataset/"), "dataset")
-    artifacts = prepared.select(
-        F.concat_ws("/", F.lit("cross_dataset_results"), "dataset").alias("artifact_id"),
-        run.alias("code_id"),
-        F.col("test_rows").alias("artifact_rows"),
-    )
-    code = prepared.select(
-        run.alias("code_id"), F.concat(F.lit("lines/"), "dataset").alias("preparation_id")
-    )
-    preparations = prepared.select(
-        F.concat(F.lit("lines/"), "dataset").alias("preparation_id"), "prepared_rows"
-    )
-    sources = (
-        B.load(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_linestatus").alias("dataset"))
-        .agg(F.count("*").alias("source_rows"))
-    )
-    return rounded(C.trace(results, artifacts, code, preparations, sources))
+    """Every stored result with each table it came from, by the recorded steps."""
+    store = recorded_store(spark, sf_dir)
+    traced = S.trace_results(S.read_results(spark, store, [RUN]), S.read_steps(spark, store, [RUN]))
+    return traced.select("result_id", "source", "source_rows")
 
 
 @query
 def publication_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(
-        C.publication_table(stored_results(spark, sf_dir), "clean_ablation", ["accuracy", "auc", "brier", "f1"])
-    )
+    results = S.read_results(spark, recorded_store(spark, sf_dir), [RUN])
+    return rounded(C.publication_table(results, "clean_ablation", RATE_METRICS))
 
 
 # ---- baselines --------------------------------------------------------------
@@ -757,11 +813,11 @@ def baseline_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logistic regression on all line features, fitted on train rows; one row."""
-    params = B.line_params(spark, sf_dir)
-    train = B.split_rows(B.line_evidence(spark, sf_dir), "train")
-    return B.once(
-        spark, sf_dir, "line_logistic", lambda: logistic.fit_logistic(train, params, LINE_VIEWS.features, [])
-    )
+    def fitted() -> DataFrame:
+        train = B.split_rows(B.line_evidence(spark, sf_dir), "train")
+        return logistic.fit_logistic(train, B.line_params(spark, sf_dir), LINE_VIEWS.features, [])
+
+    return B.once(spark, sf_dir, "line_logistic", fitted)
 
 
 @query
@@ -794,14 +850,11 @@ def tuned_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def complete_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stored results including the baselines, which have no SQL."""
-    baselines = stage(
-        C.as_results(
-            baseline_models(spark, sf_dir), 2, "baseline_results", F.lit("lines"), F.col("variant"), RATE_METRICS
-        ),
-        "baseline_results",
-    )
-    return rounded(C.consolidate([stored_results(spark, sf_dir), baselines]))
+    """All stored results including a run of the library's baselines, which have no SQL."""
+    store = recorded_store(spark, sf_dir)
+    models = (baseline_models, 2, "baseline_results", F.lit("lines"), F.col("variant"), RATE_METRICS)
+    record(spark, sf_dir, store, [models], "baselines")
+    return rounded(S.read_results(spark, store, [RUN, "baselines"]))
 
 
 @query

@@ -6,6 +6,8 @@ and cross products are fine here, since it only checks results.
 
 from __future__ import annotations
 
+import re
+
 from plumbline.operators.experiments import RATES
 from plumbline.operators.reliability import ALPHA, simplex_grid
 from plumbline.plans.bindings import (
@@ -886,52 +888,77 @@ def results_of(sql: str, experiment: int, output: str, dataset: str, subject: st
 
 
 _M = ["accuracy", "auc", "brier", "f1"]
-RESULTS = " UNION ALL ".join(
-    results_of(ORACLE[query], *rest)
-    for query, *rest in [
-        ("dataset_assessment", 1, "dataset_assessment", "dataset", '"column"', ["rows", "nulls", "distinct"]),
-        ("feature_statistics", 1, "descriptive_statistics", "dataset", "feature", ["mean", "sd", "p50"]),
-        ("view_validation", 3, "view_validation", "'lines'", "variant", _M),
-        ("component_ablation", 4, "clean_ablation", "'lines'", "variant", _M),
-        ("degradation_curve", 4, "degradation_comparison", "'lines'", "variant || ':' || view || ':' || rate", ["auc", "brier", "auc_loss"]),
-        ("cross_dataset", 5, "cross_dataset_results", "test_dataset", "'fit:' || fit_dataset", _M),
-        ("efficiency_table", 6, "efficiency_table", "'events'", "stage", ["total_seconds", "median_seconds", "p95_seconds"]),
-        ("scalability_table", 6, "scalability_table", "'events'", "stage || ':' || rows", ["mean_seconds", "rows_per_second"]),
-        ("cv_scores", 7, "cv_scores", "'events'", "model || ':' || metric || ':' || repeat || ':' || fold", ["value"]),
-        ("score_summary", 7, "score_summary", "'events'", "model || ':' || metric", ["mean", "sd"]),
-        ("paired_t_test", 7, "paired_tests", "'events'", "versus || ':' || metric", ["t", "effect_size"]),
-        ("signed_rank_test", 7, "paired_tests", "'events'", "versus || ':' || metric", ["w", "z"]),
-        ("permutation_test", 7, "paired_tests", "'events'", "versus || ':' || metric", ["p"]),
-    ]
-)
-ORACLE["consolidated_results"] = (
-    f"SELECT result_id, experiment, output, dataset, subject, metric, {R('value')} AS value FROM ({RESULTS})"
-)
+# Results are stored unrounded. The scores of cross-validation are worked out once.
+_unrounded = lambda sql: re.sub(r"::DOUBLE, \d+\) \+ 0\.0::DOUBLE", "::DOUBLE, 15) + 0.0::DOUBLE", sql)
+_from_scores = lambda sql: sql.replace(",\n".join(CV), "sco AS (FROM q_cv_scores)")
+_STORED = [
+    ("dataset_assessment", 1, "dataset_assessment", "dataset", '"column"', ["rows", "nulls", "distinct"]),
+    ("feature_statistics", 1, "descriptive_statistics", "dataset", "feature", ["mean", "sd", "p50"]),
+    ("baseline_gaussian", 2, "baseline_results", "'lines'", "variant", _M),
+    ("baseline_logistic", 2, "baseline_results", "'lines'", "variant", _M),
+    ("view_validation", 3, "view_validation", "'lines'", "variant", _M),
+    ("component_ablation", 4, "clean_ablation", "'lines'", "variant", _M),
+    ("degradation_curve", 4, "degradation_comparison", "'lines'", "variant || ':' || view || ':' || rate", ["auc", "brier", "auc_loss"]),
+    ("cross_dataset", 5, "cross_dataset_results", "test_dataset", "'fit:' || fit_dataset", _M),
+    ("efficiency_table", 6, "efficiency_table", "'events'", "stage", ["total_seconds", "median_seconds", "p95_seconds"]),
+    ("scalability_table", 6, "scalability_table", "'events'", "stage || ':' || rows", ["mean_seconds", "rows_per_second"]),
+    ("cv_scores", 7, "cv_scores", "'events'", "model || ':' || metric || ':' || repeat || ':' || fold", ["value"]),
+    ("score_summary", 7, "score_summary", "'events'", "model || ':' || metric", ["mean", "sd"]),
+    ("paired_t_test", 7, "paired_tests", "'events'", "versus || ':' || metric", ["t", "effect_size"]),
+    ("signed_rank_test", 7, "paired_tests", "'events'", "versus || ':' || metric", ["w", "z"]),
+    ("permutation_test", 7, "paired_tests", "'events'", "versus || ':' || metric", ["p"]),
+]
+_QUERIES = {"cv_scores": _unrounded(ORACLE["cv_scores"])}
+_QUERIES |= {q: _from_scores(_unrounded(ORACLE[q])) for q, *_ in _STORED if q != "cv_scores"}
+_base = [f"q_{q} AS ({sql})" for q, sql in _QUERIES.items()]
+_base += ["base AS (" + " UNION ALL ".join(results_of(f"FROM q_{q}", *rest) for q, *rest in _STORED) + ")"]
 _ids = sorted({e for e, _, _ in EXPERIMENTS})
-ORACLE["claims_to_evidence"] = with_(
-    f"res AS ({RESULTS})",
-    f"cl AS (SELECT * FROM {values(CLAIMS, ['claim_id', 'text', 'output', 'metric'])})",
-    "ev AS (SELECT claim_id, experiment, count(*) AS n FROM cl JOIN res USING (output, metric) GROUP BY ALL)",
-) + "SELECT cl.claim_id AS claim_id, text, " + ", ".join(
+_matrix = "SELECT cl.claim_id AS claim_id, text, " + ", ".join(
     f"(max(n) FILTER (WHERE experiment = {e}))::DOUBLE AS experiment_{e}" for e in _ids
 ) + " FROM cl LEFT JOIN ev ON cl.claim_id = ev.claim_id GROUP BY cl.claim_id, text"
+_claims = [
+    *_base,
+    f"cl AS (SELECT * FROM {values(CLAIMS, ['claim_id', 'text', 'output', 'metric'])})",
+    "ev AS (SELECT claim_id, experiment, count(*) AS n FROM cl JOIN base USING (output, metric) GROUP BY ALL)",
+    f"matrix AS ({_matrix})",
+]
+ORACLE["claims_to_evidence"] = with_(*_claims) + "FROM matrix"
+_stored = results_of("FROM matrix", 8, "claims_matrix", "'claims'", "claim_id", [f"experiment_{e}" for e in _ids])
+RESULTS = [*_claims, f"res AS (FROM base UNION ALL {_stored})"]
+ORACLE["consolidated_results"] = with_(*RESULTS) + (
+    f"SELECT result_id, experiment, output, dataset, subject, metric, {R('value')} AS value FROM res"
+)
 ORACLE["output_index"] = with_(
-    f"res AS ({RESULTS})", f"reg AS (SELECT * FROM {values(EXPERIMENTS, ['experiment', 'title', 'output'])})"
+    *RESULTS, f"reg AS (SELECT * FROM {values(EXPERIMENTS, ['experiment', 'title', 'output'])})"
 ) + """
 SELECT reg.experiment AS experiment, reg.output AS output, title, count(res.result_id) AS n_results,
        'results/' || lpad(reg.experiment::VARCHAR, 2, '0') || '/' || reg.output AS location,
        count(res.result_id) = 0 AS missing
 FROM reg LEFT JOIN res ON reg.experiment = res.experiment AND reg.output = res.output
 GROUP BY reg.experiment, reg.output, title"""
+# The tables behind every output.
+_LINES = ["lineitem", "orders"]
+SOURCES = {
+    "dataset_assessment": ["documents", "labels"],
+    "descriptive_statistics": _LINES,
+    "baseline_results": _LINES,
+    "view_validation": _LINES,
+    "clean_ablation": _LINES,
+    "degradation_comparison": _LINES,
+    "cross_dataset_results": _LINES,
+    "efficiency_table": ["events"],
+    "scalability_table": ["events"],
+    "cv_scores": ["events"],
+    "score_summary": ["events"],
+    "paired_tests": ["events"],
+    "claims_matrix": ["lineitem", "orders", "events"],
+}
+_tables = " UNION ALL ".join(f"SELECT 'table:{t}' AS source, count(*) AS source_rows FROM {t}" for t in ("lineitem", "orders", "events", "documents", "labels"))
 ORACLE["result_lineage"] = with_(
-    f"res AS ({ORACLE['consolidated_results']})",
-    LI,
-    "pr AS (SELECT dataset, count(*) AS prepared_rows, count(*) FILTER (WHERE split = 'test') AS artifact_rows FROM li GROUP BY dataset)",
-    "src AS (SELECT l_linestatus AS dataset, count(*) AS source_rows FROM lineitem GROUP BY ALL)",
-) + """
-SELECT result_id, res.dataset AS dataset, value, 'cross_dataset_results/' || res.dataset AS artifact_id,
-       'cross_dataset/' || res.dataset AS code_id, 'lines/' || res.dataset AS preparation_id, artifact_rows, prepared_rows, source_rows
-FROM res LEFT JOIN pr ON res.dataset = pr.dataset LEFT JOIN src ON res.dataset = src.dataset WHERE experiment = 5"""
-ORACLE["publication_table"] = with_(f"res AS ({ORACLE['consolidated_results']})") + "SELECT dataset, subject, " + ", ".join(
-    f"max(value) FILTER (WHERE metric = '{m}') AS {m}" for m in _M
+    *RESULTS,
+    f"so AS (SELECT * FROM {values([(o, 'table:' + t) for o, ts in SOURCES.items() for t in ts], ['output', 'source'])})",
+    f"ta AS ({_tables})",
+) + "SELECT result_id, source, source_rows FROM res LEFT JOIN so ON so.output = res.output LEFT JOIN ta USING (source)"
+ORACLE["publication_table"] = with_(*RESULTS) + "SELECT dataset, subject, " + ", ".join(
+    f"{R(f'max(value) FILTER (WHERE metric = {chr(39)}{m}{chr(39)})')} AS {m}" for m in _M
 ) + " FROM res WHERE output = 'clean_ablation' GROUP BY dataset, subject"

@@ -166,16 +166,6 @@ def test_claim_without_evidence_keeps_its_row(spark):
     assert C.missing_outputs(results).count() == len(C.EXPERIMENTS) - 1
 
 
-def test_trace_keeps_broken_chains(spark):
-    results = spark.createDataFrame([("r1", "a1"), ("r2", "lost")], "result_id string, artifact_id string")
-    artifacts = spark.createDataFrame([("a1", "c1")], "artifact_id string, code_id string")
-    code = spark.createDataFrame([("c1", "p1")], "code_id string, preparation_id string")
-    preparations = spark.createDataFrame([("p1", "d1")], "preparation_id string, dataset string")
-    datasets = spark.createDataFrame([("d1", 7)], "dataset string, files int")
-    rows = {r.result_id: r.files for r in C.trace(results, artifacts, code, preparations, datasets).collect()}
-    assert rows == {"r1": 7, "r2": None}
-
-
 def test_assessment(spark):
     long = "x" * 70
     rows = [(1, "d", long, 1.0), (2, "d", long, 1.0), (3, "d", "s", float("nan")), (4, "d", None, None)]
