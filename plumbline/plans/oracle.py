@@ -815,10 +815,12 @@ ORACLE["baseline_logistic"] = with_(
 # ---- statistics -------------------------------------------------------------
 
 _summary = f"""
-sm AS (SELECT model, metric, n, mean, sd, median, mean - 1.959964::DOUBLE * sd / sqrt(n) AS ci_low, mean + 1.959964::DOUBLE * sd / sqrt(n) AS ci_high
+sm AS (SELECT model, metric, n, mean, sd, median, mean - b * sd / sqrt(n) AS ci_low, mean + b * sd / sqrt(n) AS ci_high
        FROM (SELECT model, metric, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS sd, quantile_cont(value, 0.5) AS median
-             FROM sco GROUP BY ALL))"""
-ORACLE["score_summary"] = with_(*CV, _summary) + "SELECT model, metric, n, " + ", ".join(
+             FROM sco GROUP BY ALL) LEFT JOIN tb USING (n))"""
+# Fixed value: two-sided 95 % point of Student's distribution for 15 scores.
+_bound = "tb AS (SELECT 15 AS n, 2.1447866879169273::DOUBLE AS b)"
+ORACLE["score_summary"] = with_(*CV, _bound, _summary) + "SELECT model, metric, n, " + ", ".join(
     f"{R(c)} AS {c}" for c in ("mean", "sd", "median", "ci_low", "ci_high")
 ) + " FROM sm"
 DIFF = [
@@ -829,13 +831,24 @@ DIFF = [
 ORACLE["paired_differences"] = with_(*DIFF) + (
     f"SELECT versus, metric, repeat, fold, {R('value_a')} AS value_a, {R('value_b')} AS value_b, {R('diff')} AS diff FROM df"
 )
+
+
+def _student(t: str, df: str) -> str:
+    """Two-sided p-value by Simpson's rule over powers of the cosine."""
+    area = lambda top: (
+        f"({top}) * list_sum(list_transform(range(0, 2001), lambda k: CASE WHEN k IN (0, 2000) THEN 1.0::DOUBLE "
+        f"WHEN k % 2 = 1 THEN 4.0::DOUBLE ELSE 2.0::DOUBLE END * pow(cos(({top}) * k / 2000.0::DOUBLE), {df} - 1)))"
+    )
+    return f"1.0::DOUBLE - {area(f'atan(abs({t}) / sqrt({df}))')} / ({area('pi() / 2')})"
+
+
 ORACLE["paired_t_test"] = with_(
     *DIFF,
     "pt AS (SELECT versus, metric, count(diff) AS n, avg(diff) AS mean_diff, stddev_samp(diff) AS sd_diff FROM df GROUP BY versus, metric)",
     "pu AS (SELECT *, CASE WHEN sd_diff > 1e-12 THEN sd_diff END AS sd0 FROM pt)",
 ) + (
     f"SELECT versus, metric, n, {R('mean_diff', 5)} AS mean_diff, {R('sd_diff', 5)} AS sd_diff, "
-    f"{R('mean_diff / (sd0 / sqrt(n))', 5)} AS t, {R('mean_diff / sd0', 5)} AS effect_size FROM pu"
+    f"{R('mean_diff / (sd0 / sqrt(n))', 5)} AS t, {R('mean_diff / sd0', 5)} AS effect_size, {R(_student('mean_diff / (sd0 / sqrt(n))', 'n - 1'), 5)} AS p FROM pu"
 )
 ORACLE["signed_rank_test"] = with_(
     *DIFF,

@@ -122,6 +122,19 @@ def test_paired_statistics_by_hand(spark):
     assert 0 < p.p < 0.05 and p.p == (p.extreme + 1) / 501
 
 
+def test_student_values(spark):
+    """Known points of the distribution, odd and even degrees of freedom."""
+    known = [(1, 12.7062, 0.05), (2, 4.30265, 0.05), (3, 3.18245, 0.05), (14, 2.14479, 0.05), (15, 2.94671, 0.01), (100, 1.98397, 0.05), (1, 1.0, 0.5), (2, 0.0, 1.0)]
+    df = spark.createDataFrame(known, "df long, t double, p double")
+    rows = df.select("*", stats.student_p(F.col("t"), F.col("df")).alias("got"), stats.student_p(-F.col("t"), F.col("df")).alias("other")).collect()
+    for r in rows:
+        assert r.got == pytest.approx(r.p, abs=2e-5) and r.other == r.got
+    bounds = {r.df: r.b for r in df.select("df", stats.student_bound(F.col("df")).alias("b")).distinct().collect()}
+    assert bounds[14] == pytest.approx(2.1447866879, abs=1e-9) and bounds[1] == pytest.approx(12.7062047364, abs=1e-8)
+    one = scores(spark, [0.1] * 10).where("repeat = 1 and fold = 0")
+    assert stats.summarize_scores(one, ["model"]).first().ci_low is None
+
+
 def test_efficiency_and_growth(spark):
     log = spark.createDataFrame(
         [("fit", 10, 1.0), ("fit", 10, 3.0), ("fit", 20, 5.0), ("idle", 0, 0.0)], "stage string, rows long, seconds double"
