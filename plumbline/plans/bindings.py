@@ -284,15 +284,21 @@ def document_digests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
 
 def document_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (source, language) standing in for a file, with its status."""
+    """One row per (source, language) standing in for a file, with its status.
+
+    The digest covers every document's id and text: digests of single documents are added up,
+    which merges over tasks, whatever the size and order of a file.
+    """
     d = documents(spark, sf_dir)
     status = (
         F.when(F.count("toxic") == 0, "unlisted").when(F.max("toxic") == 1, "mismatch").otherwise("verified")
     )
     size = F.sum("n_chars").cast("long")
+    own = F.substring(F.sha2(F.concat_ws("|", F.col("record_id").cast("string"), F.coalesce("text", F.lit(""))), 256), 1, 15)
+    content = F.sum(F.conv(own, 16, 10).cast("decimal(28, 0)")).cast("string")
     return d.groupBy("file").agg(
         size.alias("length"),
-        F.sha2(F.concat_ws("|", "file", F.count("*").cast("string"), size.cast("string")), 256).alias("sha256"),
+        F.sha2(F.concat_ws("|", "file", F.count("*").cast("string"), content), 256).alias("sha256"),
         status.alias("status"),
     )
 

@@ -370,7 +370,7 @@ ORACLE["view_parameters"] = with_(*LIC) + " UNION ALL ".join(
 MANIFEST = """
 man AS (
   SELECT file, sum(n_chars)::BIGINT AS length,
-         sha256(file || '|' || count(*) || '|' || sum(n_chars)::BIGINT) AS sha256,
+         sha256(file || '|' || count(*) || '|' || sum(('0x' || substr(sha256(record_id || '|' || coalesce(text, '')), 1, 15))::BIGINT)) AS sha256,
          CASE WHEN count(toxic) = 0 THEN 'unlisted' WHEN max(toxic) = 1 THEN 'mismatch' ELSE 'verified' END AS status
   FROM doc GROUP BY file)"""
 ORACLE["integrity_factor"] = with_(DOC, MANIFEST) + (
