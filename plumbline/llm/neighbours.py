@@ -133,11 +133,21 @@ def _searcher(k: int, factor: float) -> Callable[[pa.Table], pa.Table]:
         points, of = np.unique(vectors[~asks], axis=0, return_inverse=True)
         own = np.unique(np.column_stack([of.reshape(-1), ids[~asks]]), axis=0)  # by point, then id
         begins = np.searchsorted(own[:, 0], np.arange(len(points) + 1))
-        found, _ = Tree(points).search(vectors[asks], k + 1 + MARGIN, factor)
+        first = own[begins[:-1], 1]
+        tree = Tree(points)
+        found, best = tree.search(vectors[asks], k + 1 + MARGIN, factor)
+        slack = 1e-9 * np.sqrt(tree.square * (vectors[asks] ** 2).sum(axis=1))
+        # More points than are kept may be equally near: then all of them are looked at again.
+        tied = (found.shape[1] < len(points)) & (best[:, -1] >= best[:, min(k, best.shape[1] - 1)] - slack)
         out = []
-        for q, vector, rows in zip(ids[asks].tolist(), vectors[asks], found):
+        for nth, (q, vector, rows) in enumerate(zip(ids[asks].tolist(), vectors[asks], found)):
             rows = rows[rows >= 0]
+            if tied[nth]:
+                rows = np.flatnonzero(points @ vector >= best[nth, min(k, best.shape[1] - 1)] - slack[nth])
             score = products(np.broadcast_to(vector, (len(rows), len(vector))), points[rows])
+            # The k + 1 first by score and smallest id hold all that can be returned.
+            top = np.lexsort((first[rows], -score))[: k + 1]
+            rows, score = rows[top], score[top]
             each = [
                 (-s, int(i))
                 for r, s in zip(rows.tolist(), score.tolist())

@@ -53,6 +53,23 @@ def test_factor_one_is_exact(spark, monkeypatch, shard, block, leaf):
     assert got == brute(rows, 20)
 
 
+@pytest.mark.parametrize("kind", ["binary", "one-hot", "coarse"])
+def test_ties_go_to_the_smaller_id(spark, monkeypatch, kind):
+    """Very many different vectors are equally near."""
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 250)
+    rng = np.random.default_rng(4)
+    x = {
+        "binary": rng.integers(0, 2, (600, 12)),
+        "one-hot": np.eye(300)[rng.permutation(600) % 300] * 1.0,
+        "coarse": rng.integers(-2, 3, (600, 6)) / 10,
+    }[kind]
+    rows = [(int(i), [float(c) for c in v], 0) for i, v in zip(rng.permutation(600), x)]
+    got = {}
+    for r in neighbours.nearest(table(spark, rows), F.col("vec_id") % 20 == 0, k=20).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == brute(rows, 20)
+
+
 def test_relaxed_pruning_keeps_recall():
     x = np.array([v for _, v, _ in made(4000, 16, 1)])
     tree = neighbours.Tree(x, 64)
