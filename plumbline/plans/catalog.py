@@ -16,7 +16,7 @@ from plumbline.operators import consolidate as C
 from plumbline.operators import evaluate as E
 from plumbline.operators import experiments as X
 from plumbline.operators import store as S
-from plumbline.operators import fusion, groups, integrity, logistic, prepare, reasoning, scoring, splits, stats
+from plumbline.operators import fusion, groups, integrity, logistic, prepare, reasoning, scoring, splits, stats, trees
 from plumbline.operators.baseline import ESTIMATORS, fit_baseline, score_baseline, tune_baseline
 from plumbline.operators.describe import assess, class_distribution, describe_features
 from plumbline.operators.reliability import ALPHA, reliability, simplex_grid
@@ -774,6 +774,48 @@ def publication_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(C.publication_table(results, "clean_ablation", RATE_METRICS))
 
 
+# ---- second scorer ----------------------------------------------------------
+
+
+def line_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trees of all line views, fitted on train rows."""
+    fitted = lambda: trees.fit_trees(B.split_rows(B.line_evidence(spark, sf_dir), "train"), LINE_VIEWS)
+    return B.once(spark, sf_dir, "line_trees", fitted)
+
+
+def line_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.score_views(B.line_evidence(spark, sf_dir), LINE_VIEWS, line_trees(spark, sf_dir))
+
+
+@query
+def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = line_trees(spark, sf_dir).withColumn("node", F.col("node").cast("long"))
+    return rounded(nodes.select("view", "node", "n", "p", "feature", "threshold", "gain", "score"))
+
+
+@query
+def tree_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = line_tree_scores(spark, sf_dir)
+    return rounded(scored.select("record_id", *[f"p_{v}" for v in LINE_VIEWS.names]))
+
+
+@query
+def tree_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E4 with trees as scorers: weights, coefficients and thresholds are fitted for their scores."""
+    scored = line_tree_scores(spark, sf_dir)
+    val = B.split_rows(scored, "validation")
+    weights = B.once(spark, sf_dir, "tree_weights", lambda: fusion.fit_view_weights(val, LINE_VIEWS))
+    fitted = lambda: fusion.fit_alpha(with_scalar(val, weights, "_G"), LINE_VIEWS, ALPHA_GRID)
+    alpha = B.once(spark, sf_dir, "tree_alpha", fitted)
+    rows = fusion.fuse(
+        with_scalar(with_scalar(scored, weights, "_G"), alpha, "_A"),
+        LINE_VIEWS, fusion.weight_columns(LINE_VIEWS, "_G"), fusion.alpha_columns("_A"),
+    )
+    return rounded(
+        X.validate_views(B.split_rows(rows, "validation"), B.split_rows(rows, "test"), LINE_VIEWS)
+    )
+
+
 # ---- baselines --------------------------------------------------------------
 
 

@@ -660,6 +660,68 @@ _vv = [
 ]
 ORACLE["view_validation"] = with_(*_vv) + f"SELECT {metric_list('variant')}, {R('theta')} AS theta FROM vm"
 
+def tree_ctes(spec: ViewSpec, base: str, bins: int = 16, depth: int = 3, least: int = 20) -> list[str]:
+    """``tn`` (nodes) and ``scored`` (leaf scores of every record), from ``train`` and ``base``."""
+    edges, cells = [], []
+    for f in spec.features:
+        at = lambda edge: f"l[{edge}(k / {bins}.0::DOUBLE * (len(l) - 1))::BIGINT + 1]"
+        share = f"(k / {bins}.0::DOUBLE * (len(l) - 1) - floor(k / {bins}.0::DOUBLE * (len(l) - 1)))"
+        edges.append(
+            f"te_{f} AS (SELECT [{at('floor')} + {share} * ({at('ceil')} - {at('floor')}) FOR k IN range(1, {bins})] AS e_{f} "
+            f"FROM (SELECT coalesce(list({f} ORDER BY {f}) FILTER (WHERE {f} IS NOT NULL), []) AS l FROM train WHERE y IS NOT NULL))"
+        )
+        cells.append(f"CASE WHEN {f} IS NULL THEN 0 ELSE 1 + len([e FOR e IN e_{f} IF e < {f}]) END AS c_{f}")
+    tables = ", ".join(f"te_{f}" for f in spec.features)
+    out = [*edges, f"tb AS (SELECT record_id, split, y, {', '.join(cells)} FROM {base}, {tables})"]
+    views = " UNION ALL ".join(
+        f"SELECT record_id, split, y, '{v}' AS view, [{', '.join(f'c_{f}' for f in fs)}] AS c, 1 AS node "
+        f"FROM tb WHERE greatest({', '.join(f'c_{f}' for f in fs)}) > 0"
+        for v, fs in spec.views.items()
+    )
+    out.append(f"tl_0 AS ({views})")
+    for k in range(depth):
+        out += [
+            f"""th_{k} AS (SELECT view, node, f, cell, count(*) AS n, sum(y)::BIGINT AS p
+              FROM (SELECT view, node, y, unnest(range(len(c))) AS f, unnest(c) AS cell FROM tl_{k}
+                    WHERE split = 'train' AND y IS NOT NULL AND node >= {2**k}) GROUP BY ALL)""",
+            f"""tc_{k} AS (SELECT view, node, f, cell AS cut, sum(n) OVER w AS nl, sum(p) OVER w AS pl,
+              sum(n) OVER a AS n, sum(p) OVER a AS p FROM th_{k}
+              WINDOW w AS (PARTITION BY view, node, f ORDER BY cell), a AS (PARTITION BY view, node, f))""",
+            f"""ts_{k} AS (SELECT view, node, f, cut, gain FROM (
+              SELECT *, row_number() OVER (PARTITION BY view, node ORDER BY gain DESC, f, cut) AS pick FROM (
+                SELECT *, pl::DOUBLE * pl::DOUBLE / nl::DOUBLE + (p - pl)::DOUBLE * (p - pl)::DOUBLE / (n - nl)::DOUBLE
+                          - p::DOUBLE * p::DOUBLE / n::DOUBLE AS gain FROM tc_{k} WHERE nl >= {least} AND n - nl >= {least})
+              WHERE gain > 1e-6) WHERE pick = 1)""",
+            f"""tl_{k + 1} AS (SELECT t.* REPLACE (CASE WHEN s.f IS NULL THEN t.node
+              ELSE t.node * 2 + (t.c[s.f + 1] > s.cut)::INT END AS node) FROM tl_{k} t LEFT JOIN ts_{k} s USING (view, node))""",
+        ]
+    splits = " UNION ALL ".join(f"SELECT * FROM ts_{k}" for k in range(depth))
+    levels = " UNION ALL ".join(
+        f"SELECT view, node, y FROM tl_{k} WHERE split = 'train' AND y IS NOT NULL AND node >= {2**k}" for k in range(depth + 1)
+    )
+    feature = " ".join(f"WHEN view = '{v}' AND f = {j} THEN '{f}'" for v, fs in spec.views.items() for j, f in enumerate(fs))
+    edge = " ".join(f"WHEN '{f}' THEN CASE WHEN cut > 0 THEN e_{f}[cut] END" for f in spec.features)
+    leaves = ", ".join(f"max(score) FILTER (WHERE view = '{v}') AS p_{v}" for v in spec.names)
+    return [
+        *out,
+        f"tt AS (SELECT view, node, count(*) AS n, sum(y)::BIGINT AS p, (sum(y) + 1)::DOUBLE / (count(*) + 2)::DOUBLE AS score "
+        f"FROM ({levels}) GROUP BY ALL)",
+        f"tn0 AS (SELECT tt.*, f, cut, gain, CASE {feature} END AS feature FROM tt LEFT JOIN ({splits}) USING (view, node))",
+        f"tn AS (SELECT tn0.*, CASE feature {edge} END AS threshold FROM tn0, {tables})",
+        f"sc AS (SELECT record_id, {leaves} FROM tl_{depth} JOIN tt USING (view, node) GROUP BY record_id)",
+        f"scored AS (SELECT b.*, {', '.join(f'p_{v}' for v in spec.names)} FROM {base} b LEFT JOIN sc USING (record_id))",
+    ]
+
+
+TREES = [*LIC[:2], *tree_ctes(LINE_VIEWS, "li")]
+ORACLE["tree_nodes"] = with_(*TREES) + (
+    f"SELECT view, node::BIGINT AS node, n, p, feature, {R('threshold')} AS threshold, {R('gain')} AS gain, {R('score')} AS score FROM tn"
+)
+ORACLE["tree_predictions"] = with_(*TREES) + (
+    "SELECT record_id, " + ", ".join(f"{R(f'p_{v}')} AS p_{v}" for v in LINE_VIEWS.names) + " FROM scored"
+)
+ORACLE["tree_validation"] = with_(*TREES, *_vv[4:]) + f"SELECT {metric_list('variant')}, {R('theta')} AS theta FROM vm"
+
 # Fixed values, written out: component switches (integrity, quality, time, weights, left out).
 _switches = [
     ("full", "iqt", True, ""),
