@@ -16,7 +16,7 @@ from plumbline.operators import consolidate as C
 from plumbline.operators import evaluate as E
 from plumbline.operators import experiments as X
 from plumbline.operators import store as S
-from plumbline.operators import fusion, groups, integrity, logistic, prepare, reasoning, scoring, splits, stats, trees
+from plumbline.operators import auctest, calibrate, fusion, groups, integrity, logistic, prepare, reasoning, scoring, splits, stats, trees
 from plumbline.operators.baseline import ESTIMATORS, fit_baseline, score_baseline, tune_baseline
 from plumbline.operators.describe import assess, class_distribution, describe_features
 from plumbline.operators.reliability import ALPHA, reliability, simplex_grid
@@ -200,8 +200,8 @@ def forensic_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out)
 
 
-@query
-def investigation_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases with their confidence, from coefficients fitted on validation rows."""
     rows = line_cases(spark, sf_dir)
     beta = B.once(
         spark,
@@ -213,9 +213,36 @@ def investigation_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = with_scalar(rows, beta, "_B")
     value = reasoning.confidence(tuple(F.col(f"_B.{n}") for n in ("b_r", "b_a", "b_m")))
-    return rounded(
-        out.select("record_id", "verdict", "c_r", "c_a", "c_m", value.alias("confidence"))
-    )
+    return out.withColumn("confidence", value)
+
+
+@query
+def investigation_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_confidence(spark, sf_dir)
+    return rounded(out.select("record_id", "verdict", "c_r", "c_a", "c_m", "confidence"))
+
+
+def line_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence as a share of correct verdicts, fitted on validation rows."""
+    def cases() -> DataFrame:
+        correct = reasoning.verdict_correct().cast("int").alias("correct")
+        return line_confidence(spark, sf_dir).select("record_id", "split", "confidence", correct)
+
+    rows = B.once(spark, sf_dir, "line_confidence", cases, partition_by=("split",))
+    fitted = lambda: calibrate.fit_isotonic(B.split_rows(rows, "validation"), "confidence", "correct")
+    return calibrate.calibrate(rows, "confidence", B.once(spark, sf_dir, "line_isotonic", fitted))
+
+
+@query
+def calibrated_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(line_calibrated(spark, sf_dir).select("record_id", "split", "confidence", "calibrated"))
+
+
+@query
+def calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibration error and Brier score per split, before and after calibration."""
+    rows = line_calibrated(spark, sf_dir)
+    return rounded(calibrate.calibration_error(rows, ["confidence", "calibrated"], "correct", ["split"]))
 
 
 # ---- preparation ------------------------------------------------------------
@@ -774,6 +801,25 @@ def publication_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(C.publication_table(results, "clean_ablation", RATE_METRICS))
 
 
+# ---- uncertainty of rankings --------------------------------------------------
+
+
+@query
+def auc_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E2 with DeLong's interval, per variant and split."""
+    rows = line_fused(spark, sf_dir)
+    long = X.score_variants(rows, X.standard_variants(LINE_VIEWS), ["split", "y"])
+    return rounded(auctest.auc_interval(long, ["variant", "split"]))
+
+
+@query
+def auc_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Is the fused score ranked better than each view and the plain mean, on test rows?"""
+    test = B.split_rows(line_fused(spark, sf_dir), "test")
+    out = auctest.auc_differences(test, X.standard_variants(LINE_VIEWS), "reliability")
+    return rounded(out.withColumn("z", F.round("z", 3)))
+
+
 # ---- second scorer ----------------------------------------------------------
 
 

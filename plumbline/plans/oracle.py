@@ -447,7 +447,7 @@ ORACLE["forensic_reasoning"] = with_(*CASES) + (
 )
 _spread = " + ".join(f"coalesce(w_{v} * (p_{v} - s) * (p_{v} - s), 0.0::DOUBLE)" for v in _names)
 _gsum = wsum(LINE_VIEWS, {v: f"g_{v}" for v in _names})
-ORACLE["investigation_confidence"] = with_(
+CONF = [
     *CASES,
     f"""cp AS (SELECT *, w_all / nullif({_gsum}, 0) AS c_r,
          1.0::DOUBLE - 2.0::DOUBLE * sqrt(({_spread}) / nullif(w_all, 0)) AS c_a,
@@ -457,11 +457,40 @@ ORACLE["investigation_confidence"] = with_(
     """beta AS (
       SELECT grid_id, b_r, b_a, b_m, avg((b_r * c_r + b_a * c_a + b_m * c_m - ok) * (b_r * c_r + b_a * c_a + b_m * c_m - ok)) AS loss
       FROM cp, bgrid WHERE split = 'validation' GROUP BY ALL ORDER BY round(loss, 9), grid_id LIMIT 1)""",
-) + (
-    f"SELECT record_id, verdict, {R('c_r')} AS c_r, {R('c_a')} AS c_a, {R('c_m')} AS c_m, "
-    f"{R('b_r * c_r + b_a * c_a + b_m * c_m')} AS confidence FROM cp, beta"
+    "cf AS (SELECT cp.*, b_r * c_r + b_a * c_a + b_m * c_m AS confidence FROM cp, beta)",
+]
+ORACLE["investigation_confidence"] = with_(*CONF) + (
+    f"SELECT record_id, verdict, {R('c_r')} AS c_r, {R('c_a')} AS c_a, {R('c_m')} AS c_m, {R('confidence')} AS confidence FROM cf"
 )
 
+
+def _cell(x: str, cells: int) -> str:
+    return f"floor(least(greatest(round({x}, 9), 0.0::DOUBLE), 1.0::DOUBLE) * {cells})::INT"
+
+
+# The isotonic fit at a cell: the largest, over starts at or below it, of the least mean up to an end at or above it.
+CALIBRATED = [
+    *CONF,
+    f"""ih AS (SELECT {_cell('confidence', 4096)} AS cell, count(*) AS n, sum(ok)::BIGINT AS hits FROM cf
+           WHERE split = 'validation' AND confidence IS NOT NULL GROUP BY ALL)""",
+    "ic AS (SELECT cell, sum(n) OVER (ORDER BY cell) AS n, sum(hits) OVER (ORDER BY cell) AS hits, n AS own, hits AS own_hits FROM ih)",
+    """im AS (SELECT a.cell AS i, b.cell AS j, min((b.hits - a.hits + a.own_hits)::DOUBLE / (b.n - a.n + a.own)::DOUBLE)
+             OVER (PARTITION BY a.cell ORDER BY b.cell DESC) AS low FROM ic a JOIN ic b ON b.cell >= a.cell)""",
+    "iv AS (SELECT j AS cell, max(low) AS value FROM im GROUP BY j)",
+    f"""ca AS (SELECT cf.*, CASE WHEN confidence IS NOT NULL THEN coalesce(iv.value, (SELECT min(value) FROM iv)) END AS calibrated
+           FROM (SELECT *, {_cell('confidence', 4096)} AS cell FROM cf) cf ASOF LEFT JOIN iv ON cf.cell >= iv.cell)""",
+]
+ORACLE["calibrated_confidence"] = with_(*CALIBRATED) + (
+    f"SELECT record_id, split, {R('confidence')} AS confidence, {R('calibrated')} AS calibrated FROM ca"
+)
+ORACLE["calibration_error"] = with_(
+    *CALIBRATED,
+    "cl AS (SELECT split, ok, 'confidence' AS measure, confidence AS c FROM ca UNION ALL SELECT split, ok, 'calibrated', calibrated FROM ca)",
+    f"""cb AS (SELECT split, measure, least({_cell('c', 10)}, 9) AS bin, count(*) AS n, abs(avg(c) - avg(ok)) AS gap,
+           sum((c - ok) * (c - ok)) AS sse FROM cl WHERE c IS NOT NULL GROUP BY ALL)""",
+) + f"""SELECT split, measure, sum(n)::BIGINT AS n, count(*) AS bins, {R('sum(n * gap) / sum(n)')} AS expected_error,
+       {R('max(gap)')} AS largest_error, {R('sum(sse) / sum(n)')} AS brier FROM cb GROUP BY split, measure"""
+
 # ---- preparation ------------------------------------------------------------
 
 ORACLE["clean_records"] = """
@@ -660,6 +689,47 @@ _vv = [
 ]
 ORACLE["view_validation"] = with_(*_vv) + f"SELECT {metric_list('variant')}, {R('theta')} AS theta FROM vm"
 
+
+# DeLong's components from midranks over all records and over those of a class.
+_z95 = "1.959963984540054::DOUBLE"
+
+
+def _components(src: str, by: str) -> str:
+    return f"""SELECT *, ((below + same / 2.0::DOUBLE) / others) AS v FROM (
+      SELECT *, CASE y WHEN 1 THEN n_below ELSE n_pos - p_below - p_same END AS below, CASE y WHEN 1 THEN n_same ELSE p_same END AS same,
+             CASE y WHEN 1 THEN n_neg ELSE n_pos END AS others
+      FROM (SELECT *, count(*) FILTER (WHERE y = 0) OVER lo - n_same AS n_below, count(*) FILTER (WHERE y = 1) OVER lo - p_same AS p_below
+            FROM (SELECT *, count(*) FILTER (WHERE y = 0) OVER eq AS n_same, count(*) FILTER (WHERE y = 1) OVER eq AS p_same,
+                         count(*) FILTER (WHERE y = 0) OVER al AS n_neg, count(*) FILTER (WHERE y = 1) OVER al AS n_pos
+                  FROM (SELECT * REPLACE (coalesce(s, -1.0::DOUBLE) AS s) FROM {src} WHERE y IS NOT NULL)
+                  WINDOW eq AS (PARTITION BY {by}, s), al AS (PARTITION BY {by}))
+            WINDOW lo AS (PARTITION BY {by} ORDER BY s)))"""
+
+
+_dl = f"({variants(LINE_VIEWS, 'aw', 'record_id, split, y', gr(LINE_VIEWS, FIT))})"
+DELONG = [*LIA, f"dv0 AS {_dl}", f"dv AS ({_components('dv0', 'variant, split')})"]
+ORACLE["auc_intervals"] = with_(
+    *DELONG,
+    """da AS (SELECT variant, split, count(*) FILTER (WHERE y = 1) AS n_pos, count(*) FILTER (WHERE y = 0) AS n_neg,
+       avg(v) FILTER (WHERE y = 1) AS auc, sqrt(var_samp(v) FILTER (WHERE y = 1) / nullif(count(*) FILTER (WHERE y = 1), 0)
+       + var_samp(v) FILTER (WHERE y = 0) / nullif(count(*) FILTER (WHERE y = 0), 0)) AS se FROM dv GROUP BY variant, split)""",
+) + f"""SELECT variant, split, n_pos, n_neg, {R('auc')} AS auc, {R('se')} AS se,
+       {R(f'greatest(auc - {_z95} * se, 0.0::DOUBLE)')} AS low, {R(f'least(auc + {_z95} * se, 1.0::DOUBLE)')} AS high FROM da"""
+# The variance of a difference from both variances and the covariance.
+ORACLE["auc_differences"] = with_(
+    *DELONG,
+    """dp AS (SELECT b.variant AS versus, a.y, a.v AS va, b.v AS vb FROM dv a JOIN dv b USING (record_id)
+       WHERE a.variant = 'reliability' AND b.variant <> 'reliability' AND a.split = 'test')""",
+    """dc AS (SELECT versus, y, count(*) AS n, avg(va) AS ma, avg(vb) AS mb,
+       greatest(var_samp(va) + var_samp(vb) - 2 * covar_samp(va, vb), 0.0::DOUBLE) AS var FROM dp GROUP BY versus, y)""",
+    """dd AS (SELECT versus, max(n) FILTER (WHERE y = 1) AS n_pos, max(n) FILTER (WHERE y = 0) AS n_neg,
+       max(ma) FILTER (WHERE y = 1) AS auc, max(mb) FILTER (WHERE y = 1) AS auc_versus, sqrt(sum(var / n)) AS se FROM dc GROUP BY versus)""",
+) + f"""SELECT versus, n_pos, n_neg, {R('auc')} AS auc, {R('auc_versus')} AS auc_versus, {R('se')} AS se,
+       {R('auc - auc_versus')} AS difference, {R(f'auc - auc_versus - {_z95} * se')} AS low,
+       {R(f'auc - auc_versus + {_z95} * se')} AS high,
+       {R('CASE WHEN se > 1e-7 THEN (auc - auc_versus) / se END', 3)} AS z FROM dd"""
+
+
 def tree_ctes(spec: ViewSpec, base: str, bins: int = 16, depth: int = 3, least: int = 20) -> list[str]:
     """``tn`` (nodes) and ``scored`` (leaf scores of every record), from ``train`` and ``base``."""
     edges, cells = [], []
