@@ -1,11 +1,13 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-Text blocks are lines; a block meets a template when at least ``threshold`` of the
-template's distinct words occur in it. The words of the templates are ordered by how many
-blocks of the corpus contain them, rarest first, so that the few words of a template's
-prefix, one of which every qualifying block must contain, are the rarest ones. The length
-filter drops blocks shorter than the required overlap, and the positional filter drops a
-pair as soon as the words that remain after the first shared one cannot reach it.
+A text block is a window of consecutive words, wherever lines break: a quarter longer than
+the template. A window meets a template when it holds at least ``threshold`` of the
+template's distinct words. All windows of the whole text count; qualifying ones that overlap
+are one block. The words of the templates are ordered by how often they occur in the corpus,
+rarest first: every qualifying window holds a word of the template's prefix, so only windows
+around such words are looked at. The length filter drops windows with fewer template words
+than the required overlap; the positional filter drops windows whose first shared word in the
+order leaves too few after it.
 
 Beside that, places where a phrase's words stand consecutively in the whole text are
 found, whatever separates them.
@@ -14,9 +16,9 @@ Words are runs of ASCII letters and digits and of anything beyond ASCII, lower-c
 The templates are a bounded parameter and go to every task; the corpus is read twice, for
 the order and for the join, and nothing of it is shuffled but counts of template words.
 
-Defined cases: a null or empty text has no words, places or labels, and score 0; repeated
-rows get equal results; an empty table gives an empty result (the order is then by word);
-other columns are ignored.
+Defined cases: a null or empty text has no words, places or labels, and score 0; a text
+shorter than a window is one window; repeated rows get equal results; an empty table gives an
+empty result (the order is then by word); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Notices by which blocks are recognised, with the labels the join gives them.
+#: Notices and license bodies by which blocks are recognised, with the labels the join gives them.
 TEMPLATES = {
     "gpl-notice": "this work is licensed under the gnu general public license version 3",
     "apache-notice": "licensed under the apache license version 2 0",
@@ -48,9 +50,35 @@ TEMPLATES = {
     "mit-notice": "released under the mit license",
     "bsd-notice": "redistribution and use in source and binary forms with or without modification are permitted",
     "rights-notice": "all rights reserved",
+    "mit-body": "permission is hereby granted free of charge to any person obtaining a copy of this software and "
+    "associated documentation files the software to deal in the software without restriction including without "
+    "limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software "
+    "and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "isc-body": "permission to use copy modify and or distribute this software for any purpose with or without fee is "
+    "hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "bsd-body": "redistributions of source code must retain the above copyright notice this list of conditions and the "
+    "following disclaimer redistributions in binary form must reproduce the above copyright notice this list of "
+    "conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "apache-header": "you may not use this file except in compliance with the license you may obtain a copy of the "
+    "license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing "
+    "software distributed under the license is distributed on an as is basis without warranties or conditions of any "
+    "kind either express or implied",
+    "gpl-header": "this program is free software you can redistribute it and or modify it under the terms of the gnu "
+    "general public license as published by the free software foundation either version 3 of the license or at your "
+    "option any later version",
+    "lgpl-header": "this library is free software you can redistribute it and or modify it under the terms of the gnu "
+    "lesser general public license as published by the free software foundation",
+    "agpl-header": "this program is free software you can redistribute it and or modify it under the terms of the gnu "
+    "affero general public license as published by the free software foundation",
+    "mpl-header": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the "
+    "mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "unlicense-body": "this is free and unencumbered software released into the public domain anyone is free to copy "
+    "modify publish use compile sell or distribute this software",
+    "warranty-disclaimer": "the software is provided as is without warranty of any kind express or implied including but "
+    "not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
 }
-#: Share of a template's distinct words that a block must hold.
-THRESHOLD = 0.8
+#: Share of a template's distinct words that a block must hold, and words of a window to one of the template.
+THRESHOLD, STRETCH = 0.8, 1.25
 
 
 def _places(hashes: np.ndarray, first: np.ndarray, phrase: np.ndarray) -> np.ndarray:
@@ -66,69 +94,82 @@ def _places(hashes: np.ndarray, first: np.ndarray, phrase: np.ndarray) -> np.nda
 
 
 class Matcher:
-    """Templates as ordered lists of word hashes, with their prefixes."""
+    """Templates as sets of ranks in the corpus order, with their prefixes."""
 
     def __init__(self, templates: Mapping[str, str], frequency: Mapping[int, int], threshold: float):
-        names = sorted(templates)
-        hashes, first = word_hashes([templates[n] for n in names], NON_WORD)
-        known = np.unique(hashes)
-        order = sorted(known.tolist(), key=lambda h: (frequency.get(h, 0), h))
-        self.rank = {h: r for r, h in enumerate(order)}
-        self.vocabulary = known
-        self.names = names
-        self.sets = [sorted({self.rank[h] for h in hashes[a:b].tolist()}) for a, b in zip(first, first[1:])]
-        self.need = [max(1, int(np.ceil(threshold * len(s) - 1e-9))) for s in self.sets]
-        self.index: dict[int, list[tuple[int, int]]] = {}
-        for t, (words, need) in enumerate(zip(self.sets, self.need)):
-            for place, r in enumerate(words[: len(words) - need + 1]):
-                self.index.setdefault(r, []).append((t, place))
-        self.prefix = np.sort(np.array([order[r] for r in self.index], dtype=np.uint64))
+        self.names = sorted(templates)
+        hashes, first = word_hashes([templates[n] for n in self.names], NON_WORD)
+        self.vocabulary = np.unique(hashes)
+        order = sorted(self.vocabulary.tolist(), key=lambda h: (frequency.get(h, 0), h))
+        rank = {h: r for r, h in enumerate(order)}
+        self.rank = np.array([rank[h] for h in self.vocabulary.tolist()], dtype=np.int64)
+        self.width = [int(np.ceil(STRETCH * (b - a) - 1e-9)) for a, b in zip(first, first[1:])]
+        self.need, self.place, self.size = [], [], []
+        prefix = set()
+        for a, b in zip(first, first[1:]):
+            words = sorted({rank[h] for h in hashes[a:b].tolist()})
+            need = max(1, int(np.ceil(threshold * len(words) - 1e-9)))
+            place = np.full(len(order), -1, dtype=np.int64)  # of each rank in the template's order
+            place[words] = np.arange(len(words))
+            self.need.append(need)
+            self.place.append(place)
+            self.size.append(len(words))
+            prefix.update(order[r] for r in words[: len(words) - need + 1])
+        self.prefix = np.sort(np.array(list(prefix), dtype=np.uint64))
 
     def has_prefix(self, hashes: np.ndarray) -> np.ndarray:
         """Places of words that are in the prefix of a template."""
+        if not len(self.prefix):
+            return np.empty(0, dtype=np.int64)
         at = np.searchsorted(self.prefix, hashes).clip(0, len(self.prefix) - 1)
         return np.flatnonzero(self.prefix[at] == hashes)
 
-    def block(self, hashes: np.ndarray) -> dict[int, float]:
-        """Templates that a block of words meets, with the share of the template that it holds."""
-        distinct = set(hashes.tolist())
-        size, have = len(distinct), {self.rank[h] for h in distinct if h in self.rank}
-        seen: set[int] = set()
-        out = {}
-        for r in sorted(have):
-            for t, place in self.index.get(r, ()):
-                if t in seen:
-                    continue
-                seen.add(t)
-                template, need = self.sets[t], self.need[t]
-                if size < need:  # length
-                    continue
-                overlap = 0
-                for at in range(place, len(template)):
-                    if overlap + len(template) - at < need:  # position
-                        break
-                    overlap += template[at] in have
-                if overlap >= need:
-                    out[t] = overlap / len(template)
-        return out
+    def blocks(self, hashes: np.ndarray) -> list[tuple[int, int, str, float]]:
+        """Blocks of a text's words: first word, word after the last, template, share of it."""
+        at = np.searchsorted(self.vocabulary, hashes).clip(0, len(self.vocabulary) - 1)
+        known = np.flatnonzero(self.vocabulary[at] == hashes)
+        ranks = self.rank[at[known]]
+        out = []
+        for t, name in enumerate(self.names):
+            mine = self.place[t][ranks]
+            where, places = known[mine >= 0], mine[mine >= 0]
+            if len(places):
+                out += [(a, b, name, share) for a, b, share in self._met(t, where, places)]
+        return sorted(out)
+
+    def _met(self, t: int, where: np.ndarray, places: np.ndarray) -> list[tuple[int, int, float]]:
+        need, size = self.need[t], self.size[t]
+        # A window ends at each of the template's words and begins at the first one within its width.
+        end = np.arange(len(where)) + 1
+        begin = np.searchsorted(where, where - self.width[t], "right")
+        rare = np.concatenate([[0], np.cumsum(places <= size - need)])
+        wanted = np.flatnonzero((end - begin >= need) & (rare[end] > rare[begin]))
+        out: list[list] = []
+        for last in wanted.tolist():
+            a = int(begin[last])
+            have = np.unique(places[a : last + 1])
+            if size - have[0] < need or len(have) < need:  # position, overlap
+                continue
+            share, start, stop = len(have) / size, int(where[a]), int(where[last]) + 1
+            if out and start < out[-1][1]:
+                out[-1] = [out[-1][0], stop, max(out[-1][2], share)]
+            else:
+                out.append([start, stop, share])
+        return [tuple(b) for b in out]
 
 
 def word_frequency(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
-    """Blocks of the whole corpus that contain each word of the templates."""
+    """How often each word of the templates occurs in the whole corpus."""
     known = vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(len(known), dtype=np.int64)
         for b in batches:
             texts = [t for t in b.column(0).to_pylist() if t]
-            for begin, end in chunks(texts):
-                lines = "\n".join(texts[begin:end]).split("\n")
-                hashes, first = word_hashes(lines, NON_WORD)
+            for begin, end in chunks(texts) if len(known) else ():
+                hashes, _ = word_hashes(texts[begin:end], NON_WORD)
                 at = np.searchsorted(known, hashes).clip(0, len(known) - 1)
-                hit = np.flatnonzero(known[at] == hashes)
-                line = np.searchsorted(first, hit, "right") - 1
-                pairs = np.unique(line * len(known) + at[hit])
-                count += np.bincount(pairs % len(known), minlength=len(known))
+                count += np.bincount(at[known[at] == hashes], minlength=len(known))
         yield pa.RecordBatch.from_arrays([pa.array(known.astype(np.int64)), pa.array(count)], ["word", "n"])
 
     found = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -144,8 +185,8 @@ def scan(
     key: str = "doc_id",
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels,
-    labels (both comma-joined), blocks (lines that meet a template, with it) and score, the
-    largest share of a template met, 1 with a phrase."""
+    labels (both comma-joined), blocks (first word, word after the last, template and the share
+    of it that is met, in order of the text) and score, the largest share, 1 with a phrase."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -160,9 +201,9 @@ def scan(
         "base_labels": "string",
         "labels": "string",
         "score": "double",
-        "blocks": "array<struct<line:int,template:string,share:double>>",
+        "blocks": "array<struct<start:int,end:int,template:string,share:double>>",
     }
-    block_type = pa.list_(pa.struct([("line", pa.int32()), ("template", pa.string()), ("share", pa.float64())]))
+    block_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("template", pa.string()), ("share", pa.float64())]))
     types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), block_type]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,19 +232,14 @@ def _judge(texts: list[str], matcher: Matcher, wanted: Mapping[str, list[np.ndar
             for text, word in zip((np.searchsorted(first, at, "right") - 1).tolist(), at.tolist()):
                 places.setdefault(text, []).append(word - int(first[text]))
                 labels.setdefault(text, set()).add(label)
-    blocks: dict[int, list[tuple[int, str, float]]] = {}
+    blocks: dict[int, list[tuple[int, int, str, float]]] = {}
     for text in np.unique(np.searchsorted(first, matcher.has_prefix(hashes), "right") - 1).tolist():
-        lines = texts[text].split("\n")
-        words, begins = word_hashes(lines, NON_WORD)
-        for line in np.unique(np.searchsorted(begins, matcher.has_prefix(words), "right") - 1).tolist():
-            met = matcher.block(words[begins[line] : begins[line + 1]])
-            if met:
-                blocks.setdefault(text, []).extend((line, matcher.names[t], met[t]) for t in sorted(met))
+        blocks[text] = matcher.blocks(hashes[first[text] : first[text + 1]])
     out = []
     for text, n in enumerate(np.diff(first).tolist()):
         at, base, found = places.get(text, []), labels.get(text, set()), blocks.get(text, [])
-        own = {name for _, name, _ in found}
-        score = 1.0 if at else max((share for _, _, share in found), default=0.0)
+        own = {name for _, _, name, _ in found}
+        score = 1.0 if at else max((share for *_, share in found), default=0.0)
         out.append(
             (
                 n,

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from plumbline.llm.licenses import PHRASES, TEMPLATES, THRESHOLD
 from plumbline.llm.mixing import SEED
-from plumbline.llm.secrets import MOST_OWNERS
 
 ORACLE: dict[str, str] = {}
 
@@ -38,11 +37,11 @@ _ASSIGN = (
 
 def _found(kind: str, nth: int, pattern: str, group: int, keep: str) -> str:
     return f"""
-    SELECT doc_id, owner, '{kind}' AS kind, {nth} AS nth, vs[i] AS value,
+    SELECT doc_id, owner, repo, '{kind}' AS kind, {nth} AS nth, vs[i] AS value,
            (list_sum(list_transform(gaps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: len(x))), 0))::BIGINT AS a,
            len(ms[i]) AS n
-    FROM (SELECT doc_id, owner, ms, vs, gaps, unnest(range(1, len(ms) + 1)) AS i FROM (
-      SELECT doc_id, coalesce(source, chr(0)) AS owner, regexp_extract_all(t, '{pattern}', 0) AS ms,
+    FROM (SELECT doc_id, owner, repo, ms, vs, gaps, unnest(range(1, len(ms) + 1)) AS i FROM (
+      SELECT doc_id, coalesce(source, chr(0)) AS owner, {{'s': source, 'l': lang}} AS repo, regexp_extract_all(t, '{pattern}', 0) AS ms,
              regexp_extract_all(t, '{pattern}', {group}) AS vs, string_split_regex(t, '{pattern}') AS gaps
       FROM (SELECT *, coalesce(text, '') AS t FROM documents)))
     WHERE {keep}"""
@@ -55,14 +54,16 @@ WITH f AS ({_found('assign', 1, _ASSIGN, 2, 'len(vs[i]) >= 12')} UNION ALL {_fou
 g0 AS ({_found('generic', 4, '[A-Za-z0-9_-]+', 0, "len(ms[i]) >= 20 AND regexp_matches(ms[i], '[0-9]') AND regexp_matches(ms[i], '[A-Za-z]')")}),
 g AS (SELECT * FROM g0 WHERE NOT EXISTS (FROM f WHERE f.doc_id = g0.doc_id AND f.a < g0.a + g0.n AND g0.a < f.a + f.n)),
 al AS (SELECT * FROM f UNION ALL SELECT * FROM g),
-ow AS (SELECT value, count(DISTINCT owner) <= {MOST_OWNERS} AS live FROM al GROUP BY value),
-j AS (SELECT al.*, live FROM al JOIN ow ON al.value = ow.value),
+ow AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos, owners <= 2 AND repos <= 6 AS live FROM al GROUP BY value),
+j AS (SELECT al.*, owners, repos, live FROM al JOIN ow ON al.value = ow.value),
 p AS (SELECT doc_id, {_SPAN} FILTER (WHERE kind <> 'generic') AS base, {_SPAN} FILTER (WHERE kind <> 'generic' OR live) AS spans,
              count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
              count(*) FILTER (WHERE kind = 'hex') AS n_hex, count(DISTINCT value) FILTER (WHERE live) AS n_live,
-             count(DISTINCT value) FILTER (WHERE NOT live) AS n_copied FROM j GROUP BY doc_id)
+             count(DISTINCT value) FILTER (WHERE NOT live) AS n_copied,
+             max(owners) FILTER (WHERE kind <> 'generic' OR live) AS most_owners, max(repos) FILTER (WHERE kind <> 'generic' OR live) AS most_repos FROM j GROUP BY doc_id)
 SELECT d.doc_id AS doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
+       coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos
 FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id"""
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -145,16 +146,19 @@ _at = " UNION ALL ".join(
     for p, label in PHRASES.items()
 )
 _templates = " UNION ALL ".join(
-    f"SELECT '{name}' AS label, {sorted(set(t.split()))} AS t" for name, t in TEMPLATES.items()
+    f"SELECT '{name}' AS label, {sorted(set(t.split()))} AS t, {-(-5 * len(t.split()) // 4)} AS width" for name, t in TEMPLATES.items()
 )
 ORACLE["op9_licenses"] = rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM documents),
 at0 AS ({_at}),
 b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS own FROM at0 GROUP BY doc_id),
-li AS (SELECT doc_id, list_distinct(regexp_extract_all(l, '{_WORDS}')) AS lw FROM (SELECT doc_id, unnest(string_split({_LOWER}, chr(10))) AS l FROM documents)),
 te AS ({_templates}),
-mt AS (SELECT doc_id, label, len(list_intersect(lw, t)) / len(t)::DOUBLE AS share FROM li, te
-       WHERE len(list_intersect(lw, t)) >= ceil({THRESHOLD}::DOUBLE * len(t) - 1e-9)),
+tw AS (SELECT label, width, len(t) AS size, ceil({THRESHOLD}::DOUBLE * len(t) - 1e-9) AS need, unnest(t) AS word FROM te),
+oc0 AS (SELECT doc_id, label, width, size, need, place, word FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS place FROM w) JOIN tw USING (word)),
+oc AS (SELECT * FROM oc0 SEMI JOIN (SELECT doc_id, label FROM oc0 GROUP BY doc_id, label, need HAVING count(DISTINCT word) >= need) USING (doc_id, label)),
+mt AS (SELECT a.doc_id, a.label, count(DISTINCT b.word) / any_value(a.size)::DOUBLE AS share
+       FROM oc a JOIN oc b ON a.doc_id = b.doc_id AND a.label = b.label AND b.place BETWEEN a.place - a.width + 1 AND a.place
+       GROUP BY a.doc_id, a.label, a.place, a.need HAVING count(DISTINCT b.word) >= a.need),
 m AS (SELECT doc_id, list(DISTINCT label) AS more, max(share) AS share FROM mt GROUP BY doc_id)
 SELECT w.doc_id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        array_to_string(list_sort(coalesce(own, [])), ',') AS base_labels,

@@ -44,6 +44,8 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.listed(F.col("spans")).alias("spans"),
         F.col("live").alias("n_live"),
         F.col("copied").alias("n_copied"),
+        F.coalesce(F.array_max(F.col("spans.owners")), F.lit(0)).alias("most_owners"),
+        F.coalesce(F.array_max(F.col("spans.repos")), F.lit(0)).alias("most_repos"),
     )
 
 

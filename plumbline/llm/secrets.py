@@ -2,9 +2,10 @@
 
 Every text gives base spans (assigned values, access keys, long hex runs) and generic
 candidates, long strings that mix letters and digits. All are hashed and counted over the
-whole corpus by distinct repositories and owners. A value that many owners have is an
-example that was copied; one that few owners have is specific to them and looks live.
-Generic candidates are added as spans only if they look live; base spans always stay.
+whole corpus by distinct repositories and owners. A value that many owners have, or that
+stands in many repositories of few owners, is an example that was copied; one that few owners
+have in few repositories is specific to them and looks live. Generic candidates are added as
+spans only if they look live; base spans always stay. Every span carries both counts.
 
 Everything is made of Spark's functions. A span's place is the length of the text before
 it: the pieces between matches (``split``) and the matches (``regexp_extract_all``) are
@@ -36,8 +37,8 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 #: A generic candidate: a run of this length with both letters and digits.
 GENERIC = r"[A-Za-z0-9_-]{20,}"
-#: A value with more owners than this is a copied example.
-MOST_OWNERS = 2
+#: A value with more owners, or in more repositories, than this is a copied example.
+MOST_OWNERS, MOST_REPOS = 2, 6
 #: Order of kinds at one start.
 KINDS = ("assign", "access", "hex", "generic")
 
@@ -102,9 +103,8 @@ def ownership(found: DataFrame) -> DataFrame:
     Repeats of one hash in one repository end on the map side, so a value that a third of
     all rows hold reaches the second step as one row per repository and owner.
     """
-    each = found.groupBy("h", "repo", "owner").agg(F.count("*").alias("uses"))
-    by_owner = each.groupBy("h", "owner").agg(F.sum("uses").alias("uses"))
-    owners = by_owner.groupBy("h").agg(F.count("*").alias("owners"), F.sum("uses").alias("uses"))
+    each = found.select("h", "repo", "owner").distinct()
+    owners = each.groupBy("h", "owner").agg(F.lit(1)).groupBy("h").agg(F.count("*").alias("owners"))
     repos = each.groupBy("h", "repo").agg(F.lit(1)).groupBy("h").agg(F.count("*").alias("repos"))
     return owners.join(repos, "h")
 
@@ -116,9 +116,11 @@ def scan(
     text: str = "text",
     key: str = "doc_id",
     most_owners: int = MOST_OWNERS,
+    most_repos: int = MOST_REPOS,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, ``base`` and ``spans`` (arrays of spans in order),
-    ``live`` and ``copied`` (how many distinct values look live or copied)."""
+    """One row per row of ``docs``: doc_id, ``base`` and ``spans`` (arrays of spans in order, each
+    with the owners and repositories of its value), ``live`` and ``copied`` (how many distinct
+    values look live or copied)."""
     prepare(docs.sparkSession)
     rows = docs.select(
         F.col(key).alias("doc_id"),
@@ -137,9 +139,9 @@ def scan(
     judged = (
         values.withColumn("part", F.pmod(F.xxhash64("row"), parts).cast("int"))
         .join(spread, ["h", "part"])
-        .withColumn("live", F.col("owners") <= most_owners)
+        .withColumn("live", (F.col("owners") <= most_owners) & (F.col("repos") <= most_repos))
     )
-    span = F.struct("start", F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).alias("nth"), "end", "kind")
+    span = F.struct("start", F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).alias("nth"), "end", "kind", "owners", "repos")
     keep = (F.col("kind") != "generic") | F.col("live")
     per_row = judged.groupBy("row").agg(
         F.sort_array(F.collect_list(F.when(keep, span))).alias("spans"),
@@ -147,7 +149,7 @@ def scan(
         F.count_distinct(F.when(~F.col("live"), F.col("h"))).alias("copied"),
     )
     base = F.filter("spans", lambda s: s["kind"] != "generic")
-    none = F.array().cast("array<struct<start:int,nth:bigint,end:int,kind:string>>")
+    none = F.array().cast("array<struct<start:int,nth:bigint,end:int,kind:string,owners:bigint,repos:bigint>>")
     return (
         rows.select("row", "doc_id")
         .join(per_row, "row", "left")

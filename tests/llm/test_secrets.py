@@ -55,3 +55,21 @@ def test_repeated_rows_nulls_and_no_rows(corpus):
     rows = [(1, "password=abcdefghijkl", None), (1, "password=abcdefghijkl", None), (None, None, None)]
     assert sorted(r.base for r in found(corpus(rows))) == ["", "assign:0:21", "assign:0:21"]
     assert found(corpus([])) == []
+
+
+def test_many_repositories_of_one_owner_make_an_example(corpus):
+    example, own = "ghp-EXAMPLEEXAMPLE1234567890", "ghp-Zq81kkWm20aaPlx7755Bn41"
+    rows = [(i, f"{example} password=abcdefghijkl", "s1") for i in range(secrets.MOST_REPOS + 1)]
+    rows += [(100 + i, own, "s1") for i in range(secrets.MOST_REPOS)]
+    # The id stands for the repository here.
+    scanned = secrets.scan(corpus(rows), F.col("doc_id"), F.col("source"))
+    got = {r.doc_id: r for r in scanned.select("*", secrets.listed(F.col("spans")).alias("all")).collect()}
+    assert all(got[i]["all"] == "assign:29:50" and got[i].copied == 2 for i in range(secrets.MOST_REPOS + 1))
+    assert [(s.owners, s.repos) for s in got[0].spans] == [(1, secrets.MOST_REPOS + 1)]
+    assert got[100].live == 1 and [(s.kind, s.owners, s.repos) for s in got[100].spans] == [("generic", 1, secrets.MOST_REPOS)]
+
+
+def test_a_very_long_text(corpus):
+    text = ("filler words " * 2000 + "token=abcdefghijkl ") * 20
+    (r,) = found(corpus([(1, text)]))
+    assert r.base == base_by_hand(text) and r.base.count("assign") == 20
