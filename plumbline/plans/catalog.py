@@ -16,7 +16,7 @@ from plumbline.operators import consolidate as C
 from plumbline.operators import evaluate as E
 from plumbline.operators import experiments as X
 from plumbline.operators import store as S
-from plumbline.operators import auctest, calibrate, fusion, groups, integrity, logistic, prepare, reasoning, scoring, splits, stats, trees
+from plumbline.operators import auctest, calibrate, fusion, groups, inference, integrity, logistic, prepare, reasoning, scoring, splits, stats, trees
 from plumbline.operators.baseline import ESTIMATORS, fit_baseline, score_baseline, tune_baseline
 from plumbline.operators.describe import assess, class_distribution, describe_features
 from plumbline.operators.reliability import ALPHA, reliability, simplex_grid
@@ -801,6 +801,32 @@ def publication_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(C.publication_table(results, "clean_ablation", RATE_METRICS))
 
 
+# ---- comparison of all models -------------------------------------------------
+
+
+@query
+def friedman_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean ranks of all models over repeats and folds, and whether they differ."""
+    return rounded(inference.friedman(stored_scores(spark, sf_dir), ["metric"]), 5)
+
+
+@query
+def adjusted_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paired t-tests with Holm's correction over the models that a metric is compared with."""
+    tests = stats.paired_t(stored_diffs(spark, sf_dir), ["versus", "metric"])
+    out = inference.holm(tests, ["metric"], "versus")
+    return rounded(out.select("versus", "metric", "n", "mean_diff", "p", "p_holm"), 5)
+
+
+@query
+def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brier score of every variant on test rows, with an interval from resampled orders."""
+    test = B.split_rows(line_fused(spark, sf_dir), "test")
+    long = X.score_variants(test, X.standard_variants(LINE_VIEWS), ["entity", "y"])
+    miss = (F.col("s") - F.col("y")) * (F.col("s") - F.col("y"))
+    return rounded(inference.bootstrap_means(long.withColumn("miss", miss), ["variant"], "miss", "entity"))
+
+
 # ---- uncertainty of rankings --------------------------------------------------
 
 

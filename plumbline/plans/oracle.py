@@ -690,6 +690,21 @@ _vv = [
 ORACLE["view_validation"] = with_(*_vv) + f"SELECT {metric_list('variant')}, {R('theta')} AS theta FROM vm"
 
 
+# Poisson counts of mean 1 from their distribution function, written as a sum over its steps.
+_poisson = " + ".join(
+    f"(u >= exp(-1.0::DOUBLE) * list_sum([1.0::DOUBLE / factorial(i::INTEGER) FOR i IN range(0, {k + 1})]))::INT" for k in range(9)
+)
+ORACLE["bootstrap_intervals"] = with_(
+    *LIA,
+    f"bv0 AS ({variants(LINE_VIEWS, 'aw', 'split, entity, y', gr(LINE_VIEWS, FIT))})",
+    f"bb AS (SELECT variant, {bucket('entity', buckets=512)} AS block, count(*) AS n, sum((s - y) * (s - y)) AS t FROM bv0 WHERE split = 'test' AND s IS NOT NULL AND y IS NOT NULL GROUP BY ALL)",
+    f"bu AS (SELECT block, draw, ('0x' || substr(md5('{SEED}|' || draw || '|' || block), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM range(0, 512) x(block), range(1, 401) z(draw))",
+    f"bw AS (SELECT block, draw, {_poisson} AS w FROM bu)",
+    "bm AS (SELECT variant, draw, sum(w * t) / nullif(sum(w * n), 0)::DOUBLE AS m FROM bb JOIN bw USING (block) GROUP BY ALL)",
+    "bo AS (SELECT variant, sum(n)::BIGINT AS n, sum(t) / sum(n)::DOUBLE AS mean FROM bb GROUP BY ALL)",
+    "bq AS (SELECT variant, stddev_samp(m) AS se, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM bm GROUP BY ALL)",
+) + f"SELECT variant, n, {R('mean')} AS mean, {R('se')} AS se, {R('low')} AS low, {R('high')} AS high FROM bo JOIN bq USING (variant)"
+
 # DeLong's components from midranks over all records and over those of a class.
 _z95 = "1.959963984540054::DOUBLE"
 
@@ -982,6 +997,32 @@ ORACLE["paired_t_test"] = with_(
     f"SELECT versus, metric, n, {R('mean_diff', 5)} AS mean_diff, {R('sd_diff', 5)} AS sd_diff, "
     f"{R('mean_diff / (sd0 / sqrt(n))', 5)} AS t, {R('mean_diff / sd0', 5)} AS effect_size, {R(_student('mean_diff / (sd0 / sqrt(n))', 'n - 1'), 5)} AS p FROM pu"
 )
+ORACLE["adjusted_tests"] = with_(
+    *DIFF,
+    "pt AS (SELECT versus, metric, count(diff) AS n, avg(diff) AS mean_diff, stddev_samp(diff) AS sd_diff FROM df GROUP BY versus, metric)",
+    f"""pp AS (SELECT *, CASE WHEN sd_diff > 1e-12 THEN greatest({_student('mean_diff / (sd_diff / sqrt(n))', 'n - 1')}, 0.0::DOUBLE) END AS p FROM pt)""",
+    # Written as a maximum over all tests that are not larger.
+    """ph AS (SELECT a.versus, a.metric, max(least(b.p * (SELECT count(*) FROM pp c WHERE c.metric = b.metric AND (c.p, c.versus) >= (b.p, b.versus)), 1.0::DOUBLE)) AS p_holm
+       FROM pp a JOIN pp b ON a.metric = b.metric AND (b.p, b.versus) <= (a.p, a.versus) GROUP BY a.versus, a.metric)""",
+) + f"""SELECT versus, metric, n, {R('mean_diff', 5)} AS mean_diff, {R('p', 5)} AS p, {R('p_holm', 5)} AS p_holm
+       FROM pp LEFT JOIN ph USING (versus, metric)"""
+# Ranks by counting the models above and beside; the tail of the chi-square distribution by Simpson's rule over u, x = u^2.
+ORACLE["friedman_test"] = with_(
+    *CV,
+    "fv0 AS (SELECT metric, repeat, fold, model, round(value, 9) AS v FROM sco WHERE value IS NOT NULL)",
+    "fk AS (SELECT metric, count(DISTINCT model) AS k FROM fv0 GROUP BY metric)",
+    "fb AS (SELECT metric, repeat, fold, k FROM fv0 JOIN fk USING (metric) GROUP BY ALL HAVING count(*) = k)",
+    """fr AS (SELECT a.metric, repeat, fold, a.model, k, 0.5::DOUBLE + sum(CASE WHEN b.v > a.v THEN 1.0::DOUBLE WHEN b.v = a.v THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS r
+       FROM fv0 a JOIN fb USING (metric, repeat, fold) JOIN fv0 b USING (metric, repeat, fold) GROUP BY ALL)""",
+    "fm AS (SELECT metric, model, k, count(*) AS n, avg(r) AS mean_rank, sum(r * r) AS sq FROM fr GROUP BY ALL)",
+    """fc AS (SELECT metric, (k - 1) * sum((n * mean_rank - n * (k + 1) / 2) * (n * mean_rank - n * (k + 1) / 2))
+              / CASE WHEN abs(sum(sq) - n * k * (k + 1) * (k + 1) / 4) > 1e-9 THEN sum(sq) - n * k * (k + 1) * (k + 1) / 4 END AS chi FROM fm GROUP BY metric, k, n)""",
+    """fp AS (SELECT metric, chi, 1.0::DOUBLE - least(list_sum(list_transform(range(0, 20001), lambda j:
+              CASE WHEN j IN (0, 20000) THEN 1.0::DOUBLE WHEN j % 2 = 1 THEN 4.0::DOUBLE ELSE 2.0::DOUBLE END
+              * pow(j * sqrt(chi) / 20000.0::DOUBLE, k - 2) * exp(-pow(j * sqrt(chi) / 20000.0::DOUBLE, 2) / 2)))
+              * sqrt(chi) / 20000.0::DOUBLE / 3 / pow(2.0::DOUBLE, (k - 1) / 2.0::DOUBLE - 1) / gamma((k - 1) / 2.0::DOUBLE), 1.0::DOUBLE) AS p FROM fc JOIN fk USING (metric))""",
+) + f"""SELECT metric, model, n, k AS models, {R('mean_rank', 5)} AS mean_rank, {R('chi', 5)} AS chi_square, {R('p', 5)} AS p
+       FROM fm LEFT JOIN fp USING (metric)"""
 ORACLE["signed_rank_test"] = with_(
     *DIFF,
     "nz AS (SELECT versus, metric, round(diff, 9) AS d FROM df WHERE round(diff, 9) <> 0)",
