@@ -101,10 +101,13 @@ def bootstrap_means(
     """
     sums = rows.where(F.col(value).isNotNull()).groupBy(*by, hash_bucket(seed, entity, buckets=blocks).alias("_block"))
     sums = sums.agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
-    drawn = sums.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
+    # A block's groups side by side, so that a count is drawn once for all of them.
+    per_block = sums.groupBy("_block").agg(F.collect_list(F.struct(*by, "_n", "_s")).alias("_groups"))
+    drawn = per_block.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
     # Draw 0 is the data itself.
     weight = F.when(F.col("_draw") == 0, F.lit(1)).otherwise(poisson_count(seed, "_draw", "_block"))
-    means = drawn.withColumn("_w", weight).groupBy(*by, "_draw").agg(
+    drawn = drawn.withColumn("_w", weight).where("_w > 0").select("_draw", "_w", F.inline("_groups"))
+    means = drawn.groupBy(*by, "_draw").agg(
         F.sum(F.col("_w") * F.col("_n")).alias("_n"), F.sum(F.col("_w") * F.col("_s")).alias("_s")
     )
     means = means.withColumn("_m", F.try_divide("_s", F.col("_n")))
