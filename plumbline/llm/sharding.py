@@ -151,7 +151,7 @@ def shard(docs: DataFrame, shards: int = 24, text: str = "text", key: str = "doc
     n = groups.agg(F.sum("copies")).first()[0] or 0
     units = max(1, min(MOST_UNITS, n // (shards * UNIT_ROWS)))
     placed = rows.select(
-        "*", number.alias("shard"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(units)).alias("unit")
+        "*", number.alias("shard"), F.pmod(F.xxhash64("doc_id", "digest", F.lit(7)), F.lit(units)).alias("unit")
     )
     counts = placed.groupBy("shard", "unit").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("shard").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)

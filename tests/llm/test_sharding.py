@@ -53,3 +53,17 @@ def test_few_rows(corpus):
     assert sharding.shard(corpus([])).count() == 0
     got = sharding.shard(corpus([(1, "a"), (1, "a"), (None, "b")])).collect()
     assert len(got) == 3 and len({(r.shard, r.slot) for r in got}) == 3
+
+
+def test_a_third_of_all_rows_without_an_id(corpus, monkeypatch):
+    """Rows of one id or none do not share a unit: no window reads them all."""
+    monkeypatch.setattr(sharding, "UNIT_ROWS", 5)
+    texts = {i: f"text number {i} " * (1 + i % 9) for i in range(600)}
+    docs = corpus([(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in texts.items()])
+    got = sharding.shard(docs, shards=4).collect()
+    assert len(got) == 600 and sum(r.doc_id is None for r in got) == 200
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+        # Rows without an id are spread over the slots instead of standing in one run.
+        none = sorted(r.slot for r in got if r.shard == s and r.doc_id is None)
+        assert len(none) < 10 or none[-1] - none[0] >= 2 * len(none)
