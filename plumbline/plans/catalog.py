@@ -425,6 +425,44 @@ def source_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+CUSTOMER_CSV = T.StructType(
+    [T.StructField("c_custkey", T.LongType()), T.StructField("c_nationkey", T.IntegerType()), T.StructField("c_mktsegment", T.StringType())]
+)
+
+
+def customer_files(spark: SparkSession, sf_dir: str, altered: bool) -> str:
+    """Customers in CSV files of 100 keys each, as acquired or with a record of every fifth file altered."""
+    path = fresh_path(spark, "customer_files")
+    rows = B.load(spark, sf_dir, "customer").select(*CUSTOMER_CSV.fieldNames())
+    rows = rows.withColumn("block", F.floor(F.col("c_custkey") / 100))
+    if altered:
+        hit = (F.col("block") % 5 == 1) & (F.col("c_custkey") % 100 == 50)
+        rows = rows.withColumn("c_mktsegment", F.when(hit, F.lit("ALTERED")).otherwise(F.col("c_mktsegment")))
+    ordered = rows.repartition("block").sortWithinPartitions("block", "c_custkey")
+    ordered.write.partitionBy("block").options(header=True).csv(path)
+    return path
+
+
+@query
+def file_integrity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, manifest, records, comparison of digests, and the factor of each record: S3, S1, S5, S4, F1.
+
+    Digests are recorded when the files are acquired, but not for every seventh file; later
+    some files are altered, and the records are read from what is there then.
+    """
+    block = F.regexp_extract("file", r"block=(-?[0-9]+)", 1).cast("long")
+    later = customer_files(spark, sf_dir, altered=True)
+    acquired = manifest.build_manifest(spark, customer_files(spark, sf_dir, altered=False), "*.csv")
+    recorded = acquired.withColumn("file", block).where("file % 7 <> 3")
+    present = manifest.build_manifest(spark, later, "*.csv").withColumn("file", block)
+    status = stage(integrity.verify_integrity(recorded, present), "file_status")
+    records = flows.read_flows(spark, later, CUSTOMER_CSV, {"c_custkey": "record_id"}, deep=True)
+    out = integrity.attach_integrity(records.drop(flows.CORRUPT).withColumn("file", block), status)
+    return out.select(
+        "record_id", "file", "c_mktsegment", "recorded", "recomputed", "status", integrity.integrity_factor().alias("i")
+    )
+
+
 @query
 def attached_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = B.documents(spark, sf_dir).select("record_id", "file")

@@ -389,6 +389,16 @@ ORACLE["verified_integrity"] = with_(
     "WHEN recorded IS NULL THEN 'unlisted' WHEN recorded = recomputed THEN 'verified' ELSE 'mismatch' END AS status "
     "FROM a FULL JOIN b ON a.file = b.file"
 )
+_file = lambda segment: (
+    f"sha256('c_custkey,c_nationkey,c_mktsegment' || chr(10) || string_agg(c_custkey || ',' || c_nationkey || ',' || {segment} || chr(10), '' ORDER BY c_custkey))"
+)
+ORACLE["file_integrity_chain"] = with_(
+    """cu AS (SELECT *, c_custkey // 100 AS file, CASE WHEN c_custkey // 100 % 5 = 1 AND c_custkey % 100 = 50 THEN 'ALTERED' ELSE c_mktsegment END AS segment
+       FROM customer)""",
+    f"fi AS (SELECT file, CASE WHEN file % 7 <> 3 THEN {_file('c_mktsegment')} END AS recorded, {_file('segment')} AS recomputed FROM cu GROUP BY file)",
+    "fs AS (SELECT *, CASE WHEN recorded IS NULL THEN 'unlisted' WHEN recorded = recomputed THEN 'verified' ELSE 'mismatch' END AS status FROM fi)",
+) + """SELECT c_custkey AS record_id, file, segment AS c_mktsegment, recorded, recomputed, status,
+       CASE status WHEN 'verified' THEN 1.0::DOUBLE WHEN 'mismatch' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS i FROM cu JOIN fs USING (file)"""
 ORACLE["quality_factor"] = with_(DOC, f"dq AS (SELECT *, {q_cols(DOCUMENT_VIEWS)} FROM doc)") + " UNION ALL ".join(
     f"SELECT record_id, '{v}' AS view, {R(f'q_{v}')} AS q FROM dq" for v in DOCUMENT_VIEWS.names
 )
