@@ -62,3 +62,19 @@ def long_features(df: DataFrame, features: list[str], keep: list[str]) -> DataFr
     """
     cells = [F.struct(F.lit(j).alias("_f"), F.col(f).alias("_x")) for j, f in enumerate(features)]
     return df.select(*keep, F.inline(F.array(*cells)))
+
+
+def with_fitted(df: DataFrame, fitted: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Attach a fitted table of few rows by its keys, without a join.
+
+    ``fitted`` has one row per declared variant, dataset or (repeat, fold). It is
+    one map from keys to values, evaluated once and shipped as a constant: rows of
+    one key never have to meet, whatever the planner thinks of sizes. A group that
+    was not fitted keeps its rows, with nulls.
+    """
+    key = F.to_json(F.struct(*keys)) if keys else F.lit("")
+    pairs = F.collect_list(F.struct(key.alias("key"), F.struct(*names).alias("value")))
+    table = fitted.agg(F.map_from_entries(pairs).alias("_m"))
+    row = F.try_element_at(F.col("_m"), key)
+    df = df.withColumn("_m", table.scalar()).withColumn("_m", row)
+    return df.withColumns({n: F.col(f"_m.{n}") for n in names}).drop("_m")

@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.evaluate import UNSCORED, score_histogram
+from plumbline.functions.scalars import with_fitted
+from plumbline.operators.evaluate import UNSCORED, score_histogram, with_outside
 from plumbline.operators.ranking import same_group
 
 # Two-sided 95 % quantile of the normal distribution: the components' means are of many records.
@@ -24,25 +25,21 @@ Z95 = 1.959963984540054
 
 def components(hist: DataFrame, by: list[str]) -> DataFrame:
     """The histogram with ``beats`` (share of negatives below) and ``beaten`` (share of positives above) per score."""
-    cells = hist.groupBy(*by, "_cell").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    lower = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    zero = F.lit(0)
-    chained = cells.select(
-        *by, "_cell",
-        F.coalesce(F.sum("_n").over(lower), zero).alias("_n_below"),
-        F.coalesce(F.sum("_p").over(lower), zero).alias("_p_below"),
-        F.sum("_n").over(whole).alias("_n_all"),
-        F.sum("_p").over(whole).alias("_p_all"),
+    all_ = hist.groupBy(*by).agg(F.sum("pos").alias("_p_all"), F.sum("neg").alias("_n_all"))
+    inside = Window.partitionBy(*by, "_cell", "_fine").orderBy("_s")
+    below = with_outside(hist, by)
+    below = below.withColumns(
+        {
+            "_n_out": F.col("_n_out") + F.sum("neg").over(inside) - F.col("neg") / 2,
+            "_p_out": F.col("_p_out") + F.sum("pos").over(inside) - F.col("pos") / 2,
+        }
     )
-    inside = Window.partitionBy(*[F.col(f"h.{c}") for c in [*by, "_cell"]]).orderBy("_s")
-    joined = hist.alias("h").join(chained.alias("c"), same_group("h", "c", [*by, "_cell"]))
-    negatives = F.col("_n_below") + F.sum("neg").over(inside) - F.col("neg") / 2
-    positives = F.col("_p_below") + F.sum("pos").over(inside) - F.col("pos") / 2
-    return joined.select(
-        "h.*",
-        F.try_divide(negatives, F.col("_n_all")).alias("beats"),
-        F.try_divide(F.col("_p_all") - positives, F.col("_p_all")).alias("beaten"),
+    totals = with_fitted(below, all_.select(*by, F.struct("_p_all", "_n_all").alias("_t")), by, ["_t"])
+    pos, neg = F.col("_t._p_all"), F.col("_t._n_all")
+    return totals.select(
+        *[f"`{c}`" for c in hist.columns],
+        F.try_divide("_n_out", neg).alias("beats"),
+        F.try_divide(pos - F.col("_p_out"), pos).alias("beaten"),
     )
 
 

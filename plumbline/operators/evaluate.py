@@ -1,9 +1,11 @@
 """Evaluation utilities (E1-E3) and the decision threshold (M3).
 
 Ranking is exact: every distinct score counts. Scores are counted by a partial
-aggregate, ranked inside cells of the score range, and the cells are chained by
-running sums, so that no task sorts a whole group. A record without a score was
-not detected: it ranks below every score and no threshold reaches it.
+aggregate, ranked inside fine cells, and fine cells and cells are chained by
+running sums, so that no task sorts a whole group. Cells are steps of log-odds:
+scores that pile up near 0 or 1 spread over them as those in the middle do. A
+record without a score was not detected: it ranks below every score and no
+threshold reaches it.
 """
 
 from __future__ import annotations
@@ -11,8 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Cells of [0, 1]: at most so many rows per group in the running sum over cells.
-CELLS = 1 << 20
+from plumbline.functions.scalars import with_fitted
+from plumbline.operators.ranking import same_group
+
+# Cells in one unit of log-odds, and fine cells in each. Log-odds of doubles lie between -745
+# and 37, so a running sum over a group's cells reads at most 800,000 rows.
+CELLS, FINE = 1 << 10, 1 << 14
 # Stands for a missing score; scores are probabilities.
 UNSCORED = -1.0
 
@@ -49,31 +55,71 @@ def _counted(cond: Column) -> Column:
     return F.count(F.when(cond, 1))
 
 
+def score_cells(score: str | Column) -> tuple[Column, Column]:
+    """Cell and fine cell of a score; together they never fall as the score rises.
+
+    Scores below 0 have the lowest cell, those of at least 1 the highest.
+    """
+    s = F.col(score) if isinstance(score, str) else score
+    odds = F.when((s > 0) & (s < 1), F.try_divide(s, 1 - s))
+    step = F.floor(F.log(odds) * F.lit(float(CELLS * FINE)))
+    step = F.when(s < 0, F.lit(-900 * CELLS * FINE)).when(s == 0, F.lit(-800 * CELLS * FINE)).when(
+        s < 1, step
+    ).otherwise(F.lit(100 * CELLS * FINE)).cast("long")
+    return F.floor(step / F.lit(FINE)).cast("long"), F.pmod(step, F.lit(FINE)).cast("int")
+
+
 def score_histogram(
     df: DataFrame, by: list[str], score: str = "s", y: str = "y", also: list[Column] = ()
 ) -> DataFrame:
-    """Positive and negative records per group and distinct score ``_s``, with its ``_cell``."""
+    """Positive and negative records per group and distinct score ``_s``, with its ``_cell`` and ``_fine`` cell."""
     s = F.coalesce(F.col(score), F.lit(UNSCORED))
+    cell, fine = score_cells(s)
     return (
         df.where(F.col(y).isNotNull())
-        .groupBy(*by, F.floor(s * CELLS).alias("_cell"), s.alias("_s"))
+        .groupBy(*by, cell.alias("_cell"), fine.alias("_fine"), s.alias("_s"))
         .agg(_counted(F.col(y) == 1).alias("pos"), _counted(F.col(y) == 0).alias("neg"), *also)
     )
 
 
-def _ranked(hist: DataFrame, by: list[str], sums: list[str] = ()) -> DataFrame:
-    """Cells with the pairs they win (``_wins``: a positive above a negative is one, a tie a half)."""
-    inside = Window.partitionBy(*by, "_cell").orderBy("_s")
-    below = F.sum("neg").over(inside) - F.col("neg")
-    cells = (
-        hist.withColumn("_wins", F.col("pos").cast("double") * (below + F.col("neg") / 2))
-        .groupBy(*by, "_cell")
-        .agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "_wins", *sums)])
-    )
-    lower = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    return cells.withColumn(
-        "_wins", F.col("_wins") + F.col("pos").cast("double") * F.coalesce(F.sum("neg").over(lower), F.lit(0))
+def with_outside(hist: DataFrame, by: list[str], above: bool = False) -> DataFrame:
+    """The histogram with ``_p_out`` and ``_n_out``: records of a group in lower (or higher) fine cells."""
+    sums = [F.sum("pos").alias("_p"), F.sum("neg").alias("_n")]
+    order = F.desc if above else F.asc
+    before = lambda keys, cell: Window.partitionBy(*keys).orderBy(order(cell)).rowsBetween(Window.unboundedPreceding, -1)
+    summed = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    fine = hist.groupBy(*by, "_cell", "_fine").agg(*sums)
+    inside, outside = before([*by, "_cell"], "_fine"), before(by, "_cell")
+    cells = hist.groupBy(*by, "_cell").agg(*sums)
+    fine = fine.select(*by, "_cell", "_fine", summed("_p", inside).alias("_p_in"), summed("_n", inside).alias("_n_in"))
+    cells = cells.select(*by, "_cell", summed("_p", outside).alias("_p_out"), summed("_n", outside).alias("_n_out"))
+    fine = fine.alias("f").join(cells.alias("c"), same_group("f", "c", [*by, "_cell"])).select(
+        "f.*", (F.col("_p_in") + F.col("_p_out")).alias("_p_out"), (F.col("_n_in") + F.col("_n_out")).alias("_n_out")
     )
+    joined = hist.alias("h").join(fine.alias("f"), same_group("h", "f", [*by, "_cell", "_fine"]))
+    return joined.select("h.*", "f._p_out", "f._n_out")
+
+
+def ranked(hist: DataFrame, by: list[str], sums: list[str] = (), series: tuple[str, ...] = ("",)) -> DataFrame:
+    """Cells with the pairs they win (``_wins``: a positive above a negative is one, a tie a half).
+
+    ``series`` are endings of the columns ``pos``, ``neg`` and ``_wins``: several countings of
+    the same scores are ranked by one sort.
+    """
+    inside = Window.partitionBy(*by, "_cell", "_fine").orderBy("_s")
+    wins = lambda x, below: F.col(f"pos{x}").cast("double") * below
+    neg = lambda x: F.col(f"neg{x}")
+    won = hist.withColumns({f"_wins{x}": wins(x, F.sum(neg(x)).over(inside) - neg(x) / 2) for x in series})
+    counted = [f"{c}{x}" for c in ("pos", "neg", "_wins") for x in series]
+    levels = [*by, "_cell", "_fine"]
+    while len(levels) > len(by):
+        cell, outer = levels[-1], levels[:-1]
+        lower = Window.partitionBy(*outer).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+        cells = won.groupBy(*levels).agg(*[F.sum(c).alias(c) for c in (*counted, *sums)])
+        more = {x: wins(x, F.coalesce(F.sum(neg(x)).over(lower), F.lit(0))) for x in series}
+        won = cells.withColumns({f"_wins{x}": F.col(f"_wins{x}") + m for x, m in more.items()})
+        levels = outer
+    return won
 
 
 def _auc() -> Column:
@@ -84,7 +130,7 @@ def _auc() -> Column:
 def auc(df: DataFrame, by: list[str] = (), score: str = "s", y: str = "y") -> DataFrame:
     """Area under the ROC curve; tied scores count one half."""
     hist = score_histogram(df, list(by), score, y)
-    return _ranked(hist, list(by)).groupBy(*by).agg(_auc().alias("auc"))
+    return ranked(hist, list(by)).groupBy(*by).agg(_auc().alias("auc"))
 
 
 def metrics(
@@ -109,22 +155,71 @@ def metrics(
             _counted(F.col(score).isNull()).alias("n_unscored"),
         ],
     )
+    return totals(ranked(hist, by, ["tp", "fp", "_sse", "n_unscored"]), by)
+
+
+def totals(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Counts, rates, AUC and Brier score per group of ranked cells."""
     n = F.sum(F.col("pos") + F.col("neg"))
-    counts = (
-        _ranked(hist, by, ["tp", "fp", "_sse", "n_unscored"])
+    counts = cells.groupBy(*by).agg(
+        n.alias("n"),
+        F.sum("n_unscored").alias("n_unscored"),
+        F.sum("tp").alias("tp"),
+        F.sum("fp").alias("fp"),
+        F.sum(F.col("neg") - F.col("fp")).alias("tn"),
+        F.sum(F.col("pos") - F.col("tp")).alias("fn"),
+        _auc().alias("auc"),
+        F.try_divide(F.sum("_sse"), n - F.sum("n_unscored")).alias("brier"),
+    )
+    return rates(counts)
+
+
+def _worth(metric: str, tp: Column, fp: Column, pos: Column, neg: Column) -> Column:
+    if metric == "youden":
+        value = F.try_divide(tp, pos) - F.try_divide(fp, neg)
+    elif metric == "f1":
+        value = F.try_divide(2 * tp, tp + fp + pos)
+    else:
+        raise ValueError(f"unknown metric {metric!r}")
+    return F.coalesce(F.round(value, 9), F.lit(-1.0))
+
+
+def _open_cells(val: DataFrame, by: list[str], score: str, y: str, metric: str) -> DataFrame:
+    """Per group the range of cells that may hold the best threshold, the records above it, and all.
+
+    A cell's lowest score is worth what its counts say; a higher one of it at most what all of
+    its positives without its negatives would be. Cells that cannot beat the best lowest score
+    are left out, and those that only equal it if they are higher.
+    """
+    s = F.coalesce(F.col(score), F.lit(UNSCORED))
+    cells = (
+        val.where(F.col(y).isNotNull())
+        .groupBy(*by, score_cells(s)[0].alias("_cell"))
+        .agg(_counted(F.col(y) == 1).alias("_p"), _counted(F.col(y) == 0).alias("_n"), F.max(s).alias("_top"))
+    )
+    down = Window.partitionBy(*by).orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*by)
+    p, n = F.col("_p_upto"), F.col("_n_upto")
+    totals = {"p_all": F.sum("_p").over(whole), "n_all": F.sum("_n").over(whole)}
+    cells = cells.withColumns({"_p_upto": F.sum("_p").over(down), "_n_upto": F.sum("_n").over(down), **totals})
+    worth = lambda tp, fp: _worth(metric, tp, fp, F.col("p_all"), F.col("n_all"))
+    cells = cells.where(F.col("_top") >= 0).withColumns({"_edge": worth(p, n), "_most": worth(p, n - F.col("_n"))})
+    cells = cells.withColumn("_best", F.max("_edge").over(whole))
+    first = F.min(F.when(F.col("_edge") == F.col("_best"), F.col("_cell"))).over(whole)
+    open_ = (F.col("_most") > F.col("_best")) | ((F.col("_most") == F.col("_best")) & (F.col("_cell") <= F.col("_first")))
+    return (
+        cells.withColumn("_first", first)
+        .where(open_)
         .groupBy(*by)
         .agg(
-            n.alias("n"),
-            F.sum("n_unscored").alias("n_unscored"),
-            F.sum("tp").alias("tp"),
-            F.sum("fp").alias("fp"),
-            F.sum(F.col("neg") - F.col("fp")).alias("tn"),
-            F.sum(F.col("pos") - F.col("tp")).alias("fn"),
-            _auc().alias("auc"),
-            F.try_divide(F.sum("_sse"), n - F.sum("n_unscored")).alias("brier"),
+            F.min("_cell").alias("low"),
+            F.max("_cell").alias("high"),
+            F.min(p - F.col("_p")).alias("p_above"),
+            F.min(n - F.col("_n")).alias("n_above"),
+            F.first("p_all").alias("p_all"),
+            F.first("n_all").alias("n_all"),
         )
     )
-    return rates(counts)
 
 
 def fit_threshold(
@@ -132,44 +227,32 @@ def fit_threshold(
 ) -> DataFrame:
     """M3: the score that is the best threshold on validation rows.
 
-    Every distinct score is a candidate. Counts above a cell come from running
-    sums over cells, those inside it from a window over the cell; a tie goes to
-    the lowest score.
+    Every distinct score is a candidate; a tie goes to the lowest. Cells are counted
+    first, which shuffles no more than their counts; then only the scores of cells that
+    may hold the best one are ranked. ``by`` has few groups, whose ranges travel as a map.
     """
     by = list(by)
-    hist = score_histogram(val, by, score, y)
-    cells = hist.groupBy(*by, "_cell").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    higher = Window.partitionBy(*by).orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    above = cells.select(
-        *[F.col(c).alias(f"_by{j}") for j, c in enumerate(by)],
-        F.col("_cell").alias("_at"),
-        F.coalesce(F.sum("_p").over(higher), F.lit(0)).alias("_p_above"),
-        F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_n_above"),
-        F.sum("_p").over(whole).alias("_p_all"),
-        F.sum("_n").over(whole).alias("_n_all"),
-    )
-    same = F.col("_cell") == F.col("_at")
-    for j, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_by{j}"))
-    down = Window.partitionBy(*by, "_cell").orderBy(F.desc("_s"))
-    tp = F.col("_p_above") + F.sum("pos").over(down)
-    fp = F.col("_n_above") + F.sum("neg").over(down)
-    pos, neg = F.col("_p_all"), F.col("_n_all")
-    if metric == "youden":
-        value = F.try_divide(tp, pos) - F.try_divide(fp, neg)
-    elif metric == "f1":
-        value = F.try_divide(2 * tp, tp + fp + pos)
-    else:
-        raise ValueError(f"unknown metric {metric!r}")
-    tried = hist.join(above, same).withColumn("_value", F.coalesce(F.round(value, 9), F.lit(-1.0)))
+    keys = by or ["_all"]
+    # As the output of a generator the score is computed once, however often it is used below.
+    pair = F.inline(F.array(F.struct(F.col(score).alias("_score"), F.col(y).alias("_y"))))
+    val = val.select(*by, *[F.lit(0).alias(k) for k in keys if k not in by], pair)
+    score, y = "_score", "_y"
+    names = ["low", "high", "p_above", "n_above", "p_all", "n_all"]
+    ranges = _open_cells(val, keys, score, y, metric).select(*keys, F.struct(*names).alias("_r"))
+    cell = score_cells(F.coalesce(F.col(score), F.lit(UNSCORED)))[0]
+    near = with_fitted(val, ranges, keys, ["_r"]).where(cell.between(F.col("_r.low"), F.col("_r.high")))
+    hist = with_outside(score_histogram(near, keys, score, y, [F.first("_r").alias("_r")]), keys, above=True)
+    down = Window.partitionBy(*keys, "_cell", "_fine").orderBy(F.desc("_s"))
+    tp = F.col("_r.p_above") + F.col("_p_out") + F.sum("pos").over(down)
+    fp = F.col("_r.n_above") + F.col("_n_out") + F.sum("neg").over(down)
+    tried = hist.withColumn("_value", _worth(metric, tp, fp, F.col("_r.p_all"), F.col("_r.n_all")))
     best = F.min_by(
         F.struct(F.col("_s").alias("theta"), F.col("_value").alias("value")),
         F.struct(-F.col("_value"), F.col("_s")),
     )
     return (
         tried.where(F.col("_s") >= 0)
-        .groupBy(*by)
+        .groupBy(*keys)
         .agg(best.alias("_b"))
         .select(*by, F.col("_b.theta").alias("theta"), F.col("_b.value").alias(metric))
     )

@@ -12,9 +12,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import hash_bucket, total
+from plumbline.functions.scalars import hash_bucket, total, with_fitted, with_scalar
 from plumbline.operators import logistic
-from plumbline.operators.evaluate import fit_threshold, metrics
+from plumbline.operators.evaluate import UNSCORED, fit_threshold, metrics, ranked, score_histogram, totals
 from plumbline.operators.fusion import fit_alpha, fit_view_weights, fuse, fused, unweighted, weight_columns
 from plumbline.operators.scoring import (
     fit_view_params,
@@ -36,23 +36,6 @@ def score_variants(df: DataFrame, variants: Mapping[str, Column], keep: list[str
     return df.select(*keep, F.inline(rows))
 
 
-def with_fitted(df: DataFrame, fitted: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """Attach a fitted table of few rows by its keys, without a join.
-
-    ``fitted`` has one row per declared variant, dataset or (repeat, fold). It is
-    one map from keys to values, evaluated once and shipped as a constant: rows of
-    one key never have to meet, whatever the planner thinks of sizes. A group that
-    was not fitted keeps its rows, with nulls.
-    """
-    pairs = F.collect_list(
-        F.struct(F.to_json(F.struct(*keys)).alias("key"), F.struct(*names).alias("value"))
-    )
-    table = fitted.agg(F.map_from_entries(pairs).alias("_m"))
-    row = F.try_element_at(F.col("_m"), F.to_json(F.struct(*keys)))
-    df = df.withColumn("_m", table.scalar()).withColumn("_m", row)
-    return df.withColumns({n: F.col(f"_m.{n}") for n in names}).drop("_m")
-
-
 def standard_variants(spec: ViewSpec) -> dict[str, Column]:
     """Every single view, the plain mean, and the fused score ``s``."""
     return {
@@ -182,28 +165,60 @@ def degradation_curve(
     constants: str = "_P",
     rates: tuple[float, ...] = RATES,
     baselines: Mapping[str, Column] | None = None,
+    mode: str = "drop",
+    scale: Mapping[str, Column] | None = None,
+    key: str = "record_id",
 ) -> DataFrame:
     """Both fusions, and models without views (``baselines``: name and score of a row),
-    under every (view, rate), and the loss against rate 0.
+    under every (view, rate), and the loss against the lowest rate.
 
-    ``theta`` has the threshold of each of them, fitted on clean validation rows.
+    A view of a record is hit or not, whatever the rate, so a record is scored clean once and
+    once per view. Its two scores for a view count at the rates below and from its first hit
+    on; all rates are ranked by one sort. ``theta`` has the threshold of each model, fitted on
+    clean validation rows.
     """
-    # One draw per record and view serves all rates.
-    drawn = test.withColumn("view", F.explode(F.array(*[F.lit(v) for v in spec.names]))).withColumn(
-        "_draw", degradation_draw(seed, F.col("view"))
-    )
-    spread = drawn.withColumn("rate", F.explode(F.array(*[F.lit(float(r)) for r in rates])))
-    hit = degrade(spread, spec, F.col("view"), F.col("rate"), seed, draw=F.col("_draw"))
-    scored = with_quality(with_scores(hit, spec, constants), spec)
-    scored = fuse(scored, spec, g, alpha)
+    rates = tuple(sorted(rates))
+    last = F.lit(len(rates))
+    spans = []
+    for v in spec.names:
+        draw = degradation_draw(seed, F.lit(v), key)
+        first = total([F.when(draw < F.lit(r * 1000), 0).otherwise(1) for r in rates])
+        ends = {"": (F.lit(0), first), v: (first, last)}
+        spans += [
+            F.struct(F.lit(state).alias("state"), F.lit(v).alias("view"), start.alias("start"), end.alias("end"))
+            for state, (start, end) in ends.items()
+        ]
+    state = F.explode(F.array(*[F.lit(v) for v in ("", *spec.names)]))
+    rows = test.where(F.col("y").isNotNull()).withColumn("_spans", F.array(*spans)).withColumn("_state", state)
+    mine = F.filter("_spans", lambda x: (x["state"] == F.col("_state")) & (x["start"] < x["end"]))
+    rows = rows.withColumn("_spans", mine).where(F.size("_spans") > 0)
+    hit = degrade(rows, spec, F.col("_state"), F.lit(1.0), seed, key, mode, scale, draw=F.lit(0))
+    scored = fuse(with_quality(with_scores(hit, spec, constants), spec), spec, g, alpha)
     variants = {"unweighted": unweighted(spec), "reliability": F.col("s"), **(baselines or {})}
-    long = with_fitted(
-        score_variants(scored, variants, ["y", "view", "rate"]), theta, ["variant"], ["theta"]
+    long = score_variants(scored, variants, ["y", "_spans"]).select("variant", "y", "s", F.inline("_spans"))
+
+    by, series = ["variant", "view"], tuple(f"_{j}" for j in range(len(rates)))
+    at = lambda j: (F.col("start") <= j) & (F.col("end") > j)
+    count = lambda c, j: F.count(F.when((F.col("y") == c) & at(j), 1))
+    per_rate = [count(c, j).alias(f"{n}_{j}") for j in range(len(rates)) for n, c in (("pos", 1), ("neg", 0))]
+    hist = with_fitted(score_histogram(long, by, also=per_rate).drop("pos", "neg"), theta, ["variant"], ["theta"])
+    over, none = F.coalesce(F.col("_s") >= F.col("theta"), F.lit(False)), F.col("_s") == UNSCORED
+    extra = {}
+    for x in series:
+        pos, neg = F.col(f"pos{x}"), F.col(f"neg{x}")
+        extra[f"tp{x}"], extra[f"fp{x}"] = F.when(over, pos).otherwise(0), F.when(over, neg).otherwise(0)
+        miss = pos * (1 - F.col("_s")) * (1 - F.col("_s")) + neg * F.col("_s") * F.col("_s")
+        extra[f"_sse{x}"] = F.when(~none, miss)
+        extra[f"n_unscored{x}"] = F.when(none, pos + neg).otherwise(0)
+    cells = ranked(hist.withColumns(extra), by, list(extra), series)
+    names = ("pos", "neg", "_wins", "tp", "fp", "_sse", "n_unscored")
+    unfolded = F.array(
+        *[F.struct(F.lit(float(r)).alias("rate"), *[F.col(f"{c}{x}").alias(c) for c in names]) for r, x in zip(rates, series)]
     )
-    per_rate = metrics(long, ["variant", "view", "rate"])
+    curve = totals(cells.select(*by, F.inline(unfolded)), [*by, "rate"])
     # One row per declared variant, view and rate is left here.
-    clean = Window.partitionBy("variant", "view").orderBy("rate")
-    return per_rate.withColumns(
+    clean = Window.partitionBy(*by).orderBy("rate")
+    return curve.withColumns(
         {
             "auc_loss": F.first("auc").over(clean) - F.col("auc"),
             "brier_rise": F.col("brier") - F.first("brier").over(clean),
@@ -211,20 +226,20 @@ def degradation_curve(
     )
 
 
-def cross_dataset(
-    df: DataFrame, spec: ViewSpec, datasets: list[str], grid: list[dict[str, float]]
-) -> DataFrame:
+def cross_dataset(df: DataFrame, spec: ViewSpec, grid: list[dict[str, float]]) -> DataFrame:
     """Fit everything on one dataset, score the test rows of every other one.
 
-    ``df`` has dataset, split, y, i, t and the features. The fitted tables have
-    one row per dataset and are staged: each is computed once.
+    ``df`` has dataset, split, y, i, t and the features. The datasets are those with
+    train rows. The fitted tables have one row per dataset and are staged: each is
+    computed once.
     """
     keys = ["fit_dataset"]
     fit = fit_view_params(df.where(F.col("split") == "train"), spec, by=["dataset"])
     fitted = stage(score_constants(fit, spec, ["dataset"]), "cross_constants").withColumnRenamed("dataset", keys[0])
     val = df.where(F.col("split") == "validation").withColumn("fit_dataset", F.col("dataset"))
-    others = F.explode(F.array_except(F.array(*[F.lit(d) for d in datasets]), F.array("dataset")))
-    test = df.where(F.col("split") == "test").withColumn("fit_dataset", others)
+    names = fitted.where(F.col(keys[0]).isNotNull()).agg(F.array_sort(F.collect_set(keys[0])).alias("names"))
+    test = with_scalar(df.where(F.col("split") == "test"), names, "_D")
+    test = test.withColumn("fit_dataset", F.explode(F.array_except("_D.names", F.array("dataset")))).drop("_D")
     final = _fitted_chain(val, test, fitted, spec, keys, grid, lambda rows: rows.select("*", F.lit("s").alias("variant")))
     return metrics(
         final.withColumnRenamed("dataset", "test_dataset"), ["fit_dataset", "test_dataset", "theta"]
@@ -244,17 +259,21 @@ def _fitted_chain(val, test, constants, spec, keys, grid, long) -> DataFrame:
             rows = rows.withColumn("b_logistic", logistic.probability(spec.features, "_P"))
         return with_quality(rows.drop("_P"), spec)
 
+    # Validation rows are scored once; three fits read the scores.
+    ready = scored(val)
+    used = ["y", "i", "t", *keys, *[c for v in spec.names for c in (f"p_{v}", f"q_{v}")]]
+    used += [c for c in ready.columns if c in ("b_gaussian", "b_logistic")]
+    ready = stage(ready.select(*used), "scored_validation")
     g = [f"g_{v}" for v in spec.names]
-    weights = stage(fit_view_weights(scored(val), spec, by=keys), "fitted_weights")
-    weighed = lambda rows: with_fitted(scored(rows), weights, keys, g)
-    boxed = weighed(val).withColumn("_G", F.struct(*g))
-    alpha = stage(fit_alpha(boxed, spec, grid, by=keys), "fitted_alpha")
+    weights = stage(fit_view_weights(ready, spec, by=keys), "fitted_weights")
+    weighed = lambda rows: with_fitted(rows, weights, keys, g)
+    alpha = stage(fit_alpha(weighed(ready).withColumn("_G", F.struct(*g)), spec, grid, by=keys), "fitted_alpha")
     a = ["a_i", "a_q", "a_t"]
     final = lambda rows: long(
         fuse(with_fitted(weighed(rows), alpha, keys, a), spec, weight_columns(spec), tuple(F.col(n) for n in a))
     )
-    theta = stage(fit_threshold(final(val), by=[*keys, "variant"]), "fitted_theta")
-    return with_fitted(final(test), theta, [*keys, "variant"], ["theta"])
+    theta = stage(fit_threshold(final(ready), by=[*keys, "variant"]), "fitted_theta")
+    return with_fitted(final(scored(test)), theta, [*keys, "variant"], ["theta"])
 
 
 def cv_scores(

@@ -623,7 +623,7 @@ def degradation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cross_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(X.cross_dataset(B.line_evidence(spark, sf_dir), LINE_VIEWS, LINE_DATASETS, ALPHA_GRID))
+    return rounded(X.cross_dataset(B.line_evidence(spark, sf_dir), LINE_VIEWS, ALPHA_GRID))
 
 
 def event_cv(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,3 +187,67 @@ def test_assessment(spark):
     assert got == {"t": (4, 1, 0, 2), "v": (4, 1, 1, 2), "*": (4, 0, 0, 3)}
     approx = {r.column: r.distinct for r in assess(df, ["t"], "ds", "id", approximate=True).collect()}
     assert approx == {"t": 2, "*": 3}
+
+
+def crowded(n=100_000):
+    """Scores within 1e-9 of 1, and as many within 1e-3 of one half."""
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 2, 2 * n)
+    near_one = 1 - 1e-9 * np.clip(rng.random(n) - 0.2 * y[:n], 1e-3, None)
+    middle = 0.5 + 1e-3 * np.clip(rng.random(n) - 0.5 + 0.1 * y[n:], -0.5, 0.5)
+    return pd.DataFrame({"g": ["one"] * n + ["half"] * n, "y": y, "s": np.concatenate([near_one, middle])})
+
+
+def test_crowded_scores_have_no_hot_cell_and_exact_ranks(spark):
+    pdf = crowded()
+    df = spark.createDataFrame(pdf)
+    hist = E.score_histogram(df, ["g"])
+    assert hist.groupBy("g", "_cell", "_fine").count().agg(F.max("count")).first()[0] < 200
+    got = {r.g: r for r in E.auc(df, ["g"]).collect()}
+    best = {r.g: r for r in E.fit_threshold(df, ["g"]).collect()}
+    for g, part in pdf.groupby("g"):
+        ranks, pos = part.s.rank()[part.y == 1], (part.y == 1).sum()
+        area = (ranks.sum() - pos * (pos + 1) / 2) / (pos * (len(part) - pos))
+        assert got[g].auc == pytest.approx(area, abs=1e-12)
+        order = part.sort_values("s", ascending=False)
+        tp, fp = order.y.cumsum(), (1 - order.y).cumsum()
+        last = order.s != order.s.shift(-1)
+        worth = (tp / tp.iloc[-1] - fp / fp.iloc[-1])[last].round(9)
+        assert best[g].youden == pytest.approx(worth.max(), abs=1e-9)
+        assert best[g].theta == order.s[last][worth == worth.max()].min()
+
+
+def test_cells_never_fall_as_the_score_rises(spark):
+    rng = np.random.default_rng(3)
+    odds = rng.normal(0, 15, 3000)
+    s = np.unique(np.concatenate([1 / (1 + np.exp(-odds)), [0.0, 1.0, -1.0, 5e-324, 1e-300, np.nextafter(1, 0)]]))
+    cell, fine = E.score_cells("s")
+    rows = spark.createDataFrame(pd.DataFrame({"s": s})).select("s", cell.alias("c"), fine.alias("f")).toPandas()
+    rows = rows.sort_values("s")
+    place = rows.c.astype(object) * E.FINE + rows.f.astype(object)
+    assert (place.diff().dropna() >= 0).all() and rows.f.between(0, E.FINE - 1).all()
+
+
+def test_thresholds_of_coarse_cells_are_those_of_all_scores(spark, monkeypatch):
+    """Many scores share a cell, so that bounds and ties decide."""
+    monkeypatch.setattr(E, "CELLS", 1)
+    monkeypatch.setattr(E, "FINE", 4)
+    rng = np.random.default_rng(6)
+    parts = []
+    for g in range(12):
+        n = int(rng.integers(2, 60))
+        parts.append(pd.DataFrame({"g": g, "y": rng.integers(0, 2, n), "s": rng.choice([0.0, 0.1, 0.3, 0.31, 0.5, 0.52, 0.9, 1.0], n)}))
+    pdf = pd.concat(parts)
+    for metric in ("youden", "f1"):
+        for r in E.fit_threshold(spark.createDataFrame(pdf), ["g"], metric=metric).collect():
+            p = pdf[pdf.g == r.g]
+            pos, neg = (p.y == 1).sum(), (p.y == 0).sum()
+            worth = {}
+            for t in set(p.s):
+                tp, fp = ((p.s >= t) & (p.y == 1)).sum(), ((p.s >= t) & (p.y == 0)).sum()
+                ok = pos and (neg or metric == "f1")
+                worth[t] = round(tp / pos - fp / neg if metric == "youden" else 2 * tp / (tp + fp + pos), 9) if ok else -1.0
+            if metric == "f1" and not pos:  # the base is the predicted negatives
+                worth = dict.fromkeys(worth, 0.0)
+            top = max(worth.values())
+            assert (r.theta, r[metric]) == (min(t for t in worth if worth[t] == top), top)
