@@ -30,6 +30,13 @@ def verify_integrity(recorded: DataFrame, recomputed: DataFrame, file: str = "fi
     return a.join(b, file, "full_outer").withColumn("status", status)
 
 
+def altered_blocks(recorded: DataFrame, recomputed: DataFrame) -> DataFrame:
+    """file and part of every block whose digest differs, or that only one side has."""
+    a, b = (x.select("file", "part", F.col("sha256").alias(n)) for x, n in ((recorded, "recorded"), (recomputed, "recomputed")))
+    both = a.join(b, ["file", "part"], "full_outer")
+    return both.where(~F.col("recorded").eqNullSafe(F.col("recomputed")))
+
+
 def attach_integrity(flows: DataFrame, manifest: DataFrame, record_id: str = "record_id", file: str = "file") -> DataFrame:
     """The file's integrity context on every derived record."""
     return salted_lookup(flows, manifest, file, spread_by=record_id)

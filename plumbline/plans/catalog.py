@@ -463,6 +463,28 @@ def file_integrity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+FILE_BLOCK, FILE_FANOUT = 512, 4
+
+
+@query
+def file_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root of each file's hash tree as acquired and now, and which of its blocks differ."""
+    number = F.regexp_extract("file", r"block=(-?[0-9]+)", 1).cast("long")
+    then, now = (
+        stage(
+            manifest.block_digests(spark, customer_files(spark, sf_dir, altered), "*.csv", FILE_BLOCK).withColumn("file", number),
+            "file_blocks",
+        )
+        for altered in (False, True)
+    )
+    root = lambda blocks, name: manifest.merkle_roots(blocks, FILE_FANOUT).select("file", F.col("sha256").alias(name))
+    changed = integrity.altered_blocks(then, now).groupBy("file").agg(
+        F.count("*").alias("n_altered"), F.min("part").alias("first_altered")
+    )
+    out = root(then, "recorded").join(root(now, "recomputed"), "file", "full_outer").join(changed, "file", "left")
+    return out.select("file", "recorded", "recomputed", F.coalesce("n_altered", F.lit(0)).alias("n_altered"), "first_altered")
+
+
 @query
 def attached_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = B.documents(spark, sf_dir).select("record_id", "file")
@@ -492,6 +514,19 @@ def written_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.read.schema(schema).parquet(path))
 
 
+@query
+def bucketed_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits and scores in tables bucketed by record, joined without a shuffle."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scores = B.line_scores(spark, sf_dir)
+    parts = {
+        "splits": scores.select("record_id", "dataset", "split"),
+        "scores": scores.select("record_id", *[f"p_{v}" for v in LINE_VIEWS.names]),
+    }
+    tables = {n: sinks.write_bucketed(df, fresh_path(spark, n), "record_id", buckets) for n, df in parts.items()}
+    return rounded(tables["splits"].join(tables["scores"].hint("merge"), "record_id"))
+
+
 @query
 def saved_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fitted parameters saved, reloaded, and used to score every record."""
@@ -596,9 +631,7 @@ def degraded_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(with_quality(out, EVENT_VIEWS).select("record_id", *EVENT_VIEWS.features, "q_amount"))
 
 
-@query
-def degradation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both fusions and two conventional models while a view's evidence is dropped."""
+def line_degradation(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     models = with_scalar(scoring.score_constants(B.line_params(spark, sf_dir), LINE_VIEWS), line_logistic(spark, sf_dir), "_L")
     rows = with_scalar(B.line_evidence(spark, sf_dir), models, "_P")
     baselines = {
@@ -617,10 +650,27 @@ def degradation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
             stage(theta, "degradation_thetas"),
             42,
             baselines=baselines,
+            **how,
         )
     )
 
 
+@query
+def degradation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both fusions and two conventional models while a view's evidence is dropped."""
+    return line_degradation(spark, sf_dir)
+
+
+# Half width of the uniform noise of each feature.
+LINE_NOISE = {"l_quantity": 25.0, "l_extendedprice": 40000.0, "l_discount": 0.05, "l_tax": 0.04, "lag_days": 60.0}
+
+
+@query
+def degradation_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same models while a view's evidence is perturbed."""
+    return line_degradation(spark, sf_dir, mode="noise", scale={f: F.lit(x) for f, x in LINE_NOISE.items()})
+
+
 @query
 def cross_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(X.cross_dataset(B.line_evidence(spark, sf_dir), LINE_VIEWS, ALPHA_GRID))

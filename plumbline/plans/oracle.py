@@ -634,6 +634,9 @@ ORACLE["written_splits"] = with_(LI) + (
 ORACLE["written_predictions"] = with_(*LIC) + " UNION ALL ".join(
     f"SELECT record_id, dataset, '{v}' AS view, {R(f'p_{v}')} AS score FROM scored" for v in _names
 )
+ORACLE["bucketed_evidence"] = with_(*LIC) + (
+    "SELECT record_id, dataset, split, " + ", ".join(f"{R(f'p_{v}')} AS p_{v}" for v in _names) + " FROM scored"
+)
 ORACLE["saved_parameters"] = with_(*EVC) + (
     "SELECT record_id, " + ", ".join(f"{R(f'p_{v}')} AS p_{v}" for v in EVENT_VIEWS.names) + " FROM scored"
 )
@@ -860,21 +863,29 @@ ORACLE["degraded_evidence"] = with_(
     f"dg AS (SELECT record_id, CASE WHEN NOT {_hit_a} THEN value END AS value, k, CASE WHEN {_hit_t} THEN gap + {_noise} ELSE gap END AS gap FROM ev)",
 ) + f"SELECT record_id, {R('value')} AS value, {R('k')} AS k, {R('gap')} AS gap, (value IS NOT NULL)::INT::DOUBLE AS q_amount FROM dg"
 
-_deg = []
-for _v, _fs in LINE_VIEWS.views.items():
-    _cols = ", ".join(
-        f"CASE WHEN NOT hit THEN {f} END AS {f}" if f in _fs else f for f in LINE_VIEWS.features
-    )
-    _deg.append(
-        f"SELECT record_id, y, i, t, '{_v}' AS view, rate, {_cols} FROM (SELECT li.*, rate, "
-        f"{bucket(chr(39) + _v + chr(39), 'record_id', buckets=1000)} < rate * 1000 AS hit "
-        f"FROM li, (SELECT unnest([{', '.join(f'{r}::DOUBLE' for r in RATES)}]) AS rate) WHERE split = 'test')"
-    )
+# Half width of the uniform noise of each feature.
+_WIDTHS = {"l_quantity": 25.0, "l_extendedprice": 40000.0, "l_discount": 0.05, "l_tax": 0.04, "lag_days": 60.0}
+_shift = {f: f"{w}::DOUBLE * (2 * ({bucket(chr(39) + f + chr(39), 'record_id', buckets=1000000)} / 1e6) - 1)" for f, w in _WIDTHS.items()}
+
+
+def _degraded(noise: bool) -> str:
+    out = []
+    for v, fs in LINE_VIEWS.views.items():
+        new = lambda f: f"CASE WHEN hit THEN {f} + {_shift[f]} ELSE {f} END" if noise else f"CASE WHEN NOT hit THEN {f} END"
+        cols = ", ".join(f"{new(f)} AS {f}" if f in fs else f for f in LINE_VIEWS.features)
+        out.append(
+            f"SELECT record_id, y, i, t, '{v}' AS view, rate, {cols} FROM (SELECT li.*, rate, "
+            f"{bucket(chr(39) + v + chr(39), 'record_id', buckets=1000)} < rate * 1000 AS hit "
+            f"FROM li, (SELECT unnest([{', '.join(f'{r}::DOUBLE' for r in RATES)}]) AS rate) WHERE split = 'test')"
+        )
+    return " UNION ALL ".join(out)
+
+
 _w_fit = gr(LINE_VIEWS, FIT)
 EVENT_ALL, LINE_ALL = (ViewSpec({"all": tuple(v.features)}) for v in (EVENT_VIEWS, LINE_VIEWS))
-ORACLE["degradation_curve"] = with_(
+_curve = lambda noise: with_(
     *VT,
-    f"dg AS ({' UNION ALL '.join(_deg)})",
+    f"dg AS ({_degraded(noise)})",
     *newton(LINE_VIEWS, "train", "par"),
     f"ds AS (SELECT b.*, {q_cols(LINE_VIEWS)}, {p_cols(LINE_VIEWS)}, {p_cols(LINE_ALL)}, {p_logistic(LINE_VIEWS)} FROM dg b, par P, ls, lb)",
     f"bl0 AS (SELECT b.y, {p_cols(LINE_ALL)}, {p_logistic(LINE_VIEWS)} FROM li b, par P, ls, lb WHERE split = 'validation')",
@@ -892,6 +903,7 @@ ORACLE["degradation_curve"] = with_(
     f"{R('first_value(auc) OVER (PARTITION BY variant, view ORDER BY rate) - auc')} AS auc_loss, "
     f"{R('brier - first_value(brier) OVER (PARTITION BY variant, view ORDER BY rate)')} AS brier_rise FROM dm"
 )
+ORACLE["degradation_curve"], ORACLE["degradation_noise"] = _curve(False), _curve(True)
 
 _cross = [
     LI,
@@ -1158,3 +1170,30 @@ ORACLE["result_lineage"] = with_(
 ORACLE["publication_table"] = with_(*RESULTS) + "SELECT dataset, subject, " + ", ".join(
     f"{R(f'max(value) FILTER (WHERE metric = {chr(39)}{m}{chr(39)})')} AS {m}" for m in _M
 ) + " FROM res WHERE output = 'clean_ablation' GROUP BY dataset, subject"
+
+
+def _tree(side: str, text: str) -> list[str]:
+    """CTEs: blocks of 512 bytes of each customer file, and two levels of four children."""
+    level = lambda i, o: (
+        f"{side}{o} AS (SELECT file, part // 4 AS part, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY part)) ELSE max(h) END AS h, "
+        f"(max(n) + 3) // 4 AS n FROM {side}{i} GROUP BY file, part // 4)"
+    )
+    return [
+        f"{side}_text AS (SELECT c_custkey // 100 AS file, 'c_custkey,c_nationkey,c_mktsegment' || chr(10) || "
+        f"string_agg(c_custkey || ',' || c_nationkey || ',' || {text} || chr(10), '' ORDER BY c_custkey) AS x FROM customer GROUP BY 1)",
+        f"{side}0 AS (SELECT file, part, sha256(substr(x, part * 512 + 1, 512)) AS h, n FROM "
+        f"(SELECT file, x, n, unnest(range(n)) AS part FROM (SELECT *, (length(x) + 511) // 512 AS n FROM {side}_text)))",
+        level(0, 1),
+        level(1, 2),
+    ]
+
+
+ORACLE["file_blocks"] = with_(
+    *_tree("a", "c_mktsegment"),
+    *_tree("b", "CASE WHEN (c_custkey // 100) % 5 = 1 AND c_custkey % 100 = 50 THEN 'ALTERED' ELSE c_mktsegment END"),
+    "dif AS (SELECT file, count(*) AS n_altered, min(part) AS first_altered FROM (SELECT file, part, a0.h AS ah, b0.h AS bh FROM a0 FULL JOIN b0 USING (file, part)) "
+    "WHERE ah IS DISTINCT FROM bh GROUP BY file)",
+) + (
+    "SELECT file, a2.h AS recorded, b2.h AS recomputed, coalesce(n_altered, 0) AS n_altered, first_altered "
+    "FROM a2 FULL JOIN b2 USING (file) LEFT JOIN dif USING (file)"
+)

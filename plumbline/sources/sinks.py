@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,19 @@ def write_predictions(df: DataFrame, path: str, mode: str = "errorifexists") ->
     _partitioned(df, path, ["dataset", "view"], mode)
 
 
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int, name: str | None = None) -> DataFrame:
+    """A table at ``path`` bucketed and sorted by ``key``, read back.
+
+    Tables with as many buckets of the same key are joined and grouped by it without a
+    shuffle. ``key`` is nearly unique, like a record's id; one file is written per bucket.
+    The catalog of the session knows the table as ``name``.
+    """
+    name = name or f"bucketed_{uuid.uuid4().hex[:12]}"
+    writer = df.repartition(buckets, key).write.mode("errorifexists").option("path", path)
+    writer.bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def save_params(params: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """A fitted parameter table; it has one row per view, feature and class."""
     params.coalesce(1).write.mode(mode).parquet(path)

@@ -150,3 +150,44 @@ def test_tuning_picks_the_better_grid_point(spark):
     tried = tune_baseline(df, df, ["x2", "x1"], "decision_tree", [{"maxDepth": 0}, {"maxDepth": 3}, {"maxDepth": 4}])
     rows = {r.params: (r.auc, r.chosen) for r in tried.collect()}
     assert rows == {"maxDepth=0": (0.5, False), "maxDepth=3": (1.0, True), "maxDepth=4": (1.0, False)}
+
+
+def test_blocks_say_where_a_file_was_altered(spark, tmp_path):
+    from plumbline.operators.integrity import altered_blocks
+
+    files = {"a.bin": bytes(range(256)) * 20, "b.bin": b"x" * 1000, "c.bin": b"z" * 700, "d.bin": b"y" * 2048}
+    first, second = tmp_path / "first", tmp_path / "second"
+    for folder in (first, second):
+        folder.mkdir()
+        for name, data in files.items():
+            (folder / name).write_bytes(data)
+    changed = bytearray(files["a.bin"])
+    changed[3000] ^= 1  # block 5 of 512 bytes
+    (second / "a.bin").write_bytes(changed)
+    (second / "c.bin").write_bytes(b"")  # gone: Spark lists no empty files
+    (second / "b.bin").write_bytes(files["b.bin"] + b"x" * 100)  # the last block grows, one more begins
+    name = F.regexp_extract("file", r"([^/]+)$", 1)
+    then, now = (manifest.block_digests(spark, str(f), "*.bin", 512).withColumn("file", name) for f in (first, second))
+    assert {(r.file, r.part) for r in altered_blocks(then, now).collect()} == {
+        ("a.bin", 5), ("b.bin", 1), ("b.bin", 2), ("c.bin", 0), ("c.bin", 1)
+    }
+    roots = [{r.file: r.sha256 for r in manifest.merkle_roots(x, 3).collect()} for x in (then, now)]
+    assert {n for n in files if roots[0][n] != roots[1].get(n)} == {"a.bin", "b.bin", "c.bin"}
+
+    def root(data):
+        level = [hashlib.sha256(data[i : i + 512]).hexdigest() for i in range(0, max(len(data), 1), 512)]
+        while len(level) > 1:
+            level = [hashlib.sha256("".join(level[i : i + 3]).encode()).hexdigest() for i in range(0, len(level), 3)]
+        return level[0]
+
+    assert roots[0] == {n: root(data) for n, data in files.items()}
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    ids = spark.range(500).select(F.concat(F.lit("r"), "id").alias("record_id"), F.col("id").alias("x"))
+    a = sinks.write_bucketed(ids, str(tmp_path / "a"), "record_id", 4)
+    b = sinks.write_bucketed(ids.where("x % 2 = 0").withColumn("z", F.col("x") * 2).drop("x"), str(tmp_path / "b"), "record_id", 4)
+    both = a.join(b.hint("merge"), "record_id")
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    assert both.count() == 250 and both.where("z <> 2 * x").count() == 0
