@@ -18,7 +18,7 @@ from plumbline.operators import experiments as X
 from plumbline.operators import store as S
 from plumbline.operators import auctest, calibrate, fusion, groups, inference, integrity, logistic, prepare, reasoning, scoring, splits, stats, trees
 from plumbline.operators.baseline import ESTIMATORS, fit_baseline, score_baseline, tune_baseline
-from plumbline.operators.describe import assess, class_distribution, describe_features
+from plumbline.operators.describe import assess, class_distribution, describe_features, merged_assessment, part_sketches, store_sketches
 from plumbline.operators.reliability import ALPHA, reliability, simplex_grid
 from plumbline.operators.views import melt_views, to_views, with_quality
 from plumbline.plans import bindings as B
@@ -364,6 +364,24 @@ def dataset_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(d, ["text", "n_chars", "n_words", "y", "toxic"], "dataset", "record_id")
 
 
+@query
+def assessment_by_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assessment from stored sketches of each source file, some of which arrive twice; the
+    estimates of distinct values are held against the exact ones (five standard errors)."""
+    cols, path = ["text", "n_chars", "n_words", "y", "toxic"], fresh_path(spark, "part_sketches")
+    d = B.documents(spark, sf_dir)
+    sketches = stage(part_sketches(d, cols, "dataset", "record_id", "file"), "new_sketches")
+    store_sketches(sketches, path)
+    store_sketches(sketches.where("pmod(xxhash64(part), 3) = 0"), path)
+    merged = merged_assessment(spark.read.schema(sketches.schema).parquet(path), "dataset").alias("m")
+    exact = assess(d.drop("file"), cols, "dataset", "record_id").alias("e")
+    same = F.col("m.dataset").eqNullSafe(F.col("e.dataset")) & (F.col("m.column") == F.col("e.column"))
+    near = F.abs(F.col("m.distinct") - F.col("e.distinct")) <= 0.04 * F.col("e.distinct")
+    return merged.join(exact, same).select(
+        "m.dataset", "m.column", "m.rows", "m.nulls", "m.non_finite", near.alias("distinct_within")
+    )
+
+
 @query
 def feature_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.line_evidence(spark, sf_dir)

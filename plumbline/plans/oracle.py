@@ -610,6 +610,9 @@ ORACLE["dataset_assessment"] = with_(DOC) + " UNION ALL ".join(
 ) + """ UNION ALL
 SELECT dataset, '*', sum(c)::BIGINT, 0::BIGINT, 0::BIGINT, count(*) FROM (
   SELECT dataset, text, n_chars, n_words, n_lines, y, toxic, count(*) AS c FROM doc GROUP BY ALL) GROUP BY dataset"""
+ORACLE["assessment_by_parts"] = (
+    f'SELECT dataset, "column", rows, nulls, non_finite, true AS distinct_within FROM ({ORACLE["dataset_assessment"]})'
+)
 ORACLE["feature_statistics"] = with_(LI) + " UNION ALL ".join(
     f"SELECT dataset, '{f}' AS feature, count({f}) AS n, {R(f'avg({f})', 4)} AS mean, {R(f'stddev_samp({f})', 4)} AS sd, "
     f"{R(f'min({f})', 4)} AS min, {R(f'max({f})', 4)} AS max, "

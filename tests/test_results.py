@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import consolidate as C
 from plumbline.operators import evaluate as E
 from plumbline.operators import stats
-from plumbline.operators.describe import assess
+from plumbline.operators.describe import assess, merged_assessment, part_sketches, store_sketches
 
 
 def brute_auc(y, s):
@@ -251,3 +251,27 @@ def test_thresholds_of_coarse_cells_are_those_of_all_scores(spark, monkeypatch):
                 worth = dict.fromkeys(worth, 0.0)
             top = max(worth.values())
             assert (r.theta, r[metric]) == (min(t for t in worth if worth[t] == top), top)
+
+
+def test_sketches_of_parts_add_up_to_those_of_the_whole(spark, tmp_path):
+    n = 20_000
+    value = F.when(F.col("id") % 50 == 0, None).when(F.col("id") % 97 == 0, float("nan")).otherwise((F.col("id") * 7 % 9000).cast("double"))
+    df = spark.range(n).select(
+        "id", F.when(F.col("id") % 3 > 0, "hot").alias("ds"), (F.col("id") % 5).cast("string").alias("file"), value.alias("v"),
+        F.when(F.col("id") % 4 > 0, F.concat(F.lit("t"), F.col("id") % 100)).alias("t"),
+    )
+    parts = part_sketches(df, ["t", "v"], "ds", "id", "file")
+    path = str(tmp_path / "sketches")
+    store_sketches(parts.where("part < '3'"), path)
+    store_sketches(parts.where("part >= '2'"), path)  # part 2 arrives again
+    merged = merged_assessment(spark.read.schema(parts.schema).parquet(path), "ds", {"p50": 0.5})
+    got = {(r.ds, r.column): r for r in merged.collect()}
+    exact = {(r.ds, r.column): r for r in assess(df.drop("file"), ["t", "v"], "ds", "id").collect()}
+    assert got.keys() == exact.keys()
+    for k, e in exact.items():
+        assert (got[k].rows, got[k].nulls, got[k].non_finite) == (e.rows, e.nulls, e.non_finite)
+        assert abs(got[k].distinct - e.distinct) <= 0.04 * e.distinct
+    middle = df.where("ds = 'hot' and v is not null and not isnan(v)").selectExpr("avg(cast(v <= %r as int))" % got["hot", "v"].p50)
+    assert abs(middle.first()[0] - 0.5) < 0.03 and got["hot", "t"].p50 is None
+    none = merged_assessment(part_sketches(df.limit(0), ["t", "v"], "ds", "id", "file"), "ds")
+    assert none.count() == 0
