@@ -19,6 +19,7 @@ from plumbline.operators import store as S
 from plumbline.operators import auctest, calibrate, fusion, groups, inference, integrity, logistic, prepare, reasoning, scoring, splits, stats, trees
 from plumbline.operators.baseline import ESTIMATORS, fit_baseline, score_baseline, tune_baseline
 from plumbline.operators.describe import assess, class_distribution, describe_features, merged_assessment, part_sketches, store_sketches
+from plumbline.operators.measured import Measured
 from plumbline.operators.reliability import ALPHA, reliability, simplex_grid
 from plumbline.operators.views import melt_views, to_views, with_quality
 from plumbline.plans import bindings as B
@@ -759,6 +760,29 @@ def scalability_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.scalability(B.run_log(spark, sf_dir)), 9)
 
 
+@query
+def measured_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preparation and scoring of all lines, logged while they run (S9), and read as C1 and C2.
+
+    Scores are computed split by split, which gives three sizes. Seconds differ from run to run;
+    ``timed`` says that they yield a rate in both tables.
+    """
+    run, path = Measured(spark, "lines"), fresh_path(spark, "measured_log")
+    run.stage(B.line_records(spark, sf_dir), "records")
+    evidence = run.stage(B.line_evidence_plan(spark, sf_dir), "evidence", ("split",))
+    scored = scoring.score_views(evidence, LINE_VIEWS, B.line_params(spark, sf_dir))
+    for part in ("train", "validation", "test"):
+        run.stage(B.split_rows(scored, part), "scores")
+    run.save(path)
+    log = spark.read.parquet(path)
+    total = stats.efficiency(log).alias("a")
+    sizes = stats.scalability(log).alias("b")
+    timed = (F.col("a.rows_per_second") > 0) & (F.col("b.rows_per_second") > 0) & (F.col("a.median_seconds") > 0)
+    return sizes.join(total, "stage").select(
+        "stage", "b.rows", "b.runs", F.col("a.runs").alias("stage_runs"), F.col("a.total_rows").alias("stage_rows"), timed.alias("timed")
+    )
+
+
 # ---- consolidation ----------------------------------------------------------
 
 

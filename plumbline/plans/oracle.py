@@ -1200,3 +1200,13 @@ ORACLE["file_blocks"] = with_(
     "SELECT file, a2.h AS recorded, b2.h AS recomputed, coalesce(n_altered, 0) AS n_altered, first_altered "
     "FROM a2 FULL JOIN b2 USING (file) LEFT JOIN dif USING (file)"
 )
+
+ORACLE["measured_stages"] = with_(
+    LI,
+    "runs AS (SELECT 'records' AS stage, count(*) AS rows FROM li UNION ALL SELECT 'evidence', count(*) FROM li "
+    "UNION ALL SELECT 'scores', count(*) FROM li GROUP BY split)",
+    "sizes AS (SELECT stage, rows, count(*) AS runs FROM runs GROUP BY ALL)",
+) + (
+    "SELECT stage, rows, runs, (sum(runs) OVER w)::BIGINT AS stage_runs, (sum(rows * runs) OVER w)::BIGINT AS stage_rows, "
+    "true AS timed FROM sizes WINDOW w AS (PARTITION BY stage)"
+)

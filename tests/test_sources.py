@@ -191,3 +191,22 @@ def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
     plan = both._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "SortMergeJoin" in plan
     assert both.count() == 250 and both.where("z <> 2 * x").count() == 0
+
+
+def test_a_log_of_stages_that_ran(spark, tmp_path):
+    from plumbline.operators.measured import Measured
+
+    run, path = Measured(spark, "r1"), str(tmp_path / "log")
+    run.save(path)  # nothing ran
+    wide = spark.range(1000).repartition(3).select("id", (F.col("id") % 2).alias("part"))
+    assert run.stage(wide, "wide", ("part",)).count() == 1000
+    run.stage(wide.where("id < 0"), "empty")
+    with pytest.raises(Exception):
+        run.stage(wide.select(F.raise_error(F.lit("no"))), "failing")
+    run.save(path)
+    run.save(path)
+    run.stage(wide.where("id < 10"), "wide")
+    run.save(path)
+    rows = [(r.run_id, r.stage, r.rows) for r in spark.read.parquet(path).orderBy("started").collect()]
+    assert rows == [("r1", "wide", 1000), ("r1", "empty", 0), ("r1", "wide", 10)]
+    assert spark.read.parquet(path).where("seconds > 0 and started is not null").count() == 3
