@@ -106,17 +106,20 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
 def _in_order(docs: DataFrame) -> DataFrame:
     """Rows in descending doc_id, dealt in ranges, each followed by the first of the next range.
 
-    Ranges begin at documents chosen by a hash of their id, so a range's first row is
-    known beforehand and is sent to the range before it as well. The last range is
+    Rows of one id, or of none, follow each other by a hash of their text. Ranges begin at rows
+    chosen by a hash of id and text, so a range's first row is known beforehand and is sent to
+    the range before it as well; many rows of one id make many ranges. The last range is
     followed by the first.
     """
+    # Falls from row to row: a missing id is the smallest, and text hashes rise.
+    docs = docs.withColumn("place", F.struct("doc_id", F.bitwise_not(F.xxhash64("text")).alias("turn")))
     n = docs.count()
     every = max(RANGE_ROWS, n // MOST_RANGES)
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "place.turn"), F.lit(every)) == 0)
     heads = (
-        chosen.select("doc_id")
-        .unionAll(docs.agg(F.max("doc_id").alias("doc_id")))
-        .agg(F.sort_array(F.collect_set("doc_id"), asc=False).alias("heads"))
+        chosen.select("place")
+        .unionAll(docs.agg(F.max("place").alias("place")))
+        .agg(F.sort_array(F.collect_set("place"), asc=False).alias("heads"))
     )
     placed = docs.withColumn("heads", heads.scalar())
     steps = F.array(*[F.lit(2**p) for p in range((n // every * 2 + MOST_RANGES).bit_length(), -1, -1)])
@@ -124,12 +127,11 @@ def _in_order(docs: DataFrame) -> DataFrame:
     before = F.aggregate(
         steps,
         F.lit(0),
-        lambda at, step: F.when(F.get("heads", at + step - 1) >= F.col("doc_id"), at + step).otherwise(at),
+        lambda at, step: F.when(F.get("heads", at + step - 1) >= F.col("place"), at + step).otherwise(at),
     )
     count = F.size("heads")
-    placed = placed.withColumn("range", F.when(F.col("doc_id").isNull(), count).otherwise(before) - 1)
-    placed = placed.withColumn("range", F.greatest("range", F.lit(0)))
-    is_head = (F.get("heads", F.col("range")) == F.col("doc_id")) | (count == 0)
+    placed = placed.withColumn("range", F.greatest(before - 1, F.lit(0)))
+    is_head = F.get("heads", F.col("range")) == F.col("place")
     own = F.struct(F.col("range").alias("range"), F.lit(False).alias("guest"))
     ahead = F.struct(F.pmod(F.col("range") - 1, F.greatest(count, F.lit(1))).alias("range"), F.lit(True).alias("guest"))
     to = F.when(is_head, F.array(own, ahead)).otherwise(F.array(own))

@@ -72,3 +72,19 @@ def test_merged_sketch_is_the_sketch_of_the_union(corpus):
     for s in "ab":
         union = np.unique(np.concatenate(list(fp.shingle_sets([t for _, t, x in rows if x == s]))))
         assert merged[s] == (union >> np.uint64(16)).astype(np.int64)[:256].tolist()
+
+
+def test_rows_of_one_id_or_none_are_dealt_to_many_ranges(corpus, monkeypatch):
+    monkeypatch.setattr(fp, "RANGE_ROWS", 4)
+    rows = [(None, f"nobody {i} said so") for i in range(60)] + [(7, f"seven {i} times") for i in range(60)]
+    rows += [(i, f"own {i} text") for i in range(20, 80)]
+    docs = corpus(rows, extra=False)
+    own = fp._in_order(docs.select("doc_id", "text")).where("not guest").groupBy("range").count().toPandas()["count"]
+    assert own.sum() == 180 and own.max() < 40
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    want = []
+    for (i, text), (_, following) in zip(order, order[1:] + order[:1]):
+        want.append((str(i), hashlib.sha256(fp.edited(text, following).encode()).hexdigest()))
+    got = fp.compare_with_edits(docs).collect()
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in got) == sorted(want)
