@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import with_fitted
+from plumbline.operators import evaluate
 from plumbline.operators.evaluate import UNSCORED, score_histogram, with_outside
 from plumbline.operators.ranking import same_group
 
@@ -43,23 +44,54 @@ def components(hist: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def ranked_moments(hist: DataFrame, by: list[str]) -> DataFrame:
+    """Cells with sums and sums of squares, over positives, of the negatives below them (``_won``)
+    and, over negatives, of the positives below them (``_lost``); a tie counts one half.
+
+    Moments of a cell follow from those inside it and the records in lower ones, so that no row
+    is joined to what lies outside its cell. The variance of positives above a negative is that
+    of positives below it.
+    """
+    d = lambda c: F.col(c).cast("double")
+    sides = {"_won": ("pos", "neg"), "_lost": ("neg", "pos")}
+    inside = Window.partitionBy("_step", *by).orderBy("_s")
+    parts = hist.withColumns({f"_{c}_in": F.sum(c).over(inside) - d(c) / 2 for c in ("pos", "neg")})
+    values = {"pos": F.col("pos"), "neg": F.col("neg")}
+    for name, (own, other) in sides.items():
+        values |= {name: d(own) * F.col(f"_{other}_in"), f"{name}2": d(own) * F.col(f"_{other}_in") * F.col(f"_{other}_in")}
+    for cell, outer in (("_step", [*by, "_cell"]), ("_cell", by)):
+        lower = Window.partitionBy(*outer).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+        cells = parts.groupBy(cell, *by).agg(*[F.sum(c).alias(n) for n, c in values.items()])
+        if cell == "_step":
+            cells = cells.withColumn("_cell", F.floor(F.col("_step") / F.lit(evaluate.FINE)).cast("long"))
+        values = {n: F.col(n) for n in values}
+        below = {f"_{c}_out": F.coalesce(F.sum(c).over(lower), F.lit(0)).cast("double") for c in ("pos", "neg")}
+        moved = {}
+        for name, (own, other) in sides.items():
+            out, n = F.col(f"_{other}_out"), d(own)
+            moved |= {name: F.col(name) + out * n, f"{name}2": F.col(f"{name}2") + 2 * out * F.col(name) + out * out * n}
+        parts = cells.withColumns(below).withColumns(moved).drop(*below)
+    return parts
+
+
 def _error(n_pos: Column, var_pos: Column, n_neg: Column, var_neg: Column) -> Column:
     return F.sqrt(F.greatest(F.try_divide(var_pos, n_pos) + F.try_divide(var_neg, n_neg), F.lit(0.0)))
 
 
 def auc_interval(df: DataFrame, by: list[str], score: str = "s", y: str = "y") -> DataFrame:
     """Area, standard error and 95 % interval per group, from the histogram of scores alone."""
-    parts = components(score_histogram(df, by, score, y), by)
-
-    def moments(count: str, value: str) -> tuple[Column, Column, Column]:
-        n = F.sum(count).cast("double")
-        mean = F.try_divide(F.sum(F.col(count) * F.col(value)), n)
-        square = F.sum(F.col(count) * F.col(value) * F.col(value))
-        return n, mean, F.try_divide(square - n * mean * mean, n - 1)
-
-    (n_pos, area, var_pos), (n_neg, _, var_neg) = moments("pos", "beats"), moments("neg", "beaten")
-    out = parts.groupBy(*by).agg(
-        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), area.alias("auc"),
+    cells = ranked_moments(score_histogram(df, by, score, y), by)
+    whole = lambda c: F.sum(c).cast("double")
+    n_pos, n_neg = whole("pos"), whole("neg")
+
+    def spread(n: Column, m: Column, first: str, second: str) -> Column:
+        """Variance of the ``n`` shares out of ``m``."""
+        mean = F.try_divide(whole(first), n)
+        return F.try_divide((whole(second) - n * mean * mean) / (m * m), n - 1)
+
+    var_pos, var_neg = spread(n_pos, n_neg, "_won", "_won2"), spread(n_neg, n_pos, "_lost", "_lost2")
+    out = cells.groupBy(*by).agg(
+        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.try_divide(whole("_won"), n_pos * n_neg).alias("auc"),
         F.when((n_pos > 1) & (n_neg > 1), _error(n_pos, var_pos, n_neg, var_neg)).alias("se"),
     )
     return out.withColumns(
