@@ -5,8 +5,7 @@ from __future__ import annotations
 import time
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.session import stage
 from plumbline.sources.sinks import append_run_log
@@ -17,19 +16,22 @@ SCHEMA = "run_id string, stage string, rows long, seconds double, started timest
 class Measured:
     """Runs stages and keeps one row for each in the driver; ``save`` appends them to a run log.
 
-    Rows are counted while they are written, by the tasks that write them; a task that is
-    repeated because an executor was lost counts once. A stage that fails leaves no row, and
-    rows that are saved once are not saved again. Times are in UTC.
+    Rows are those of the files that the stage left, counted from their footers once the clock
+    has stopped; a task that is repeated because an executor was lost counts once. A stage that
+    fails leaves no row, and rows that are saved once are not saved again. Times are in UTC.
+
+    Plans are not observed: after that a session cannot send its tasks a fitted ``pyspark.ml``
+    model that holds a training summary.
     """
 
     def __init__(self, spark: SparkSession, run_id: str):
         self.spark, self.run_id, self.entries = spark, run_id, []
 
     def stage(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-        seen, started, clock = Observation(), datetime.now(timezone.utc), time.monotonic()
-        counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-        table = stage(counted, name, partition_by)
-        self.entries.append((self.run_id, name, seen.get["rows"], time.monotonic() - clock, started))
+        started, clock = datetime.now(timezone.utc), time.monotonic()
+        table = stage(df, name, partition_by)
+        seconds = time.monotonic() - clock
+        self.entries.append((self.run_id, name, table.count(), seconds, started))
         return table
 
     def save(self, path: str) -> None:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.scalars import with_fitted
 from plumbline.operators import auctest, logistic, prepare
 from plumbline.operators import evaluate as E
+from plumbline.operators.baseline import fit_baseline, score_baseline
+from plumbline.operators.measured import Measured
 from plumbline.operators.ranking import with_hash_rank
 
 
@@ -93,6 +95,17 @@ def test_keys_are_compared_by_hash_and_then_themselves(spark, monkeypatch):
     prepare.require_unique(rows("a", "b", "c"), "id")
 
 
+def test_baselines_score_after_measured_stages(spark, tmp_path):
+    """A model with a training summary is sent to tasks after stages were measured."""
+    own = spark.newSession()  # what a session has observed stays with it
+    run = Measured(own, "r")
+    kept = run.stage(own.range(100).selectExpr("id", "id % 2 AS part"), "numbers", ("part",))
+    assert kept.count() == 100 and [e[:3] for e in run.entries] == [("r", "numbers", 100)]
+    df = own.range(60).selectExpr("cast(id AS double) AS x", "cast(id >= 30 AS int) AS y", "id % 7 AS z")
+    out = score_baseline(df, fit_baseline(df, ["x"], "logistic_regression"), ["y"])
+    assert {r.pred == r.y for r in out.collect()} == {True}
+
+
 def test_ranks_shuffle_digests_as_bytes(spark):
     ranked = with_hash_rank(spark.range(20).withColumn("c", F.lit("x")), ["c"], "id", 42)
     assert "unhex" in plan_of(ranked)
