@@ -4,7 +4,7 @@ Edges are exact quantiles of the train rows, so that every feature has at most `
 cells and one for missing values. Train rows are stored once as cells. A level of all trees
 is one aggregate: class counts per (view, node, feature, cell), shrunk by every task before
 the shuffle to at most views x nodes x features x cells rows, whatever the input. Splits are
-picked from these counts; rows find their node by looking the splits up as they are read.
+picked from these counts; rows find their node by looking the splits up, by its number, as they are read.
 
 Defined cases: a missing value lies below all edges; a view without any value trains
 nothing and has no score; a node splits while both sides keep ``MIN_ROWS`` rows and the
@@ -50,9 +50,9 @@ def _seen(spec: ViewSpec, view: str, missing: Callable[[str], Column]) -> Column
 
 
 def _down(df: DataFrame, spec: ViewSpec, levels: int, right: Callable[[str, Column], Column]) -> DataFrame:
-    """Adds ``_n_<view>``: the node of a row's view after ``levels`` splits of the map ``_T``."""
+    """Adds ``_n_<view>``: the node of a row's view after ``levels`` splits of the table ``_T``."""
     df = df.withColumns({f"_n_{v}": F.lit(1) for v in spec.names})
-    split = {v: F.try_element_at("_T", F.concat(F.lit(f"{v}:"), F.col(f"_n_{v}").cast("string"))) for v in spec.names}
+    split = {v: F.get(F.col("_T").getField(v), F.col(f"_n_{v}")) for v in spec.names}
     for _ in range(levels):
         df = df.withColumns({f"_s_{v}": split[v] for v in spec.names})
         df = df.withColumns(
@@ -66,11 +66,14 @@ def _down(df: DataFrame, spec: ViewSpec, levels: int, right: Callable[[str, Colu
     return df.drop(*[f"_s_{v}" for v in spec.names])
 
 
-def _as_map(nodes: DataFrame, *values: Column | str) -> DataFrame:
-    """One row: the map from ``view:node`` to its values."""
-    key = F.concat_ws(":", "view", F.col("node").cast("string")).alias("key")
-    pairs = F.collect_list(F.struct(key, F.struct(*values).alias("value")))
-    return nodes.agg(F.map_from_entries(pairs).alias("m"))
+def _by_node(nodes: DataFrame, spec: ViewSpec, levels: int, *values: Column | str) -> DataFrame:
+    """One row: an array per view of the values of its nodes down to ``levels`` splits, by their number."""
+    key = lambda view, node: F.concat_ws(":", view, node.cast("string"))
+    pairs = F.collect_list(F.struct(key(F.col("view"), F.col("node")).alias("key"), F.struct(*values).alias("value")))
+    numbers = F.sequence(F.lit(0), F.lit(2 ** (levels + 1) - 1))
+    of = lambda v: F.transform(numbers, lambda n: F.try_element_at("_m", key(F.lit(v), n)))
+    one = nodes.agg(F.map_from_entries(pairs).alias("_m"))
+    return one.select(F.struct(*[of(v).alias(v) for v in spec.names]).alias("t"))
 
 
 def _best_splits(counts: DataFrame, min_rows: int) -> DataFrame:
@@ -116,7 +119,7 @@ def fit_trees(
     for level in range(depth):
         rows = cells
         if done is not None:
-            rows = rows.withColumn("_T", _as_map(done.where("f is not null"), "f", "cut").scalar())
+            rows = rows.withColumn("_T", _by_node(done.where("f is not null"), spec, level, "f", "cut").scalar())
         rows = _down(rows, spec, level, lambda v, s: F.get(F.array(*spec.views[v]), s["f"]) > s["cut"])
         parts = F.array(
             *[
@@ -165,8 +168,8 @@ def score_views(df: DataFrame, spec: ViewSpec, trees: DataFrame, depth: int = DE
         x = F.get(F.array(*spec.views[v]), split["f"])
         return F.coalesce(x.isNotNull() & (split["threshold"].isNull() | (x > split["threshold"])), F.lit(False))
 
-    df = df.withColumn("_T", _as_map(trees, "f", "threshold", "score").scalar())
+    df = df.withColumn("_T", _by_node(trees, spec, depth, "f", "threshold", "score").scalar())
     df = _down(df, spec, depth, right)
-    leaf = lambda v: F.try_element_at("_T", F.concat(F.lit(f"{v}:"), F.col(f"_n_{v}").cast("string")))["score"]
+    leaf = lambda v: F.get(F.col("_T").getField(v), F.col(f"_n_{v}"))["score"]
     scores = {f"p_{v}": F.when(_seen(spec, v, lambda f: F.col(f).isNull()), leaf(v)) for v in spec.names}
     return df.withColumns(scores).drop("_T", *[f"_n_{v}" for v in spec.names])

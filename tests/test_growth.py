@@ -8,11 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import with_fitted
-from plumbline.operators import auctest, logistic, prepare
+from plumbline.operators import auctest, logistic, prepare, trees
 from plumbline.operators import evaluate as E
 from plumbline.operators.baseline import fit_baseline, score_baseline
 from plumbline.operators.measured import Measured
 from plumbline.operators.ranking import with_hash_rank
+from plumbline.spec import ViewSpec
 
 
 def plan_of(df):
@@ -106,6 +107,15 @@ def test_baselines_score_after_measured_stages(spark, tmp_path):
     assert {r.pred == r.y for r in out.collect()} == {True}
 
 
+def test_splits_are_looked_up_by_their_number(spark):
+    spec = ViewSpec({"a": ("x",), "b": ("z",)})
+    df = spark.range(400).selectExpr("cast(id AS double) AS x", "cast(id % 3 AS double) AS z", "cast(id >= 170 AS int) AS y")
+    scored = trees.score_views(df, spec, trees.fit_trees(df, spec))
+    rows = plan_of(scored).split("Subquery")[0]
+    assert "try_element_at" not in rows and "element_at" not in rows
+    assert scored.where("x < 150 AND p_a > 0.1 OR x >= 200 AND p_a < 0.9").count() == 0
+
+
 def test_ranks_shuffle_digests_as_bytes(spark):
     ranked = with_hash_rank(spark.range(20).withColumn("c", F.lit("x")), ["c"], "id", 42)
     assert "unhex" in plan_of(ranked)
