@@ -38,19 +38,23 @@ from plumbline.llm.words import BLANK, Words, chunks
 TIERS, END = (2048, 1024, 512, 256), 1
 #: Tokens packed at once, and tokens of a step group.
 PORTION, STEP_TOKENS = 500_000, 65_536
-#: Entries of each half of a task's memo of encoded words.
-MEMO = 150_000
+#: Entries of a task's memo of encoded words, and new words encoded at once.
+MEMO, WORDS = 400_000, 20_000
 #: Characters encoded at once.
 CHUNK = 2 << 20
 
 
+#: Stands between words that are encoded as one text, which costs less than one text a word.
+MARK, RUN = "\x01", 250
+
+
 class Encoder:
     """Token ids of texts, as little-endian 32-bit bytes.
 
     The vocabulary drops white space and never joins across it, so a text's ids are those
     of its parts between blanks and newlines, in either case of ASCII letters. Parts recur,
-    so each is encoded once and found by a 64-bit hash. Texts with the string of a special
-    token are encoded whole.
+    so each is encoded once and found by a 64-bit hash; those longest unused are forgotten
+    first. Texts with the string of a special token are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -59,45 +63,91 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[int, bytes] = {}
-        self.older: dict[int, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        a, mark, b, both = (e.tolist() for e in self.encode(["a", MARK, "b", f"a {MARK} b"]))
+        self.mark = mark[0] if len(mark) == 1 and both == [*a, *mark, *b] else None
+        # Known words by ascending hash: when each was last used, and its run in ``ids``.
+        self.keys, self.used = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        self.begins, self.sizes = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self.ids, self.calls = np.empty(0, dtype="<u4"), 0
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [np.array(e.ids, dtype="<u4") for e in found]
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and the ids of all in a row."""
+        sizes, ids = [], []
+        for i in range(0, len(words), WORDS):
+            some = words[i : i + WORDS]
+            runs = [some[j : j + RUN] for j in range(0, len(some), RUN)]
+            if self.mark is None or any(MARK in w for w in some):
+                runs = [[w] for w in some]
+            for run, e in zip(runs, self.encode([f" {MARK} ".join(r) for r in runs])):
+                if len(run) > 1:
+                    marks = np.flatnonzero(e == self.mark)
+                    sizes.append(np.diff(marks, prepend=-1, append=len(e)) - 1)
+                    e = np.delete(e, marks)
+                else:
+                    sizes.append([len(e)])
+                ids.append(e)
+        if not ids:
+            return self.sizes[:0], self.ids[:0]
+        return np.concatenate(sizes).astype(np.int64), np.concatenate(ids)
+
+    def known(self, w: Words, distinct: np.ndarray, sample: np.ndarray) -> np.ndarray:
+        """Places of the distinct words among the known ones; new words are encoded."""
+        self.calls += 1
+        at = np.searchsorted(self.keys, distinct)
+        new = np.ones(len(distinct), dtype=bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != distinct[inside]
+        if len(self.keys) + new.sum() > MEMO:
+            self._forget(at[~new])
+            at = np.searchsorted(self.keys, distinct)
+        first = sample[new]
+        spans = zip(w.starts[first].tolist(), w.ends[first].tolist())
+        sizes, ids = self.words([w.bytes[s:e].decode() for s, e in spans])
+        begins = len(self.ids) + np.cumsum(sizes) - sizes
+        self.ids = np.concatenate([self.ids, ids])
+        self.keys = np.insert(self.keys, at[new], distinct[new])
+        self.used = np.insert(self.used, at[new], self.calls)
+        self.begins = np.insert(self.begins, at[new], begins)
+        self.sizes = np.insert(self.sizes, at[new], sizes)
+        at += np.cumsum(new) - new
+        self.used[at] = self.calls
+        return at
+
+    def _forget(self, needed: np.ndarray) -> None:
+        """Keep the half that was used last, and what is needed now."""
+        self.used[needed] = self.calls
+        stay = self.used >= np.sort(self.used)[-(MEMO // 2) :][:1]
+        sizes = self.sizes[stay]
+        self.ids = self.ids[_runs(self.begins[stay], sizes)]
+        self.keys, self.used, self.sizes = self.keys[stay], self.used[stay], sizes
+        self.begins = np.cumsum(sizes) - sizes
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         w = Words(texts, BLANK)
         distinct, sample, nth = np.unique(w.hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        if len(self.memo) > MEMO:  # what is still in use comes back from the older half
-            self.older, self.memo = self.memo, {}
-        memo = self.memo
-        new = [i for i, k in enumerate(keys) if k not in memo]
-        kept = [i for i in new if keys[i] in self.older]
-        memo.update((keys[i], self.older[keys[i]]) for i in kept)
-        new = sorted(set(new).difference(kept)) if kept else new
-        at = sample[new]
-        parts = [w.bytes[s:e].decode() for s, e in zip(w.starts[at].tolist(), w.ends[at].tolist())]
-        memo.update(zip([keys[i] for i in new], self.encode(parts)))
-        known = list(map(memo.__getitem__, keys))
-        ids = np.frombuffer(b"".join(known), dtype="<u4")
-        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
-        begins = np.cumsum(sizes) - sizes
-        # Ids of all words in a row: each word's run begins at its place among the distinct ones.
-        run = sizes[nth]
-        ends = np.cumsum(run)
-        place = np.arange(int(run.sum()), dtype=np.int32)
-        place += np.repeat((begins[nth] - (ends - run)).astype(np.int32), run)
-        data = ids[place].tobytes()
-        bounds = np.concatenate([[0], ends])[w.first].tolist()
+        at = self.known(w, distinct, sample)[nth]
+        sizes = self.sizes[at]
+        data = self.ids[_runs(self.begins[at], sizes)].tobytes()
+        bounds = np.concatenate([[0], np.cumsum(sizes)])[w.first].tolist()
         out = [data[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:])]
         for i, t in enumerate(texts):
             if "<" in t and any(s in t for s in self.special):
-                out[i] = self.encode([t])[0]
+                out[i] = self.encode([t])[0].tobytes()
         return out
 
 
+def _runs(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all runs, one after the other."""
+    ends = np.cumsum(sizes)
+    place = np.arange(int(sizes.sum()), dtype=np.int64)
+    place += np.repeat(begins - (ends - sizes), sizes)
+    return place
+
+
 _encoders: dict[str, Encoder] = {}
 
 

@@ -53,6 +53,24 @@ def test_round_trip(corpus, monkeypatch, portion):
     assert check(got, texts) <= 2  # one sequence per partition may be padded
 
 
+def test_new_words_are_encoded_many_to_a_text(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO", 300)
+    monkeypatch.setattr(packing, "WORDS", 100)
+    coder, rng, seen = packing.Encoder(public.path("word_bpe_49k.json")), random.Random(5), []
+    plain = coder.encode
+    monkeypatch.setattr(coder, "encode", lambda texts: seen.append(len(texts)) or plain(texts))
+    odd = ["\x01", "a\x01b", "́x", "'s", "\t|", "…", "<|endoftext|>", "\x02\x01"]
+    for call in range(6):
+        words = ["".join(rng.choice("abcé1.'") for _ in range(rng.randint(1, 9))) for _ in range(400)]
+        texts = [" ".join(words[i : i + 50]) for i in range(0, 400, 50)] + ["", " \n "]
+        texts += [" ".join(odd)] if call % 2 else []
+        got = coder(texts)
+        assert got == [plain([t])[0].tobytes() for t in texts]
+        assert len(coder.keys) <= 300 + 400 + len(odd)
+        if not call:
+            assert sum(seen) <= 8
+
+
 def test_step_groups_are_even(corpus):
     texts = {i: "word " * (i * 13 % 900) for i in range(200)}
     docs = corpus(list(texts.items())).coalesce(1)
