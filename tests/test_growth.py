@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from plumbline.functions.scalars import with_fitted
 from plumbline.operators import auctest, logistic, prepare, trees
 from plumbline.operators import evaluate as E
-from plumbline.operators.baseline import fit_baseline, score_baseline
+from plumbline.operators import baseline
+from plumbline.operators.baseline import fit_baseline, score_baseline, tune_baseline
 from plumbline.operators.measured import Measured
 from plumbline.operators.ranking import with_hash_rank
+from plumbline.plans import bindings, catalog
 from plumbline.spec import ViewSpec
 
 
@@ -119,3 +121,53 @@ def test_splits_are_looked_up_by_their_number(spark):
 def test_ranks_shuffle_digests_as_bytes(spark):
     ranked = with_hash_rank(spark.range(20).withColumn("c", F.lit("x")), ["c"], "id", 42)
     assert "unhex" in plan_of(ranked)
+
+
+@pytest.fixture
+def lines(spark, tmp_path):
+    """A folder with 600 lines of 200 orders."""
+    orders = spark.range(200).selectExpr(
+        "id AS o_orderkey", "timestamp'1995-01-01' + make_dt_interval(cast(id AS int)) AS o_orderdate",
+        "element_at(array('F', 'O', 'P'), cast(id % 3 AS int) + 1) AS o_orderstatus",
+    )
+    lineitem = spark.range(600).selectExpr(
+        "id % 200 AS l_orderkey", "id % 37 AS l_partkey", "id % 11 AS l_suppkey", "id AS l_linenumber",
+        "cast(id * 7 % 50 AS double) AS l_quantity", "cast(id * 13 % 901 AS double) AS l_extendedprice",
+        "(id % 11) / 100D AS l_discount", "(id % 9) / 100D AS l_tax",
+        "element_at(array('A', 'N', 'R'), cast(id * 7 % 3 AS int) + 1) AS l_returnflag", "if(id % 2 = 0, 'F', 'O') AS l_linestatus",
+        "timestamp'1995-02-01' + make_dt_interval(cast(id % 300 AS int)) AS l_shipdate",
+    )
+    for name, df in (("orders", orders), ("lineitem", lineitem)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_measured_stages_join_lines_once(spark, lines, monkeypatch):
+    joins, checked = [], []
+    join, check = bindings.line_records, prepare.require_unique
+    monkeypatch.setattr(bindings, "line_records", lambda *a: joins.append(a) or join(*a))
+    for module in (bindings, prepare):
+        monkeypatch.setattr(module, "require_unique", lambda df, key: checked.append(key) or check(df, key))
+    rows = catalog.measured_stages(spark, lines).collect()
+    assert len(joins) == 1 and checked == ["record_id"]
+    total = {r.stage: (r.stage_runs, r.stage_rows) for r in rows}
+    assert total == {"records": (1, 600), "evidence": (1, 600), "scores": (3, 600)}
+    again = spark.read.parquet(f"{lines}/lineitem.parquet").limit(1)
+    again.write.mode("append").parquet(f"{lines}/lineitem.parquet")
+    with pytest.raises(ValueError, match="occurs 2 times"):
+        catalog.measured_stages(spark, lines)
+
+
+def test_baselines_share_a_preparation_and_score_what_is_used(spark, lines, monkeypatch):
+    fits, scored = [], []
+    fit, keep = baseline.StandardScaler._fit, catalog.stage
+    monkeypatch.setattr(baseline.StandardScaler, "_fit", lambda self, df: fits.append(1) or fit(self, df))
+    monkeypatch.setattr(catalog, "stage", lambda df, name, *by: scored.append(keep(df, name, *by)) or scored[-1])
+    some = {n: baseline.ESTIMATORS[n] for n in ("logistic_regression", "decision_tree")}
+    monkeypatch.setattr(catalog, "ESTIMATORS", some)
+    assert {r.variant for r in catalog.baseline_models(spark, lines).collect()} == set(some)
+    assert len(fits) == 1 and {r.split for r in scored[0].select("split").distinct().collect()} == {"validation", "test"}
+    df = spark.range(60).selectExpr("cast(id AS double) AS x", "cast(id >= 30 AS int) AS y")
+    grid = [{"maxDepth": 0}, {"maxDepth": 2}]
+    assert [r.chosen for r in tune_baseline(df, df, ["x"], "decision_tree", grid).orderBy("grid_id").collect()] == [False, True]
+    assert len(fits) == 2
