@@ -1,11 +1,15 @@
 """The result store and the recorded lineage."""
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import consolidate as C
 from plumbline.operators import store as S
+from plumbline.plans import bindings as B
 from plumbline.plans import catalog
+from plumbline.session import side_by_side
 
 
 def results(spark, values, output="clean_ablation", experiment=4):
@@ -104,3 +108,33 @@ def test_a_repeated_id_within_one_output_fails(spark):
     one = results(spark, [("x", 0.5)])
     with pytest.raises(Exception, match="repeated result id"):
         C.consolidate([one, one]).collect()
+
+
+def test_experiments_side_by_side_share_what_they_need(spark, tmp_path):
+    """Two that need one table at a time build it once, and each step keeps its own inputs."""
+    folder, built, meet = str(tmp_path), [], threading.Barrier(2, timeout=30)
+
+    def shared():
+        built.append(1)
+        return spark.range(3)
+
+    def ran(name):
+        steps = B.steps_of(spark, folder)
+        steps.begin()
+        meet.wait()
+        steps.uses(f"table:{name}")
+        n = B.once(spark, folder, "shared", shared).count()
+        meet.wait()
+        return n, steps.drop()
+
+    got = list(side_by_side(spark, [lambda: ran("a"), lambda: ran("b")]))
+    assert built == [1]
+    assert got == [(3, {"table:a", "stage:shared"}), (3, {"table:b", "stage:shared"})]
+
+
+def test_failed_call_is_raised(spark):
+    def fails():
+        raise ValueError("no rows")
+
+    with pytest.raises(ValueError, match="no rows"):
+        list(side_by_side(spark, [lambda: 1, fails, lambda: 2]))
