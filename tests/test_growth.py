@@ -1,9 +1,11 @@
 """What a shuffle carries: it must not grow faster than the input, nor hold what can be derived later."""
 
+import glob
 import re
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from plumbline.operators.baseline import fit_baseline, score_baseline, tune_base
 from plumbline.operators.measured import Measured
 from plumbline.operators.ranking import with_hash_rank
 from plumbline.plans import bindings, catalog
+from plumbline.session import stage
 from plumbline.spec import ViewSpec
 
 
@@ -171,3 +174,13 @@ def test_baselines_share_a_preparation_and_score_what_is_used(spark, lines, monk
     grid = [{"maxDepth": 0}, {"maxDepth": 2}]
     assert [r.chosen for r in tune_baseline(df, df, ["x"], "decision_tree", grid).orderBy("grid_id").collect()] == [False, True]
     assert len(fits) == 2
+
+
+def test_staged_tables_are_written_small(spark):
+    """Keys of many digits are most of what is staged."""
+    keys = spark.range(20000).select(F.concat_ws("|", *[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10000)).cast("string") for k in range(4)]).alias("key"))
+    table = stage(keys, "codec")
+    folder = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    kinds = {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in glob.glob(f"{folder}/*.parquet")}
+    assert kinds == {"ZSTD"}
+    assert table.exceptAll(keys).count() == 0 and table.count() == 20000
