@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.scalars import with_fitted
 from plumbline.operators import auctest, logistic, prepare, trees
 from plumbline.operators import evaluate as E
+from plumbline.operators import experiments as X
 from plumbline.operators import baseline
 from plumbline.operators.baseline import fit_baseline, score_baseline, tune_baseline
 from plumbline.operators.measured import Measured
@@ -184,3 +185,58 @@ def test_staged_tables_are_written_small(spark):
     kinds = {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in glob.glob(f"{folder}/*.parquet")}
     assert kinds == {"ZSTD"}
     assert table.exceptAll(keys).count() == 0 and table.count() == 20000
+
+
+@pytest.fixture(scope="module")
+def degraded(spark):
+    """Rows with ties, rows without any feature, and a class that is unknown; one fitted row of each kind."""
+    spec = ViewSpec({"a": ("x",), "b": ("z",)})
+    df = spark.range(500).selectExpr(
+        "cast(id AS string) AS record_id", "cast(nullif(id % 6, 5) > 2 AS int) AS y",
+        "if(id % 9 = 0, null, cast(id % 7 + id % 6 AS double)) AS x", "if(id % 18 = 0, null, id * 0.37 % 5) AS z", "0.5 AS i", "0.25 AS t",
+    )
+    constants = X.score_constants(X.fit_view_params(df, spec), spec)
+    theta = spark.createDataFrame([("unweighted", 0.5), ("reliability", 0.6), ("one", None)], "variant string, theta double")
+    return spec, X.with_scalar(df, constants, "_P"), theta
+
+
+def curve_of(degraded, rates=(0.0, 0.3, 1.0)):
+    spec, rows, theta = degraded
+    g, alpha, one = {"a": F.lit(0.3), "b": F.lit(0.2)}, (0.2, 0.5, 0.3), {"one": X.gaussian_baseline(spec)}
+    return X.degradation_curve(rows, spec, g, alpha, theta, 1, rates=rates, baselines=one)
+
+
+@pytest.mark.parametrize("size", [1 << 19, 40])
+def test_degradation_ranks_ranges_of_scores(spark, degraded, monkeypatch, size):
+    spec, rows, theta = degraded
+    monkeypatch.setattr(X, "RANGE", size)
+    monkeypatch.setattr(X, "CHUNK", 100)
+    got = {(r.variant, r.view, r.rate): r for r in curve_of(degraded).collect()}
+    limits = {r.variant: r.theta for r in theta.collect()}
+    assert len(got) == 3 * 2 * 3
+    for view in spec.names:
+        for rate in (0.0, 0.3, 1.0):
+            hit = X.degrade(rows.where("y IS NOT NULL"), spec, F.lit(view), F.lit(rate), 1)
+            hit = X.fuse(X.with_quality(X.with_scores(hit, spec), spec), spec, {"a": F.lit(0.3), "b": F.lit(0.2)}, (0.2, 0.5, 0.3))
+            pdf = hit.select("y", X.unweighted(spec).alias("unweighted"), F.col("s").alias("reliability"), X.gaussian_baseline(spec).alias("one")).toPandas()
+            for name, theta_ in limits.items():
+                r, s = got[name, view, rate], pdf[name].fillna(E.UNSCORED).to_numpy()
+                p, n = s[pdf.y == 1], s[pdf.y == 0]
+                wins = (p[:, None] > n).mean() + (p[:, None] == n).mean() / 2
+                assert (r.n, r.n_unscored) == (len(s), pdf[name].isna().sum())
+                assert (r.tp, r.fp) == ((0, 0) if theta_ is None else ((p >= theta_).sum(), (n >= theta_).sum()))
+                assert r.auc == pytest.approx(wins, abs=1e-12)
+                assert r.brier == pytest.approx(((pdf[name] - pdf.y) ** 2).mean(), rel=1e-12)
+    assert all(got[k].auc_loss == pytest.approx(got[(*k[:2], 0.0)].auc - r.auc) for k, r in got.items())
+
+
+def test_degradation_shuffles_no_row_per_score(degraded):
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)", plan_of(curve_of(degraded)))
+    assert keys and not any(c in k for k in keys for c in ("_s#", "_step", "_fine"))
+
+
+def test_variants_are_computed_outside_their_generator(spark):
+    out = X.score_variants(spark.range(4), {"a": F.exp(F.col("id")), "b": F.sqrt("id")}, ["id"])
+    generators = [line for line in plan_of(out).splitlines() if "Generate" in line]
+    assert generators and not any("EXP" in line or "SQRT" in line for line in generators)
+    assert {(r.variant, round(r.s, 6)) for r in out.where("id = 1").collect()} == {("a", 2.718282), ("b", 1.0)}
