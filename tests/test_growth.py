@@ -240,3 +240,17 @@ def test_variants_are_computed_outside_their_generator(spark):
     generators = [line for line in plan_of(out).splitlines() if "Generate" in line]
     assert generators and not any("EXP" in line or "SQRT" in line for line in generators)
     assert {(r.variant, round(r.s, 6)) for r in out.where("id = 1").collect()} == {("a", 2.718282), ("b", 1.0)}
+
+
+def test_baselines_score_in_one_pass(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(80).selectExpr("id", "nullif(cast(id % 13 AS double), 4) AS x", "cast(id % 5 AS double) AS z", "cast(id % 13 > 6 AS int) AS y").write.parquet(path)
+    df, names = spark.read.parquet(path), ["naive_bayes", "decision_tree", "logistic_regression"]
+    prepared = baseline.fit_preparation(df, ["x", "z"])
+    models = {n: fit_baseline(df, ["x", "z"], n, prepared=prepared) for n in names}
+    out = baseline.score_baselines(df, models, ["id", "y"])
+    assert plan_of(out).count("FileScan") == 1
+    each = [score_baseline(df, models[n], ["id", "y"]).withColumn("variant", F.lit(n)) for n in names]
+    want = each[0].unionByName(each[1]).unionByName(each[2])
+    assert out.columns == want.columns and out.count() == 240
+    assert out.exceptAll(want).count() == 0
